@@ -1,14 +1,19 @@
 """Logs, raw lines and metrics derived from the given tables.
 
 The derivation is one projection of ``events`` (or ``documents``), written once
-as SQL expressions that Spark and the checking engine both understand. It adds
-no shuffle, so every query over it grows with the table it reads.
+as SQL expressions that Spark and the checking engine both understand. Logs and
+text lines are ingested into a stored table below the shared folder, once per
+application; every query then reads the whole table.
 """
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgelog.session import scratch_path
+from ridgelog.storage.table import read_logs, write_logs
+
 #: the reference time of all queries: the end of the events
 AS_OF = datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -105,29 +110,58 @@ def _numbered(events: DataFrame) -> DataFrame:
     return events.selectExpr("*", f"{_K} AS k", "event_id div 6 AS trace_no", "event_id div 2 AS span_no")
 
 
-def event_logs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """``events`` as logs. The timestamp stays a plain column, so time filters reach the scan."""
-    rows = events if events is not None else table(spark, sf_dir, "events")
-    rows = _numbered(rows)
+def derive_logs(events: DataFrame) -> DataFrame:
+    """``events`` as logs, batch or stream, in one projection."""
     pairs = ", ".join(f"'{k}', {e}" for k, e in ATTRIBUTES.items())
     columns = [f"{e} AS {c}" for c, e in LOG_COLUMNS.items()]
-    return rows.selectExpr(*columns, f"map({pairs}) AS attributes")
+    return _numbered(events).selectExpr(*columns, f"map({pairs}) AS attributes")
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of a table written once per application below the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ``logs`` table: ``events`` as logs, ingested by the table writer.
+
+    Timestamps are cut to milliseconds on write. Queries then see plain columns,
+    as they do on a real table, and their filters reach the Parquet scan.
+    """
+
+    def write(path: str) -> None:
+        write_logs(derive_logs(table(spark, sf_dir, "events")), path)
+
+    return read_logs(spark, _stored(spark, sf_dir, "logs", write)).drop("hour_partition", "level_numeric")
 
 
 def column_of(attribute: str) -> str:
     return "a_" + attribute.replace(".", "_")
 
 
-#: the derived logs as a common table expression, attributes as columns a_<name>, '' when missing
-LOGS = (
-    "base AS (SELECT *, "
-    + _K
-    + " AS k, event_id // 6 AS trace_no, event_id // 2 AS span_no FROM events), logs AS (SELECT event_id, k, "
-    + ", ".join(f"{e} AS {c}" for c, e in LOG_COLUMNS.items())
-    + ", "
-    + ", ".join(f"COALESCE({e}, '') AS {column_of(a)}" for a, e in ATTRIBUTES.items())
-    + " FROM base)"
-)
+def _logs_sql(timestamp: str) -> str:
+    columns = {**LOG_COLUMNS, "timestamp": timestamp}
+    return (
+        f"base AS (SELECT *, {_K} AS k, event_id // 6 AS trace_no, event_id // 2 AS span_no FROM events), logs AS (SELECT event_id, k, "
+        + ", ".join(f"{e} AS {c}" for c, e in columns.items())
+        + ", "
+        + ", ".join(f"COALESCE({e}, '') AS {column_of(a)}" for a, e in ATTRIBUTES.items())
+        + " FROM base)"
+    )
+
+
+#: the stored logs as a common table expression, attributes as columns a_<name>, '' when missing
+LOGS = _logs_sql("date_trunc('milliseconds', ts)")
+#: the same before they are stored, with full precision
+INCOMING_LOGS = _logs_sql("ts")
 
 
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,17 +240,25 @@ _CHECK_STAMP = {
 }
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_lines(events: DataFrame) -> DataFrame:
     """One text line per event, in fifteen formats: (id, value)."""
     numbered = "event_id AS event_no", "user_id AS user_no", "k"
-    logs = _numbered(table(spark, sf_dir, "events")).selectExpr(
-        *numbered, *[f"{e} AS {c}" for c, e in LOG_COLUMNS.items()]
-    )
+    logs = _numbered(events).selectExpr(*numbered, *[f"{e} AS {c}" for c, e in LOG_COLUMNS.items()])
     return logs.selectExpr("id", f"{_lines(_SPARK_STAMP.get, 'upper(level)')} AS value")
 
 
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored text lines of all events."""
+
+    def write(path: str) -> None:
+        derive_lines(table(spark, sf_dir, "events")).write.parquet(path)
+
+    return spark.read.schema("id string, value string").parquet(_stored(spark, sf_dir, "lines", write))
+
+
+#: the text lines as a common table expression
 RAW_LINES = (
-    LOGS
+    INCOMING_LOGS
     + ", lines AS (SELECT id, "
     + _lines(_CHECK_STAMP.get, "upper(level)")
     + " AS value FROM (SELECT l.*, e.event_id AS event_no, e.user_id AS user_no FROM logs l JOIN events e USING (event_id)))"

@@ -77,6 +77,10 @@ def _failed(level="level") -> Column:
     return F.lower(_col(level)).isin("error", "fatal")
 
 
+def _duration_ms(start: str, end: str) -> Column:
+    return F.floor((epoch_micros(end) - epoch_micros(start)) / 1000)
+
+
 def _traced(df: DataFrame) -> DataFrame:
     """Only what trace aggregates read, rows with a trace id only."""
     return with_trace_ids(df).filter(F.col("trace_id") != "")
@@ -112,7 +116,7 @@ def trace_summary(df: DataFrame) -> DataFrame:
             F.sort_array(F.collect_set(F.nullif("service", F.lit("")))).alias("services"),
         )
         .withColumn("service_count", F.size("services").cast("bigint"))
-        .withColumn("duration_ms", epoch_millis("end_time") - epoch_millis("start_time"))
+        .withColumn("duration_ms", _duration_ms("start_time", "end_time"))
     )
 
 
@@ -154,7 +158,7 @@ def span_summary(df: DataFrame) -> DataFrame:
         F.when(F.col("failed") == 1, F.lit("error")).otherwise(F.col("head.status")).alias("status"),
         "start_time",
         "end_time",
-        (epoch_millis("end_time") - epoch_millis("start_time")).alias("duration_ms"),
+        _duration_ms("start_time", "end_time").alias("duration_ms"),
         "log_count",
         F.col("head.id").alias("first_log_id"),
     )
