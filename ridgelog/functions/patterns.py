@@ -1,8 +1,9 @@
 """Regular expressions, written for Java from RE2 sources.
 
 ``re2`` rewrites the few constructs whose meaning differs: RE2's ``\\s`` has no
-vertical tab, its ``\\b`` is ASCII, ``.`` excludes only the line feed and ``$``
-is the end of the text. Groups are plain and addressed by index.
+vertical tab, ``.`` excludes only the line feed and ``$`` is the end of the text.
+Word boundaries are ASCII in RE2 and are written as look-arounds. Groups are
+plain and addressed by index.
 """
 
 from dataclasses import dataclass
@@ -15,7 +16,6 @@ def re2(pattern: str, ignore_case: bool = False) -> str:
     text = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"[T\s", "[T" + _SPACE)
     text = text.replace(r'["\s', '["' + _SPACE).replace(r"[:\s", "[:" + _SPACE)
     text = text.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
-    text = text.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
     if text.endswith("$"):
         text = text[:-1] + r"\z"
     return ("(?diu)" if ignore_case else "(?d)") + text.replace("(?i)", "(?iu)")
@@ -135,7 +135,9 @@ SEVERITY_LEVEL = {
     "debug": ("debug",),
 }
 
-# fixed values: trace conventions as (trace attribute, span attribute, parent attribute, message pattern)
+# fixed values: trace conventions as (trace attribute, span attribute, parent attribute, message
+# pattern); every pattern needs one of the needles
+TRACE_NEEDLES = ("trace", "Root=")
 TRACE_CONVENTIONS = (
     ("trace_id", "span_id", "parent_span_id", re2(r'trace[_-]?id["\s:=]+([a-fA-F0-9]{32})')),
     ("traceID", "spanID", "parentSpanID", re2(r'"?traceID"?\s*:\s*"?([a-fA-F0-9]{32})"?')),
@@ -155,26 +157,59 @@ OPERATION_PATTERNS = (
 # fixed values: levels that count as a detected error
 ERROR_LEVELS = ("error", "err", "fatal", "panic", "critical", "crit", "alert", "emerg")
 
-# fixed values: message patterns of the error detector as (name, category, pattern)
+# fixed values: message patterns of the error detector as (name, category, pattern, needles).
+# A match contains at least one of the needles, ignoring case, so a substring search decides
+# most messages and the regular expression runs on the rest only.
 ERROR_PATTERNS = (
-    ("Exception", "application", re2(r"(?i)(exception|error):\s*(.+)")),
-    ("StackTrace", "application", re2(r"(?i)^\s*at\s+[\w.$]+\(.*\)|\s+at\s+.+:\d+")),
-    ("NullPointer", "application", re2(r"(?i)(null\s*pointer|null\s*reference|nil\s*pointer)")),
-    ("OutOfMemory", "resource", re2(r"(?i)(out\s*of\s*memory|oom|memory\s*exhausted)")),
-    ("HTTP4xx", "http", re2(r"\b4\d{2}\b|(?i)(bad\s*request|unauthorized|forbidden|not\s*found)")),
-    ("HTTP5xx", "http", re2(r"\b5\d{2}\b|(?i)(internal\s*server|gateway|service\s*unavailable)")),
+    ("Exception", "application", re2(r"(?i)(exception|error):\s*(.+)"), ("exception:", "error:")),
+    ("StackTrace", "application", re2(r"(?i)^\s*at\s+[\w.$]+\(.*\)|\s+at\s+.+:\d+"), ("(", ":")),
+    (
+        "NullPointer",
+        "application",
+        re2(r"(?i)(null\s*pointer|null\s*reference|nil\s*pointer)"),
+        ("null", "nil"),
+    ),
+    ("OutOfMemory", "resource", re2(r"(?i)(out\s*of\s*memory|oom|memory\s*exhausted)"), ("oom", "memory")),
+    (
+        "HTTP4xx",
+        "http",
+        re2(r"(?<!\w)4\d{2}(?!\w)|(?i)(bad\s*request|unauthorized|forbidden|not\s*found)"),
+        ("4", "request", "unauthorized", "forbidden", "found"),
+    ),
+    (
+        "HTTP5xx",
+        "http",
+        re2(r"(?<!\w)5\d{2}(?!\w)|(?i)(internal\s*server|gateway|service\s*unavailable)"),
+        ("5", "server", "gateway", "unavailable"),
+    ),
     (
         "DatabaseConnection",
         "database",
         re2(r"(?i)(connection\s*(refused|failed|timeout)|can't\s*connect|lost\s*connection)"),
+        ("connect",),
+    ),
+    (
+        "QueryError",
+        "database",
+        re2(r"(?i)(sql\s*error|query\s*failed|syntax\s*error|deadlock)"),
+        ("error", "query", "deadlock"),
+    ),
+    ("DiskSpace", "system", re2(r"(?i)(disk\s*(full|space)|no\s*space\s*left)"), ("disk", "space")),
+    (
+        "Permission",
+        "security",
+        re2(r"(?i)(permission\s*denied|access\s*denied|unauthorized\s*access)"),
+        ("denied", "unauthorized"),
+    ),
+    ("Timeout", "network", re2(r"(?i)(timeout|timed?\s*out|deadline\s*exceeded)"), ("time", "deadline")),
+    ("Failed", "generic", re2(r"(?i)(?<!\w)failed?(?!\w)|(?<!\w)failure(?!\w)"), ("fail",)),
+    (
+        "Critical",
+        "generic",
+        re2(r"(?i)(?<!\w)critical(?!\w)|(?<!\w)fatal(?!\w)|(?<!\w)panic(?!\w)"),
+        ("critical", "fatal", "panic"),
     ),
-    ("QueryError", "database", re2(r"(?i)(sql\s*error|query\s*failed|syntax\s*error|deadlock)")),
-    ("DiskSpace", "system", re2(r"(?i)(disk\s*(full|space)|no\s*space\s*left)")),
-    ("Permission", "security", re2(r"(?i)(permission\s*denied|access\s*denied|unauthorized\s*access)")),
-    ("Timeout", "network", re2(r"(?i)(timeout|timed?\s*out|deadline\s*exceeded)")),
-    ("Failed", "generic", re2(r"(?i)\bfailed?\b|\bfailure\b")),
-    ("Critical", "generic", re2(r"(?i)\bcritical\b|\bfatal\b|\bpanic\b")),
 )
 
 #: ``field =`` and friends in query text
-FIELD_COMPARISON = re2(r"\b(\w+)\s*(?:=|>|<|>=|<=|IN|LIKE)")
+FIELD_COMPARISON = re2(r"(?<!\w)(\w+)\s*(?:=|>|<|>=|<=|IN|LIKE)")

@@ -1,7 +1,9 @@
 """Error detection: tags, statistics, rates, trends and anomalies."""
 
+import operator
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,10 +37,12 @@ def error_hits() -> Column:
             F.lit("LogLevel"),
         )
     ]
-    for name, category, pattern in ERROR_PATTERNS:
-        hits.append(
-            _hit(F.col("message").rlike(pattern), F.lit(f"{category}:{name}"), F.lit(category), F.lit(name))
-        )
+    # upper then lower folds every character that matches an ASCII letter onto that letter
+    folded = F.lower(F.upper("message"))
+    for name, category, pattern, needles in ERROR_PATTERNS:
+        possible = reduce(operator.or_, [folded.contains(n) for n in needles])
+        matched = possible & F.col("message").rlike(pattern)
+        hits.append(_hit(matched, F.lit(f"{category}:{name}"), F.lit(category), F.lit(name)))
     hits.append(
         _hit(attr("error") != "", F.lit("attribute:error"), F.lit("attribute"), F.lit("AttributeError"))
     )

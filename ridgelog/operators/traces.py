@@ -5,12 +5,14 @@ logs never meet in one task. Groups are reduced by partial aggregates before
 the shuffle; nothing collects the rows of a trace.
 """
 
+import operator
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgelog.functions.patterns import OPERATION_PATTERNS, TRACE_CONVENTIONS
+from ridgelog.functions.patterns import OPERATION_PATTERNS, TRACE_CONVENTIONS, TRACE_NEEDLES
 from ridgelog.functions.scalars import _col, attr, epoch_micros, epoch_millis, first_words, has_attr, ntz
 
 IDLE_SECONDS = 3600
@@ -21,9 +23,10 @@ def trace_id(log_trace="trace_id", attributes="attributes", message="message") -
     found = [F.nullif(_col(log_trace), F.lit(""))]
     for name in dict.fromkeys(c[0] for c in TRACE_CONVENTIONS):
         found.append(F.nullif(attr(name, attributes), F.lit("")))
-    for *_, pattern in TRACE_CONVENTIONS:
-        found.append(F.nullif(F.regexp_extract(_col(message), pattern, 1), F.lit("")))
-    return F.coalesce(*found, F.lit(""))
+    text = _col(message)
+    in_text = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for *_, p in TRACE_CONVENTIONS]
+    possible = reduce(operator.or_, [text.contains(n) for n in TRACE_NEEDLES])
+    return F.coalesce(*found, F.when(possible, F.coalesce(*in_text)), F.lit(""))
 
 
 def _last_convention(position: int, attributes) -> list[Column]:

@@ -84,7 +84,7 @@ def write_logs(
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .option("parquet.bloom.filter.enabled#trace_id", "true")
-        .option("parquet.bloom.filter.expected.ndv#trace_id", "1000000")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .options(**codec_options(codec, level))
         .partitionBy(*parts)
         .parquet(path)
