@@ -263,3 +263,51 @@ RAW_LINES = (
     + _lines(_CHECK_STAMP.get, "upper(level)")
     + " AS value FROM (SELECT l.*, e.event_id AS event_no, e.user_id AS user_no FROM logs l JOIN events e USING (event_id)))"
 )
+
+
+def _bodies() -> str:
+    """Request bodies: a single log for odd events, an array of two logs for even ones."""
+    log = """'{"id": "' || id || '", "timestamp": "' || stamp || '", "level": "' || (CASE WHEN k % 4 = 0 THEN '' ELSE level END)
+ || '", "message": "' || message || '", "service": "' || (CASE WHEN k % 3 = 0 THEN '' ELSE service END) || '", "attributes": {"k": ' || CAST(k AS STRING) || '}}'"""
+    bare = """'{"message": "bare ' || CAST(event_no AS STRING) || '", "trace_id": "t' || CAST(k AS STRING) || '"}'"""
+    return f"CASE WHEN event_no % 2 = 1 THEN {log} ELSE '[' || {log} || ', ' || {bare} || ']' END"
+
+
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON request bodies of all events: (value)."""
+
+    def write(path: str) -> None:
+        logs = _numbered(table(spark, sf_dir, "events")).selectExpr(
+            "event_id AS event_no", "k", f"{_SPARK_STAMP['docker'].replace('timestamp', 'ts')} AS stamp", *[f"{e} AS {c}" for c, e in LOG_COLUMNS.items()]
+        )
+        logs.selectExpr(f"{_bodies()} AS value").write.text(path)
+
+    return spark.read.text(_stored(spark, sf_dir, "bodies", write))
+
+
+def _syslog(stamp) -> str:
+    pri = "CAST((event_no % 192) AS STRING)"
+    new = f"""'<' || {pri} || '>1 ' || {stamp('docker')} || ' host-' || CAST(k AS STRING) || ' ' || (CASE WHEN service = '' OR k = 51 THEN '-' ELSE service END)
+ || ' ' || CAST(k AS STRING) || ' ID47 ' || (CASE WHEN k % 2 = 0 THEN '-' ELSE '[origin@1 ip="10.0.0.' || CAST(k AS STRING) || '"]' END) || ' ' || message"""
+    old = f"""'<' || {pri} || '>' || {stamp('syslog')} || ' host ' || (CASE WHEN k % 2 = 0 THEN 'cron' ELSE 'sshd[' || CAST(k AS STRING) || ']' END) || ': '
+ || (CASE WHEN k % 5 = 0 THEN '{{"k": ' || CAST(k AS STRING) || '}}' ELSE message END)"""
+    return f"CASE event_no % 3 WHEN 0 THEN {new} WHEN 1 THEN {old} ELSE 'no syslog: ' || message END"
+
+
+def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syslog lines of all events: (id, value, sender)."""
+
+    def write(path: str) -> None:
+        logs = _numbered(table(spark, sf_dir, "events")).selectExpr(
+            "event_id AS event_no", "k", *[f"{e} AS {c}" for c, e in LOG_COLUMNS.items()]
+        )
+        logs.selectExpr("id", f"{_syslog(_SPARK_STAMP.get)} AS value", "'10.1.1.1:514' AS sender").write.parquet(path)
+
+    schema = "id string, value string, sender string"
+    return spark.read.schema(schema).parquet(_stored(spark, sf_dir, "syslog", write))
+
+
+_NUMBERED_LOGS = "(SELECT l.*, e.event_id AS event_no FROM logs l JOIN events e USING (event_id))"
+#: request bodies and syslog lines as common table expressions
+REQUEST_LOGS = INCOMING_LOGS + ", numbered AS (SELECT * FROM " + _NUMBERED_LOGS + ")"
+SYSLOG_LINES = INCOMING_LOGS + f", lines AS (SELECT id, {_syslog(_CHECK_STAMP.get)} AS value FROM {_NUMBERED_LOGS})"

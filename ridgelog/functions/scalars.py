@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgelog.schema import LEVEL_RANK
@@ -36,6 +36,16 @@ def trim_space(c) -> Column:
     return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is evaluated once per row.
+
+    The optimizer repeats an expression in every place that uses it: pushed-down
+    filters, fields of a struct. It does not look through a generator, so a
+    one-element ``explode`` keeps the column in one place.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def attr(name: str, attributes="attributes") -> Column:
     """One attribute as text, '' when the key is missing."""
     return F.coalesce(_col(attributes)[name], F.lit(""))

@@ -1,4 +1,9 @@
-"""Timestamps in free text."""
+"""Timestamps in free text.
+
+One pattern decides whether a text has a layout; the text is then rearranged to
+ISO form and cast. The cast rejects impossible dates and times. A fraction of
+the second may follow in every layout, after a point or a comma.
+"""
 
 from datetime import datetime
 
@@ -7,125 +12,96 @@ from pyspark.sql import functions as F
 
 from ridgelog.functions.scalars import _col
 
-_CLOCK = r"(\d{1,2}):([0-5]\d):([0-5]\d)"
-_FRACTION = r"(?:[.,](\d+))?"
+_CLOCK = r"\d{1,2}:[0-5]\d:[0-5]\d(?:[.,]\d+)?"
+_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 
 # fixed values: the accepted layouts
-ISO_ZONED = rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})T{_CLOCK}{_FRACTION}(Z|[+-]\d{{2}}:\d{{2}})\z"
-ISO_PLAIN = rf"^(\d{{4}})-(\d{{2}})-(\d{{2}}) {_CLOCK}{_FRACTION}\z"
-SLASHED = rf"^(\d{{4}})/(\d{{2}})/(\d{{2}}) {_CLOCK}{_FRACTION}\z"
-YEARLESS = rf"^(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) +(\d{{1,2}}) {_CLOCK}{_FRACTION}\z"
-ACCESS_LOG = (
-    rf"^(?i)(\d{{2}})/(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)/(\d{{4}}):{_CLOCK}{_FRACTION}"
-    r" ([+-]\d{4})\z"
-)
+ISO_ZONED = rf"^\d{{4}}-\d{{2}}-\d{{2}}T{_CLOCK}(?:Z|[+-]\d{{2}}:\d{{2}})\z"
+ISO_PLAIN = rf"^\d{{4}}-\d{{2}}-\d{{2}} {_CLOCK}\z"
+SLASHED = rf"^\d{{4}}/\d{{2}}/\d{{2}} {_CLOCK}\z"
+YEARLESS = rf"^(?i){_MONTH} +\d{{1,2}} {_CLOCK}\z"
+ACCESS_LOG = rf"^(?i)\d{{2}}/{_MONTH}/\d{{4}}:{_CLOCK} [+-]\d{{4}}\z"
+UNIX = r"^[+-]?\d{1,15}\z"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+LARGEST_SECONDS = 1_000_000_000_000
 
 
-def _group(text: Column, pattern: str, index: int) -> Column:
-    return F.regexp_extract(text, pattern, index)
-
+def _moment(text: Column) -> Column:
+    """Cast 'yyyy-mm-dd hh:mm:ss,fraction' to a zone-free timestamp, null when impossible."""
+    return F.translate(text, ",/", ".-").try_cast("timestamp_ntz")
 
-def _number(text: Column, pattern: str, index: int) -> Column:
-    return _group(text, pattern, index).try_cast("int")
 
+def _month_number(name: Column) -> Column:
+    number = ((F.instr(F.lit(MONTHS), F.lower(name)) + 2) / 3).cast("int")
+    return F.lpad(number.cast("string"), 2, "0")
 
-def _month(name: Column) -> Column:
-    return ((F.instr(F.lit(MONTHS), F.lower(name)) + 2) / 3).cast("int")
 
+def _to_utc(local: Column, offset: Column) -> Column:
+    """Subtract an offset of the form +hh:mm or +hhmm."""
+    digits = F.translate(offset, ":+-", "")
+    minutes = F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")
+    signed = F.when(offset.startswith("-"), -minutes).otherwise(minutes)
+    return local - F.make_dt_interval(F.lit(0), F.lit(0), signed)
 
-def _seconds(text: Column, pattern: str, index: int) -> Column:
-    micros = F.rpad(F.substring(_group(text, pattern, index + 1), 1, 6), 6, "0")
-    return F.concat(_group(text, pattern, index), F.lit("."), micros).try_cast("decimal(8,6)")
 
+def _without_last(text: Column, n: int) -> Column:
+    return F.left(text, F.length(text) - n)
 
-def _offset(zone: Column) -> Column:
-    """Minutes east of UTC; 0 for 'Z' and for none."""
-    digits = F.regexp_replace(zone, ":", "")
-    minutes = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
-    signed = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
-    return F.coalesce(signed, F.lit(0))
 
+def parse_rfc3339(text) -> Column:
+    """'2024-01-15T10:30:00.123Z' or with an offset, in UTC."""
+    text = _col(text)
+    zulu = _moment(F.translate(_without_last(text, 1), "T", " "))
+    shifted = _to_utc(_moment(F.translate(_without_last(text, 6), "T", " ")), F.right(text, F.lit(6)))
+    return F.when(text.rlike(ISO_ZONED), F.when(text.endswith("Z"), zulu).otherwise(shifted))
 
-def _build(year, month, day, hour, minute, second, offset=None) -> Column:
-    local = F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
-    if offset is None:
-        return local
-    return local - F.make_dt_interval(F.lit(0), F.lit(0), offset)
 
-
-def _iso(text: Column, pattern: str, zoned: bool) -> Column:
-    return F.when(
-        text.rlike(pattern),
-        _build(
-            _number(text, pattern, 1),
-            _number(text, pattern, 2),
-            _number(text, pattern, 3),
-            _number(text, pattern, 4),
-            _number(text, pattern, 5),
-            _seconds(text, pattern, 6),
-            _offset(_group(text, pattern, 8)) if zoned else None,
-        ),
-    )
+def _plain(text: Column, pattern: str) -> Column:
+    return F.when(text.rlike(pattern), _moment(text))
 
 
 def parse_json_timestamp(text) -> Column:
     """The three layouts of a JSON log; null when none fits."""
     text = _col(text)
-    return F.coalesce(_iso(text, ISO_ZONED, True), _iso(text, ISO_PLAIN, False))
-
-
-def parse_rfc3339(text) -> Column:
-    return _iso(_col(text), ISO_ZONED, True)
+    return F.coalesce(parse_rfc3339(text), _plain(text, ISO_PLAIN))
 
 
 def parse_yearless(text, year: int) -> Column:
     """'Jan  2 15:04:05' in the given year."""
     text = _col(text)
-    return F.when(
-        text.rlike(YEARLESS),
-        _build(
-            F.lit(year),
-            _month(_group(text, YEARLESS, 1)),
-            _number(text, YEARLESS, 2),
-            _number(text, YEARLESS, 3),
-            _number(text, YEARLESS, 4),
-            _seconds(text, YEARLESS, 5),
-        ),
+    parts = F.split(text, " +")
+    day = F.lpad(parts[1], 2, "0")
+    iso = F.concat(F.lit(f"{year:04d}-"), _month_number(F.left(text, F.lit(3))), F.lit("-"), day, F.lit(" "), parts[2])
+    return F.when(text.rlike(YEARLESS), _moment(iso))
+
+
+def _access_log(text: Column) -> Column:
+    """'15/Jan/2024:10:30:00 +0100' in UTC."""
+    date = F.concat(
+        F.substring(text, 8, 4), F.lit("-"), _month_number(F.substring(text, 4, 3)), F.lit("-"), F.left(text, F.lit(2))
     )
+    clock = F.substring(_without_last(text, 6), 13, 40)
+    local = _moment(F.concat(date, F.lit(" "), clock))
+    return F.when(text.rlike(ACCESS_LOG), _to_utc(local, F.right(text, F.lit(5))))
+
+
+def _unix(text: Column) -> Column:
+    """Seconds, or milliseconds above 1e12."""
+    number = text.try_cast("bigint")
+    micros = F.when(number > LARGEST_SECONDS, number * 1000).otherwise(number * 1_000_000)
+    return F.when(text.rlike(UNIX), F.timestamp_micros(micros).cast("timestamp_ntz"))
 
 
 def parse_timestamp(text, as_of: datetime) -> Column:
     """ISO, slashed, syslog and access-log layouts, then Unix seconds or milliseconds.
 
-    A layout without a year takes the year of ``as_of``. Numbers above 1e12 are
-    milliseconds. Null when nothing fits.
+    A layout without a year takes the year of ``as_of``. Null when nothing fits.
     """
     text = _col(text)
-    access = F.when(
-        text.rlike(ACCESS_LOG),
-        _build(
-            _number(text, ACCESS_LOG, 3),
-            _month(_group(text, ACCESS_LOG, 2)),
-            _number(text, ACCESS_LOG, 1),
-            _number(text, ACCESS_LOG, 4),
-            _number(text, ACCESS_LOG, 5),
-            _seconds(text, ACCESS_LOG, 6),
-            _offset(_group(text, ACCESS_LOG, 8)),
-        ),
-    )
-    number = text.try_cast("bigint")
-    micros = F.when(number > 1_000_000_000_000, number * 1000).otherwise(number * 1_000_000)
-    # the range of representable timestamps bounds the number before it is scaled
-    unix = F.when(
-        text.rlike(r"^[+-]?\d{1,15}\z") & (F.abs(number) < 200_000_000_000_000),
-        F.timestamp_micros(micros).cast("timestamp_ntz"),
-    )
     return F.coalesce(
-        _iso(text, ISO_ZONED, True),
-        _iso(text, ISO_PLAIN, False),
-        _iso(text, SLASHED, False),
+        parse_json_timestamp(text),
+        _plain(text, SLASHED),
         parse_yearless(text, as_of.year),
-        access,
-        unix,
+        _access_log(text),
+        _unix(text),
     )

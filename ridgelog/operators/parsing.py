@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgelog.functions.patterns import LINE_PATTERNS, SEVERITY_LEVEL, LinePattern
-from ridgelog.functions.scalars import _col, has_attr, merge_maps, ntz, trim_space
+from ridgelog.functions.scalars import _col, has_attr, merge_maps, ntz, trim_space, with_computed
 from ridgelog.functions.timeparse import parse_json_timestamp, parse_timestamp
 from ridgelog.operators.rules import DEFAULT_RULES, Record, RuleSet, is_valid, transform
 
@@ -97,7 +97,7 @@ def parse_json_lines(df: DataFrame, column: str = "value", as_of: datetime | Non
     doc = F.when(is_json_like(column), F.try_parse_json(F.col(column)))
     staged = df.withColumn("_doc", doc)
     record = F.when(F.col("_doc").isNotNull(), json_record(F.col(column), F.col("_doc"), as_of))
-    return staged.withColumn("record", record).drop("_doc")
+    return with_computed(staged, "record", record).drop("_doc")
 
 
 def with_custom(patterns: Sequence[LinePattern], base: Sequence[LinePattern] = LINE_PATTERNS):
@@ -123,8 +123,8 @@ def pattern_index(text, patterns: Sequence[LinePattern]) -> Column:
     return index
 
 
-def _captured(text: Column, p: LinePattern, as_of: datetime) -> Column:
-    """The log struct of a line that matches ``p``."""
+def _captured(text: Column, p: LinePattern) -> Column:
+    """The captures of a line that matches ``p``; time and level are still text."""
     captures: dict[str, Column] = {}
     for position, name in enumerate(p.groups, start=1):
         if name is None:
@@ -133,52 +133,57 @@ def _captured(text: Column, p: LinePattern, as_of: datetime) -> Column:
         field = _FIELD_OF_CAPTURE.get(name, name)
         seen = captures.get(field)
         captures[field] = value if seen is None else F.when(value != "", value).otherwise(seen)
-    core = {f: captures.pop(f, None) for f in CAPTURE_FIELD}
-    renamed = dict(p.field_map)
 
     def text_field(name: str, default: Column) -> Column:
-        value = core[name]
+        value = captures.pop(name, None)
         return default if value is None else F.when(value != "", trim_space(value)).otherwise(default)
 
     fields = {
+        "time": captures.pop("timestamp", F.lit("")),
+        "level": captures.pop("level", F.lit("")),
         "message": text_field("message", text),
         "service": text_field("service", F.lit("unknown")),
         "trace_id": text_field("trace_id", F.lit("")),
         "span_id": text_field("span_id", F.lit("")),
-        "level": F.lit("info"),
-        "timestamp": ntz(as_of),
     }
-    if core["level"] is not None:
-        level = core["level"]
-        fields["level"] = F.when(level != "", severity_to_level(level)).otherwise(F.lit("info"))
-    if core["timestamp"] is not None:
-        fields["timestamp"] = F.coalesce(parse_timestamp(core["timestamp"], as_of), ntz(as_of))
-
-    entries = []
+    renamed, entries = dict(p.field_map), []
     for name, value in captures.items():
         target = renamed.get(name, name)
         if name in renamed and target in ("level", "service", "trace_id", "span_id"):
-            mapped = severity_to_level(trim_space(value)) if target == "level" else trim_space(value)
-            fields[target] = F.when(value != "", mapped).otherwise(fields[target])
+            fields[target] = F.when(value != "", trim_space(value)).otherwise(fields[target])
         else:
             entries.append(F.when(value != "", F.struct(F.lit(target).alias("k"), trim_space(value).alias("v"))))
     entries.append(F.struct(F.lit("_parser").alias("k"), F.lit("regex").alias("v")))
     entries.append(F.struct(F.lit("_pattern").alias("k"), F.lit(p.name).alias("v")))
     attributes = F.map_from_entries(F.array_compact(F.array(*entries)))
-    order = ("timestamp", "level", "message", "service", "trace_id", "span_id")
-    return F.struct(*[fields[f].alias(f) for f in order], attributes.alias("attributes"))
+    return F.struct(*[c.alias(f) for f, c in fields.items()], attributes.alias("attributes"))
 
 
-def line_record(
-    text, index: Column, patterns: Sequence[LinePattern], as_of: datetime
-) -> Column:
-    """The log struct of a line by its pattern; only the matching branch is evaluated."""
-    text = _col(text)
+def with_text_record(
+    df: DataFrame, column: str, name: str, patterns: Sequence[LinePattern], as_of: datetime, when: Column | None = None
+) -> DataFrame:
+    """Add the log struct of every line that matches a pattern, on the rows where ``when`` holds.
+
+    First the pattern is chosen, then its captures are taken (only the matching
+    branch is evaluated), then time and level are read once from the captures.
+    """
+    text = F.col(column)
+    index = pattern_index(text, patterns)
+    staged = with_computed(df, "_index", index if when is None else F.when(when, index))
     first, *rest = patterns
-    record = F.when(index == 0, _captured(text, first, as_of))
+    captured = F.when(F.col("_index") == 0, _captured(text, first))
     for i, p in enumerate(rest, start=1):
-        record = record.when(index == i, _captured(text, p, as_of))
-    return record
+        captured = captured.when(F.col("_index") == i, _captured(text, p))
+    staged = with_computed(staged, "_captured", captured)
+    got = F.col("_captured")
+    level = F.when(got["level"] != "", severity_to_level(got["level"])).otherwise(F.lit("info"))
+    stamp = F.when(got["time"] != "", parse_timestamp(got["time"], as_of))
+    record = F.struct(
+        F.coalesce(stamp, ntz(as_of)).alias("timestamp"),
+        level.alias("level"),
+        *[got[f].alias(f) for f in ("message", "service", "trace_id", "span_id", "attributes")],
+    )
+    return with_computed(staged, name, F.when(got.isNotNull(), record)).drop("_index", "_captured")
 
 
 def parse_text_lines(
@@ -188,10 +193,7 @@ def parse_text_lines(
     patterns: Sequence[LinePattern] = LINE_PATTERNS,
 ) -> DataFrame:
     """Match every line against the patterns; no match leaves a null ``record``."""
-    ranked = with_custom((), patterns)
-    staged = df.withColumn("_pattern_index", pattern_index(column, ranked))
-    record = line_record(column, F.col("_pattern_index"), ranked, as_of)
-    return staged.withColumn("record", record).drop("_pattern_index")
+    return with_text_record(df, column, "record", with_custom((), patterns), as_of)
 
 
 def parse_lines(
@@ -213,14 +215,13 @@ def parse_lines(
     raw = F.col(column)
     staged = parse_json_lines(df, column, as_of).withColumnRenamed("record", "_json")
     json_ok = F.col("_json").isNotNull() & is_valid(Record.of_columns("_json."), rules)
-    staged = staged.withColumn("_json_ok", F.coalesce(json_ok, F.lit(False)))
-    staged = staged.withColumn("_index", F.when(~F.col("_json_ok"), pattern_index(raw, ranked)))
-    staged = staged.withColumn("_text", line_record(raw, F.col("_index"), ranked, as_of))
+    staged = with_computed(staged, "_json_ok", F.coalesce(json_ok, F.lit(False)))
+    staged = with_text_record(staged, column, "_text", ranked, as_of, ~F.col("_json_ok"))
     text_ok = F.col("_text").isNotNull() & is_valid(Record.of_columns("_text."), rules)
-    staged = staged.withColumn("_text_ok", F.coalesce(text_ok, F.lit(False)))
+    staged = with_computed(staged, "_text_ok", F.coalesce(text_ok, F.lit(False)))
     chosen = F.when(F.col("_json_ok"), F.col("_json")).when(F.col("_text_ok"), F.col("_text"))
     parser = F.when(F.col("_json_ok"), F.lit("json")).when(F.col("_text_ok"), F.lit("regex"))
-    staged = staged.withColumn("_chosen", chosen).withColumn("parser", F.coalesce(parser, F.lit("")))
+    staged = with_computed(staged, "_chosen", chosen).withColumn("parser", F.coalesce(parser, F.lit("")))
     fields = ("timestamp", "level", "message", "service", "trace_id", "span_id", "attributes")
     flat = staged.select(
         *others,

@@ -1,13 +1,16 @@
 """Ingest projections: JSON logs, mixed lines, defaults, agent fields, batch summaries."""
 
+import operator
 from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgelog.functions.scalars import merge_maps, ntz
+from ridgelog.functions.timeparse import parse_rfc3339
 from ridgelog.schema import LOG_FIELDS
 
 #: shape of one JSON log on the wire; attribute values of any JSON type arrive as text
@@ -51,8 +54,6 @@ def with_defaults(df: DataFrame, *, as_of: datetime, service: str = "unknown") -
 
 
 def _from_wire(df: DataFrame) -> DataFrame:
-    from ridgelog.functions.timeparse import parse_rfc3339
-
     return df.withColumn("timestamp", parse_rfc3339("timestamp"))
 
 
@@ -75,12 +76,27 @@ def decode_bodies(df: DataFrame, column: str = "value", *, as_of: datetime) -> D
     return with_defaults(_from_wire(logs), as_of=as_of)
 
 
+def _is_wire_log(doc) -> Column:
+    """A JSON object whose members have the types of a log and whose time is RFC 3339."""
+
+    def kind(name: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")), F.lit("VOID"))
+
+    texts = [kind(f).isin("STRING", "VOID") for f in LOG_FIELDS if f not in ("timestamp", "attributes")]
+    attributes = kind("attributes")
+    stamp = F.try_variant_get(doc, "$.timestamp", "string")
+    times = (kind("timestamp") == "VOID") | ((kind("timestamp") == "STRING") & parse_rfc3339(stamp).isNotNull())
+    return reduce(operator.and_, texts) & (attributes.startswith("OBJECT") | (attributes == "VOID")) & times
+
+
 def decode_lines(df: DataFrame, column: str = "value", *, as_of: datetime) -> DataFrame:
     """NDJSON or plain text lines: a JSON log, else a text log of service tcp-client."""
     text = F.col(column)
-    doc = F.from_json(text, WIRE_SCHEMA)
-    is_log = F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{")
-    staged = df.filter(text != "").select(text.alias("_line"), F.when(is_log, doc).alias("_log"))
+    doc = F.when(F.ltrim(text).startswith("{"), F.try_parse_json(text))
+    staged = df.filter(text != "").select(text.alias("_line"), doc.alias("_doc"))
+    is_log = F.coalesce(F.col("_doc").isNotNull() & _is_wire_log(F.col("_doc")), F.lit(False))
+    log = F.when(is_log, F.from_json("_line", WIRE_SCHEMA))
+    staged = staged.withColumn("_log", log)
     logs = staged.select(
         *[
             F.when(F.col("_log").isNotNull(), F.col("_log")[f]).otherwise(
