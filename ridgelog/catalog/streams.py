@@ -1,0 +1,132 @@
+"""Streams over the files of the stored table, drained into tables.
+
+Windows and sessions are emitted once the watermark has passed them, so the SQL
+counterparts leave out the ones that are still open.
+"""
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ridgelog.catalog.errors import hits_sql
+from ridgelog.catalog.registry import query
+from ridgelog.catalog.tables import LOGS, derive_logs, event_logs, log_stream, table
+from ridgelog.catalog.traces import _SESSIONS, _TRACED
+from ridgelog.operators.errors import error_hits
+from ridgelog.session import scratch_path
+from ridgelog.storage.table import publish_days, read_logs
+from ridgelog.streaming import jobs as j
+
+W = "WITH " + LOGS + " "
+_TAIL_ID = "strftime(timestamp, '%Y-%m-%d %H:%M:%S.%g')"
+_NOW = "(SELECT max(timestamp) FROM logs) - INTERVAL 10 MINUTE"
+
+
+@query("live_tail", W + f"SELECT {_TAIL_ID} AS id, timestamp, level, service, message, trace_id FROM logs WHERE lower(level) <> 'debug' AND starts_with(lower(a_user_id), 'u1')")
+def live_tail(spark, sf_dir):
+    filters = [
+        {"field": "level", "operator": "!=", "value": "debug"},
+        {"field": "user_id", "operator": "starts_with", "value": "U1"},
+    ]
+    return j.run_available(j.tail_stream(log_stream(spark, sf_dir), filters), "tail")
+
+
+@query(
+    "tail_poll",
+    W + f"SELECT {_TAIL_ID} AS id, timestamp, level, service, message, trace_id FROM logs WHERE timestamp > TIMESTAMP '2024-01-15' ORDER BY timestamp, logs.id LIMIT 100",
+)
+def tail_poll(spark, sf_dir):
+    return j.tail_batch(event_logs(spark, sf_dir), datetime(2024, 1, 15))
+
+
+@query(
+    "stream_enrichment",
+    f"WITH {hits_sql(_TRACED, 'a_error')}, tags AS (SELECT id, string_agg(tag, ',' ORDER BY position) AS tags FROM hits GROUP BY id)"
+    " SELECT i.id, i.trace_id, i.span_id, coalesce(tags, '') AS detected_errors FROM ids i LEFT JOIN tags USING (id)",
+)
+def stream_enrichment(spark, sf_dir):
+    rows = j.enrich(log_stream(spark, sf_dir)).select(
+        "id", "trace_id", "span_id", F.array_join("detected_errors", ",").alias("detected_errors")
+    )
+    return j.run_available(rows, "enriched")
+
+
+@query(
+    "stream_traces",
+    f"WITH {_SESSIONS} SELECT * FROM sessions WHERE last_log + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM traced) - INTERVAL 10 MINUTE",
+)
+def stream_traces(spark, sf_dir):
+    return j.run_available(j.trace_state(log_stream(spark, sf_dir)), "traces")
+
+
+_HITS = hits_sql(LOGS)
+
+
+@query(
+    "stream_errors",
+    f"""WITH {_HITS} SELECT date_trunc('hour', timestamp) AS window_start, category, pattern, count(*) AS count, min(timestamp) AS first_seen, max(timestamp) AS last_seen
+ FROM found GROUP BY 1, 2, 3 HAVING date_trunc('hour', min(timestamp)) + INTERVAL 1 HOUR <= {_NOW}""",
+)
+def stream_errors(spark, sf_dir):
+    return j.run_available(j.error_state(log_stream(spark, sf_dir)), "errors")
+
+
+@query(
+    "stream_error_totals",
+    f"WITH {_HITS} SELECT category, pattern, count(*) AS count, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM found GROUP BY 1, 2",
+)
+def stream_error_totals(spark, sf_dir):
+    hits = log_stream(spark, sf_dir).select("timestamp", F.explode(error_hits()).alias("hit")).select(
+        "hit.category", "hit.pattern", F.lit(1).cast("bigint").alias("count"),
+        F.col("timestamp").alias("first_seen"), F.col("timestamp").alias("last_seen"),
+    )
+    path, checkpoint = scratch_path(spark, "totals"), scratch_path(spark, "totals-checkpoint")
+    query_ = j.totals_sink(
+        hits, path, checkpoint, ["category", "pattern"], ["count"], ["first_seen"], ["last_seen"], trigger={"availableNow": True}
+    )
+    query_.awaitTermination()
+    return j.latest_totals(spark, path)
+
+
+@query(
+    "stream_rates",
+    W
+    + f""", b AS (SELECT time_bucket(INTERVAL 10 MINUTE, timestamp) AS bucket, count(*) AS n FROM logs GROUP BY 1), w AS (SELECT bucket + (i + 1) * INTERVAL 10 MINUTE AS window_end, n
+ FROM b, range(6) r(i)) SELECT window_end, CAST(sum(n) AS BIGINT) AS events, round(sum(n) / 3600.0, 6) AS rate FROM w GROUP BY 1 HAVING window_end <= {_NOW}""",
+)
+def stream_rates(spark, sf_dir):
+    rates = j.rate_state(log_stream(spark, sf_dir).select("timestamp"), window=3600, slide=600)
+    return j.run_available(rates, "rates").withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    "stream_hourly_counts",
+    W
+    + f"""SELECT date_trunc('hour', timestamp) AS window_start, service, level, count(*) AS count FROM logs GROUP BY 1, 2, 3
+ HAVING date_trunc('hour', min(timestamp)) + INTERVAL 1 HOUR <= {_NOW}""",
+)
+def stream_hourly_counts(spark, sf_dir):
+    counts = j.window_counts(log_stream(spark, sf_dir), ["service", "level"], "1 hour")
+    return j.run_available(counts, "hourly")
+
+
+@query("stream_deduplication", W + "SELECT id, timestamp, level FROM logs")
+def stream_deduplication(spark, sf_dir):
+    """Every log is delivered twice."""
+    logs = log_stream(spark, sf_dir).select("id", "timestamp", "level")
+    return j.run_available(j.deduplicate(logs.union(logs), "40 days"), "deduplicated")
+
+
+@query("stream_ingest", W + "SELECT strftime(timestamp, '%Y-%m-%d') AS day, service, count(*) AS row_count, min(id) AS first_id FROM logs GROUP BY 1, 2")
+def stream_ingest(spark, sf_dir):
+    """Events stream into a landing table, whose days are then published to a stored table."""
+    events = j.stream_files(spark, sf_dir, table(spark, sf_dir, "events").schema, glob="events.parquet")
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "published")
+    sink = j.append_sink(derive_logs(events), landing, scratch_path(spark, "landing-checkpoint"), trigger={"availableNow": True})
+    sink.awaitTermination()
+    days = [r[0] for r in read_logs(spark, landing).select("date_partition").distinct().collect()]
+    publish_days(spark, landing, path, days)
+    rows = read_logs(spark, path)
+    return rows.groupBy(F.col("date_partition").cast("string").alias("day"), "service").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("id").alias("first_id")
+    )

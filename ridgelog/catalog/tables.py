@@ -10,9 +10,12 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+from ridgelog.schema import LOG_FIELDS
 from ridgelog.session import scratch_path
-from ridgelog.storage.table import read_logs, write_logs
+from ridgelog.storage.table import write_logs
+from ridgelog.streaming.jobs import stream_files
 
 #: the reference time of all queries: the end of the events
 AS_OF = datetime(2024, 1, 31)
@@ -130,7 +133,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str],
     return _STORED[key]
 
 
-def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs_path(spark: SparkSession, sf_dir: str) -> str:
     """The stored ``logs`` table: ``events`` as logs, ingested by the table writer.
 
     Timestamps are cut to milliseconds on write. Queries then see plain columns,
@@ -140,7 +143,27 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> None:
         write_logs(derive_logs(table(spark, sf_dir, "events")), path)
 
-    return read_logs(spark, _stored(spark, sf_dir, "logs", write)).drop("hour_partition", "level_numeric")
+    return _stored(spark, sf_dir, "logs", write)
+
+
+STORED_SCHEMA = (
+    "id string, timestamp timestamp_ntz, level string, message string, service string, trace_id string, span_id string, "
+    "attributes map<string,string>, hour_partition int, level_numeric int, date_partition date"
+)
+
+
+def stored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(STORED_SCHEMA).parquet(logs_path(spark, sf_dir))
+
+
+def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_logs(spark, sf_dir).drop("hour_partition", "level_numeric")
+
+
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the stored table as a stream."""
+    stream = stream_files(spark, logs_path(spark, sf_dir), StructType.fromDDL(STORED_SCHEMA))
+    return stream.select(*LOG_FIELDS)
 
 
 def column_of(attribute: str) -> str:

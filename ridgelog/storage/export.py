@@ -38,7 +38,7 @@ def export_csv(
     """Write CSV part files; quotes are doubled and line breaks kept inside quotes."""
     csv_rows(df, fields).write.mode(mode).option("header", str(headers).lower()).option("escape", '"').option(
         "emptyValue", ""
-    ).csv(path)
+    ).option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def read_csv_export(spark, path: str, fields: Sequence[str] = DEFAULT_FIELDS) -> DataFrame:

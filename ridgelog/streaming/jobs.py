@@ -6,7 +6,7 @@ is always keyed and bounded by a watermark.
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -33,6 +33,16 @@ def stream_files(
     return reader.parquet(path)
 
 
+def watermarked(logs: DataFrame, delay: str) -> DataFrame:
+    """Logs with a watermark. Event time needs a zoned type; in UTC the cast keeps the value."""
+    return logs.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
+
+
+def _plain(name: str, alias: str | None = None) -> Column:
+    """Event time back as a zone-free timestamp."""
+    return F.col(name).cast("timestamp_ntz").alias(alias or name.split(".")[-1])
+
+
 def tail_view(logs: DataFrame) -> DataFrame:
     """The columns of a live tail; the time is its id."""
     return logs.select(
@@ -63,14 +73,15 @@ def enrich(logs: DataFrame) -> DataFrame:
 
 def deduplicate(logs: DataFrame, delay: str = "10 minutes", keys: Sequence[str] = ("id",)) -> DataFrame:
     """Drop repeated deliveries that arrive within the watermark delay."""
-    return logs.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(keys))
+    unique = watermarked(logs, delay).dropDuplicatesWithinWatermark(list(keys))
+    return unique.withColumn("timestamp", _plain("timestamp"))
 
 
 def trace_state(logs: DataFrame, gap: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Trace activity, emitted once a trace has been idle for ``gap``."""
     rows = _traced(logs).select("trace_id", "timestamp", _failed().cast("bigint").alias("failed"))
     sessions = (
-        rows.withWatermark("timestamp", delay)
+        watermarked(rows, delay)
         .groupBy("trace_id", F.session_window("timestamp", gap).alias("w"))
         .agg(
             F.min("timestamp").alias("first_log"),
@@ -79,12 +90,12 @@ def trace_state(logs: DataFrame, gap: str = "1 hour", delay: str = "10 minutes")
             F.sum("failed").alias("error_count"),
         )
     )
-    return sessions.drop("w")
+    return sessions.select("trace_id", _plain("first_log"), _plain("last_log"), "log_count", "error_count")
 
 
 def error_state(logs: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Error counts per window, category and pattern; state ends with the watermark."""
-    hits = logs.withWatermark("timestamp", delay).select("timestamp", F.explode(error_hits()).alias("hit"))
+    hits = watermarked(logs, delay).select("timestamp", F.explode(error_hits()).alias("hit"))
     grouped = hits.groupBy(
         F.window("timestamp", window).alias("w"),
         F.col("hit.category").alias("category"),
@@ -94,7 +105,9 @@ def error_state(logs: DataFrame, window: str = "1 hour", delay: str = "10 minute
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
     )
-    return grouped.select(F.col("w.start").alias("window_start"), "category", "pattern", "count", "first_seen", "last_seen")
+    return grouped.select(
+        _plain("w.start", "window_start"), "category", "pattern", "count", _plain("first_seen"), _plain("last_seen")
+    )
 
 
 def rate_state(
@@ -102,7 +115,7 @@ def rate_state(
 ) -> DataFrame:
     """Sliding rate per second. Seconds are counted first, so a row is not copied to every window."""
     seconds = (
-        logs.withWatermark("timestamp", delay)
+        watermarked(logs, delay)
         .groupBy(*keys, F.window("timestamp", f"{slide} seconds").alias("s"))
         .agg(F.count(F.lit(1)).alias("events"))
     )
@@ -111,7 +124,7 @@ def rate_state(
     summed = sliding.agg(F.sum("events").alias("events"))
     return summed.select(
         *keys,
-        F.col("w.end").alias("window_end"),
+        _plain("w.end", "window_end"),
         "events",
         (F.col("events") / F.lit(float(window))).alias("rate"),
     )
@@ -122,11 +135,11 @@ def window_counts(
 ) -> DataFrame:
     """Rows per window and key (the bulk summary and the hourly rollup on a stream)."""
     grouped = (
-        logs.withWatermark("timestamp", delay)
+        watermarked(logs, delay)
         .groupBy(F.window("timestamp", window).alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    return grouped.select(F.col("w.start").alias("window_start"), *keys, "count")
+    return grouped.select(_plain("w.start", "window_start"), *keys, "count")
 
 
 def append_sink(
