@@ -27,7 +27,7 @@ def select_fields(spark, sf_dir):
 
 @query("select_all", "WITH " + LOGS + " SELECT id, timestamp, level, message, service, trace_id, span_id FROM logs")
 def select_all(spark, sf_dir):
-    return _run(spark, sf_dir, fields=()).drop("attributes")
+    return _run(spark, sf_dir, fields=()).drop("attributes", "date_partition")
 
 
 @query("filter_equals", _SELECT + "WHERE level = 'error'")
@@ -160,7 +160,7 @@ def log_search(spark, sf_dir):
         limit=100,
         offset=20,
     )
-    return found.drop("attributes")
+    return found.drop("attributes", "date_partition")
 
 
 @query(

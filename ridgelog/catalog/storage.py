@@ -103,24 +103,27 @@ def expired_partitions(spark, sf_dir):
     return t.expired_days(info, datetime(2024, 2, 10)).select(_day(), F.col("rows").alias("row_count"))
 
 
-@query("compaction", W + f"SELECT {_DAY} AS day, count(*) AS row_count, min(id) AS first_id, max(id) AS last_id, CASE WHEN {_DAY} <= '2024-01-10' THEN 1 ELSE 2 END AS parts FROM logs GROUP BY 1")
+@query(
+    "compaction",
+    W + f"SELECT {_DAY} AS day, count(*) AS row_count, min(id) AS first_id, max(id) AS last_id, {_DAY} > '2024-01-10' AS scattered FROM logs GROUP BY 1",
+)
 def compaction(spark, sf_dir):
-    """Days written in two appends; the ten oldest ones are compacted into one file each."""
+    """Days written in two appends; the ten oldest ones are rewritten, the others stay scattered."""
     path = scratch_path(spark, "compacting")
     logs = event_logs(spark, sf_dir).drop("date_partition")
     noon = F.hour("timestamp") < 12
-    t.write_logs(logs.filter(noon).coalesce(1), path)
-    t.write_logs(logs.filter(~noon).coalesce(1), path)
-    info = stats.partition_info(stats.file_info(spark, path))
-    days = [r.date_partition for r in t.compaction_candidates(info, AS_OF).collect()]
-    t.compact(spark, path, days)
-    parts = stats.partition_info(stats.file_info(spark, path)).select(
-        "date_partition", F.least(F.col("parts"), F.lit(2)).cast("int").alias("parts")
-    )
+    for half in (noon, ~noon):
+        t.write_logs(logs.filter(half), path)
+    before = stats.partition_info(stats.file_info(spark, path))
+    old = t.compaction_candidates(before, AS_OF)
+    written = before.agg(F.max("last_modified")).first()[0]
+    t.compact(spark, path, [r.date_partition for r in old.collect()])
+    after = stats.partition_info(stats.file_info(spark, path))
+    scattered = after.select("date_partition", (F.col("last_modified") <= F.lit(written)).alias("scattered"))
     rows = t.read_logs(spark, path).groupBy("date_partition").agg(
         F.count(F.lit(1)).alias("row_count"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
-    return rows.join(parts, "date_partition").select(_day(), "row_count", "first_id", "last_id", "parts")
+    return rows.join(scattered, "date_partition").select(_day(), "row_count", "first_id", "last_id", "scattered")
 
 
 @query("partition_info", W + f"SELECT {_DAY} AS day, count(*) AS row_count, true AS has_bytes, true AS has_parts FROM logs GROUP BY 1")
