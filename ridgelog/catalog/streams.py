@@ -12,7 +12,7 @@ from ridgelog.catalog.errors import hits_sql
 from ridgelog.catalog.registry import query
 from ridgelog.catalog.tables import LOGS, derive_logs, event_logs, log_stream, table
 from ridgelog.catalog.traces import _SESSIONS, _TRACED
-from ridgelog.operators.errors import error_hits
+from ridgelog.operators.errors import with_hits
 from ridgelog.session import scratch_path
 from ridgelog.storage.table import publish_days, read_logs
 from ridgelog.streaming import jobs as j
@@ -76,8 +76,8 @@ def stream_errors(spark, sf_dir):
     f"WITH {_HITS} SELECT category, pattern, count(*) AS count, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM found GROUP BY 1, 2",
 )
 def stream_error_totals(spark, sf_dir):
-    hits = log_stream(spark, sf_dir).select("timestamp", F.explode(error_hits()).alias("hit")).select(
-        "hit.category", "hit.pattern", F.lit(1).cast("bigint").alias("count"),
+    hits = with_hits(log_stream(spark, sf_dir), "timestamp").select(
+        "category", "pattern", F.lit(1).cast("bigint").alias("count"),
         F.col("timestamp").alias("first_seen"), F.col("timestamp").alias("last_seen"),
     )
     path, checkpoint = scratch_path(spark, "totals"), scratch_path(spark, "totals-checkpoint")

@@ -1,5 +1,6 @@
 """Scalar column helpers shared by the operators."""
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,16 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def compact_texts(texts: Sequence[Column]) -> Column:
+    """Array of the texts that are not null, without a lambda.
+
+    A lambda function evaluates its whole input outside of generated code, so
+    costly inputs are joined and split instead. The texts must not be empty nor
+    contain the separator, a control character.
+    """
+    return F.array_remove(F.split(F.concat_ws("\x01", *texts), "\x01"), "")
+
+
 def attr(name: str, attributes="attributes") -> Column:
     """One attribute as text, '' when the key is missing."""
     return F.coalesce(_col(attributes)[name], F.lit(""))

@@ -2,6 +2,7 @@
 
 import operator
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgelog.functions.patterns import ERROR_LEVELS, ERROR_PATTERNS
-from ridgelog.functions.scalars import attr, attr_double, ntz, seconds_between
+from ridgelog.functions.scalars import attr, attr_double, compact_texts, ntz, seconds_between
 
 HIGH_RATE = 10.0
 DEVIATIONS = 2.0
@@ -20,65 +21,75 @@ STATS_TTL = timedelta(hours=24)
 MAX_SAMPLES = 10
 
 
-def _hit(when: Column, tag: Column, category: Column, pattern: Column) -> Column:
-    return F.when(
-        when, F.struct(tag.alias("tag"), category.alias("category"), pattern.alias("pattern"))
-    )
+@dataclass(frozen=True)
+class _Indication:
+    """One way a log shows an error: when, and how it is tagged and counted."""
 
+    when: Column
+    tag: Column
+    category: Column
+    pattern: Column
 
-def error_hits() -> Column:
-    """All error indications of a log as an array of (tag, category, pattern)."""
-    level = F.col("level")
-    hits = [
-        _hit(
-            F.lower(level).isin(list(ERROR_LEVELS)),
-            F.concat(F.lit("level:"), level),
-            level,
-            F.lit("LogLevel"),
-        )
-    ]
-    # upper then lower folds every character that matches an ASCII letter onto that letter
-    folded = F.lower(F.upper("message"))
+
+def _with_folded(df: DataFrame) -> DataFrame:
+    """Add the message with every character that matches an ASCII letter folded onto it."""
+    return df.withColumn("_folded", F.lower(F.upper("message")))
+
+
+def _indications() -> list[_Indication]:
+    """Level, message patterns, error attribute, HTTP status; needs ``_with_folded``.
+
+    The substring search on the folded message decides most patterns; only the
+    remaining messages meet the regular expression.
+    """
+    level, status = F.col("level"), attr_double("status_code")
+    code = status.cast("int").cast("string")
+    is_error_level = F.lower(level).isin(list(ERROR_LEVELS))
+    found = [_Indication(is_error_level, F.concat(F.lit("level:"), level), level, F.lit("LogLevel"))]
     for name, category, pattern, needles in ERROR_PATTERNS:
-        possible = reduce(operator.or_, [folded.contains(n) for n in needles])
+        possible = reduce(operator.or_, [F.col("_folded").contains(n) for n in needles])
         matched = possible & F.col("message").rlike(pattern)
-        hits.append(_hit(matched, F.lit(f"{category}:{name}"), F.lit(category), F.lit(name)))
-    hits.append(
-        _hit(attr("error") != "", F.lit("attribute:error"), F.lit("attribute"), F.lit("AttributeError"))
+        found.append(_Indication(matched, F.lit(f"{category}:{name}"), F.lit(category), F.lit(name)))
+    found.append(
+        _Indication(attr("error") != "", F.lit("attribute:error"), F.lit("attribute"), F.lit("AttributeError"))
     )
-    status = attr_double("status_code")
-    code = status.cast("int").cast("string")
-    hits.append(
-        _hit(
-            status >= 400,
-            F.concat(F.lit("http:"), code),
-            F.when(status >= 500, F.lit("http5xx")).otherwise(F.lit("http4xx")),
-            F.concat(F.lit("HTTP"), code),
-        )
+    family = F.when(status >= 500, F.lit("http5xx")).otherwise(F.lit("http4xx"))
+    found.append(
+        _Indication(status >= 400, F.concat(F.lit("http:"), code), family, F.concat(F.lit("HTTP"), code))
     )
-    return F.array_compact(F.array(*hits))
+    return found
 
 
 def with_detected_errors(df: DataFrame) -> DataFrame:
     """Attach the error tags to every log."""
-    return df.withColumn("detected_errors", error_hits()["tag"])
+    tags = compact_texts([F.when(i.when, i.tag) for i in _indications()])
+    return _with_folded(df).withColumn("detected_errors", tags).drop("_folded")
+
 
+def with_hits(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per log and error indication: the given columns, category and pattern."""
+    hits = [F.when(i.when, F.struct(i.category.alias("category"), i.pattern.alias("pattern"))) for i in _indications()]
+    rows = _with_folded(df).select(*columns, F.explode(F.array(*hits)).alias("hit"))
+    return rows.filter(F.col("hit").isNotNull()).select(*columns, "hit.category", "hit.pattern")
 
-def explode_errors(df: DataFrame) -> DataFrame:
-    """One row per log and error indication."""
-    rows = df.select("id", "timestamp", "service", "message", "trace_id", F.explode(error_hits()).alias("hit"))
-    return rows.select("id", "timestamp", "service", "message", "trace_id", "hit.*")
+
+def failing_logs(df: DataFrame) -> DataFrame:
+    """Logs with at least one error indication."""
+    columns = df.columns
+    failing = reduce(operator.or_, [F.coalesce(i.when, F.lit(False)) for i in _indications()])
+    return _with_folded(df).filter(failing).select(*columns)
 
 
 def error_counts(df: DataFrame) -> DataFrame:
     """Occurrences per category, pattern and service, with first and last time."""
-    hits = df.select("timestamp", "service", F.explode(error_hits()).alias("hit"))
-    return hits.groupBy(
-        F.col("hit.category").alias("category"), F.col("hit.pattern").alias("pattern"), "service"
-    ).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
+    return (
+        with_hits(df, "timestamp", "service")
+        .groupBy("category", "pattern", "service")
+        .agg(
+            F.count(F.lit(1)).alias("count"),
+            F.min("timestamp").alias("first_seen"),
+            F.max("timestamp").alias("last_seen"),
+        )
     )
 
 
@@ -121,7 +132,8 @@ def error_samples(df: DataFrame, limit: int = MAX_SAMPLES) -> DataFrame:
     so a hot pattern sends at most ``limit`` rows per task.
     """
     w = Window.partitionBy("category", "pattern").orderBy("timestamp", "id")
-    ranked = explode_errors(df).withColumn("sample", F.row_number().over(w))
+    hits = with_hits(df, "id", "timestamp", "service", "message", "trace_id")
+    ranked = hits.withColumn("sample", F.row_number().over(w))
     return ranked.filter(F.col("sample") <= limit).select(
         "category", "pattern", "sample", F.col("id").alias("log_id"), "timestamp", "service", "message", "trace_id"
     )
@@ -152,9 +164,9 @@ def high_rate_alerts(stats: DataFrame, threshold: float = HIGH_RATE) -> DataFram
 
 def errors_per_minute(df: DataFrame) -> DataFrame:
     """Logs with at least one error indication, per service and minute."""
-    failing = df.filter(F.size(error_hits()) > 0)
     return (
-        failing.groupBy("service", F.window("timestamp", "1 minute").alias("w"))
+        failing_logs(df)
+        .groupBy("service", F.window("timestamp", "1 minute").alias("w"))
         .agg(F.count(F.lit(1)).alias("errors"))
         .select("service", F.col("w.start").alias("minute"), "errors")
     )

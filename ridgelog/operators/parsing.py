@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgelog.functions.patterns import LINE_PATTERNS, SEVERITY_LEVEL, LinePattern
-from ridgelog.functions.scalars import _col, has_attr, merge_maps, ntz, trim_space, with_computed
+from ridgelog.functions.scalars import _col, has_attr, merge_maps, ntz, present_attributes, trim_space, with_computed
 from ridgelog.functions.timeparse import parse_json_timestamp, parse_timestamp
 from ridgelog.operators.rules import DEFAULT_RULES, Record, RuleSet, is_valid, transform
 
@@ -146,16 +146,15 @@ def _captured(text: Column, p: LinePattern) -> Column:
         "trace_id": text_field("trace_id", F.lit("")),
         "span_id": text_field("span_id", F.lit("")),
     }
-    renamed, entries = dict(p.field_map), []
+    renamed, entries = dict(p.field_map), {}
     for name, value in captures.items():
         target = renamed.get(name, name)
         if name in renamed and target in ("level", "service", "trace_id", "span_id"):
             fields[target] = F.when(value != "", trim_space(value)).otherwise(fields[target])
         else:
-            entries.append(F.when(value != "", F.struct(F.lit(target).alias("k"), trim_space(value).alias("v"))))
-    entries.append(F.struct(F.lit("_parser").alias("k"), F.lit("regex").alias("v")))
-    entries.append(F.struct(F.lit("_pattern").alias("k"), F.lit(p.name).alias("v")))
-    attributes = F.map_from_entries(F.array_compact(F.array(*entries)))
+            entries[target] = F.when(value != "", trim_space(value))
+    entries["_parser"], entries["_pattern"] = F.lit("regex"), F.lit(p.name)
+    attributes = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
     return F.struct(*[c.alias(f) for f, c in fields.items()], attributes.alias("attributes"))
 
 
@@ -181,7 +180,8 @@ def with_text_record(
     record = F.struct(
         F.coalesce(stamp, ntz(as_of)).alias("timestamp"),
         level.alias("level"),
-        *[got[f].alias(f) for f in ("message", "service", "trace_id", "span_id", "attributes")],
+        *[got[f].alias(f) for f in ("message", "service", "trace_id", "span_id")],
+        present_attributes(got["attributes"]).alias("attributes"),
     )
     return with_computed(staged, name, F.when(got.isNotNull(), record)).drop("_index", "_captured")
 

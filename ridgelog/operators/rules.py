@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgelog.functions.patterns import re2
-from ridgelog.functions.scalars import attr, trim_space
+from ridgelog.functions.scalars import attr, compact_texts, trim_space
 from ridgelog.schema import TEXT_FIELDS
 
 
@@ -185,7 +185,7 @@ def violations(record: Record, rules: RuleSet = DEFAULT_RULES) -> Column:
         found.extend(constraint_violations(record, c))
     for rule in rules.validations:
         found.append(F.when(rule_failed(record, rule), F.lit(f"rule:{rule.name}")))
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    return compact_texts(found) if found else F.array().cast("array<string>")
 
 
 def is_valid(record: Record, rules: RuleSet = DEFAULT_RULES) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgelog.functions.patterns import SYSLOG_3164, SYSLOG_5424, SYSLOG_FACILITY, SYSLOG_SEVERITY
-from ridgelog.functions.scalars import ntz
+from ridgelog.functions.scalars import ntz, present_attributes
 from ridgelog.functions.timeparse import parse_rfc3339, parse_yearless
 
 
@@ -70,7 +70,7 @@ def decode_syslog(
     )
     attributes = (
         F.when(k == "RFC5424", new_style)
-        .when(k == "RFC3164", F.map_filter(old_style, lambda _, v: v.isNotNull()))
+        .when(k == "RFC3164", old_style)
         .otherwise(_entries({"format": F.lit("unknown")}))
     )
     if source_column is not None:
@@ -78,7 +78,7 @@ def decode_syslog(
     stamp = F.when(k == "RFC5424", parse_rfc3339(g5(3))).when(
         k == "RFC3164", parse_yearless(F.regexp_replace(g3(2), r"\s+", " "), as_of.year)
     )
-    return staged.select(
+    decoded = staged.select(
         *others,
         F.coalesce(stamp, ntz(as_of)).alias("timestamp"),
         F.when(k == "unknown", F.lit("info")).otherwise(severity).alias("level"),
@@ -88,3 +88,4 @@ def decode_syslog(
         F.lit("").alias("span_id"),
         attributes.alias("attributes"),
     )
+    return decoded.withColumn("attributes", present_attributes())

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ridgelog.functions.scalars import ntz
-from ridgelog.operators.errors import error_hits, with_detected_errors
+from ridgelog.operators.errors import with_detected_errors, with_hits
 from ridgelog.operators.filters import tail_condition
 from ridgelog.operators.rollups import merge_rollups
 from ridgelog.operators.traces import _failed, _traced, with_trace_ids
@@ -95,12 +95,8 @@ def trace_state(logs: DataFrame, gap: str = "1 hour", delay: str = "10 minutes")
 
 def error_state(logs: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Error counts per window, category and pattern; state ends with the watermark."""
-    hits = watermarked(logs, delay).select("timestamp", F.explode(error_hits()).alias("hit"))
-    grouped = hits.groupBy(
-        F.window("timestamp", window).alias("w"),
-        F.col("hit.category").alias("category"),
-        F.col("hit.pattern").alias("pattern"),
-    ).agg(
+    hits = with_hits(watermarked(logs, delay), "timestamp")
+    grouped = hits.groupBy(F.window("timestamp", window).alias("w"), "category", "pattern").agg(
         F.count(F.lit(1)).alias("count"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
