@@ -1,6 +1,6 @@
 """Parsing of raw lines: JSON logs, known text formats, routing and statistics."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 from functools import reduce
 
@@ -123,13 +123,17 @@ def pattern_index(text, patterns: Sequence[LinePattern]) -> Column:
     return index
 
 
-def _captured(text: Column, p: LinePattern) -> Column:
-    """The captures of a line that matches ``p``; time and level are still text."""
+def _groups(text: Column, p: LinePattern) -> Column:
+    return F.array(*[F.regexp_extract(text, p.pattern, i + 1) for i in range(len(p.groups))])
+
+
+def _captured(text: Column, groups: Column, p: LinePattern) -> Column:
+    """The fields of a line that matches ``p`` from its groups; time and level are still text."""
     captures: dict[str, Column] = {}
-    for position, name in enumerate(p.groups, start=1):
+    for position, name in enumerate(p.groups):
         if name is None:
             continue
-        value = F.regexp_extract(text, p.pattern, position)
+        value = groups[position]
         field = _FIELD_OF_CAPTURE.get(name, name)
         seen = captures.get(field)
         captures[field] = value if seen is None else F.when(value != "", value).otherwise(seen)
@@ -163,17 +167,23 @@ def with_text_record(
 ) -> DataFrame:
     """Add the log struct of every line that matches a pattern, on the rows where ``when`` holds.
 
-    First the pattern is chosen, then its captures are taken (only the matching
-    branch is evaluated), then time and level are read once from the captures.
+    First the pattern is chosen, then its groups are taken (only the matching
+    branch is evaluated), then fields are formed and time and level are read.
     """
     text = F.col(column)
     index = pattern_index(text, patterns)
     staged = with_computed(df, "_index", index if when is None else F.when(when, index))
-    first, *rest = patterns
-    captured = F.when(F.col("_index") == 0, _captured(text, first))
-    for i, p in enumerate(rest, start=1):
-        captured = captured.when(F.col("_index") == i, _captured(text, p))
-    staged = with_computed(staged, "_captured", captured)
+
+    def by_pattern(branch: Callable[[LinePattern], Column]) -> Column:
+        first, *rest = patterns
+        chain = F.when(F.col("_index") == 0, branch(first))
+        for i, p in enumerate(rest, start=1):
+            chain = chain.when(F.col("_index") == i, branch(p))
+        return chain
+
+    staged = with_computed(staged, "_groups", by_pattern(lambda p: _groups(text, p)))
+    fields = by_pattern(lambda p: _captured(text, F.col("_groups"), p))
+    staged = with_computed(staged, "_captured", fields)
     got = F.col("_captured")
     level = F.when(got["level"] != "", severity_to_level(got["level"])).otherwise(F.lit("info"))
     stamp = F.when(got["time"] != "", parse_timestamp(got["time"], as_of))
@@ -183,7 +193,7 @@ def with_text_record(
         *[got[f].alias(f) for f in ("message", "service", "trace_id", "span_id")],
         present_attributes(got["attributes"]).alias("attributes"),
     )
-    return with_computed(staged, name, F.when(got.isNotNull(), record)).drop("_index", "_captured")
+    return with_computed(staged, name, F.when(got.isNotNull(), record)).drop("_index", "_groups", "_captured")
 
 
 def parse_text_lines(

@@ -5,9 +5,11 @@ attribute map. That lets them run on a table as well as on the candidate
 structs of the line parser.
 """
 
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,8 +236,9 @@ def apply_mappings(record: Record, rules: RuleSet) -> Record:
             record = record.with_value(target, value, value.isNotNull())
     sources = [source for source, _ in rules.mappings]
     if sources:
-        kept = F.map_filter(record.attributes, lambda k, _: ~k.isin(sources))
-        record = replace(record, attributes=kept)
+        present = reduce(operator.or_, [source_map[name].isNotNull() for name in sources])
+        kept = F.when(present, F.map_filter(record.attributes, lambda k, _: ~k.isin(sources)))
+        record = replace(record, attributes=F.coalesce(kept, record.attributes))
     return record
 
 
