@@ -67,10 +67,14 @@ def _first_string(doc: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[_string_member(doc, k) for k in keys])
 
 
-def json_record(text: Column, doc: Column, as_of: datetime) -> Column:
-    """The log struct of a JSON object; unnamed members become attributes."""
+def json_attributes(text: Column) -> Column:
+    """The members of a JSON object that are no log field."""
     members = F.from_json(text, "map<string,string>")
-    attributes = F.map_filter(members, lambda k, v: ~k.isin(list(JSON_FIELDS)) & v.isNotNull())
+    return F.map_filter(members, lambda k, v: ~k.isin(list(JSON_FIELDS)) & v.isNotNull())
+
+
+def json_record(text: Column, doc: Column, attributes: Column, as_of: datetime) -> Column:
+    """The log struct of a JSON object."""
     level = F.coalesce(
         F.lower(_first_string(doc, JSON_LEVEL)),
         severity_to_level_or_null(_string_member(doc, "severity")),
@@ -96,8 +100,11 @@ def parse_json_lines(df: DataFrame, column: str = "value", as_of: datetime | Non
     """Rows that hold a JSON object, as logs; other rows get a null ``record``."""
     doc = F.when(is_json_like(column), F.try_parse_json(F.col(column)))
     staged = df.withColumn("_doc", doc)
-    record = F.when(F.col("_doc").isNotNull(), json_record(F.col(column), F.col("_doc"), as_of))
-    return with_computed(staged, "record", record).drop("_doc")
+    is_json = F.col("_doc").isNotNull()
+    # lambdas run outside of generated code, so the map is filtered in a projection of its own
+    staged = staged.withColumn("_members", F.when(is_json, json_attributes(F.col(column))))
+    record = json_record(F.col(column), F.col("_doc"), F.col("_members"), as_of)
+    return with_computed(staged, "record", F.when(is_json, record)).drop("_doc", "_members")
 
 
 def with_custom(patterns: Sequence[LinePattern], base: Sequence[LinePattern] = LINE_PATTERNS):
@@ -185,15 +192,18 @@ def with_text_record(
     fields = by_pattern(lambda p: _captured(text, F.col("_groups"), p))
     staged = with_computed(staged, "_captured", fields)
     got = F.col("_captured")
+    staged = staged.withColumn("_attributes", present_attributes(got["attributes"]))
     level = F.when(got["level"] != "", severity_to_level(got["level"])).otherwise(F.lit("info"))
     stamp = F.when(got["time"] != "", parse_timestamp(got["time"], as_of))
     record = F.struct(
         F.coalesce(stamp, ntz(as_of)).alias("timestamp"),
         level.alias("level"),
         *[got[f].alias(f) for f in ("message", "service", "trace_id", "span_id")],
-        present_attributes(got["attributes"]).alias("attributes"),
+        F.col("_attributes").alias("attributes"),
+    )
+    return with_computed(staged, name, F.when(got.isNotNull(), record)).drop(
+        "_index", "_groups", "_captured", "_attributes"
     )
-    return with_computed(staged, name, F.when(got.isNotNull(), record)).drop("_index", "_groups", "_captured")
 
 
 def parse_text_lines(
