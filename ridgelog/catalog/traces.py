@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ridgelog.catalog.registry import query
 from ridgelog.catalog.tables import AS_OF, LOGS, document_logs, event_logs
 from ridgelog.operators import traces as t
+from ridgelog.session import checkpointed
 
 _TRACE = r"""CASE WHEN trace_id <> '' THEN trace_id WHEN a_traceID <> '' THEN a_traceID ELSE coalesce(
  nullif(regexp_extract(message, 'trace[_-]?id["\s:=]+([a-fA-F0-9]{32})', 1), ''),
@@ -90,7 +91,7 @@ def root_spans(spark, sf_dir):
  FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_id = p.span_id""",
 )
 def span_tree(spark, sf_dir):
-    return t.span_tree(_spans(spark, sf_dir))
+    return t.span_tree(checkpointed(_spans(spark, sf_dir), "spans"))
 
 
 @query(
@@ -99,7 +100,7 @@ def span_tree(spark, sf_dir):
  AND c.parent_id = p.span_id GROUP BY 1, 2""",
 )
 def child_counts(spark, sf_dir):
-    return t.child_counts(_spans(spark, sf_dir))
+    return t.child_counts(checkpointed(_spans(spark, sf_dir), "spans"))
 
 
 @query(

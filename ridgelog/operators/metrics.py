@@ -35,29 +35,18 @@ def histogram(
     return counted.withColumn("upper_bound", F.element_at(bounds, F.col("bucket") + 1))
 
 
-def histogram_stats(
-    df: DataFrame, value: str, keys: Sequence[str] = (), buckets: Sequence[float] = BUCKETS
-) -> DataFrame:
-    """count, sum, avg, min, max and bucketed percentiles in one hash aggregate.
-
-    Cumulative bucket counts are aggregated directly, so a percentile is a
-    comparison of a few columns and the state per group has a fixed size. A
-    percentile is the bound of the bucket that reaches int(count * p), or the
-    maximum in the overflow.
-    """
-    v = F.col(value)
-    below = [F.count_if(v <= b).alias(f"_le{i}") for i, b in enumerate(buckets)]
-    stats = (
-        df.filter(v.isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.sum(v).alias("sum"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-            *below,
-        )
-    )
+def _histogram_aggregates(v: Column, buckets: Sequence[float]) -> list[Column]:
+    return [
+        F.count(v).alias("count"),
+        F.sum(v).alias("sum"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        *[F.count_if(v <= b).alias(f"_le{i}") for i, b in enumerate(buckets)],
+    ]
+
+
+def _histogram_columns(buckets: Sequence[float]) -> list[Column]:
+    """The statistics as doubles, 0 for an empty histogram; the count stays a number of rows."""
     zero = F.lit(0.0)
 
     def percentile(p: float) -> Column:
@@ -67,15 +56,29 @@ def histogram_stats(
             reached = F.when(F.col(f"_le{i}") >= target, F.lit(float(buckets[i]))).otherwise(reached)
         return F.when(F.col("count") == 0, zero).otherwise(reached)
 
-    return stats.select(
-        *keys,
-        "count",
+    return [
+        F.col("count"),
         F.coalesce("sum", zero).alias("sum"),
         F.when(F.col("count") == 0, zero).otherwise(F.col("sum") / F.col("count")).alias("avg"),
         F.coalesce("min", zero).alias("min"),
         F.coalesce("max", zero).alias("max"),
         *[percentile(p).alias(name) for name, p in PERCENTILES.items()],
-    )
+    ]
+
+
+def histogram_stats(
+    df: DataFrame, value: str, keys: Sequence[str] = (), buckets: Sequence[float] = BUCKETS
+) -> DataFrame:
+    """count, sum, avg, min, max and bucketed percentiles in one hash aggregate.
+
+    Cumulative bucket counts are aggregated directly, so a percentile is a
+    comparison of a few columns and the state per group has a fixed size. A
+    percentile is the bound of the bucket that reaches int(count * p), or the
+    maximum in the overflow.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    stats = rows.groupBy(*keys).agg(*_histogram_aggregates(F.col(value), buckets))
+    return stats.select(*keys, *_histogram_columns(buckets))
 
 
 def per_second(df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
@@ -178,17 +181,18 @@ def metric_snapshot(
     gauges: dict[str, Column],
     histogram_name: str = "query_duration_ms",
 ) -> DataFrame:
-    """Counters, gauges and histogram statistics of a table as (name, type, value) rows.
+    """Counters, gauges and histogram statistics of a table as (name, type, value) rows, in one pass.
 
     ``counters`` and ``gauges`` are aggregate columns by metric name.
     """
-    scalars = df.agg(*[c.cast("double").alias(n) for n, c in {**counters, **gauges}.items()])
-    pairs = ", ".join(f"'{n}', '{'counter' if n in counters else 'gauge'}', `{n}`" for n in scalars.columns)
-    long = scalars.selectExpr(f"stack({len(scalars.columns)}, {pairs}) as (name, type, value)")
-    stats = histogram_stats(df, duration)
-    stats = stats.select(*[F.col(c).cast("double").alias(f"{histogram_name}_{c}") for c in stats.columns])
-    pairs = ", ".join(f"'{c}', 'gauge', `{c}`" for c in stats.columns)
-    return long.unionByName(stats.selectExpr(f"stack({len(stats.columns)}, {pairs}) as (name, type, value)"))
+    scalars = {**counters, **gauges}
+    wide = df.agg(*[c.cast("double").alias(n) for n, c in scalars.items()], *_histogram_aggregates(F.col(duration), BUCKETS))
+    names = ("count", "sum", "avg", "min", "max", *PERCENTILES)
+    stats = [c.cast("double").alias(f"{histogram_name}_{n}") for n, c in zip(names, _histogram_columns(BUCKETS))]
+    wide = wide.select(*scalars, *stats)
+    kinds = {n: "counter" if n in counters else "gauge" for n in wide.columns}
+    pairs = ", ".join(f"'{n}', '{kind}', `{n}`" for n, kind in kinds.items())
+    return wide.selectExpr(f"stack({len(kinds)}, {pairs}) as (name, type, value)")
 
 
 def health(metrics: DataFrame, slow_ms: float = 5000.0) -> DataFrame:

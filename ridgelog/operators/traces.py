@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ridgelog.functions.patterns import OPERATION_PATTERNS, TRACE_CONVENTIONS, TRACE_NEEDLES
 from ridgelog.functions.scalars import _col, attr, epoch_micros, epoch_millis, first_words, has_attr, ntz
+from ridgelog.session import checkpointed
 
 IDLE_SECONDS = 3600
 
@@ -89,25 +90,39 @@ def _traced(df: DataFrame) -> DataFrame:
     return with_trace_ids(df).filter(F.col("trace_id") != "")
 
 
-def trace_summary(df: DataFrame) -> DataFrame:
-    """One row per trace: bounds, duration, services, spans and errors.
+def _head() -> Column:
+    """What a span takes from its first log, led by the sort key (timestamp, id)."""
+    return F.struct(
+        "timestamp",
+        "id",
+        "service",
+        "parent_id",
+        operation_name().alias("operation"),
+        span_status().alias("status"),
+    )
+
 
-    Logs are first reduced to (trace, span, service), then to the trace. The
-    first reduction combines on the map side, so a hot trace arrives as its
-    distinct spans and services, never as its logs. Distinct spans are counted
-    from the reduced rows and the service set grows with the services only.
+def span_parts(df: DataFrame) -> DataFrame:
+    """Traced logs reduced to (trace, span, service); logs without a span keep span ''.
+
+    The reduction combines on the map side, so a hot trace leaves a task as its
+    distinct spans and services, never as its logs. Both summaries follow from
+    these rows; columns a summary does not use are pruned.
     """
-    parts = (
-        _traced(df)
-        .select("trace_id", "span_id", "service", "timestamp", _failed().cast("bigint").alias("failed"))
-        .groupBy("trace_id", "span_id", "service")
-        .agg(
-            F.min("timestamp").alias("first"),
-            F.max("timestamp").alias("last"),
-            F.sum("failed").alias("errors"),
-            F.count(F.lit(1)).alias("logs"),
-        )
+    rows = _traced(df).select(
+        "trace_id", "span_id", "service", "timestamp", _failed().cast("bigint").alias("failed"), _head().alias("head")
+    )
+    return rows.groupBy("trace_id", "span_id", "service").agg(
+        F.min("head").alias("head"),
+        F.min("timestamp").alias("first"),
+        F.max("timestamp").alias("last"),
+        F.sum("failed").alias("errors"),
+        F.count(F.lit(1)).alias("logs"),
     )
+
+
+def traces_of(parts: DataFrame) -> DataFrame:
+    """One row per trace from ``span_parts``. The service set grows with the services only."""
     return (
         parts.groupBy("trace_id")
         .agg(
@@ -123,42 +138,24 @@ def trace_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def trace_summary(df: DataFrame) -> DataFrame:
+    """One row per trace: bounds, duration, services, spans and errors."""
+    return traces_of(span_parts(df))
+
+
 def trace_services(df: DataFrame) -> DataFrame:
     """Distinct (trace, service) pairs."""
     return _traced(df).filter(F.col("service") != "").select("trace_id", "service").distinct()
 
 
-def span_summary(df: DataFrame) -> DataFrame:
-    """One row per span. 'First' is the earliest log by (timestamp, id)."""
-    rows = _traced(df).filter(F.col("span_id") != "")
-    rows = rows.select(
-        "trace_id",
-        "span_id",
-        "timestamp",
-        _failed().cast("int").alias("failed"),
-        F.struct(
-            "timestamp",
-            "id",
-            "service",
-            "parent_id",
-            operation_name().alias("operation"),
-            span_status().alias("status"),
-        ).alias("head"),
-    )
-    spans = rows.groupBy("trace_id", "span_id").agg(
-        F.min("head").alias("head"),
-        F.min("timestamp").alias("start_time"),
-        F.max("timestamp").alias("end_time"),
-        F.max("failed").alias("failed"),
-        F.count(F.lit(1)).alias("log_count"),
-    )
+def _span_columns(spans: DataFrame) -> DataFrame:
     return spans.select(
         "trace_id",
         "span_id",
         F.col("head.parent_id").alias("parent_id"),
         F.col("head.service").alias("service"),
         F.col("head.operation").alias("operation"),
-        F.when(F.col("failed") == 1, F.lit("error")).otherwise(F.col("head.status")).alias("status"),
+        F.when(F.col("errors") > 0, F.lit("error")).otherwise(F.col("head.status")).alias("status"),
         "start_time",
         "end_time",
         _duration_ms("start_time", "end_time").alias("duration_ms"),
@@ -167,6 +164,37 @@ def span_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def spans_of(parts: DataFrame) -> DataFrame:
+    """One row per span from ``span_parts``."""
+    spans = parts.filter(F.col("span_id") != "").groupBy("trace_id", "span_id")
+    return _span_columns(
+        spans.agg(
+            F.min("head").alias("head"),
+            F.min("first").alias("start_time"),
+            F.max("last").alias("end_time"),
+            F.sum("errors").alias("errors"),
+            F.sum("logs").alias("log_count"),
+        )
+    )
+
+
+def span_summary(df: DataFrame) -> DataFrame:
+    """One row per span, in one reduction. 'First' is the earliest log by (timestamp, id)."""
+    rows = _traced(df).filter(F.col("span_id") != "")
+    rows = rows.select(
+        "trace_id", "span_id", "timestamp", _failed().cast("bigint").alias("failed"), _head().alias("head")
+    )
+    return _span_columns(
+        rows.groupBy("trace_id", "span_id").agg(
+            F.min("head").alias("head"),
+            F.min("timestamp").alias("start_time"),
+            F.max("timestamp").alias("end_time"),
+            F.sum("failed").alias("errors"),
+            F.count(F.lit(1)).alias("log_count"),
+        )
+    )
+
+
 def root_spans(spans: DataFrame) -> DataFrame:
     """The first span without a parent, per trace."""
     first = F.min(F.struct("start_time", "first_log_id", "span_id", "service", "operation"))
@@ -188,7 +216,8 @@ def span_tree(spans: DataFrame) -> DataFrame:
 
     One row per child whose parent exists. Edges rather than nested lists, so a
     parent with very many children stays spread over tasks (AQE splits the
-    skewed side).
+    skewed side). Both sides read ``spans``: pass a stored table, or the result
+    of ``session.checkpointed``, so the logs are not reduced twice.
     """
     child = spans.filter(F.col("parent_id") != "").select(
         "trace_id", F.col("parent_id"), F.col("span_id").alias("child_id"), F.col("service").alias("child_service")
@@ -205,8 +234,12 @@ def child_counts(spans: DataFrame) -> DataFrame:
 
 
 def timeline(df: DataFrame) -> DataFrame:
-    """One event per span with epoch-millisecond bounds, next to the trace's own bounds."""
-    events = span_summary(df).select(
+    """One event per span with epoch-millisecond bounds, next to the trace's own bounds.
+
+    The logs are read once: spans and traces both come from the stored parts.
+    """
+    parts = checkpointed(span_parts(df), "span-parts")
+    events = spans_of(parts).select(
         "trace_id",
         "span_id",
         "parent_id",
@@ -218,7 +251,7 @@ def timeline(df: DataFrame) -> DataFrame:
         "status",
         F.col("log_count").alias("logs"),
     )
-    traces = trace_summary(df).select(
+    traces = traces_of(parts).select(
         "trace_id",
         epoch_millis("start_time").alias("trace_start"),
         epoch_millis("end_time").alias("trace_end"),

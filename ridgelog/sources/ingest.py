@@ -32,8 +32,9 @@ TCP_SERVICE = "tcp-client"
 def with_defaults(df: DataFrame, *, as_of: datetime, service: str = "unknown") -> DataFrame:
     """Fill id, timestamp, level, service and the empty text fields of incoming logs.
 
-    The generated id is derived from the row content, so a recomputed task
-    (lost executor, speculative copy) gives the same id again.
+    Generated ids are random but seeded per plan and partition, so a recomputed
+    task (lost executor, speculative copy) gives its rows the same ids again,
+    while equal logs keep different ids.
     """
     text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("message", "trace_id", "span_id")}
     df = df.withColumns(
@@ -45,12 +46,7 @@ def with_defaults(df: DataFrame, *, as_of: datetime, service: str = "unknown") -
             "attributes": F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>")),
         }
     )
-    content = F.sha2(
-        F.to_json(F.struct("timestamp", "level", "message", "service", "trace_id", "span_id", "attributes")), 256
-    )
-    return df.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.substring(content, 1, 32))).select(
-        *LOG_FIELDS
-    )
+    return df.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.uuid())).select(*LOG_FIELDS)
 
 
 def _from_wire(df: DataFrame) -> DataFrame:

@@ -221,7 +221,7 @@ def test_ingest_bodies_and_lines(make_lines, as_of):
         ("a", "warn", "unknown", as_of), ("b", "info", "unknown", as_of), ("c", "info", "unknown", as_of),
     ]
     assert rows[1].id == "x" and rows[1].attributes == {"n": "5"}
-    assert len(rows[0].id) == 32 and rows[0].id != rows[2].id
+    assert len(rows[0].id) == 36 and rows[0].id != rows[2].id
     lines = make_lines(['{"message": "j", "service": "s"}', "text", "", '{"timestamp": "2024-01-15 10:30:00", "message": "k"}', '{"level": 5}'])
     got = {r.message: (r.level, r.service) for r in ingest.decode_lines(lines, as_of=as_of).collect()}
     assert got == {
