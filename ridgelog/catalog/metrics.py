@@ -1,6 +1,7 @@
 """Histograms, rates, snapshots, health and alerts."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridgelog.catalog.registry import query
 from ridgelog.catalog.tables import LOGS, event_logs, table
@@ -8,6 +9,8 @@ from ridgelog.functions.scalars import attr
 from ridgelog.operators import alerts as a
 from ridgelog.operators import metrics as k
 from ridgelog.operators.alerts import AlertRule
+from ridgelog.session import scratch_path
+from ridgelog.streaming.jobs import run_available, stream_files
 
 _BOUNDS = (0.1, 0.5, 1, 5, 10, 50, 100, 500, 1000)
 _BUCKET = "CASE " + " ".join(f"WHEN v <= {b} THEN {i}" for i, b in enumerate(_BOUNDS)) + " ELSE 9 END"
@@ -212,6 +215,16 @@ def alert_cooldown(spark, sf_dir):
     return _alerts(spark, sf_dir).withColumn("end_at", F.coalesce("end_at", F.lit(-1)))
 
 
+@query("stream_alerts", f"WITH {_WALK} SELECT * FROM found")
+def stream_alerts(spark, sf_dir):
+    """The same alerts from a stream of hourly samples."""
+    path = scratch_path(spark, "samples")
+    _hourly_metrics(spark, sf_dir).write.parquet(path)
+    samples = stream_files(spark, path, StructType.fromDDL("at bigint, name string, value double"))
+    versions = run_available(a.episode_stream(a.evaluate_rules(samples, RULES)), "alerts")
+    return a.latest_episodes(versions).withColumn("end_at", F.coalesce("end_at", F.lit(-1)))
+
+
 @query("active_alerts", f"WITH {_WALK} SELECT rule, severity, start_at, last_at, count FROM found WHERE end_at = -1")
 def active_alerts(spark, sf_dir):
     return a.active_alerts(_alerts(spark, sf_dir)).drop("end_at")

@@ -1,11 +1,14 @@
 """Alert rules as data, their evaluation on metric series, and alert episodes."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
+
+from ridgelog.operators.rollups import latest_per_key
 
 _TESTS = {
     ">": lambda v, t: v > t,
@@ -80,26 +83,61 @@ def episodes(checks: DataFrame, keys: Sequence[str] = ("rule",)) -> DataFrame:
     ).drop("_run")
 
 
-def _walk(checks: pd.DataFrame) -> pd.DataFrame:
-    """Sequential state of one rule: a trigger silences the next ``cooldown`` seconds."""
+@dataclass
+class _Machine:
+    """Sequential state of one rule: a trigger silences the rule for its cooldown."""
+
+    rule: str
+    start_at: int = -1
+    last_at: int = -1
+    count: int = 0
+    quiet_until: int = -1
+
+    def row(self, severity: str, end_at: int | None) -> tuple:
+        return (self.rule, severity, self.start_at, self.last_at, end_at, self.count)
+
+    def feed(self, checks: pd.DataFrame) -> list[tuple]:
+        """Process checks by time; returns the alerts that were closed."""
+        closed = []
+        for check in checks.sort_values("at").itertuples(index=False):
+            if check.at < self.quiet_until:
+                continue
+            if check.triggered:
+                if self.start_at < 0:
+                    self.start_at, self.count = check.at, 0
+                self.last_at, self.count = check.at, self.count + 1
+                self.quiet_until = check.at + check.cooldown
+            elif self.start_at >= 0:
+                self.last_at = check.at
+                closed.append(self.row(check.severity, check.at))
+                self.start_at = -1
+        return closed
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     columns = ["rule", "severity", "start_at", "last_at", "end_at", "count"]
-    found, current, quiet_until = [], None, None
-    for check in checks.sort_values("at").itertuples(index=False):
-        if quiet_until is not None and check.at < quiet_until:
-            continue
-        if check.triggered:
-            if current is None:
-                current = [check.rule, check.severity, check.at, check.at, None, 0]
-                found.append(current)
-            current[3] = check.at
-            current[5] += 1
-            quiet_until = check.at + check.cooldown
-        elif current is not None:
-            current[3] = current[4] = check.at
-            current = None
-    result = pd.DataFrame(found, columns=columns)
-    result["end_at"] = result["end_at"].astype("Int64")
-    return result
+    frame = pd.DataFrame(rows, columns=columns)
+    frame["end_at"] = frame["end_at"].astype("Int64")
+    return frame
+
+
+def _walk(checks: pd.DataFrame) -> pd.DataFrame:
+    machine = _Machine(checks["rule"].iloc[0])
+    rows = machine.feed(checks)
+    if machine.start_at >= 0:
+        rows.append(machine.row(checks["severity"].iloc[0], None))
+    return _frame(rows)
+
+
+def _walk_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One micro-batch of one rule: closed alerts and the current version of the open one."""
+    machine = _Machine(key[0], *state.get) if state.exists else _Machine(key[0])
+    checks = pd.concat(list(batches))
+    rows = machine.feed(checks)
+    if machine.start_at >= 0:
+        rows.append(machine.row(checks["severity"].iloc[0], None))
+    state.update((machine.start_at, machine.last_at, machine.count, machine.quiet_until))
+    yield _frame(rows)
 
 
 EPISODE_SCHEMA = "rule string, severity string, start_at bigint, last_at bigint, end_at bigint, count bigint"
@@ -135,6 +173,25 @@ def episodes_with_cooldown(checks: DataFrame) -> DataFrame:
     return narrow.groupBy("rule").applyInPandas(_walk, EPISODE_SCHEMA)
 
 
+STATE_SCHEMA = "start_at bigint, last_at bigint, count bigint, quiet_until bigint"
+
+
+def episode_stream(checks: DataFrame) -> DataFrame:
+    """Alert episodes of a stream of checks that arrive in time order.
+
+    Every micro-batch emits the alerts it closed and the current version of the
+    open one; ``latest_episodes`` reduces the versions. The state of a rule is
+    four numbers.
+    """
+    narrow = checks.select("rule", "severity", "cooldown", "at", "triggered")
+    return narrow.groupBy("rule").applyInPandasWithState(_walk_on, EPISODE_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+
+
+def latest_episodes(versions: DataFrame) -> DataFrame:
+    """The last version of every alert; a closed one is later than its open versions."""
+    return latest_per_key(versions, ["rule", "start_at"], ["last_at", "count"])
+
+
 def active_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.filter(F.col("end_at").isNull())
 

@@ -66,7 +66,7 @@ class TimeRange:
         if not self.relative:
             return self.start, self.end
         if self.relative not in RELATIVE_RANGES:
-            raise ValueError(f"unsupported relative time range: {self.relative}")
+            raise ValueError(f"no such relative range: {self.relative}")
         return as_of - RELATIVE_RANGES[self.relative], as_of
 
 
@@ -89,18 +89,18 @@ def condition(f: Filter) -> Column:
         return ~field.like(f"%{f.value}%")
     if f.operator == "between":
         if len(f.values) != 2:
-            raise ValueError("between operator requires exactly 2 values")
+            raise ValueError("between needs exactly two values")
         return field.between(_literal(f.values[0]), _literal(f.values[1]))
     if f.operator in ("in", "not_in"):
         if not f.values:
-            raise ValueError(f"{f.operator} operator requires at least 1 value")
+            raise ValueError(f"{f.operator} needs at least one value")
         member = field.isin([_literal(v) for v in f.values])
         return member if f.operator == "in" else ~member
     if f.operator == "is_null":
         return field.isNull()
     if f.operator == "is_not_null":
         return field.isNotNull()
-    raise ValueError(f"unsupported operator: {f.operator}")
+    raise ValueError(f"no such filter operator: {f.operator}")
 
 
 def combine(filters: Sequence[Filter]) -> Column | None:

@@ -38,9 +38,9 @@ def decode_token(token: str) -> dict[str, Any]:
     try:
         cursor = json.loads(base64.urlsafe_b64decode(token.encode()))
     except ValueError as error:
-        raise ValueError(f"invalid page token: {error}") from error
+        raise ValueError(f"unreadable page token: {error}") from error
     if not isinstance(cursor, dict):
-        raise ValueError("invalid page token")
+        raise ValueError("unreadable page token")
     return cursor
 
 
@@ -49,7 +49,7 @@ def normalise(request: PageRequest) -> PageRequest:
     size = min(request.page_size if request.page_size > 0 else DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE)
     order = (request.sort_order or "DESC").upper()
     if order not in ("ASC", "DESC"):
-        raise ValueError(f"invalid sort order: {request.sort_order}")
+        raise ValueError(f"sort order must be ASC or DESC, not {request.sort_order}")
     if request.page_token:
         decode_token(request.page_token)
     return replace(request, page_size=size, sort_order=order)

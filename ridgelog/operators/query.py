@@ -48,30 +48,30 @@ class QuerySpec:
 def validate_spec(spec: QuerySpec, known_fields: Sequence[str] = QUERY_FIELDS) -> None:
     """Raise ValueError on a missing name, unknown fields, operators or functions."""
     if not spec.name:
-        raise ValueError("query name is required")
+        raise ValueError("a query needs a name")
     known = set(known_fields)
     for name in spec.fields:
         if name not in known:
-            raise ValueError(f"unknown field: {name}")
+            raise ValueError(f"no such field: {name}")
     for f in spec.filters:
         if f.field not in known:
-            raise ValueError(f"unknown field in filter: {f.field}")
+            raise ValueError(f"no such filter field: {f.field}")
         if f.operator not in FILTER_OPERATORS:
-            raise ValueError(f"invalid operator: {f.operator}")
+            raise ValueError(f"no such filter operator: {f.operator}")
     for a in spec.aggregations:
         if a.function not in AGGREGATE_FUNCTIONS:
-            raise ValueError(f"invalid aggregation function: {a.function}")
+            raise ValueError(f"no such aggregate: {a.function}")
         if a.field and a.field not in known:
-            raise ValueError(f"unknown field in aggregation: {a.field}")
+            raise ValueError(f"no such aggregate field: {a.field}")
 
 
 def aggregate_column(a: Aggregation) -> Column:
     if a.function == "COUNT":
         return (F.count(a.field) if a.field else F.count(F.lit(1))).alias(a.name)
     if a.function not in AGGREGATE_FUNCTIONS:
-        raise ValueError(f"unsupported aggregation function: {a.function}")
+        raise ValueError(f"no such aggregate: {a.function}")
     if not a.field:
-        raise ValueError(f"{a.function} requires a field")
+        raise ValueError(f"{a.function} needs a field")
     if a.function == "COUNT_DISTINCT":
         counter = F.approx_count_distinct if a.approximate else F.count_distinct
         return counter(F.col(a.field)).alias(a.name)

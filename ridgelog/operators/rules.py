@@ -257,7 +257,7 @@ _NORMALIZERS = {"lowercase": F.lower, "uppercase": F.upper, "trim": trim_space}
 
 def _normalize(record: Record, rule: TransformRule) -> Record:
     if rule.function not in _NORMALIZERS:
-        raise ValueError(f"unknown normalization function: {rule.function}")
+        raise ValueError(f"no such normalization: {rule.function}")
     value = record.value(rule.field)
     present = value != "" if rule.field in record.fields else record.attributes[rule.field].isNotNull()
     return record.with_value(rule.field, _NORMALIZERS[rule.function](value), present)
@@ -265,7 +265,7 @@ def _normalize(record: Record, rule: TransformRule) -> Record:
 
 def _extract(record: Record, rule: TransformRule) -> Record:
     if not rule.pattern or not rule.target:
-        raise ValueError("extraction rule requires pattern and target")
+        raise ValueError("an extraction needs a pattern and a target")
     value, pattern = record.value(rule.field), re2(rule.pattern)
     return record.with_value(rule.target, F.regexp_extract(value, pattern, 1), value.rlike(pattern))
 

@@ -37,11 +37,11 @@ def widget_query(logs: DataFrame, widget: Widget, as_of: datetime) -> DataFrame:
         return run_query(logs, widget.spec, as_of)
     if widget.saved:
         if widget.saved not in SAVED:
-            raise ValueError(f"saved query not found: {widget.saved}")
+            raise ValueError(f"no such saved query: {widget.saved}")
         return SAVED[widget.saved](logs, as_of, **widget.parameters)
     if widget.sql:
         return run_sql(logs, widget.sql, widget.parameters)
-    raise ValueError("unsupported data source")
+    raise ValueError("a widget needs a spec, a saved query or SQL")
 
 
 def widget_data(logs: DataFrame, widget: Widget, as_of: datetime) -> DataFrame:

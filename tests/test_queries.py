@@ -15,6 +15,8 @@ from ridgelog.operators import rollups as m
 from ridgelog.operators.query import Aggregation, OrderBy, QuerySpec, run_query, validate_spec
 from ridgelog.plans.sql import run_sql
 from ridgelog.plans.widgets import Widget, widget_data
+from ridgelog.session import scratch_path
+from ridgelog.streaming import jobs as j
 
 
 @pytest.fixture
@@ -206,6 +208,13 @@ def test_alert_cooldown_against_brute_force(spark, cooldown):
     frame = spark.createDataFrame([("r", "info", cooldown, t, on) for t, on in checks], "rule string, severity string, cooldown int, at bigint, triggered boolean")
     got = sorted((r.start_at, r.last_at, r.end_at, r["count"]) for r in al.episodes_with_cooldown(frame).collect())
     assert got == walk(checks, cooldown)
+    path = scratch_path(spark, "checks")
+    for i in range(0, 200, 50):
+        schema = frame.schema
+        spark.createDataFrame(frame.collect()[i : i + 50], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = j.stream_files(spark, path, frame.schema, files_per_trigger=1)
+    versions = j.run_available(al.episode_stream(stream), "alerts")
+    assert sorted((r.start_at, r.last_at, r.end_at, r["count"]) for r in al.latest_episodes(versions).collect()) == got
     if cooldown == 0:
         plain = sorted((r.start_at, r.end_at, r["count"]) for r in al.episodes(frame).collect())
         assert plain == [(s, e, c) for s, _, e, c in got]
