@@ -99,10 +99,14 @@ def keyset_rows(
 ) -> DataFrame:
     """Rows after the last seen (key, tie) pair, plus one more.
 
-    The plain bound on ``key`` is pushed into the scan; the pair test then
-    removes the rows of the page border, so ties are neither lost nor repeated.
+    The plain bound on ``key`` is pushed into the scan, and a bound on the time
+    also prunes the days of a stored table. The pair test then removes the rows
+    of the page border, so ties are neither lost nor repeated.
     """
     if last is not None:
+        if key == "timestamp" and "date_partition" in df.columns:
+            day = F.to_date(F.lit(str(last[0])))
+            df = df.filter(F.col("date_partition") >= day if order == "ASC" else F.col("date_partition") <= day)
         key_value = F.lit(last[0]).cast(df.schema[key].dataType)
         tie_value = F.lit(last[1]).cast(df.schema[tie].dataType)
         k, t = F.col(key), F.col(tie)

@@ -4,7 +4,7 @@ Attributes are projected before they are aggregated: the optimizer then reads
 single keys instead of building maps. Every query takes ``as_of``.
 """
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +19,12 @@ from ridgelog.functions.scalars import (
     start_of_hour,
     start_of_minute,
 )
+from ridgelog.operators.filters import time_filter
 
 
 def _recent(df: DataFrame, as_of: datetime, **span) -> DataFrame:
-    return df.filter(F.col("timestamp") >= before(as_of, **span))
+    """Rows of the last span; older days of a stored table are not read."""
+    return time_filter(df, as_of - timedelta(**span), None)
 
 
 def errors_by_service(df: DataFrame, as_of: datetime, hours: int = 24, limit: int = 20) -> DataFrame:
@@ -145,7 +147,7 @@ def error_patterns(
 
 
 def service_level_minutes(df: DataFrame, as_of: datetime, hours: int = 1) -> DataFrame:
-    rows = df.filter(F.col("timestamp") > before(as_of, hours=hours)).select(
+    rows = _recent(df, as_of, hours=hours).filter(F.col("timestamp") > before(as_of, hours=hours)).select(
         "service", "level", start_of_minute("timestamp").alias("minute"), attr_double("duration_ms").alias("v")
     )
     grouped = rows.groupBy("service", "level", "minute").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgelog.functions.scalars import epoch_millis, level_rank, ntz, partition_key, start_of_hour
+from ridgelog.operators.filters import time_filter
 
 HOT_DAYS = 7
 RETENTION_DAYS = 30
@@ -118,7 +119,8 @@ def tier_counts(df: DataFrame, as_of: datetime, hot_days: int = HOT_DAYS, keep_d
 
 def retained(df: DataFrame, as_of: datetime, keep_days: int = RETENTION_DAYS) -> DataFrame:
     """Rows that have not expired."""
-    return df.filter(F.col("timestamp") > ntz(as_of - timedelta(days=keep_days)))
+    oldest = as_of - timedelta(days=keep_days)
+    return time_filter(df, oldest, None).filter(F.col("timestamp") > ntz(oldest))
 
 
 def expired_days(info: DataFrame, as_of: datetime, keep_days: int = RETENTION_DAYS) -> DataFrame:

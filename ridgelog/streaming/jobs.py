@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ridgelog.functions.scalars import ntz
 from ridgelog.operators.errors import with_detected_errors, with_hits
-from ridgelog.operators.filters import tail_condition
+from ridgelog.operators.filters import tail_condition, time_filter
 from ridgelog.operators.rollups import merge_rollups
 from ridgelog.operators.traces import _failed, _traced, with_trace_ids
 from ridgelog.session import scratch_path
@@ -57,7 +57,7 @@ def tail_view(logs: DataFrame) -> DataFrame:
 
 def tail_batch(logs: DataFrame, since, limit: int = TAIL_BATCH) -> DataFrame:
     """One poll: the oldest rows after ``since``. On a stream the checkpoint replaces ``since``."""
-    newer = logs.filter(F.col("timestamp") > ntz(since))
+    newer = time_filter(logs, since, None).filter(F.col("timestamp") > ntz(since))
     return tail_view(newer.orderBy("timestamp", "id").limit(limit))
 
 

@@ -8,6 +8,8 @@ from ridgelog.operators import filters as f
 from ridgelog.operators import parsing as p
 from ridgelog.operators import rules as v
 from ridgelog.operators import traces as t
+from ridgelog.operators.pages import keyset_rows
+from ridgelog.plans import templates
 from ridgelog.schema import LOG_SCHEMA
 from ridgelog.session import checkpointed, scratch_path
 from ridgelog.storage import export as x
@@ -52,6 +54,22 @@ def test_time_filter_prunes_partitions_and_pushes_down(spark, stored):
     assert "message" not in plan.split("ReadSchema")[1]
 
 
+def test_saved_queries_and_pages_read_only_the_days_they_need(spark, stored):
+    logs = table.read_logs(spark, stored)
+    now = datetime(2024, 1, 20)
+    frames = [
+        templates.errors_by_service(logs, now, hours=24),
+        templates.levels_over_time(logs, now),
+        templates.recent_errors(logs, now, "s1"),
+        keyset_rows(logs, "timestamp", ("2024-01-12 00:00:00", "log-100"), 10),
+        j.tail_batch(logs, now),
+        table.retained(logs, datetime(2024, 2, 12)),
+    ]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(date_partition" in plan, plan
+
+
 def test_expiry_and_compaction(spark, month, stored, as_of):
     table.write_logs(month.withColumn("id", F.concat(F.lit("again-"), "id")), stored)
     before = stats.partition_info(stats.file_info(spark, stored))
