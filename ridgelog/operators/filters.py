@@ -3,7 +3,7 @@
 import operator
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import reduce
 from typing import Any
 
@@ -135,6 +135,35 @@ def time_filter(
     return df
 
 
+def _day_of(value: Any) -> date | None:
+    if isinstance(value, datetime):
+        return value.date()
+    try:
+        return date.fromisoformat(str(value)[:10])
+    except ValueError:
+        return None
+
+
+def _implied_days(filters: Sequence[Filter]) -> Column | None:
+    """Bounds on ``date_partition`` that follow from AND-joined filters on the timestamp."""
+    if any(f.logical_op.upper() == "OR" for f in filters[1:]):
+        return None
+    bounds = []
+    for f in filters:
+        if f.field != "timestamp":
+            continue
+        if f.operator == "between":
+            low, high = f.values
+        else:
+            low = f.value if f.operator in ("equals", "greater_than", "greater_equal") else None
+            high = f.value if f.operator in ("equals", "less_than", "less_equal") else None
+        for value, test in ((low, operator.ge), (high, operator.le)):
+            day = None if value is None else _day_of(value)
+            if day is not None:
+                bounds.append(test(F.col("date_partition"), F.lit(day)))
+    return reduce(operator.and_, bounds) if bounds else None
+
+
 def apply_filters(
     df: DataFrame,
     filters: Sequence[Filter] = (),
@@ -145,7 +174,10 @@ def apply_filters(
     if time_range is not None:
         df = time_filter(df, *time_range.bounds(as_of))
     predicate = combine(filters)
-    return df if predicate is None else df.filter(predicate)
+    if predicate is None:
+        return df
+    days = _implied_days(filters) if "date_partition" in df.columns else None
+    return df.filter(predicate if days is None else predicate & days)
 
 
 def search_logs(

@@ -9,6 +9,7 @@ from ridgelog.operators import parsing as p
 from ridgelog.operators import rules as v
 from ridgelog.operators import traces as t
 from ridgelog.operators.pages import keyset_rows
+from ridgelog.operators.query import QuerySpec, run_query
 from ridgelog.plans import templates
 from ridgelog.schema import LOG_SCHEMA
 from ridgelog.session import checkpointed, scratch_path
@@ -63,6 +64,8 @@ def test_saved_queries_and_pages_read_only_the_days_they_need(spark, stored):
         templates.recent_errors(logs, now, "s1"),
         keyset_rows(logs, "timestamp", ("2024-01-12 00:00:00", "log-100"), 10),
         j.tail_batch(logs, now),
+        run_query(logs, QuerySpec("q", filters=[f.Filter("timestamp", "greater_than", "2024-01-12 10:00:00")])),
+        run_query(logs, QuerySpec("q", filters=[f.Filter("timestamp", "between", values=(now, now + timedelta(days=1)))])),
         table.retained(logs, datetime(2024, 2, 12)),
     ]
     for frame in frames:
@@ -70,6 +73,13 @@ def test_saved_queries_and_pages_read_only_the_days_they_need(spark, stored):
         assert "PartitionFilters: [isnotnull(date_partition" in plan, plan
 
 
+def test_or_filters_do_not_prune(spark, stored):
+    logs = table.read_logs(spark, stored)
+    spec = QuerySpec("q", filters=[f.Filter("timestamp", "less_than", "2024-01-12"), f.Filter("level", "equals", "error", logical_op="OR")])
+    expected = logs.filter("timestamp < timestamp_ntz'2024-01-12' or level = 'error'").count()
+    assert run_query(logs, spec).count() == expected > 0
+
+
 def test_expiry_and_compaction(spark, month, stored, as_of):
     table.write_logs(month.withColumn("id", F.concat(F.lit("again-"), "id")), stored)
     before = stats.partition_info(stats.file_info(spark, stored))
