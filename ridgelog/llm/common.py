@@ -26,17 +26,10 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _NOT_ALNUM), "")
 
 
-def pieces(rows: DataFrame, words: str, size: int, overlap: int) -> DataFrame:
-    """Rows with ``piece`` (at most ``size + overlap`` consecutive words) and ``first`` (its place).
-
-    Pieces start every ``size`` words and reach ``overlap`` words into the next
-    one, so a very long text becomes many rows and whatever spans at most
-    ``overlap + 1`` words lies whole in the piece in which it starts.
-    """
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))
-    cut = F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice(F.col(words), s + 1, size + overlap).alias("piece")))
-    return rows.where(n > 0).select(*[c for c in rows.columns if c != words], F.inline(cut))
+def row_keys(doc_id: str, text: str) -> tuple[Column, Column]:
+    """Two numbers that rows share only if they have the same doc_id and text; neither is ever null."""
+    n = F.col(doc_id).cast("long")
+    return F.coalesce(n, F.lit(0)), F.xxhash64(n.isNull(), F.col(text).isNull(), F.col(text).cast("string"))
 
 
 def broadcast_if_small(frame: DataFrame, rows: int, most: int) -> DataFrame:

@@ -4,11 +4,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgelog.llm.decontam import contamination
+from ridgelog.llm.extract import extract_main_text
+from ridgelog.llm.pii import personal_data
+from ridgelog.llm.quality import fit_rules, judge_quality
 from ridgelog.llm.simhash import near_duplicates
+from ridgelog.llm.sptok import encode, read_model
+from ridgelog.llm.urlrules import Rule, judge_urls, rules_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: the vocabulary of the first operator; a parameter of it
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+# The rules of the third operator.
+URL_RULES = [
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 def query(name: str, sql: str | None = None):
     """Register a query; without ``sql`` it is tested against a brute-force version."""
@@ -26,6 +44,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_sentencepiece_ids")
+def op1_sentencepiece_ids(spark, sf_dir):
+    return encode(table(spark, sf_dir, "documents"), read_model(MODEL_PATH))
+
+
 @query("op2_simhash_groups")
 def op2_simhash_groups(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _fits(rule: Rule) -> str:
+    return f"(('.' || host) LIKE '%.{rule.host}' AND starts_with(path, '{rule.path}'))"
+
+
+_BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r.host + r.path))
+
+
+@query(
+    "op3_url_rules",
+    f"""WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+whole AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path FROM parts)
+SELECT page_id, host, path,
+ CASE {' '.join(f"WHEN {_fits(r)} THEN '{r.host}{r.path}'" for r in _BY_LENGTH)} END AS rule,
+ CASE {' '.join(f"WHEN {_fits(r)} THEN '{r.verdict}'" for r in _BY_LENGTH)} ELSE 'allow' END AS verdict
+FROM whole""",
+)
+def op3_url_rules(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
+
+
+def _words(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@query(
+    "op4_benchmark_windows",
+    f"""WITH doc AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+item AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, s, s + 9) AS g FROM item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0),
+gram AS (SELECT DISTINCT g FROM win),
+place AS (SELECT doc_id, s, z, list_slice(w, s, s + z - 1) AS g FROM doc, (SELECT DISTINCT len(g) AS z FROM gram), unnest(range(1, len(w) - z + 2)) AS t(s)),
+hit AS (SELECT doc_id, s, z, g FROM place SEMI JOIN gram USING (g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + z)) AS t(p) GROUP BY doc_id),
+found AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit JOIN win USING (g)),
+lists AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN lists USING (doc_id)""",
+)
+def op4_benchmark_windows(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return judge_quality(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_personal_data")
+def op9_personal_data(spark, sf_dir):
+    return personal_data(table(spark, sf_dir, "documents"))

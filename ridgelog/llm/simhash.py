@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgelog.llm.bktree import least_linked
-from ridgelog.llm.common import fresh
+from ridgelog.llm.common import fresh, row_keys
 from ridgelog.llm.components import components
 from ridgelog.session import checkpointed
 
@@ -52,15 +52,9 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "text_key", "bits"])
 
 
-def _keys(doc_id: str, text: str) -> tuple[Column, Column]:
-    """Two numbers that rows share only if they have the same doc_id and text; neither is ever null."""
-    n = F.col(doc_id).cast("long")
-    return F.coalesce(n, F.lit(0)), F.xxhash64(n.isNull(), F.col(text).isNull(), F.col(text).cast("string"))
-
-
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, text_key, bits)``: the fingerprint of every row's whole text as a signed long."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _keys(doc_id, text)[1].alias("text_key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_keys(doc_id, text)[1].alias("text_key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, text_key long, bits long")
 
 
@@ -133,7 +127,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = _grouped(docs, doc_id, text, BUCKET_MOST, SHARD_ROWS).where("doc_id <=> component_id")
     kept = groups.groupBy("root").agg(F.coalesce(F.first("doc_id"), F.lit(0)).alias("_id"), F.min("text_key").alias("_text"))
     id_key, text_key = (fresh(docs.columns, n) for n in ("_id_key", "_text_key"))
-    by_id, by_text = _keys(doc_id, text)
+    by_id, by_text = row_keys(doc_id, text)
     rows = docs.withColumns({id_key: by_id, text_key: by_text})
     rows = rows.join(kept, (F.col(id_key) == F.col("_id")) & (F.col(text_key) == F.col("_text")), "left_semi")
     return rows.dropDuplicates([id_key, text_key]).drop(id_key, text_key)
