@@ -4,10 +4,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgelog.llm.chat import as_mails, format_conversations
 from ridgelog.llm.decontam import contamination
 from ridgelog.llm.extract import extract_main_text
+from ridgelog.llm.licenses import scan_licenses, template_table
 from ridgelog.llm.pii import personal_data
 from ridgelog.llm.quality import fit_rules, judge_quality
+from ridgelog.llm.shards import shard_documents
 from ridgelog.llm.simhash import near_duplicates
 from ridgelog.llm.sptok import encode, read_model
 from ridgelog.llm.urlrules import Rule, judge_urls, rules_table
@@ -103,6 +106,16 @@ def op5_main_text(spark, sf_dir):
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+@query("op6_license_notices")
+def op6_license_notices(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"), template_table(spark))
+
+
+@query("op7_minimax_shards")
+def op7_minimax_shards(spark, sf_dir):
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 @query("op8_quality_rules")
 def op8_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -112,3 +125,15 @@ def op8_quality_rules(spark, sf_dir):
 @query("op9_personal_data")
 def op9_personal_data(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_quotation_links",
+    r"""WITH before AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+own AS (SELECT conv_id, turn, len(list_filter(string_split(coalesce(one, ''), chr(10)), lambda x: trim(x) <> '')) AS a, len(list_filter(string_split(coalesce(two, ''), chr(10)), lambda x: trim(x) <> '')) AS b,
+ role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS own FROM before)
+SELECT conv_id, turn, role, own, CASE WHEN a > 0 THEN turn - 1 END AS reply_to, min(turn) OVER (PARTITION BY conv_id) AS root,
+ turn - min(turn) OVER (PARTITION BY conv_id) AS depth, a + b AS n_quoted, a + b AS n_linked FROM own""",
+)
+def op10_quotation_links(spark, sf_dir):
+    return format_conversations(as_mails(table(spark, sf_dir, "conversations")))
