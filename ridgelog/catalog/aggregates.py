@@ -172,22 +172,28 @@ def concat_sources(spark, sf_dir):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("message")).alias("bytes"))
 
 
+_SHARD = "CAST(CAST('0x' || left(md5(key), 8) AS BIGINT) % {} AS INT)"
+
+
 @query(
     "shard_counts",
-    W
-    + """, keys AS (SELECT service AS key, count(*) AS n FROM logs GROUP BY service)
- SELECT CAST(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(list_filter(string_split(key, ''), lambda c: c <> ''), lambda c: CAST(ascii(c) AS HUGEINT))),
- lambda h, b: (CAST(xor(CAST(h AS BIGINT), CAST(b AS BIGINT)) AS HUGEINT) * 16777619) % 4294967296) % 16 AS INT) AS shard,
- CAST(sum(n) AS BIGINT) AS row_count FROM keys GROUP BY 1""",
+    W + f"SELECT {_SHARD.format(16)} AS shard, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS keys FROM (SELECT service AS key, count(*) AS n FROM logs GROUP BY 1) GROUP BY 1",
 )
 def shard_counts(spark, sf_dir):
     return a.shard_counts(_logs(spark, sf_dir), "service", 16)
 
 
-@query("shard_totals", "SELECT count(*) AS row_count FROM events")
+@query(
+    "shard_totals",
+    f"SELECT {_SHARD.format(64)} AS shard, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS keys FROM (SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1) GROUP BY 1",
+)
 def shard_totals(spark, sf_dir):
-    shards = a.shard_counts(table(spark, sf_dir, "events"), "user_id", 64, stable=False)
-    return shards.agg(F.sum("row_count").alias("row_count"))
+    return a.shard_counts(table(spark, sf_dir, "events"), "user_id", 64)
+
+
+@query("value_rows", W + "SELECT service, message AS value, count(*) AS rows FROM logs GROUP BY 1, 2")
+def value_rows(spark, sf_dir):
+    return a.value_rows(_logs(spark, sf_dir), ["service"], "message")
 
 
 # -- saved and dashboard queries --------------------------------------------------------------

@@ -222,13 +222,13 @@ def quick_search(spark, sf_dir):
 
 @query(
     "quick_search_conversations",
-    """SELECT conv_id, turn, text FROM conversations WHERE contains(lower(text), 'error') OR contains(lower(role), 'error')""",
+    """SELECT conv_id, turn, text FROM conversations WHERE contains(lower(text), 'tion') OR contains(lower(role), 'tion')""",
 )
 def quick_search_conversations(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").selectExpr(
         "conv_id", "turn", "text", "text AS message", "role AS service", "'info' AS level"
     )
-    return f.quick_search(rows, "error").select("conv_id", "turn", "text")
+    return f.quick_search(rows, "tion").select("conv_id", "turn", "text")
 
 
 @query("facet_filter", _SELECT + "WHERE level = 'info' AND service = 'auth-service' AND contains(lower(message), 'checkout')")

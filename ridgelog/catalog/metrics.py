@@ -179,6 +179,24 @@ _CHECKS = """hourly AS (SELECT epoch_us(ts) // 3600000000 * 3600 AS "at", count(
  UNION ALL SELECT 'exact_hour', 'info', 0, "at", n, n = 14 FROM hourly)"""
 
 
+@query(
+    "default_alerts",
+    """WITH m AS (SELECT event_id AS "at", user_id % 4 AS kind, value AS v FROM events), s AS (SELECT "at", CASE kind WHEN 0 THEN 'ingestion_rate_per_second' WHEN 1 THEN 'query_duration_ms_p99'
+ WHEN 2 THEN 'memory_alloc_mb' ELSE 'storage_free_percent' END AS name, CASE WHEN kind = 0 AND "at" % 3 = 0 THEN 0 ELSE floor(v) * CASE kind WHEN 0 THEN 100 WHEN 1 THEN 50 WHEN 2 THEN 10 ELSE 1 END END AS value FROM m),
+ r(rule, severity, metric, comparator, threshold, cooldown) AS (VALUES ('high_ingestion_rate', 'warning', 'ingestion_rate_per_second', '>', 10000.0, 300), ('slow_queries', 'warning', 'query_duration_ms_p99', '>', 5000.0, 300),
+ ('high_memory_usage', 'critical', 'memory_alloc_mb', '>', 1024.0, 300), ('low_storage_space', 'critical', 'storage_free_percent', '<', 10.0, 1800), ('no_recent_logs', 'info', 'ingestion_rate_per_second', '=', 0.0, 600))
+ SELECT rule, severity, cooldown, "at", value, CASE comparator WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold ELSE value = threshold END AS triggered FROM s JOIN r ON name = metric""",
+)
+def default_alerts(spark, sf_dir):
+    """The default rules on one sample per event."""
+    kind = F.col("user_id") % 4
+    name = F.element_at(F.array(*[F.lit(n) for n in ("ingestion_rate_per_second", "query_duration_ms_p99", "memory_alloc_mb", "storage_free_percent")]), (kind + 1).cast("int"))
+    scale = F.element_at(F.array(*[F.lit(float(n)) for n in (100, 50, 10, 1)]), (kind + 1).cast("int"))
+    value = F.when((kind == 0) & (F.col("event_id") % 3 == 0), F.lit(0.0)).otherwise(F.floor("value") * scale)
+    samples = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), name.alias("name"), value.alias("value"))
+    return a.evaluate_rules(samples)
+
+
 @query("alert_checks", f"WITH {_CHECKS} SELECT * FROM checks")
 def alert_checks(spark, sf_dir):
     return a.evaluate_rules(_hourly_metrics(spark, sf_dir), RULES)
@@ -217,11 +235,18 @@ def alert_cooldown(spark, sf_dir):
 
 @query("stream_alerts", f"WITH {_WALK} SELECT * FROM found")
 def stream_alerts(spark, sf_dir):
-    """The same alerts from a stream of hourly samples."""
-    path = scratch_path(spark, "samples")
-    _hourly_metrics(spark, sf_dir).write.parquet(path)
-    samples = stream_files(spark, path, StructType.fromDDL("at bigint, name string, value double"))
-    versions = run_available(a.episode_stream(a.evaluate_rules(samples, RULES)), "alerts")
+    """The same alerts from a stream of hourly samples that come in three files, the latest first.
+
+    A last file carries the watermark past all samples, as later samples would.
+    """
+    path, late = scratch_path(spark, "samples"), "40 days"
+    metrics = _hourly_metrics(spark, sf_dir)
+    for part in (2, 0, 1):
+        metrics.where(F.pmod(F.xxhash64("at"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
+    mark = spark.createDataFrame([(4_000_000_000, RULES[0].metric, -1.0)], "at bigint, name string, value double")
+    mark.coalesce(1).write.mode("append").parquet(path)
+    samples = stream_files(spark, path, StructType.fromDDL("at bigint, name string, value double"), files_per_trigger=1)
+    versions = run_available(a.episode_stream(a.evaluate_rules(samples, RULES), late), "alerts")
     return a.latest_episodes(versions).withColumn("end_at", F.coalesce("end_at", F.lit(-1)))
 
 

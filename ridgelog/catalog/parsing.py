@@ -23,6 +23,8 @@ from ridgelog.functions.scalars import attr
 from ridgelog.functions.timeparse import parse_timestamp
 from ridgelog.operators import parsing as p
 from ridgelog.operators import rules as v
+from ridgelog.operators.errors import with_detected_errors
+from ridgelog.session import scratch_path
 from ridgelog.sources import ingest
 from ridgelog.sources.syslog import decode_syslog
 
@@ -282,11 +284,11 @@ def parse_and_merge(spark, sf_dir):
 @query(
     "timestamp_layouts",
     """SELECT o_orderkey, o_orderdate AS iso, o_orderdate - INTERVAL 90 MINUTE AS offset_, o_orderdate AS plain, o_orderdate AS slashed, o_orderdate AS access, o_orderdate AS seconds,
- o_orderdate + INTERVAL 10000 DAY AS millis, make_timestamp(2024, month(o_orderdate), day(o_orderdate), 0, 0, 0) AS yearless FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)""",
+ o_orderdate + INTERVAL 10000 DAY AS millis, make_timestamp(2024, month(o_orderdate), day(o_orderdate), 0, 0, 0) AS yearless FROM orders""",
 )
 def timestamp_layouts(spark, sf_dir):
     """The order dates written in every accepted layout and read back."""
-    orders = table(spark, sf_dir, "orders").filter(~((F.month("o_orderdate") == 2) & (F.dayofmonth("o_orderdate") == 29)))
+    orders = table(spark, sf_dir, "orders")
     d, epoch = F.col("o_orderdate"), F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     texts = {
         "iso": F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'.000Z'"),
@@ -330,6 +332,52 @@ def ingest_bodies(spark, sf_dir):
     )
 
 
+@query(
+    "read_json_files",
+    f"""WITH {REQUEST_LOGS} SELECT id, timestamp, CASE WHEN k % 4 = 0 THEN 'info' ELSE level END AS level, message, CASE WHEN k % 3 = 0 OR service = '' THEN 'unknown' ELSE service END AS service,
+ '' AS trace_id FROM numbered UNION ALL SELECT 'generated', {AS_OF_SQL}, 'info', 'bare ' || event_no, 'unknown', 't' || k FROM numbered WHERE event_no % 2 = 0""",
+)
+def read_json_files(spark, sf_dir):
+    """Lines of objects and arrays in files, between as many lines that were cut off."""
+    path, bodies = scratch_path(spark, "json-files"), request_bodies(spark, sf_dir)
+    bodies.write.text(path)
+    bodies.select(F.expr("left(value, length(value) - 3)")).write.mode("append").text(path)
+    logs = ingest.read_json_logs(spark, path, as_of=AS_OF)
+    bare = F.when(F.col("message").startswith("bare "), F.lit("generated")).otherwise(F.col("id"))
+    return logs.select(bare.alias("id"), "timestamp", "level", "message", "service", "trace_id")
+
+
+_ODD_BODIES = """CASE doc_id % 5 WHEN 0 THEN left(text, 60) WHEN 1 THEN '{"message": "' || lang || '", "service": 7}' WHEN 2 THEN '[{"message": "a"}, 1]'
+ WHEN 3 THEN '"' || lang || '"' ELSE '{"message": "' || lang END"""
+
+
+@query(
+    "ingest_rejects",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN 'array with elements that are no logs' WHEN 3 THEN 'no log or array of logs' ELSE 'malformed JSON' END AS reason
+ FROM documents WHERE doc_id % 5 <> 1 AND NOT (doc_id % 5 = 0 AND trim(left(text, 60)) = '')""",
+)
+def ingest_rejects(spark, sf_dir):
+    bodies = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_ODD_BODIES} AS value")
+    return ingest.rejected_bodies(bodies).select("doc_id", "reason")
+
+
+@query("ingest_accepted", "SELECT lang AS message, '7' AS service, 'info' AS level, count(*) AS row_count FROM documents WHERE doc_id % 5 = 1 GROUP BY 1")
+def ingest_accepted(spark, sf_dir):
+    """The other side of ``ingest_rejects``: nothing but whole logs gets in."""
+    bodies = table(spark, sf_dir, "documents").selectExpr(f"{_ODD_BODIES} AS value")
+    return ingest.decode_bodies(bodies, as_of=AS_OF).groupBy("message", "service", "level").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+_ODD_CODES = "CASE event_id % 6 WHEN 0 THEN '99999999999' WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN '404' WHEN 4 THEN '503.9' ELSE '-1e400' END"
+
+
+@query("hostile_status_codes", "SELECT event_id, CASE event_id % 6 WHEN 3 THEN 'http:404' WHEN 4 THEN 'http:503' ELSE '' END AS tags FROM events")
+def hostile_status_codes(spark, sf_dir):
+    """Status codes beyond any integer are no status, and end no job."""
+    logs = table(spark, sf_dir, "events").selectExpr("event_id", "'fine' AS message", "'info' AS level", f"map('status_code', {_ODD_CODES}) AS attributes")
+    return with_detected_errors(logs).select("event_id", F.array_join("detected_errors", ",").alias("tags"))
+
+
 @query(
     "bulk_summary",
     f"""WITH {REQUEST_LOGS} SELECT 'batch-' || (event_no // 500) AS batch, count(*) AS log_count, min(date_trunc('milliseconds', timestamp)) AS first_timestamp,
@@ -384,6 +432,19 @@ def decode_syslog_lines(spark, sf_dir):
     return logs.select("id", "timestamp", "level", "service", "message", *[attr(n).alias(n) for n in names])
 
 
+@query(
+    "hostile_syslog",
+    f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {_SEVERITIES}[((event_id * 9000000007) & 7) + 1] ELSE 'emergency' END AS level,
+ CASE WHEN event_id % 2 = 0 THEN coalesce({_FACILITIES}[least((event_id * 9000000007) >> 3, 1000) + 1], '') ELSE 'kernel' END AS facility FROM events""",
+)
+def hostile_syslog(spark, sf_dir):
+    """A PRI of many digits names no facility; one beyond 64 bits counts as 0."""
+    pri = "CASE WHEN event_id % 2 = 0 THEN CAST(event_id * 9000000007 AS STRING) ELSE '9' || lpad(CAST(event_id AS STRING), 30, '9') END"
+    lines = table(spark, sf_dir, "events").selectExpr("event_id", f"'<' || {pri} || '>Jan 15 10:30:00 host app: text' AS value")
+    logs = decode_syslog(lines, as_of=AS_OF)
+    return logs.select("event_id", "level", attr("facility").alias("facility"))
+
+
 @query(
     "agent_fields",
     f"WITH {LOGS} SELECT id, CASE WHEN a_app <> '' THEN a_app ELSE 'agent' END AS app, 'eu' AS region, CASE WHEN a_exception <> '' THEN a_exception ELSE a_error END AS error FROM logs",

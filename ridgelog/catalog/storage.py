@@ -43,10 +43,14 @@ def _rewritten(spark, sf_dir, **layout):
     return t.read_logs(spark, path)
 
 
+def _period(column):
+    return F.col(column).cast("string").alias("period")
+
+
 @query("weekly_table", W + "SELECT strftime(timestamp, '%G%V') AS period, count(*) AS row_count, count(DISTINCT id) AS ids FROM logs GROUP BY 1")
 def weekly_table(spark, sf_dir):
     rows = _rewritten(spark, sf_dir, interval="weekly", codec="LZ4")
-    return rows.groupBy(F.col("period").cast("string").alias("period")).agg(
+    return rows.groupBy(_period("week_partition")).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct("id").alias("ids")
     )
 
@@ -54,7 +58,7 @@ def weekly_table(spark, sf_dir):
 @query("monthly_table", W + "SELECT strftime(timestamp, '%Y%m') AS period, count(*) AS row_count, count(NULLIF(a_user_id, '')) AS users FROM logs GROUP BY 1")
 def monthly_table(spark, sf_dir):
     rows = _rewritten(spark, sf_dir, interval="monthly", codec="SNAPPY", cluster=True)
-    return rows.groupBy(F.col("period").cast("string").alias("period")).agg(
+    return rows.groupBy(_period("month_partition")).agg(
         F.count(F.lit(1)).alias("row_count"), F.count(F.col("attributes")["user_id"]).alias("users")
     )
 
@@ -126,6 +130,76 @@ def compaction(spark, sf_dir):
     return rows.join(scattered, "date_partition").select(_day(), "row_count", "first_id", "last_id", "scattered")
 
 
+def _scattered(spark, sf_dir, interval):
+    """A table whose partitions were written in two appends."""
+    path = scratch_path(spark, interval)
+    logs = event_logs(spark, sf_dir).drop("date_partition")
+    for half in (F.hour("timestamp") < 12, F.hour("timestamp") >= 12):
+        t.write_logs(logs.filter(half), path, interval=interval)
+    return path
+
+
+def _compacted(spark, sf_dir, interval):
+    """All partitions past the hot window rewritten; rows, ids and files by partition."""
+    path, (column, *_) = _scattered(spark, sf_dir, interval), t.PARTITIONS[interval]
+    info = stats.partition_info(stats.file_info(spark, path, column), column)
+    t.compact(spark, path, [r[0] for r in t.compaction_candidates(info, AS_OF).collect()])
+    files = stats.partition_info(stats.file_info(spark, path, column), column).select(_period(column), F.col("rows").alias("footer_rows"))
+    rows = t.read_logs(spark, path).groupBy(_period(column)).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("id").alias("ids"))
+    return rows.join(files, "period")
+
+
+_BY_PERIOD = "SELECT strftime(timestamp, '{}') AS period, count(*) AS row_count, count(DISTINCT id) AS ids, count(*) AS footer_rows FROM logs GROUP BY 1"
+
+
+@query("weekly_compaction", W + _BY_PERIOD.format("%G%V"))
+def weekly_compaction(spark, sf_dir):
+    return _compacted(spark, sf_dir, "weekly")
+
+
+@query("monthly_compaction", W + _BY_PERIOD.format("%Y%m"))
+def monthly_compaction(spark, sf_dir):
+    return _compacted(spark, sf_dir, "monthly")
+
+
+@query("partition_info_monthly", W + "SELECT strftime(timestamp, '%Y%m') AS period, count(*) AS row_count FROM logs GROUP BY 1")
+def partition_info_monthly(spark, sf_dir):
+    info = stats.file_info(spark, _scattered(spark, sf_dir, "monthly"), "month_partition")
+    return stats.partition_info(info, "month_partition").select(_period("month_partition"), F.col("rows").alias("row_count"))
+
+
+@query(
+    "drop_expired_weekly",
+    W + "SELECT strftime(timestamp, '%G%V') AS period, count(*) AS row_count FROM logs WHERE date_trunc('week', timestamp) + INTERVAL 6 DAY >= TIMESTAMP '2024-01-11' GROUP BY 1",
+)
+def drop_expired_weekly(spark, sf_dir):
+    """Weeks whose last day has expired are deleted; rows without a timestamp are in the table and stay out of the way."""
+    path = scratch_path(spark, "expiring-weeks")
+    logs = event_logs(spark, sf_dir).drop("date_partition")
+    lost = logs.limit(1).withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
+    t.write_logs(logs.unionByName(lost), path, interval="weekly")
+    t.drop_expired(spark, path, datetime(2024, 2, 10))
+    kept = t.read_logs(spark, path).filter(F.col("timestamp").isNotNull())
+    return kept.groupBy(_period("week_partition")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query("publish_merge", W + f"SELECT {_DAY} AS day, count(*) AS row_count, count(DISTINCT id) AS ids, min(level) AS first_level FROM logs GROUP BY 1")
+def publish_merge(spark, sf_dir):
+    """Half of the logs are stored, all of them land twice, and the landed days are published twice."""
+    landing, path = scratch_path(spark, "landed"), scratch_path(spark, "merged")
+    logs = event_logs(spark, sf_dir).drop("date_partition")
+    t.write_logs(logs.filter(F.hour("timestamp") < 12), path)
+    late = logs.filter((F.hour("timestamp") >= 12) | (F.dayofmonth("timestamp") % 2 == 0))
+    for _ in range(2):
+        t.write_logs(late, landing)
+    days = [r[0] for r in t.read_logs(spark, landing).select("date_partition").distinct().collect()]
+    for _ in range(2):
+        t.publish_days(spark, landing, path, days)
+    return t.read_logs(spark, path).groupBy(_day()).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("id").alias("ids"), F.min("level").alias("first_level")
+    )
+
+
 @query("partition_info", W + f"SELECT {_DAY} AS day, count(*) AS row_count, true AS has_bytes, true AS has_parts FROM logs GROUP BY 1")
 def partition_info(spark, sf_dir):
     info = stats.partition_info(stats.file_info(spark, logs_path(spark, sf_dir)))
@@ -135,7 +209,7 @@ def partition_info(spark, sf_dir):
 
 
 def _footers(spark, sf_dir):
-    return stats.with_footer_sizes(stats.file_info(spark, logs_path(spark, sf_dir)))
+    return stats.file_info(spark, logs_path(spark, sf_dir))
 
 
 @query(

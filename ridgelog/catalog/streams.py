@@ -5,6 +5,7 @@ counterparts leave out the ones that are still open.
 """
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,33 @@ def tail_poll(spark, sf_dir):
     return j.tail_batch(event_logs(spark, sf_dir), datetime(2024, 1, 15))
 
 
+@query("tail_pages", W + "SELECT id, timestamp, level FROM logs WHERE timestamp > TIMESTAMP '2024-01-01'")
+def tail_pages(spark, sf_dir):
+    """All polls together are the logs, in pages of a fortieth of them, and many share a second."""
+    logs = event_logs(spark, sf_dir)
+    size = max(1, logs.count() // 40)
+    pages = list(j.tail_pages(logs.withColumn("timestamp", F.date_trunc("day", "timestamp").cast("timestamp_ntz")), datetime(2023, 12, 31), size))
+    ids = reduce(lambda a, b: a.unionAll(b), [p.select("id") for p in pages])
+    return logs.filter("timestamp > timestamp_ntz'2024-01-01'").join(ids, "id").select("id", "timestamp", "level")
+
+
+@query("late_ingest", W + f"SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS row_count, count(DISTINCT id) AS ids FROM logs GROUP BY 1")
+def late_ingest(spark, sf_dir):
+    """Files arrive one per batch, the newest logs first, and some twice; late logs are kept and repeated ones removed."""
+    source, landing, path = scratch_path(spark, "arriving"), scratch_path(spark, "landing"), scratch_path(spark, "published")
+    logs = event_logs(spark, sf_dir).drop("date_partition")
+    for first, last in ((21, 31), (1, 10), (8, 22)):
+        day = F.dayofmonth("timestamp")
+        logs.filter((day >= first) & (day <= last)).coalesce(1).write.mode("append").parquet(source)
+    stream = j.stream_files(spark, source, logs.schema, files_per_trigger=1)
+    j.append_sink(stream, landing, scratch_path(spark, "landing-checkpoint"), trigger={"availableNow": True}).awaitTermination()
+    days = [r[0] for r in read_logs(spark, landing).select("date_partition").distinct().collect()]
+    publish_days(spark, landing, path, days)
+    return read_logs(spark, path).groupBy(F.col("date_partition").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("id").alias("ids")
+    )
+
+
 @query(
     "stream_enrichment",
     f"WITH {hits_sql(_TRACED, 'a_error')}, tags AS (SELECT id, string_agg(tag, ',' ORDER BY position) AS tags FROM hits GROUP BY id)"
@@ -53,10 +81,14 @@ def stream_enrichment(spark, sf_dir):
 
 @query(
     "stream_traces",
-    f"WITH {_SESSIONS} SELECT * FROM sessions WHERE last_log + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM traced) - INTERVAL 10 MINUTE",
+    f"WITH {_SESSIONS}, closed AS (SELECT trace_id, min(timestamp) AS first_log, max(timestamp) AS last_log, count(*) AS log_count, count(*) FILTER (failed) AS error_count,"
+    " coalesce(string_agg(DISTINCT NULLIF(service, ''), ',' ORDER BY NULLIF(service, '')), '') AS services, count(DISTINCT NULLIF(span_id, '')) AS span_count,"
+    " (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) // 1000 AS duration_ms FROM numbered GROUP BY trace_id, no)"
+    f" SELECT * FROM closed WHERE last_log + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM traced) - INTERVAL 10 MINUTE",
 )
 def stream_traces(spark, sf_dir):
-    return j.run_available(j.trace_state(log_stream(spark, sf_dir)), "traces")
+    traces = j.trace_state(log_stream(spark, sf_dir)).withColumn("services", F.array_join("services", ","))
+    return j.run_available(traces, "traces")
 
 
 _HITS = hits_sql(LOGS)

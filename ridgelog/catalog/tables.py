@@ -22,8 +22,6 @@ AS_OF = datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 #: a range in hours that covers all events
 ALL_HOURS = 24 * 31
-#: text arrives in several files, as it does from several senders
-LANDED_FILES = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -272,11 +270,16 @@ def derive_lines(events: DataFrame) -> DataFrame:
     return logs.selectExpr("id", f"{_lines(_SPARK_STAMP.get, 'upper(level)')} AS value")
 
 
+def _landed(rows: DataFrame) -> DataFrame:
+    """Rows spread over two tasks per core, as if as many senders had delivered them."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored text lines of all events."""
 
     def write(path: str) -> None:
-        derive_lines(table(spark, sf_dir, "events")).repartition(LANDED_FILES).write.parquet(path)
+        _landed(derive_lines(table(spark, sf_dir, "events"))).write.option("maxRecordsPerFile", 5_000_000).parquet(path)
 
     return spark.read.schema("id string, value string").parquet(_stored(spark, sf_dir, "lines", write))
 
@@ -305,7 +308,7 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         logs = _numbered(table(spark, sf_dir, "events")).selectExpr(
             "event_id AS event_no", "k", f"{_SPARK_STAMP['docker'].replace('timestamp', 'ts')} AS stamp", *[f"{e} AS {c}" for c, e in LOG_COLUMNS.items()]
         )
-        logs.selectExpr(f"{_bodies()} AS value").repartition(LANDED_FILES).write.text(path)
+        _landed(logs.selectExpr(f"{_bodies()} AS value")).write.option("maxRecordsPerFile", 5_000_000).text(path)
 
     return spark.read.text(_stored(spark, sf_dir, "bodies", write))
 
@@ -326,7 +329,7 @@ def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         logs = _numbered(table(spark, sf_dir, "events")).selectExpr(
             "event_id AS event_no", "k", *[f"{e} AS {c}" for c, e in LOG_COLUMNS.items()]
         )
-        logs.selectExpr("id", f"{_syslog(_SPARK_STAMP.get)} AS value", "'10.1.1.1:514' AS sender").repartition(LANDED_FILES).write.parquet(path)
+        _landed(logs.selectExpr("id", f"{_syslog(_SPARK_STAMP.get)} AS value", "'10.1.1.1:514' AS sender")).write.option("maxRecordsPerFile", 5_000_000).parquet(path)
 
     schema = "id string, value string, sender string"
     return spark.read.schema(schema).parquet(_stored(spark, sf_dir, "syslog", write))

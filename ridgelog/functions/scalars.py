@@ -190,24 +190,3 @@ def short_number(value) -> Column:
 
 def json_field(text, path: str) -> Column:
     return F.get_json_object(_col(text), path)
-
-
-def fnv1a_32(key) -> Column:
-    """32-bit FNV-1a of the UTF-8 bytes of a short key.
-
-    Evaluated by a higher-order function, so apply it to distinct keys, not to
-    every row of a large table.
-    """
-    hexed = F.hex(F.encode(_col(key), "UTF-8"))
-    octets = F.when(
-        F.length(hexed) > 0,
-        F.transform(
-            F.sequence(F.lit(1), (F.length(hexed) - 1).cast("int"), F.lit(2)),
-            lambda i: F.conv(F.substr(hexed, i, F.lit(2)), 16, 10).cast("bigint"),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(
-        octets,
-        F.lit(2166136261).cast("bigint"),
-        lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)),
-    )

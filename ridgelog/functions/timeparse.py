@@ -21,7 +21,7 @@ ISO_PLAIN = rf"^\d{{4}}-\d{{2}}-\d{{2}} {_CLOCK}\z"
 SLASHED = rf"^\d{{4}}/\d{{2}}/\d{{2}} {_CLOCK}\z"
 YEARLESS = rf"^(?i){_MONTH} +\d{{1,2}} {_CLOCK}\z"
 ACCESS_LOG = rf"^(?i)\d{{2}}/{_MONTH}/\d{{4}}:{_CLOCK} [+-]\d{{4}}\z"
-UNIX = r"^[+-]?\d{1,15}\z"
+UNIX = r"^[+-]?\d+\z"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 LARGEST_SECONDS = 1_000_000_000_000
 
@@ -86,9 +86,9 @@ def _access_log(text: Column) -> Column:
 
 
 def _unix(text: Column) -> Column:
-    """Seconds, or milliseconds above 1e12."""
+    """Seconds, or milliseconds above 1e12; null for a moment that no timestamp can hold."""
     number = text.try_cast("bigint")
-    micros = F.when(number > LARGEST_SECONDS, number * 1000).otherwise(number * 1_000_000)
+    micros = F.when(number > LARGEST_SECONDS, F.try_multiply(number, F.lit(1000))).otherwise(F.try_multiply(number, F.lit(1_000_000)))
     return F.when(text.rlike(UNIX), F.timestamp_micros(micros).cast("timestamp_ntz"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgelog.functions.scalars import fnv1a_32, start_of_minute
+from ridgelog.functions.scalars import start_of_minute
 
 
 def facet_values(df: DataFrame, column: str) -> DataFrame:
@@ -60,7 +60,8 @@ def grouped_values(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame
     """groupArray in run-length form: per key the sorted (value, rows) pairs.
 
     The pairs carry the same information as the sorted array of all values, but
-    grow with the distinct values, not with the rows of a hot key.
+    grow with the distinct values, not with the rows of a hot key. For columns of low
+    cardinality; ``value_rows`` keeps the pairs as rows.
     """
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("rows"))
     return counts.groupBy(*keys).agg(
@@ -106,14 +107,18 @@ def merge_partials(
     return rows.groupBy(*keys).agg(*merged)
 
 
-def shard_counts(df: DataFrame, key: str, shards: int = 16, stable: bool = True) -> DataFrame:
-    """Rows per shard. Rows are counted per key first, so each key is hashed once.
+def shard_counts(df: DataFrame, key: str, shards: int = 16) -> DataFrame:
+    """Rows and distinct keys per hash bucket of a key: how evenly a table would spread over ``shards`` writers.
 
-    ``stable`` hashes with FNV-1a, which keeps the placement of existing
-    shards; otherwise xxhash64 runs in generated code.
+    Rows are counted per key first, so each key is hashed once.
     """
     per_key = df.groupBy(F.col(key).cast("string").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    hashed = fnv1a_32(F.col("_key")) if stable else F.xxhash64("_key")
+    hashed = F.conv(F.left(F.md5("_key"), F.lit(8)), 16, 10).cast("bigint")
     return per_key.groupBy(F.pmod(hashed, F.lit(shards)).cast("int").alias("shard")).agg(
-        F.sum("n").alias("row_count")
+        F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("keys")
     )
+
+
+def value_rows(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Rows per key and value, one row each: ``grouped_values`` for columns with very many values."""
+    return df.groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))

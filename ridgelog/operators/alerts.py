@@ -129,14 +129,31 @@ def _walk(checks: pd.DataFrame) -> pd.DataFrame:
     return _frame(rows)
 
 
+_HELD = ["at", "triggered", "severity", "cooldown"]
+
+
 def _walk_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One micro-batch of one rule: closed alerts and the current version of the open one."""
-    machine = _Machine(key[0], *state.get) if state.exists else _Machine(key[0])
-    checks = pd.concat(list(batches))
-    rows = machine.feed(checks)
-    if machine.start_at >= 0:
-        rows.append(machine.row(checks["severity"].iloc[0], None))
-    state.update((machine.start_at, machine.last_at, machine.count, machine.quiet_until))
+    """One micro-batch of one rule: the alerts closed by the checks that the watermark has passed, and the open one.
+
+    Checks wait in the state, in order of time, until no earlier one can come any more.
+    """
+    machine, held = _Machine(key[0]), pd.DataFrame(columns=_HELD)
+    if state.exists:
+        *numbers, at, triggered, severity, cooldown = state.get
+        machine = _Machine(key[0], *numbers)
+        held = pd.DataFrame({"at": at, "triggered": triggered, "severity": severity, "cooldown": cooldown})
+    if not state.hasTimedOut:
+        new = [batch[_HELD] for batch in batches]
+        held = pd.concat([*([held] if len(held) else []), *new]).sort_values("at", kind="stable")
+    passed = held["at"] * 1000 <= state.getCurrentWatermarkMs()
+    due, held = held[passed], held[~passed]
+    rows = machine.feed(due) if len(due) else []
+    if len(due) and machine.start_at >= 0:
+        rows.append(machine.row(due["severity"].iloc[-1], None))
+    numbers = (machine.start_at, machine.last_at, machine.count, machine.quiet_until)
+    state.update((*numbers, *[held[c].tolist() for c in _HELD]))
+    if len(held):
+        state.setTimeoutTimestamp(max(int(held["at"].iloc[0]) * 1000, state.getCurrentWatermarkMs() + 1))
     yield _frame(rows)
 
 
@@ -173,18 +190,23 @@ def episodes_with_cooldown(checks: DataFrame) -> DataFrame:
     return narrow.groupBy("rule").applyInPandas(_walk, EPISODE_SCHEMA)
 
 
-STATE_SCHEMA = "start_at bigint, last_at bigint, count bigint, quiet_until bigint"
+STATE_SCHEMA = (
+    "start_at bigint, last_at bigint, count bigint, quiet_until bigint, "
+    "held_at array<bigint>, held_triggered array<boolean>, held_severity array<string>, held_cooldown array<bigint>"
+)
 
 
-def episode_stream(checks: DataFrame) -> DataFrame:
-    """Alert episodes of a stream of checks that arrive in time order.
+def episode_stream(checks: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Alert episodes of a stream of checks that arrive in any order within ``delay``.
 
-    Every micro-batch emits the alerts it closed and the current version of the
-    open one; ``latest_episodes`` reduces the versions. The state of a rule is
-    four numbers.
+    A check is evaluated once the watermark has passed it, in the order of time, so the
+    alerts are those of the batch. Every micro-batch emits the alerts it closed
+    and the current version of the open one; ``latest_episodes`` reduces the
+    versions. The state of a rule is four numbers and the checks of the last ``delay``.
     """
-    narrow = checks.select("rule", "severity", "cooldown", "at", "triggered")
-    return narrow.groupBy("rule").applyInPandasWithState(_walk_on, EPISODE_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+    timed = checks.withColumn("_time", F.timestamp_seconds("at")).withWatermark("_time", delay)
+    narrow = timed.select("rule", "severity", "cooldown", "at", "triggered", "_time")
+    return narrow.groupBy("rule").applyInPandasWithState(_walk_on, EPISODE_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
 
 
 def latest_episodes(versions: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Shaping of query results for charts, metrics and tables."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgelog.functions.positions import numbered
+
 
 def _number(c: Column) -> Column:
     value = c.try_cast("double")
@@ -41,11 +43,10 @@ def pie_data(df: DataFrame) -> DataFrame:
 
 
 def scatter_data(df: DataFrame, order: str) -> DataFrame:
-    """Points with the position of the row as x.
+    """Points with the position of the row in the order of a column as x.
 
-    Chart input is an aggregated result, one row per label, so one ordered
-    window over it is small.
+    Rows are dealt out by range and numbered within their task; a task starts
+    behind the rows of the tasks before it, which are counted, one row each.
     """
-    position = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).cast("bigint")
-    numbered = df.select(position.alias("x"), *df.columns[1:])
-    return chart_data(numbered).withColumnRenamed("label", "x").withColumn("x", F.col("x").cast("bigint"))
+    rows = numbered(df, [order], "_position").select(F.col("_position").alias("x"), *df.columns[1:])
+    return chart_data(rows).withColumnRenamed("label", "x").withColumn("x", F.col("x").cast("bigint"))

@@ -42,8 +42,9 @@ def _indications() -> list[_Indication]:
     The substring search on the folded message decides most patterns; only the
     remaining messages meet the regular expression.
     """
-    level, status = F.col("level"), attr_double("status_code")
-    code = status.cast("int").cast("string")
+    level, code = F.col("level"), attr_double("status_code").try_cast("int")
+    # a code beyond the integers, or no number at all, is no status
+    status, code = code, code.cast("string")
     is_error_level = F.lower(level).isin(list(ERROR_LEVELS))
     found = [_Indication(is_error_level, F.concat(F.lit("level:"), level), level, F.lit("LogLevel"))]
     for name, category, pattern, needles in ERROR_PATTERNS:
@@ -69,8 +70,8 @@ def with_detected_errors(df: DataFrame) -> DataFrame:
 def with_hits(df: DataFrame, *columns: str) -> DataFrame:
     """One row per log and error indication: the given columns, category and pattern."""
     hits = [F.when(i.when, F.struct(i.category.alias("category"), i.pattern.alias("pattern"))) for i in _indications()]
-    rows = _with_folded(df).select(*columns, F.explode(F.array(*hits)).alias("hit"))
-    return rows.filter(F.col("hit").isNotNull()).select(*columns, "hit.category", "hit.pattern")
+    rows = _with_folded(df).select(*columns, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    return rows.select(*columns, "hit.category", "hit.pattern")
 
 
 def failing_logs(df: DataFrame) -> DataFrame:
@@ -216,11 +217,10 @@ def live_statistics(stats: DataFrame, as_of: datetime, ttl: timedelta = STATS_TT
 def category_distribution(stats: DataFrame) -> DataFrame:
     """Errors per category and their share of all errors.
 
-    Two small aggregates over the statistics; the window holds one row per
-    category.
+    The total is a one-row subquery, so no window gathers the categories.
     """
     per_category = stats.groupBy("category").agg(F.sum("count").alias("errors"))
-    everything = F.sum("errors").over(Window.partitionBy(F.lit(0)))
+    everything = stats.agg(F.sum("count")).scalar()
     return per_category.withColumn("share", F.col("errors") / everything)
 
 

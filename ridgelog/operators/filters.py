@@ -120,21 +120,27 @@ def time_filter(
 ) -> DataFrame:
     """Rows with ``start <= timestamp <= end``.
 
-    A stored table also gets the bounds on ``date_partition``, which the
-    optimizer cannot derive from the timestamp, so old days are not listed.
+    A stored table also gets the bounds on its partition column, which the
+    optimizer cannot derive from the timestamp, so old partitions are not listed.
     """
-    partitioned = "date_partition" in df.columns
-    if start is not None:
-        df = df.filter(F.col(column) >= ntz(start))
-        if partitioned:
-            df = df.filter(F.col("date_partition") >= F.lit(start.date()))
-    if end is not None:
-        df = df.filter(F.col(column) <= ntz(end))
-        if partitioned:
-            df = df.filter(F.col("date_partition") <= F.lit(end.date()))
+    for moment, test in ((start, operator.ge), (end, operator.le)):
+        if moment is not None:
+            df = df.filter(test(F.col(column), ntz(moment)))
+            for name, key in _PARTITION_KEYS.items():
+                if name in df.columns:
+                    stored = F.col(name) if name == "date_partition" else F.col(name).cast("int")
+                    df = df.filter(test(stored, F.lit(key(moment))))
     return df
 
 
+#: the partition of a moment, by the partition column of a stored table
+_PARTITION_KEYS = {
+    "date_partition": lambda at: at.date(),
+    "week_partition": lambda at: at.isocalendar().year * 100 + at.isocalendar().week,
+    "month_partition": lambda at: at.year * 100 + at.month,
+}
+
+
 def _day_of(value: Any) -> date | None:
     if isinstance(value, datetime):
         return value.date()

@@ -58,10 +58,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -
     """The newest version of every key.
 
     An aggregate rather than a window: versions of a hot key are reduced on the
-    map side and never sorted in one task.
+    map side and never sorted in one task. Only ``version`` is compared, so the other
+    columns may have any type; rows of equal versions are equally new.
     """
-    others = [c for c in df.columns if c not in keys and c not in version]
-    newest = F.max(F.struct(*version, *others))
+    others = [c for c in df.columns if c not in keys]
+    newest = F.max_by(F.struct(*others), F.struct(*version))
     return df.groupBy(*keys).agg(newest.alias("_v")).select(*keys, "_v.*").select(*df.columns)
 
 

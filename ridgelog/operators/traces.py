@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgelog.functions.patterns import OPERATION_PATTERNS, TRACE_CONVENTIONS, TRACE_NEEDLES
-from ridgelog.functions.scalars import _col, attr, epoch_micros, epoch_millis, first_words, has_attr, ntz
+from ridgelog.functions.scalars import _col, attr, epoch_micros, epoch_millis, first_words, has_attr, ntz, with_computed
 from ridgelog.session import checkpointed
 
 IDLE_SECONDS = 3600
@@ -47,7 +47,7 @@ def parent_id(attributes="attributes") -> Column:
 
 def with_trace_ids(df: DataFrame) -> DataFrame:
     """Set trace_id, span_id and parent_id. A log outside of any trace keeps its span id."""
-    df = df.withColumn("_trace", trace_id())
+    df = with_computed(df, "_trace", trace_id())
     traced = F.col("_trace") != ""
     return df.withColumns(
         {

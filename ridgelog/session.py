@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "ridgelog", master: str | None = None, **conf) -> SparkSession:
@@ -53,14 +54,32 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; ``release_scratch`` removes what was written there."""
+    path = os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def folder_system(spark: SparkSession, path: str):
+    """The file system of a path and the path itself, as Hadoop sees them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Remove everything this application wrote to scratch paths; frames that read it must not be used any more."""
+    removed = 0
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        system, root = folder_system(spark, path)
+        removed += system.delete(root, True)
+    return removed
 
 
 def checkpointed(df, label: str = "cut"):
     """Cut the lineage of ``df`` by writing it to the shared folder and reading it back.
 
-    A written table survives lost executors and is not recomputed.
+    A written table survives lost executors and is not recomputed. It stays until
+    ``release_scratch``, because any number of frames may read it.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

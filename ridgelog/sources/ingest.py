@@ -54,24 +54,55 @@ def _from_wire(df: DataFrame) -> DataFrame:
 
 
 def read_json_logs(spark: SparkSession, path: str, *, as_of: datetime, streaming: bool = False) -> DataFrame:
-    """Scan JSON files of logs: one object or one array of objects per line."""
+    """Scan JSON files of logs: one object or one array of objects per line; malformed lines yield no rows."""
     reader = spark.readStream if streaming else spark.read
-    return with_defaults(_from_wire(reader.schema(WIRE_SCHEMA).json(path)), as_of=as_of)
+    return decode_bodies(reader.text(path), as_of=as_of)
+
+
+def read_json_rejects(spark: SparkSession, path: str, *, streaming: bool = False) -> DataFrame:
+    """The lines of JSON files that hold no log, with the reason."""
+    reader = spark.readStream if streaming else spark.read
+    return rejected_bodies(reader.text(path))
+
+
+def _reason(column: str) -> Column:
+    """Why a body is rejected, null if it is accepted. An empty body has nothing to reject."""
+    # in brackets, because the parser does not mind text behind a whole document
+    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]"))), "$", "array<variant>")
+    doc = F.when(F.size(whole) == 1, whole[0])
+    kind = F.schema_of_variant(doc)
+    body = F.coalesce(F.col(column), F.lit(""))
+    elements = F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.array())
+    others = F.exists(elements, lambda e: ~F.schema_of_variant(e).startswith("OBJECT"))
+    return (
+        F.when(F.trim(body) == "", F.lit(None))
+        .when(doc.isNull(), F.lit("malformed JSON"))
+        .when(kind.startswith("OBJECT"), F.lit(None))
+        .when(~kind.startswith("ARRAY"), F.lit("no log or array of logs"))
+        .when(others, F.lit("array with elements that are no logs"))
+    )
 
 
 def decode_bodies(df: DataFrame, column: str = "value", *, as_of: datetime) -> DataFrame:
     """Request bodies to logs; a body is an array of logs or a single log.
 
-    Invalid bodies yield no rows.
+    A body that is malformed, or holds anything but logs, yields no rows at all, as one
+    request fails as a whole; ``rejected_bodies`` has it. A member of the wrong type reads as missing.
     """
+    accepted = df.filter(_reason(column).isNull())
     one = F.from_json(column, WIRE_SCHEMA)
     many = F.from_json(column, T.ArrayType(WIRE_SCHEMA))
     body = F.ltrim(F.col(column))
     items = F.when(body.startswith("["), many).when(body.startswith("{"), F.array(one))
-    logs = df.select(F.explode(items).alias("log")).filter(F.col("log").isNotNull()).select("log.*")
+    logs = accepted.select(F.explode(items).alias("log")).filter(F.col("log").isNotNull()).select("log.*")
     return with_defaults(_from_wire(logs), as_of=as_of)
 
 
+def rejected_bodies(df: DataFrame, column: str = "value") -> DataFrame:
+    """The bodies that ``decode_bodies`` leaves out, with the other columns, and the ``reason``."""
+    return df.withColumn("reason", _reason(column)).filter(F.col("reason").isNotNull())
+
+
 def _is_wire_log(doc) -> Column:
     """A JSON object whose members have the types of a log and whose time is RFC 3339."""
 

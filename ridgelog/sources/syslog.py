@@ -26,7 +26,8 @@ def decode_syslog(
     """Log fields of syslog lines; severity is PRI & 7 and facility PRI >> 3.
 
     RFC 3164 carries no year and takes the one of ``as_of``. A missing or broken
-    timestamp becomes ``as_of``.
+    timestamp becomes ``as_of``. A PRI beyond the named facilities has none, and one
+    that is no 64-bit number counts as 0.
     """
     line = F.col(column)
     others = [c for c in df.columns if c not in (column, source_column)]
@@ -43,7 +44,7 @@ def decode_syslog(
     pri = F.when(k == "RFC5424", g5(1)).when(k == "RFC3164", g3(1)).try_cast("bigint")
     staged = staged.withColumn("_pri", F.coalesce(pri, F.lit(0)))
     severity = _named(SYSLOG_SEVERITY, F.col("_pri").bitwiseAND(F.lit(7)).cast("int"))
-    facility = _named(SYSLOG_FACILITY, F.shiftright("_pri", 3).cast("int"))
+    facility = _named(SYSLOG_FACILITY, F.least(F.shiftright("_pri", 3), F.lit(len(SYSLOG_FACILITY))).cast("int"))
     message = F.when(k == "RFC5424", g5(9)).when(k == "RFC3164", g3(7)).otherwise(line)
 
     new_style = _entries(

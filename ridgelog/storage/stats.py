@@ -18,31 +18,7 @@ SMALL_PARTS = "Too many small parts, consider adjusting merge settings"
 ARCHIVE = "Large table size, consider implementing data archival strategy"
 
 
-def file_info(spark: SparkSession, path: str, partition: str = "date_partition") -> DataFrame:
-    """One row per file: partition, path, bytes, rows, modification time.
-
-    Only footers are read: the scan needs no data column.
-    """
-    table = spark.read.parquet(path)
-    return table.groupBy(
-        F.col(partition),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("bytes"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-    ).agg(F.count(F.lit(1)).alias("rows"))
-
-
-def partition_info(files: DataFrame, partition: str = "date_partition") -> DataFrame:
-    """Rows, bytes, files and last change per partition."""
-    return files.groupBy(partition).agg(
-        F.sum("rows").alias("rows"),
-        F.sum("bytes").alias("bytes"),
-        F.count(F.lit(1)).alias("parts"),
-        F.max("modified").alias("last_modified"),
-    )
-
-
-def _footer_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from urllib.parse import unquote
 
     import pyarrow.fs as fs
@@ -52,39 +28,59 @@ def _footer_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = []
         for uri in batch["file"]:
             if uri.startswith("file:"):
-                system, path = fs.LocalFileSystem(), unquote(uri[len("file:") :])
-                path = "/" + path.lstrip("/")
+                system, path = fs.LocalFileSystem(), "/" + unquote(uri[len("file:") :]).lstrip("/")
             else:
                 system, path = fs.FileSystem.from_uri(uri)
             footer = pq.read_metadata(path, filesystem=system)
             groups = [footer.row_group(i) for i in range(footer.num_row_groups)]
             columns = [g.column(j) for g in groups for j in range(g.num_columns)]
-            sizes.append(
-                (sum(c.total_compressed_size for c in columns), sum(c.total_uncompressed_size for c in columns))
-            )
-        batch["compressed"] = [s[0] for s in sizes]
-        batch["uncompressed"] = [s[1] for s in sizes]
+            sizes.append((footer.num_rows, sum(c.total_compressed_size for c in columns), sum(c.total_uncompressed_size for c in columns)))
+        for k, name in enumerate(("rows", "compressed", "uncompressed")):
+            batch[name] = [s[k] for s in sizes]
         yield batch
 
 
-def with_footer_sizes(files: DataFrame) -> DataFrame:
-    """Compressed and uncompressed column bytes of every file, read from the footers in tasks."""
-    schema = "date_partition date, file string, bytes bigint, rows bigint, compressed bigint, uncompressed bigint"
-    return files.select("date_partition", "file", "bytes", "rows").mapInPandas(_footer_sizes, schema)
+def file_info(spark: SparkSession, path: str, partition: str = "date_partition") -> DataFrame:
+    """One row per file: partition, path, bytes, modification time, rows, compressed and uncompressed column bytes.
+
+    The files are listed once and their footers read in tasks; no data page is
+    touched. ``partition`` is any partition column of the table; it is null for
+    rows without a timestamp.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    listed = files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    schema = "file string, bytes bigint, modified timestamp, rows bigint, compressed bigint, uncompressed bigint"
+    value = F.url_decode(F.regexp_extract("file", rf"/{partition}=([^/]*)/", 1))
+    value = F.when(value != "__HIVE_DEFAULT_PARTITION__", F.nullif(value, F.lit("")))
+    value = value.cast("date") if partition == "date_partition" else value
+    read = listed.mapInPandas(_footers, schema)
+    return read.select(value.alias(partition), *read.columns)
+
+
+def partition_info(files: DataFrame, partition: str = "date_partition") -> DataFrame:
+    """Rows, bytes, files and last change per partition."""
+    return files.groupBy(partition).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("bytes").alias("bytes"),
+        F.count(F.lit(1)).alias("parts"),
+        F.max("modified").alias("last_modified"),
+    )
 
 
 def storage_statistics(files: DataFrame) -> DataFrame:
     """One row: rows, readable sizes, ratio, partitions, oldest and newest day.
 
-    Input: ``with_footer_sizes``. The ratio is compressed over uncompressed.
+    Input: ``file_info``, of any layout; the oldest and newest are partition values.
+    The ratio is compressed over uncompressed.
     """
+    partition = files.columns[0]
     total = files.agg(
         F.sum("rows").alias("total_rows"),
         F.sum("compressed").alias("c"),
         F.sum("uncompressed").alias("u"),
-        F.count_distinct("date_partition").alias("partition_count"),
-        F.min("date_partition").alias("oldest_date"),
-        F.max("date_partition").alias("newest_date"),
+        F.count_distinct(partition).alias("partition_count"),
+        F.min(partition).alias("oldest_date"),
+        F.max(partition).alias("newest_date"),
     )
     return total.select(
         "total_rows",

@@ -1,5 +1,12 @@
-"""The stored ``logs`` table: layout, derived columns, retention, compaction."""
+"""The stored ``logs`` table: layout, derived columns, retention, compaction.
 
+A table's partition columns tell its interval, so the jobs find the layout in the
+table itself: ``date_partition`` (daily), with ``hour_partition`` below it (hourly),
+``week_partition`` or ``month_partition``.
+"""
+
+import calendar
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -7,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ridgelog.functions.scalars import epoch_millis, level_rank, ntz, partition_key, start_of_hour
 from ridgelog.operators.filters import time_filter
+from ridgelog.session import folder_system
 
 HOT_DAYS = 7
 RETENTION_DAYS = 30
@@ -14,6 +22,17 @@ COMPACT_PER_RUN = 10
 MAX_ROWS_PER_FILE = 20_000_000
 SORT_ORDER = ("service", "level_numeric", "timestamp")
 
+#: partition columns by interval; any other interval is daily
+PARTITIONS = {
+    "daily": ("date_partition",),
+    "hourly": ("date_partition", "hour_partition"),
+    "weekly": ("week_partition",),
+    "monthly": ("month_partition",),
+}
+#: the name of the folder that holds rows without a timestamp
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+_DERIVED = ("date_partition", "hour_partition", "level_numeric", "week_partition", "month_partition")
+
 # fixed values: codec names and the Parquet codec that stands for them
 PARQUET_CODEC = {"ZSTD": "zstd", "LZ4": "lz4_raw", "LZ4HC": "lz4_raw", "SNAPPY": "snappy", "NONE": "none"}
 ZSTD_LEVEL = 3
@@ -38,9 +57,49 @@ def with_hour_and_day(df: DataFrame) -> DataFrame:
 
 
 def partition_columns(interval: str) -> tuple[str, ...]:
-    if interval == "hourly":
-        return ("date_partition", "hour_partition")
-    return ("date_partition",) if interval == "daily" else ("period",)
+    return PARTITIONS.get(interval, PARTITIONS["daily"])
+
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """``(column, value)`` of the partition folders right below a table; names only, no data."""
+    system, root = folder_system(spark, path)
+    names = [entry.getPath().getName() for entry in system.listStatus(root)]
+    return sorted(tuple(n.split("=", 1)) for n in names if "=" in n and not n.startswith(("_", ".")))
+
+
+def stored_interval(spark: SparkSession, path: str) -> str:
+    """The interval of a stored table, from the names of its folders."""
+    columns = {c for c, _ in _folders(spark, path)}
+    if columns == {"date_partition"}:
+        day = next(v for _, v in _folders(spark, path))
+        return "hourly" if _folders(spark, f"{path}/date_partition={day}") else "daily"
+    for interval in ("weekly", "monthly"):
+        if columns == set(PARTITIONS[interval]):
+            return interval
+    raise ValueError(f"not a stored table of logs: {path} has partitions by {sorted(columns)}")
+
+
+def last_day(value: str, interval: str) -> date | None:
+    """The last day whose rows a partition may hold; None for the partition without timestamps."""
+    if value == NULL_PARTITION:
+        return None
+    if interval == "weekly":
+        return date.fromisocalendar(int(value[:4]), int(value[4:]), 7)
+    if interval == "monthly":
+        year, month = int(value[:4]), int(value[4:])
+        return date(year, month, calendar.monthrange(year, month)[1])
+    return date.fromisoformat(value)
+
+
+def _last_day_column(df: DataFrame) -> Column:
+    """The same for the partition column of a frame."""
+    if "week_partition" in df.columns:
+        value = F.col("week_partition").cast("string")
+        fourth = F.make_date(F.left(value, F.lit(4)).cast("int"), F.lit(1), F.lit(4))
+        return F.date_add(F.trunc(fourth, "week"), F.right(value, F.lit(2)).cast("int") * 7 - 1)
+    if "month_partition" in df.columns:
+        return F.last_day(F.to_date(F.col("month_partition").cast("string"), "yyyyMM"))
+    return F.col("date_partition")
 
 
 def codec_options(codec: str = "ZSTD", level: int | None = None) -> dict[str, str]:
@@ -73,8 +132,8 @@ def write_logs(
     """
     rows = with_derived(df)
     parts = partition_columns(interval)
-    if parts == ("period",):
-        rows = rows.withColumn("period", partition_key("timestamp", interval))
+    if interval in ("weekly", "monthly"):
+        rows = rows.withColumn(parts[0], partition_key("timestamp", interval))
     if cluster:
         rows = rows.repartitionByRange(*parts, *sort)
     else:
@@ -124,54 +183,93 @@ def retained(df: DataFrame, as_of: datetime, keep_days: int = RETENTION_DAYS) ->
 
 
 def expired_days(info: DataFrame, as_of: datetime, keep_days: int = RETENTION_DAYS) -> DataFrame:
-    """Partitions whose youngest possible row has expired."""
-    return info.filter(F.col("date_partition") < F.lit((as_of - timedelta(days=keep_days)).date()))
+    """Partitions whose youngest possible row has expired; any layout. Rows without a timestamp never expire."""
+    return info.filter(_last_day_column(info) < F.lit((as_of - timedelta(days=keep_days)).date()))
 
 
-def drop_expired(spark: SparkSession, path: str, as_of: datetime, keep_days: int = RETENTION_DAYS) -> list[date]:
-    """Delete whole expired day partitions through the table's file system.
+def drop_expired(spark: SparkSession, path: str, as_of: datetime, keep_days: int = RETENTION_DAYS) -> list[str]:
+    """Delete whole expired partitions through the table's file system and return their values.
 
-    Only directory names are listed; no data is read or rewritten.
+    Only directory names are listed; no data is read or rewritten. Works on every
+    layout; a partition goes when its last day has expired. The partition of rows without a
+    timestamp stays.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    interval, (column, *_) = stored_interval(spark, path), PARTITIONS[stored_interval(spark, path)]
     cutoff, dropped = (as_of - timedelta(days=keep_days)).date(), []
-    for entry in fs.listStatus(root):
-        name = entry.getPath().getName()
-        if name.startswith("date_partition="):
-            day = date.fromisoformat(name.split("=", 1)[1])
-            if day < cutoff and fs.delete(entry.getPath(), True):
-                dropped.append(day)
+    for _, value in _folders(spark, path):
+        day = last_day(value, interval)
+        if day is not None and day < cutoff:
+            system, folder = folder_system(spark, f"{path}/{column}={value}")
+            if system.delete(folder, True):
+                dropped.append(value)
     return sorted(dropped)
 
 
 def compaction_candidates(
     info: DataFrame, as_of: datetime, hot_days: int = HOT_DAYS, limit: int = COMPACT_PER_RUN
 ) -> DataFrame:
-    """The oldest partitions past the hot window that consist of several files."""
-    old = info.filter(F.col("date_partition") < F.lit((as_of - timedelta(days=hot_days)).date()))
-    return old.filter(F.col("parts") > 1).orderBy("date_partition").limit(limit)
+    """The oldest partitions past the hot window that consist of several files; any layout."""
+    day = _last_day_column(info)
+    old = info.filter(day < F.lit((as_of - timedelta(days=hot_days)).date()))
+    return old.filter(F.col("parts") > 1).orderBy(day).limit(limit)
+
+
+def _partitions(rows: DataFrame, column: str, values: Sequence) -> DataFrame:
+    """The rows of whole partitions."""
+    return rows.filter(F.col(column).cast("string").isin([str(v) for v in values]))
+
+
+def _core(rows: DataFrame) -> DataFrame:
+    return rows.select(*[c for c in rows.columns if c not in _DERIVED])
 
 
-def compact(spark: SparkSession, path: str, days: list[date], **layout) -> None:
-    """Rewrite the given day partitions into few large, clustered files.
+def compact(spark: SparkSession, path: str, partitions: Sequence, **layout) -> None:
+    """Rewrite whole partitions, given by their values, into few large, clustered files.
 
-    Dynamic partition overwrite stages the new files and swaps the partitions
+    The layout is that of the table; an ``interval`` that differs is refused. Dynamic
+    partition overwrite stages the new files and swaps the partitions
     at commit, so a failed job leaves the old files in place.
     """
-    if not days:
-        return
-    rows = read_logs(spark, path).filter(F.col("date_partition").isin(days))
-    core = [c for c in rows.columns if c not in ("date_partition", "hour_partition", "level_numeric")]
-    write_logs(rows.select(*core), path, mode="overwrite", cluster=True, **layout)
+    interval = _own_interval(spark, path, layout)
+    if partitions:
+        rows = _partitions(read_logs(spark, path), PARTITIONS[interval][0], partitions)
+        write_logs(_core(rows), path, mode="overwrite", cluster=True, interval=interval, **layout)
+
 
+def _own_interval(spark: SparkSession, path: str, layout: dict) -> str:
+    """The table's interval; takes ``interval`` out of the layout."""
+    stored, asked = stored_interval(spark, path), layout.pop("interval", None)
+    if asked is not None and partition_columns(asked) != PARTITIONS[stored]:
+        raise ValueError(f"the table is {stored}, not {asked}")
+    return stored
 
-def publish_days(spark: SparkSession, landing: str, path: str, days: list[date], **layout) -> None:
-    """Move whole days from a landing table into the stored table.
 
-    A day is replaced as a whole, so running the job again gives the same table.
+def publish_days(spark: SparkSession, landing: str, path: str, days: Sequence[date], **layout) -> None:
+    """Merge the landed rows of the given days into the stored table.
+
+    Of landed rows with the same id one is taken, and an id that the table already holds
+    in the same partition replaces the stored row; every other stored row stays. So
+    running the job again, or later with rows that came late, loses and doubles
+    nothing. Whole partitions are rewritten, in the layout of the table, or, if there is
+    none yet, in ``interval``.
     """
-    rows = read_logs(spark, landing).filter(F.col("date_partition").isin(days))
-    core = [c for c in rows.columns if c not in ("date_partition", "hour_partition", "level_numeric")]
-    write_logs(rows.select(*core), path, mode="overwrite", cluster=True, **layout)
+    if not days:
+        return
+    system, root = folder_system(spark, path)
+    exists = system.exists(root) and bool(_folders(spark, path))
+    interval = _own_interval(spark, path, layout) if exists else layout.pop("interval", "daily")
+    landed = _core(_partitions(read_logs(spark, landing), "date_partition", days)).dropDuplicates(["id"])
+    if exists:
+        column = PARTITIONS[interval][0]
+        values = {str(v) for v in days} if column == "date_partition" else {_period(d, interval) for d in days}
+        stored = _core(_partitions(read_logs(spark, path), column, sorted(values)))
+        landed = landed.unionByName(stored.join(landed.select("id"), "id", "left_anti"))
+    write_logs(landed, path, mode="overwrite", cluster=True, interval=interval, **layout)
+
+
+def _period(day: date, interval: str) -> str:
+    """The value of the weekly or monthly partition of a day."""
+    if interval == "weekly":
+        year, week, _ = day.isocalendar()
+        return f"{year}{week:02d}"
+    return f"{day.year}{day.month:02d}"

@@ -4,7 +4,7 @@ Stateless steps are the batch operators applied to a streaming DataFrame. State
 is always keyed and bounded by a watermark.
 """
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from ridgelog.operators.errors import with_detected_errors, with_hits
 from ridgelog.operators.filters import tail_condition, time_filter
 from ridgelog.operators.rollups import merge_rollups
 from ridgelog.operators.traces import _failed, _traced, with_trace_ids
-from ridgelog.session import scratch_path
+from ridgelog.session import folder_system, scratch_path
 
 TAIL_BATCH = 100
 
@@ -55,10 +55,34 @@ def tail_view(logs: DataFrame) -> DataFrame:
     )
 
 
-def tail_batch(logs: DataFrame, since, limit: int = TAIL_BATCH) -> DataFrame:
-    """One poll: the oldest rows after ``since``. On a stream the checkpoint replaces ``since``."""
-    newer = time_filter(logs, since, None).filter(F.col("timestamp") > ntz(since))
-    return tail_view(newer.orderBy("timestamp", "id").limit(limit))
+def tail_rows(logs: DataFrame, since, after_id: str | None = None, limit: int = TAIL_BATCH) -> DataFrame:
+    """The oldest ``limit`` logs after the cursor (time, id) in the order of both.
+
+    Without ``after_id`` the poll starts behind ``since``. The next cursor is the time and id
+    of the last row, so logs that share a time are all delivered, however many.
+    """
+    newer, at = time_filter(logs, since, None), F.col("timestamp")
+    behind = at > ntz(since)
+    if after_id is not None:
+        behind = behind | ((at == ntz(since)) & (F.col("id") > after_id))
+    return newer.filter(behind).orderBy("timestamp", "id").limit(limit)
+
+
+def tail_batch(logs: DataFrame, since, limit: int = TAIL_BATCH, after_id: str | None = None) -> DataFrame:
+    """One poll of a live tail. On a stream the checkpoint replaces the cursor."""
+    return tail_view(tail_rows(logs, since, after_id, limit))
+
+
+def tail_pages(logs: DataFrame, since, limit: int = TAIL_BATCH) -> Iterator[DataFrame]:
+    """Polls until nothing is left; only the cursor of each page reaches the driver."""
+    after_id = None
+    while True:
+        page = tail_rows(logs, since, after_id, limit)
+        last = page.agg(F.max(F.struct("timestamp", "id")).alias("last")).first()["last"]
+        if last is None:
+            return
+        yield page
+        since, after_id = last["timestamp"], last["id"]
 
 
 def tail_stream(logs: DataFrame, filters: Iterable[Mapping[str, str]] = ()) -> DataFrame:
@@ -78,8 +102,11 @@ def deduplicate(logs: DataFrame, delay: str = "10 minutes", keys: Sequence[str]
 
 
 def trace_state(logs: DataFrame, gap: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Trace activity, emitted once a trace has been idle for ``gap``."""
-    rows = _traced(logs).select("trace_id", "timestamp", _failed().cast("bigint").alias("failed"))
+    """Trace activity, emitted once a trace has been idle for ``gap``.
+
+    The state of a trace is four numbers and its distinct services and spans.
+    """
+    rows = _traced(logs).select("trace_id", "span_id", "service", "timestamp", _failed().cast("bigint").alias("failed"))
     sessions = (
         watermarked(rows, delay)
         .groupBy("trace_id", F.session_window("timestamp", gap).alias("w"))
@@ -88,9 +115,14 @@ def trace_state(logs: DataFrame, gap: str = "1 hour", delay: str = "10 minutes")
             F.max("timestamp").alias("last_log"),
             F.count(F.lit(1)).alias("log_count"),
             F.sum("failed").alias("error_count"),
+            F.array_sort(F.array_remove(F.collect_set("service"), "")).alias("services"),
+            F.size(F.array_remove(F.collect_set("span_id"), "")).cast("bigint").alias("span_count"),
         )
     )
-    return sessions.select("trace_id", _plain("first_log"), _plain("last_log"), "log_count", "error_count")
+    duration = (F.unix_millis("last_log") - F.unix_millis("first_log")).alias("duration_ms")
+    return sessions.select(
+        "trace_id", _plain("first_log"), _plain("last_log"), "log_count", "error_count", "services", "span_count", duration
+    )
 
 
 def error_state(logs: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -141,16 +173,17 @@ def window_counts(
 def append_sink(
     logs: DataFrame, path: str, checkpoint: str, *, trigger: Mapping[str, object] | None = None
 ) -> StreamingQuery:
-    """Append deduplicated logs to a landing table, every few seconds.
+    """Append all logs to a landing table, every few seconds.
 
+    No watermark stands before the sink, so a log is kept however late it comes.
     The sink's own log makes a repeated batch invisible. The landing table is
     folded day by day into the stored table by ``storage.table.publish_days``,
-    which also turns its many small files into few.
+    which removes repeated deliveries by id and turns the many small files into few.
     """
     from ridgelog.storage.table import with_derived
 
     writer = (
-        with_derived(deduplicate(logs))
+        with_derived(logs)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
@@ -176,7 +209,7 @@ def totals_sink(
 
     Version n of the totals is written to its own folder from version n - 1 and
     the batch, so a repeated batch recomputes the same version: no total is
-    counted twice.
+    counted twice. The last two versions are kept, the older one for that case.
     """
     columns = [*keys, *sums, *minima, *maxima]
 
@@ -190,6 +223,11 @@ def totals_sink(
             old = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
             part = merge_rollups(old.select(*columns), part.select(*columns), keys, sums, minima, maxima)
         part.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark = batch.sparkSession
+        for version in _versions(spark, path):
+            if version < batch_id - 1:
+                system, folder = folder_system(spark, f"{path}/version={version}")
+                system.delete(folder, True)
 
     return (
         updates.writeStream.outputMode("append")
@@ -200,11 +238,23 @@ def totals_sink(
     )
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of totals, by the names of their folders; a half-written one has no _SUCCESS."""
+    system, root = folder_system(spark, path)
+    found = []
+    for entry in system.listStatus(root):
+        name = entry.getPath().getName()
+        if name.startswith("version=") and system.exists(folder_system(spark, f"{path}/{name}/_SUCCESS")[1]):
+            found.append(int(name.split("=")[1]))
+    return sorted(found)
+
+
 def latest_totals(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete version of the totals."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+    versions = _versions(spark, path)
+    if not versions:
+        raise ValueError(f"no complete version of totals in {path}")
+    return spark.read.parquet(f"{path}/version={versions[-1]}")
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:

@@ -10,7 +10,8 @@ SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = (
     "filter_and_or log_search tail_filter spec_query merge_partials shard_counts trace_timeline trace_sessions error_tags_documents "
     "error_statistics histogram_statistics sliding_rate alert_cooldown parse_lines parse_documents decode_syslog transform_rows "
-    "compaction export_csv_documents stream_traces stream_ingest"
+    "compaction export_csv_documents stream_traces stream_ingest late_ingest publish_merge weekly_compaction drop_expired_weekly "
+    "read_json_files ingest_rejects hostile_status_codes hostile_syslog default_alerts stream_alerts"
 ).split()
 
 
@@ -25,5 +26,6 @@ def test_query_equals_sql(spark, connection, name):
 
 
 def test_entry_points(spark):
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(all_oracles()) == set(all_queries()) <= set(entry.queries())
+    assert set(all_oracles()) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0

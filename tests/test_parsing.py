@@ -214,6 +214,31 @@ def test_syslog(make_lines, as_of):
     assert untimed.timestamp == as_of
 
 
+def test_bad_bodies_are_rejected_as_a_whole(make_lines, as_of, spark, tmp_path):
+    bad = ['{"message": "cut', '[{"message": "a"}, {"message": ', '[1, 2]', '[{"message": "a"}, "b"]', '"text"', "12", "plain", "{", "[", '{"a":1} tail']
+    good = ['{"message": "ok"}', '[]', '[{"message": "one"}, {"message": "two"}]', "", "  "]
+    lines = make_lines(bad + good)
+    assert sorted(r.message for r in ingest.decode_bodies(lines, as_of=as_of).collect()) == ["ok", "one", "two"]
+    rejects = ingest.rejected_bodies(lines).collect()
+    assert sorted(r.n for r in rejects) == list(range(len(bad))) and all(r.reason for r in rejects)
+    (tmp_path / "logs.json").write_text("\n".join(bad + good) + "\n")
+    assert ingest.read_json_logs(spark, str(tmp_path), as_of=as_of).count() == 3
+    assert ingest.read_json_rejects(spark, str(tmp_path)).count() == len(bad)
+
+
+def test_hostile_numbers_end_no_job(spark, make_lines, make_logs, as_of):
+    from ridgelog.functions.timeparse import parse_timestamp
+    from ridgelog.operators.errors import error_counts
+    from ridgelog.sources.syslog import decode_syslog
+
+    pri = make_lines(["<99999999999999>Jan 15 10:30:00 h a: m", "<" + "9" * 40 + ">Jan 15 10:30:00 h a: m", "<34>Jan 15 10:30:00 h a: m"])
+    assert [r.attributes["facility"] for r in decode_syslog(pri, as_of=as_of).orderBy("n").collect()][1:] == ["kernel", "security"]
+    codes = make_logs([{"attributes": {"status_code": c}} for c in ("99999999999", "NaN", "Infinity", "1e999", "404", "x")])
+    assert [(r.category, r["count"]) for r in error_counts(codes).collect()] == [("http4xx", 1)]
+    times = make_lines(["1705314600000000", "9" * 18, "9" * 30, "-5", "1705314600"]).select(parse_timestamp("value", as_of).alias("t"))
+    assert times.count() == 5 and times.where("t = timestamp_ntz'2024-01-15 10:30:00'").count() == 1
+
+
 def test_ingest_bodies_and_lines(make_lines, as_of):
     bodies = make_lines(['[{"message": "a", "level": "warn"}, {"id": "x", "message": "b", "attributes": {"n": 5}}]', '{"message": "c"}', "nonsense"])
     rows = sorted(ingest.decode_bodies(bodies, as_of=as_of).collect(), key=lambda r: r.message)

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from ridgelog.functions import scalars as x
@@ -117,6 +118,10 @@ def test_sql_is_bound_and_read_only(logs):
     assert rows.first().n == 0
     with pytest.raises(ValueError):
         run_sql(logs, "DROP TABLE logs")
+    for hidden in ("WITH x AS (SELECT 1) INSERT OVERWRITE DIRECTORY '/tmp/no' USING parquet SELECT * FROM x", "SELECT 1; DROP VIEW logs", "SELECT 1) UNION ALL (SELECT 2"):
+        with pytest.raises((ValueError, ParseException)):
+            run_sql(logs, hidden)
+    assert run_sql(logs, "WITH x AS (SELECT id FROM logs) SELECT * FROM x ORDER BY id DESC LIMIT 2;", max_rows=1).count() == 1
     assert run_sql(logs, "SELECT id FROM logs", max_rows=4).count() == 4
 
 
@@ -132,11 +137,11 @@ def test_merge_keeps_first_value_and_skips_unreadable(spark):
     assert {r.k: (r.n, r.v, r.t) for r in merged.collect()} == {"a": (11, 3.0, "late"), "b": (2, 1.0, "x"), "c": (5, 1.0, "z")}
 
 
-def test_fnv1a_known_values(spark):
-    # fixed values: published 32-bit FNV-1a test vectors
-    known = {"": 0x811C9DC5, "a": 0xE40C292C, "foobar": 0xBF9CF968}
-    rows = spark.createDataFrame([(s,) for s in known], "s string").select("s", x.fnv1a_32("s").alias("h")).collect()
-    assert {r.s: r.h for r in rows} == known
+def test_shard_counts_place_equal_keys_together(spark):
+    rows = spark.createDataFrame([(f"k{i % 40}",) for i in range(400)] + [(None,)], "k string")
+    counts = a.shard_counts(rows, "k", 8).collect()
+    assert sum(r.row_count for r in counts) == 401 and sum(r["keys"] for r in counts) == 41
+    assert {r.shard for r in counts if r.shard is not None} <= set(range(8))
 
 
 def test_display_functions(spark):
@@ -208,12 +213,12 @@ def test_alert_cooldown_against_brute_force(spark, cooldown):
     frame = spark.createDataFrame([("r", "info", cooldown, t, on) for t, on in checks], "rule string, severity string, cooldown int, at bigint, triggered boolean")
     got = sorted((r.start_at, r.last_at, r.end_at, r["count"]) for r in al.episodes_with_cooldown(frame).collect())
     assert got == walk(checks, cooldown)
-    path = scratch_path(spark, "checks")
-    for i in range(0, 200, 50):
-        schema = frame.schema
-        spark.createDataFrame(frame.collect()[i : i + 50], schema).coalesce(1).write.mode("append").parquet(path)
+    # the checks come in four files, the latest first; the last file carries the watermark past all of them
+    path, rows = scratch_path(spark, "checks"), frame.collect()
+    for part in ([r for r in rows[150:]], rows[0:100:2], rows[1:100:2], rows[100:150], [("mark", "info", cooldown, 10_000_000, False)]):
+        spark.createDataFrame(part, frame.schema).coalesce(1).write.mode("append").parquet(path)
     stream = j.stream_files(spark, path, frame.schema, files_per_trigger=1)
-    versions = j.run_available(al.episode_stream(stream), "alerts")
+    versions = j.run_available(al.episode_stream(stream, "2 days"), "alerts").where("rule = 'r'")
     assert sorted((r.start_at, r.last_at, r.end_at, r["count"]) for r in al.latest_episodes(versions).collect()) == got
     if cooldown == 0:
         plain = sorted((r.start_at, r.end_at, r["count"]) for r in al.episodes(frame).collect())
@@ -248,3 +253,17 @@ def test_charts(spark, logs, as_of):
 def test_latest_per_key(spark):
     frame = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z"), ("b", 1, None)], "k string, v int, t string")
     assert sorted(map(tuple, m.latest_per_key(frame, ["k"], ["v"]).collect())) == [("a", 3, "y"), ("b", 1, None)]
+
+
+def test_latest_per_key_takes_any_columns(spark, logs):
+    newest = m.latest_per_key(logs, ["service"], ["timestamp", "id"])
+    assert newest.schema["attributes"].dataType == logs.schema["attributes"].dataType
+    times = {r.service: r.t for r in logs.groupBy("service").agg(F.max("timestamp").alias("t")).collect()}
+    assert {r.service: r.timestamp for r in newest.collect()} == times
+
+
+def test_scatter_positions(spark):
+    frame = spark.range(1000).selectExpr("id * 7 % 1000 AS k", "id * 7 % 1000 AS v").repartition(5)
+    points = d.scatter_data(frame, "k")
+    assert sorted((r.x, r.value) for r in points.collect()) == [(i, float(i)) for i in range(1000)]
+    assert "SinglePartition" not in points._jdf.queryExecution().executedPlan().toString()

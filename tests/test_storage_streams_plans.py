@@ -12,7 +12,8 @@ from ridgelog.operators.pages import keyset_rows
 from ridgelog.operators.query import QuerySpec, run_query
 from ridgelog.plans import templates
 from ridgelog.schema import LOG_SCHEMA
-from ridgelog.session import checkpointed, scratch_path
+from ridgelog import session
+from ridgelog.session import checkpointed, folder_system, release_scratch, scratch_path
 from ridgelog.storage import export as x
 from ridgelog.storage import stats, table
 from ridgelog.streaming import jobs as j
@@ -92,12 +93,12 @@ def test_expiry_and_compaction(spark, month, stored, as_of):
     assert sum(after[d][0] for d in days) < sum(parts[d] for d in days)
     assert sorted(set(parts) - set(days)) == [d for d in sorted(parts) if after[d][0] == parts[d] and d not in days]
     dropped = table.drop_expired(spark, stored, datetime(2024, 2, 12))
-    assert dropped == [date(2024, 1, 10), date(2024, 1, 11), date(2024, 1, 12)]
+    assert dropped == ["2024-01-10", "2024-01-11", "2024-01-12"]
     assert table.read_logs(spark, stored).agg(F.min("date_partition")).first()[0] == date(2024, 1, 13)
 
 
 def test_statistics_and_advice(spark, stored):
-    files = stats.with_footer_sizes(stats.file_info(spark, stored))
+    files = stats.file_info(spark, stored)
     row = stats.storage_statistics(files).first()
     assert (row.total_rows, row.partition_count, row.oldest_date) == (240, 12, date(2024, 1, 10))
     assert row.compressed_size.endswith(" KiB")
@@ -144,7 +145,12 @@ def test_stateful_streams_equal_batch_up_to_the_watermark(spark, month):
     stream = split_stream(spark, month, 6)
     newest = month.agg(F.max("timestamp")).first()[0] - timedelta(minutes=10)
     sessions = t.trace_sessions(month).filter(F.col("last_log") + F.expr("INTERVAL 1 HOUR") <= F.lit(str(newest)).cast("timestamp_ntz"))
-    assert rows_of(j.run_available(j.trace_state(stream), "e")) == rows_of(sessions)
+    traces = j.run_available(j.trace_state(stream), "e")
+    assert rows_of(traces.select(*sessions.columns)) == rows_of(sessions)
+    services = {r.trace_id: (r.services, r.span_count) for r in traces.collect()}
+    for r in month.groupBy("trace_id").agg(F.array_sort(F.collect_set("service")).alias("s"), F.count_distinct("span_id").alias("n")).collect():
+        assert all(set(s) <= set(r.s) and n <= r.n for t, (s, n) in services.items() if t == r.trace_id)
+    assert all(r.duration_ms == (r.last_log - r.first_log) // timedelta(milliseconds=1) for r in traces.collect())
     counts = j.run_available(j.error_state(stream, "1 day"), "f").groupBy("category", "pattern").agg(F.sum("count").alias("n"))
     closed = month.filter(F.col("timestamp") < F.lit(str(newest.date())).cast("timestamp_ntz"))
     expected = e.error_counts(closed).groupBy("category", "pattern").agg(F.sum("count").alias("n"))
@@ -172,6 +178,83 @@ def test_landing_to_published_table(spark, month):
     assert table.read_logs(spark, path).count() == 240
 
 
+def test_late_logs_reach_the_table_and_repeated_ones_are_removed(spark, make_logs):
+    """Batches of 12:00, 12:30 and 09:00, the first of which comes again."""
+    source, landing, path = (scratch_path(spark, n) for n in ("arriving", "landing", "published"))
+    logs = [{"id": f"{h}:{m}", "timestamp": datetime(2024, 1, 5, h, m)} for h, m in ((12, 0), (12, 30), (9, 0), (12, 0))]
+    for log in logs:
+        make_logs([log]).coalesce(1).write.mode("append").parquet(source)
+    stream = j.stream_files(spark, source, LOG_SCHEMA, files_per_trigger=1)
+    j.append_sink(stream, landing, landing + "-checkpoint", trigger={"availableNow": True}).awaitTermination()
+    table.write_logs(make_logs([{"id": "stored", "timestamp": datetime(2024, 1, 5)}]), path)
+    table.publish_days(spark, landing, path, [date(2024, 1, 5)])
+    assert sorted(r.id for r in table.read_logs(spark, path).collect()) == ["12:0", "12:30", "9:0", "stored"]
+
+
+def test_polls_deliver_logs_of_one_time(spark, make_logs):
+    logs = make_logs([{"id": f"log-{i:03d}", "timestamp": datetime(2024, 1, 5)} for i in range(150)] + [{"id": "z", "timestamp": datetime(2024, 1, 6)}])
+    pages = [[r.id for r in p.collect()] for p in j.tail_pages(logs, datetime(2024, 1, 1), 100)]
+    assert [len(p) for p in pages] == [100, 51] and sum(pages, []) == sorted(r.id for r in logs.collect())
+    assert j.tail_batch(logs, datetime(2024, 1, 5), after_id="log-148").count() == 2
+
+
+@pytest.mark.parametrize("interval, column", [("weekly", "week_partition"), ("monthly", "month_partition"), ("hourly", "date_partition")])
+def test_jobs_follow_the_layout_of_the_table(spark, month, interval, column):
+    path = scratch_path(spark, interval)
+    lost = month.limit(1).withColumn("timestamp", F.lit(None).cast("timestamp_ntz")).withColumn("id", F.lit("lost"))
+    for rows in (month.filter("level = 'info'"), month.filter("level != 'info'"), lost):
+        table.write_logs(rows, path, interval=interval)
+    assert table.stored_interval(spark, path) == interval
+    info = stats.partition_info(stats.file_info(spark, path, column), column)
+    assert info.agg(F.sum("rows")).first()[0] == 241
+    old = [r[0] for r in table.compaction_candidates(info, datetime(2024, 3, 31), limit=1).collect()]
+    with pytest.raises(ValueError):
+        table.compact(spark, path, old, interval="daily" if interval != "hourly" else "weekly")
+    table.compact(spark, path, old)
+    assert table.read_logs(spark, path).count() == 241
+    early = f.time_filter(table.read_logs(spark, path), datetime(2024, 1, 12), datetime(2024, 1, 13))
+    assert "PartitionFilters: [isnotnull(" + column in early._jdf.queryExecution().executedPlan().toString()
+    assert early.count() == month.filter("timestamp between timestamp_ntz'2024-01-12' and timestamp_ntz'2024-01-13'").count()
+    info = stats.partition_info(stats.file_info(spark, path, column), column)
+    expired = [str(r[0]) for r in table.expired_days(info, datetime(2024, 2, 14)).collect()]
+    assert table.drop_expired(spark, path, datetime(2024, 2, 14)) == sorted(expired)
+    last = {"weekly": "2024-01-15", "monthly": "2024-01-01", "hourly": "2024-01-15"}[interval]
+    assert table.read_logs(spark, path).count() == month.filter(f"timestamp >= timestamp_ntz'{last}'").count() + 1
+
+
+def test_footers_equal_those_another_engine_reads(spark, stored):
+    import duckdb
+
+    rows = duckdb.sql(
+        f"SELECT file_name, sum(total_compressed_size), sum(total_uncompressed_size) FROM parquet_metadata('{stored}/*/*.parquet') GROUP BY 1"
+    ).fetchall()
+    found = {r.file.removeprefix("file:"): (r.compressed, r.uncompressed) for r in stats.file_info(spark, stored).collect()}
+    assert found == {name: (c, u) for name, c, u in rows}
+
+
+def test_totals_keep_two_versions_and_ignore_half_written_ones(spark, month):
+    path = scratch_path(spark, "versions")
+    hits = e.with_hits(split_stream(spark, month, 4), "timestamp").select("category", F.lit(1).alias("count"))
+    j.totals_sink(hits, path, path + "-checkpoint", ["category"], ["count"], trigger={"availableNow": True}).awaitTermination()
+    assert len(j._versions(spark, path)) == 2
+    before = rows_of(j.latest_totals(spark, path))
+    spark.range(3).write.parquet(f"{path}/version=99")
+    system, mark = folder_system(spark, f"{path}/version=99/_SUCCESS")
+    system.delete(mark, False)
+    assert rows_of(j.latest_totals(spark, path)) == before
+
+
+def test_scratch_folders_are_released(spark, month):
+    # other tests go on with theirs
+    own = spark.sparkContext.applicationId
+    others, session._SCRATCH[own] = session._SCRATCH.get(own, []), []
+    path = checkpointed(month.drop("attributes")).inputFiles()[0].rsplit("/", 1)[0]
+    assert release_scratch(spark) == 1
+    system, root = folder_system(spark, path)
+    assert not system.exists(root) and release_scratch(spark) == 0
+    session._SCRATCH[own] = others
+
+
 def test_plans_stay_in_the_jvm_without_cross_joins(spark, stored, as_of):
     logs = table.read_logs(spark, stored).select(*LOG_SCHEMA.fieldNames())
     frames = [

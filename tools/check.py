@@ -3,6 +3,7 @@
 import argparse
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -10,7 +11,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ridgelog.catalog import all_oracles, all_queries  # noqa: E402
-from ridgelog.session import build_session  # noqa: E402
+from ridgelog.session import build_session, release_scratch  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -59,7 +60,7 @@ def main() -> int:
     args = parser.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = build_session(
-        master="local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        master="local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="ridgelog-check-")}
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
@@ -80,6 +81,7 @@ def main() -> int:
             problem, rows = f"{type(error).__name__}: {str(error)[:600]}", ""
         failed += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.2f}s{rows} {problem}", flush=True)
+    release_scratch(spark)
     print(f"{failed} failed of {len(queries)}")
     return 1 if failed else 0
 
