@@ -112,8 +112,19 @@ def with_custom(patterns: Sequence[LinePattern], base: Sequence[LinePattern] = L
     return tuple(sorted((*base, *patterns), key=lambda p: -p.priority))
 
 
+def _possible(text: Column, p: LinePattern) -> Column | None:
+    """A cheap test that every line of the format passes: its first character, or text it must hold."""
+    body = p.pattern.removeprefix("(?d)")
+    if body.startswith("^<"):
+        return text.startswith("<")
+    if body.startswith(r"^(\d"):
+        return F.ascii(text).between(ord("0"), ord("9"))
+    return text.contains('] "') if r'\] "' in body else None
+
+
 def pattern_matches(text: Column, p: LinePattern) -> Column:
-    hit = text.rlike(p.pattern)
+    possible, hit = _possible(text, p), text.rlike(p.pattern)
+    hit = hit if possible is None else possible & hit
     if p.forbidden is not None:
         group, token = p.forbidden
         hit = hit & ~F.regexp_extract(text, p.pattern, group).rlike(token)
@@ -130,8 +141,20 @@ def pattern_index(text, patterns: Sequence[LinePattern]) -> Column:
     return index
 
 
+_MARK = "\x01"
+
+
 def _groups(text: Column, p: LinePattern) -> Column:
-    return F.array(*[F.regexp_extract(text, p.pattern, i + 1) for i in range(len(p.groups))])
+    """All groups of a matching line by one run of its pattern: the line is rewritten to them and split.
+
+    A line that holds the mark itself has its groups taken one by one.
+    """
+    each = F.array(*[F.regexp_extract(text, p.pattern, i + 1) for i in range(len(p.groups))])
+    if len(p.groups) == 1:
+        return each
+    whole = rf"\A[\s\S]*?(?:{p.pattern})[\s\S]*"
+    joined = F.regexp_replace(text, whole, _MARK.join(f"${i + 1}" for i in range(len(p.groups))))
+    return F.when(text.contains(_MARK), each).otherwise(F.split(joined, _MARK))
 
 
 def _captured(text: Column, groups: Column, p: LinePattern) -> Column:

@@ -268,3 +268,13 @@ def test_invalid_rule_type_is_a_configuration_error(make_logs):
 
     with pytest.raises(ValueError):
         v.transform(make_logs([{}]), v.RuleSet(transforms=(v.TransformRule("x", "explode"),)))
+
+
+def test_groups_of_any_pattern_in_one_run(make_lines, as_of):
+    """Unanchored patterns, alternatives, optional groups and lines that hold the separator."""
+    odd = LinePattern("odd", re2(r"user=(\w+)( id=(\d+))?|root:(\w*)"), ("user", None, "pid", "service"), 200)
+    lines = make_lines(["login user=ann id=7 user=bob", "login user=eve!", "x root:db y", "a\x01b user=kim id=9"])
+    rows = p.parse_text_lines(lines, as_of=as_of, patterns=(odd,)).orderBy("n").select("record.service", "record.attributes").collect()
+    assert [(r.service, r.attributes.get("user"), r.attributes.get("pid")) for r in rows] == [
+        ("unknown", "ann", "7"), ("unknown", "eve", None), ("db", None, None), ("unknown", "kim", "9"),
+    ]
