@@ -5,8 +5,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgelog.session import checkpointed
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: everything in ASCII that is neither a letter nor a digit, after lower-casing
 _NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,27 +43,6 @@ def fresh(taken, name: str) -> str:
     return name
 
 
-def global_position(rows: DataFrame, order: list[str], name: str, label: str) -> DataFrame:
-    """Rows with a gapless position from 0 in the order of the columns ``order``.
-
-    The rows are dealt out by range, sorted and counted by task, and stored with
-    their place in the task; only one number per task goes through the driver,
-    so no task and no window ever sees all rows of a group. Rows that are equal in
-    ``order`` are numbered in any order, but once and for all.
-    """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = checkpointed(placed, label)
-    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = {r[0]: r[1] for r in placed.groupBy(task.alias("task")).count().collect()}
-    start, pairs = 0, []
-    for k in sorted(counts):
-        pairs.append((int(k), start))
-        start += counts[k]
-    spark = rows.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(pairs, "_task long, _start long"))
-    return placed.join(offsets, task == F.col("_task")).withColumn(name, place + F.col("_start")).drop("_at", "_task", "_start")
-
-
 def bands_for(jaccard: float, miss: float) -> int:
     """Single-row MinHash bands of which at least one collides but for a chance of ``miss``."""
     return 1 if jaccard >= 1 else math.ceil(math.log(miss) / math.log(1 - jaccard))

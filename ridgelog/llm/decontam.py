@@ -159,7 +159,7 @@ def _by_row(docs, items, doc_id, text, item_id, item_text):
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
-    hit = _by_row(docs, items, doc_id, text, item_id, item_text).where("contaminated").select(*[F.col(c).alias(f"_hit_{c}") for c in _PLACE]).distinct()
     names = [fresh(docs.columns, f"_{c}") for c in _PLACE]
+    hit = _by_row(docs, items, doc_id, text, item_id, item_text).where("contaminated").select(*[F.col(c).alias(n) for c, n in zip(_PLACE, names)]).distinct()
     rows = docs.withColumns(dict(zip(names, row_keys(doc_id, text))))
-    return rows.join(hit, [F.col(n) == F.col(f"_hit_{c}") for n, c in zip(names, _PLACE)], "left_anti").drop(*names)
+    return rows.join(hit, names, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgelog.llm.common import global_position
+from ridgelog.functions.positions import numbered
 from ridgelog.session import checkpointed
 
 #: stretches of the whole length whose cut points the driver sees at once
@@ -156,8 +156,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", t
         done += r["n"]
     begins = F.broadcast(rows.sparkSession.createDataFrame(begins, "shard int, begins long"))
     joined = rows.join(placed.drop("n"), "key").select("doc_id", "size", "text_crc32", "first_doc", "key", "shard")
-    numbered = global_position(joined, ["first_doc", "key", "doc_id"], "position", "shard-slots").join(begins, "shard")
-    return numbered.select(
+    slots = numbered(joined, ["first_doc", "key", "doc_id"]).join(begins, "shard")
+    return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("position") - F.col("begins")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -125,9 +125,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     doc_id at all, the row with the smallest hash of the text.
     """
     groups = _grouped(docs, doc_id, text, BUCKET_MOST, SHARD_ROWS).where("doc_id <=> component_id")
-    kept = groups.groupBy("root").agg(F.coalesce(F.first("doc_id"), F.lit(0)).alias("_id"), F.min("text_key").alias("_text"))
     id_key, text_key = (fresh(docs.columns, n) for n in ("_id_key", "_text_key"))
+    kept = groups.groupBy("root").agg(F.coalesce(F.first("doc_id"), F.lit(0)).alias(id_key), F.min("text_key").alias(text_key))
     by_id, by_text = row_keys(doc_id, text)
-    rows = docs.withColumns({id_key: by_id, text_key: by_text})
-    rows = rows.join(kept, (F.col(id_key) == F.col("_id")) & (F.col(text_key) == F.col("_text")), "left_semi")
-    return rows.dropDuplicates([id_key, text_key]).drop(id_key, text_key)
+    rows = docs.withColumns({id_key: by_id, text_key: by_text}).join(kept.drop("root"), [id_key, text_key], "left_semi")
+    return rows.dropDuplicates([id_key, text_key]).select(*docs.columns)
