@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ridgelog.llm.decontam import clean_documents
 from ridgelog.llm.pii import redacted
 from ridgelog.llm.quality import accepted, fit_rules
-from ridgelog.llm.queries import MODEL_PATH, QUERIES, table
+from ridgelog.llm.queries import MODEL_PATH, table
 from ridgelog.llm.simhash import one_of_each
 from ridgelog.llm.sptok import encode, read_model
 from ridgelog.session import checkpointed
@@ -54,6 +54,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-QUERIES["pipeline"] = run
