@@ -87,18 +87,22 @@ def threads(replies: DataFrame) -> DataFrame:
     ``replies`` has ``(conv_id, turn, reply_to)``, null for a message that quotes nothing known.
     Replies point to earlier turns, so there are no circles, and the rounds are
     the logarithm of the longest chain. Every round is one join on (conversation,
-    turn) and is written to the shared folder.
+    turn) and is written to the shared folder; messages that have found their root
+    take no further part in it but as targets.
     """
-    way = checkpointed(replies.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("root"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("depth")), "threads")
-    total = None
-    while True:
-        now = way.agg(F.sum("depth")).first()[0]
-        if now == total:
-            return way
-        total = now
-        further = way.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        joined = way.join(further, ["conv_id", "root"], "left")
-        way = checkpointed(joined.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "threads")
+    at_root = F.col("reply_to").isNull()
+    ways = checkpointed(
+        replies.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("root"), F.when(at_root, 0).otherwise(1).alias("depth"), at_root.alias("final")), "threads"
+    )
+    found, open_ = ways.where("final"), ways.where("NOT final")
+    while not open_.isEmpty():
+        targets = found.union(open_).select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("final").alias("there"))
+        step = open_.drop("final").join(targets, ["conv_id", "root"]).select(
+            "conv_id", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("final")
+        )
+        step = checkpointed(step, "threads")
+        found, open_ = found.union(step.where("final")), step.where("NOT final")
+    return found.drop("final")
 
 
 def format_conversations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
