@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ridgelog.catalog.registry import query
-from ridgelog.catalog.tables import ALL_HOURS, AS_OF, LOGS, document_logs, event_logs, table
+from ridgelog.catalog.tables import ALL_HOURS, AS_OF, LOGS, document_logs, event_logs, stored_logs, table
 from ridgelog.functions import scalars as x
 from ridgelog.operators import aggregates as a
 from ridgelog.operators import charts as d
@@ -445,8 +445,8 @@ def offset_page(spark, sf_dir):
  ORDER BY timestamp DESC, id DESC LIMIT 101""",
 )
 def keyset_page(spark, sf_dir):
-    logs = _logs(spark, sf_dir).select("id", "timestamp", "level")
-    return p.keyset_rows(logs, "timestamp", ("2024-01-20 00:00:00", "ev-5"), 100, "DESC")
+    logs = stored_logs(spark, sf_dir).select("id", "timestamp", "level", "date_partition")
+    return p.keyset_rows(logs, "timestamp", ("2024-01-20 00:00:00", "ev-5"), 100, "DESC").drop("date_partition")
 
 
 @query("page_total", W + "SELECT count(*) AS total_count FROM logs WHERE level = 'error'")

@@ -179,22 +179,39 @@ _CHECKS = """hourly AS (SELECT epoch_us(ts) // 3600000000 * 3600 AS "at", count(
  UNION ALL SELECT 'exact_hour', 'info', 0, "at", n, n = 14 FROM hourly)"""
 
 
+_DEFAULT_SAMPLES = """m AS (SELECT event_id AS "at", user_id % 4 AS kind, value AS v FROM events), s AS (SELECT "at", CASE kind WHEN 0 THEN 'ingestion_rate_per_second' WHEN 1 THEN 'query_duration_ms_p99'
+ WHEN 2 THEN 'memory_alloc_mb' ELSE 'storage_free_percent' END AS name, CASE WHEN kind = 0 AND "at" % 3 = 0 THEN 0 ELSE floor(v) * CASE kind WHEN 0 THEN 100 WHEN 1 THEN 50 WHEN 2 THEN 10 ELSE 1 END END AS value FROM m)"""
+
+
 @query(
     "default_alerts",
-    """WITH m AS (SELECT event_id AS "at", user_id % 4 AS kind, value AS v FROM events), s AS (SELECT "at", CASE kind WHEN 0 THEN 'ingestion_rate_per_second' WHEN 1 THEN 'query_duration_ms_p99'
- WHEN 2 THEN 'memory_alloc_mb' ELSE 'storage_free_percent' END AS name, CASE WHEN kind = 0 AND "at" % 3 = 0 THEN 0 ELSE floor(v) * CASE kind WHEN 0 THEN 100 WHEN 1 THEN 50 WHEN 2 THEN 10 ELSE 1 END END AS value FROM m),
- r(rule, severity, metric, comparator, threshold, cooldown) AS (VALUES ('high_ingestion_rate', 'warning', 'ingestion_rate_per_second', '>', 10000.0, 300), ('slow_queries', 'warning', 'query_duration_ms_p99', '>', 5000.0, 300),
+    f"""WITH {_DEFAULT_SAMPLES}, r(rule, severity, metric, comparator, threshold, cooldown) AS (VALUES ('high_ingestion_rate', 'warning', 'ingestion_rate_per_second', '>', 10000.0, 300), ('slow_queries', 'warning', 'query_duration_ms_p99', '>', 5000.0, 300),
  ('high_memory_usage', 'critical', 'memory_alloc_mb', '>', 1024.0, 300), ('low_storage_space', 'critical', 'storage_free_percent', '<', 10.0, 1800), ('no_recent_logs', 'info', 'ingestion_rate_per_second', '=', 0.0, 600))
  SELECT rule, severity, cooldown, "at", value, CASE comparator WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold ELSE value = threshold END AS triggered FROM s JOIN r ON name = metric""",
 )
 def default_alerts(spark, sf_dir):
     """The default rules on one sample per event."""
+    return a.evaluate_rules(_default_samples(spark, sf_dir))
+
+
+@query(
+    "alert_messages",
+    f"""WITH {_DEFAULT_SAMPLES} SELECT "at", CASE name WHEN 'ingestion_rate_per_second' THEN printf('Ingestion rate is %.0f logs/sec (threshold: 10000)', value)
+ WHEN 'query_duration_ms_p99' THEN printf('99th percentile query duration is %.0fms (threshold: 5000ms)', value) WHEN 'memory_alloc_mb' THEN printf('Memory usage is %.0fMB (threshold: 1024MB)', value)
+ ELSE printf('Only %.1f%% storage space remaining', value) END AS message FROM s WHERE CASE name WHEN 'ingestion_rate_per_second' THEN value > 10000 WHEN 'query_duration_ms_p99' THEN value > 5000
+ WHEN 'memory_alloc_mb' THEN value > 1024 ELSE value < 10 END""",
+)
+def alert_messages(spark, sf_dir):
+    checks = a.evaluate_rules(_default_samples(spark, sf_dir), a.DEFAULT_RULES[:4])
+    return a.alert_messages(checks).select("at", "message")
+
+
+def _default_samples(spark, sf_dir):
     kind = F.col("user_id") % 4
     name = F.element_at(F.array(*[F.lit(n) for n in ("ingestion_rate_per_second", "query_duration_ms_p99", "memory_alloc_mb", "storage_free_percent")]), (kind + 1).cast("int"))
     scale = F.element_at(F.array(*[F.lit(float(n)) for n in (100, 50, 10, 1)]), (kind + 1).cast("int"))
     value = F.when((kind == 0) & (F.col("event_id") % 3 == 0), F.lit(0.0)).otherwise(F.floor("value") * scale)
-    samples = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), name.alias("name"), value.alias("value"))
-    return a.evaluate_rules(samples)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), name.alias("name"), value.alias("value"))
 
 
 @query("alert_checks", f"WITH {_CHECKS} SELECT * FROM checks")

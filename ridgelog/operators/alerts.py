@@ -25,15 +25,17 @@ class AlertRule:
     comparator: str
     threshold: float
     cooldown_seconds: int
+    #: what a triggered check says, as a format of its value
+    message: str = ""
 
 
 # fixed values: the default rules
 DEFAULT_RULES = (
-    AlertRule("high_ingestion_rate", "warning", "ingestion_rate_per_second", ">", 10000.0, 300),
-    AlertRule("slow_queries", "warning", "query_duration_ms_p99", ">", 5000.0, 300),
-    AlertRule("high_memory_usage", "critical", "memory_alloc_mb", ">", 1024.0, 300),
-    AlertRule("low_storage_space", "critical", "storage_free_percent", "<", 10.0, 1800),
-    AlertRule("no_recent_logs", "info", "ingestion_rate_per_second", "=", 0.0, 600),
+    AlertRule("high_ingestion_rate", "warning", "ingestion_rate_per_second", ">", 10000.0, 300, "Ingestion rate is %.0f logs/sec (threshold: 10000)"),
+    AlertRule("slow_queries", "warning", "query_duration_ms_p99", ">", 5000.0, 300, "99th percentile query duration is %.0fms (threshold: 5000ms)"),
+    AlertRule("high_memory_usage", "critical", "memory_alloc_mb", ">", 1024.0, 300, "Memory usage is %.0fMB (threshold: 1024MB)"),
+    AlertRule("low_storage_space", "critical", "storage_free_percent", "<", 10.0, 1800, "Only %.1f%% storage space remaining"),
+    AlertRule("no_recent_logs", "info", "ingestion_rate_per_second", "=", 0.0, 600, "No logs received in the last minute"),
 )
 
 
@@ -63,6 +65,18 @@ def evaluate_rules(metrics: DataFrame, rules: Sequence[AlertRule] = DEFAULT_RULE
     )
 
 
+def alert_messages(checks: DataFrame, rules: Sequence[AlertRule] = DEFAULT_RULES) -> DataFrame:
+    """The triggered checks with the text of their rule; a rule without a text states metric, value and threshold.
+
+    The message of an alert is that of its last triggered check.
+    """
+    text = F.lit(None).cast("string")
+    for rule in rules:
+        stated = F.format_string(rule.message or f"{rule.metric} is %.2f (threshold: {rule.threshold:g})", F.col("value").cast("double"))
+        text = F.when(F.col("rule") == rule.name, stated).otherwise(text)
+    return checks.filter("triggered").withColumn("message", text)
+
+
 def episodes(checks: DataFrame, keys: Sequence[str] = ("rule",)) -> DataFrame:
     """Alert episodes without cooldown: runs of triggered checks.
 

@@ -257,6 +257,14 @@ def latest_totals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={versions[-1]}")
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and are missing in a query's windows or sessions, so far as it remembers.
+
+    The batch twin over the stored table counts them.
+    """
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Drain a stream into a table in the shared folder and read the table back."""
     spark = stream.sparkSession

@@ -191,6 +191,32 @@ def test_late_logs_reach_the_table_and_repeated_ones_are_removed(spark, make_log
     assert sorted(r.id for r in table.read_logs(spark, path).collect()) == ["12:0", "12:30", "9:0", "stored"]
 
 
+def test_rows_after_the_watermark_are_counted(spark, make_logs):
+    source, out = scratch_path(spark, "arriving"), scratch_path(spark, "counts")
+    for h in (12, 15, 9, 16, 17):
+        make_logs([{"id": str(h), "timestamp": datetime(2024, 1, 5, h)}]).coalesce(1).write.mode("append").parquet(source)
+    counts = j.window_counts(j.stream_files(spark, source, LOG_SCHEMA, files_per_trigger=1), ["level"])
+    query = counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert j.dropped_rows(query) == 1
+
+
+@pytest.mark.parametrize("codec", sorted(table.PARQUET_CODEC))
+def test_codec_is_the_one_asked_for(spark, month, codec):
+    import pyarrow.parquet as pq
+
+    path = scratch_path(spark, "codec")
+    table.write_logs(month.limit(20), path, codec=codec)
+    found = {pq.read_metadata(f.removeprefix("file:")).row_group(0).column(0).compression.lower() for f in spark.read.parquet(path).inputFiles()}
+    assert found == {{"lz4_raw": "lz4", "none": "uncompressed"}.get(table.PARQUET_CODEC[codec], table.PARQUET_CODEC[codec])}
+
+
+def test_files_are_sorted(spark, stored):
+    rows = table.read_logs(spark, stored).select("_metadata.file_path", "_metadata.row_index", *table.SORT_ORDER).orderBy("file_path", "row_index").collect()
+    for one, two in zip(rows, rows[1:]):
+        assert one.file_path != two.file_path or tuple(one)[2:] <= tuple(two)[2:]
+
+
 def test_polls_deliver_logs_of_one_time(spark, make_logs):
     logs = make_logs([{"id": f"log-{i:03d}", "timestamp": datetime(2024, 1, 5)} for i in range(150)] + [{"id": "z", "timestamp": datetime(2024, 1, 6)}])
     pages = [[r.id for r in p.collect()] for p in j.tail_pages(logs, datetime(2024, 1, 1), 100)]
