@@ -69,9 +69,10 @@ def with_detected_errors(df: DataFrame) -> DataFrame:
 
 def with_hits(df: DataFrame, *columns: str) -> DataFrame:
     """One row per log and error indication: the given columns, category and pattern."""
-    hits = [F.when(i.when, F.struct(i.category.alias("category"), i.pattern.alias("pattern"))) for i in _indications()]
-    rows = _with_folded(df).select(*columns, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-    return rows.select(*columns, "hit.category", "hit.pattern")
+    hits = compact_texts([F.when(i.when, F.concat(i.category, F.lit("\x02"), i.pattern)) for i in _indications()])
+    rows = _with_folded(df).select(*columns, F.explode(hits).alias("hit"))
+    parts = F.split("hit", "\x02")
+    return rows.select(*columns, parts[0].alias("category"), parts[1].alias("pattern"))
 
 
 def failing_logs(df: DataFrame) -> DataFrame:
