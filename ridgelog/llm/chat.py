@@ -40,19 +40,13 @@ def quoted_lines(messages: DataFrame) -> DataFrame:
     return rows.withColumn("own", F.regexp_replace(own, r"^\s+|\s+$", "")).withColumn("levels", F.filter("_lines", lambda x: F.trim(x["line"]) != "")).drop("_lines")
 
 
-def passages(parsed: DataFrame) -> DataFrame:
-    """``(conv_id, turn, level, passage)``: the hash of every quoted line, normalised, with its level."""
-    quoted = parsed.select("conv_id", "turn", F.explode(F.filter("levels", lambda x: x["level"] > 0)).alias("q"))
-    return quoted.select("conv_id", "turn", F.col("q.level").alias("level"), F.sha2(normalised(F.col("q.line")), 256).alias("passage"))
+def line_hashes(parsed: DataFrame) -> DataFrame:
+    """``(conv_id, turn, level, passage)``: the hash of every line with a word, normalised; level 0 is the message's own."""
+    lines = parsed.select("conv_id", "turn", F.explode("levels").alias("q"))
+    return lines.select("conv_id", "turn", F.col("q.level").alias("level"), F.unhex(F.sha2(normalised(F.col("q.line")), 256)).alias("passage"))
 
 
-def originals(parsed: DataFrame) -> DataFrame:
-    """``(conv_id, turn, passage)``: the hash of every own line of a message, normalised."""
-    own = parsed.select("conv_id", "turn", F.explode(F.filter("levels", lambda x: x["level"] == 0)).alias("q"))
-    return own.select("conv_id", "turn", F.sha2(normalised(F.col("q.line")), 256).alias("passage")).distinct()
-
-
-def link_quotes(parsed: DataFrame, block: int = 1024) -> DataFrame:
+def link_quotes(lines: DataFrame, block: int = 1024) -> DataFrame:
     """``(conv_id, turn, quoted_turn, level, n_lines)``: which earlier messages a message quotes, at which level, in how many lines.
 
     A quoted line is joined to the earlier messages of its conversation that hold it as a line of
@@ -61,8 +55,8 @@ def link_quotes(parsed: DataFrame, block: int = 1024) -> DataFrame:
     conversation, each block also takes over the latest original of the blocks before, so
     neither pairs of messages nor whole conversations ever meet in a task.
     """
-    quotes = passages(parsed).groupBy("conv_id", "turn", "level", "passage").agg(F.count(F.lit(1)).alias("n"))
-    source = originals(parsed).select("conv_id", "turn", "passage", F.col("turn").alias("held"))
+    quotes = lines.where("level > 0").groupBy("conv_id", "turn", "level", "passage").agg(F.count(F.lit(1)).alias("n"))
+    source = lines.where("level = 0").select("conv_id", "turn", "passage").distinct().withColumn("held", F.col("turn"))
     met = quotes.unionByName(source, allowMissingColumns=True).withColumn("block", F.floor(F.col("turn") / block))
     before = Window.partitionBy("conv_id", "passage", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("near", F.max("held").over(before)).where("level IS NOT NULL").drop("held")
@@ -119,8 +113,9 @@ def format_conversations(messages: DataFrame, conv_id: str = "conv_id", turn: st
     """
     rows = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).cast("string").alias("text"))
     parsed = quoted_lines(rows).drop("text")
-    links = checkpointed(link_quotes(parsed), "quotes")
-    replies = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct().join(reply_links(links), ["conv_id", "turn"], "left")
+    linkable = "conv_id IS NOT NULL AND turn IS NOT NULL"
+    links = checkpointed(link_quotes(checkpointed(line_hashes(parsed).where(linkable), "lines")), "quotes")
+    replies = rows.where(linkable).select("conv_id", "turn").distinct().join(reply_links(links), ["conv_id", "turn"], "left")
     linked = links.groupBy("conv_id", "turn").agg(F.sum("n_lines").alias("n_linked"))
     placed = threads(replies).join(replies, ["conv_id", "turn"]).join(linked, ["conv_id", "turn"], "left")
     n_quoted = F.size(F.filter("levels", lambda x: x["level"] > 0)).cast("long")

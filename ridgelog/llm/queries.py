@@ -14,6 +14,7 @@ from ridgelog.llm.shards import shard_documents
 from ridgelog.llm.simhash import near_duplicates
 from ridgelog.llm.sptok import encode, read_model
 from ridgelog.llm.urlrules import Rule, judge_urls, rules_table
+from ridgelog.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,4 +137,5 @@ SELECT conv_id, turn, role, own, CASE WHEN a > 0 THEN turn - 1 END AS reply_to,
  turn - min(turn) OVER (PARTITION BY conv_id) AS depth, a + b AS n_quoted, a + b AS n_linked FROM own""",
 )
 def op10_quotation_links(spark, sf_dir):
-    return format_conversations(as_mails(table(spark, sf_dir, "conversations")))
+    mails = checkpointed(as_mails(table(spark, sf_dir, "conversations")), "mails")
+    return format_conversations(mails)

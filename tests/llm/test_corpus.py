@@ -303,13 +303,13 @@ def test_quotes_are_linked(spark):
 
 def test_long_conversation_takes_the_latest_original(spark):
     """A line that returns in far blocks of a conversation."""
-    from ridgelog.llm.chat import link_quotes, quoted_lines
+    from ridgelog.llm.chat import line_hashes, link_quotes, quoted_lines
 
     rows = [(1, t, "user", "yes" if t in (0, 7, 40) else "> yes" if t in (3, 7, 9, 39, 41, 90) else f"t{t}") for t in range(100)]
     rows[7] = (1, 7, "user", "> yes\nyes")
     parsed = quoted_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     for block in (4, 1024):
-        assert {r["turn"]: r["quoted_turn"] for r in link_quotes(parsed, block).collect()} == {3: 0, 7: 0, 9: 7, 39: 7, 41: 40, 90: 40}
+        assert {r["turn"]: r["quoted_turn"] for r in link_quotes(line_hashes(parsed), block).collect()} == {3: 0, 7: 0, 9: 7, 39: 7, 41: 40, 90: 40}
 
 
 def test_mails_of_conversations(spark):
@@ -346,3 +346,12 @@ def test_pipeline_equals_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in decode(rows, read_model(p.MODEL_PATH)).collect()} == clean
     for name, stage in p.STAGES[:-1]:
         assert stage(spark, docs, SF_DIR).columns == docs.columns
+
+
+@pytest.mark.parametrize("name", ["op3_url_rules", "op4_benchmark_windows", "op6_license_notices", "op10_quotation_links"])
+def test_native_queries_run_no_python(spark, name):
+    from ridgelog.llm.queries import QUERIES
+
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
+        assert word not in plan, word
