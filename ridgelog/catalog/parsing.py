@@ -18,7 +18,7 @@ from ridgelog.catalog.tables import (
     syslog_lines,
     table,
 )
-from ridgelog.functions.patterns import LINE_PATTERNS, LinePattern, re2
+from ridgelog.functions.patterns import LINE_PATTERNS, LINE_SOURCES, LinePattern, re2
 from ridgelog.functions.scalars import attr
 from ridgelog.functions.timeparse import parse_timestamp
 from ridgelog.operators import parsing as p
@@ -28,27 +28,8 @@ from ridgelog.session import scratch_path
 from ridgelog.sources import ingest
 from ridgelog.sources.syslog import decode_syslog
 
-# fixed values: the line formats in RE2 syntax, for the checking engine
-_ACCESS = r'\[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+)'
-FORMATS = (
-    ("syslog_rfc3164", r"^<(\d+)>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}) (\S+) (\S+)(\[(\d+)\])?: (.*)"),
-    ("apache_combined", r"^(\S+) \S+ \S+ " + _ACCESS + r' (\d+|-) "([^"]*)" "([^"]*)"'),
-    ("nginx_access", r"^(\S+) - (\S+) " + _ACCESS + r' (\d+) "([^"]*)" "([^"]*)"'),
-    ("apache_common", r"^(\S+) \S+ \S+ " + _ACCESS + r" (\d+|-)"),
-    (
-        "spring_boot",
-        r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[.,]\d{3})\s+(\w+)\s+(\d+)\s+---\s+\[([^\]]+)\]\s+(\S+)\s+:\s+(.*)",
-    ),
-    ("app_log", r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[.,]\d{3})\s+(\w+)\s+(\S+)\s+-\s+(.*)"),
-    ("docker_log", r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z)\s+(stdout|stderr)\s+F\s+(.*)"),
-    (
-        "generic_timestamped",
-        r"^(\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)\s*(DEBUG|INFO|WARN|ERROR|FATAL|TRACE)?\s*(.+)",
-    ),
-    ("level_message", r"^(DEBUG|INFO|WARN|ERROR|FATAL|TRACE):\s*(.+)"),
-    ("key_value", r"^(.*?)(?:\s+((?:\w+=\S+\s*)+))$"),
-    ("fallback", r"^(.+)$"),
-)
+#: the line formats by falling priority, as the checking engine takes them
+FORMATS = tuple((p.name, LINE_SOURCES[p.name]) for p in sorted(LINE_PATTERNS, key=lambda p: -p.priority))
 #: group of each capture per format: message, service, level, time, other attributes
 _GROUPS = {
     "syslog_rfc3164": dict(message=7, service=4, time=2, hostname=3, pid=6),

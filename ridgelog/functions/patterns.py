@@ -39,69 +39,79 @@ _IS_SPACE = f"[{_SPACE}]"
 #: start of a token that is not of the form key=value
 NOT_KEY_VALUE = rf"(?<!{_NOT_SPACE})(?!\w++={_NOT_SPACE}){_NOT_SPACE}"
 
-# fixed values: the line formats, their captures and priorities
+# fixed values: the line formats as RE2 patterns
+LINE_SOURCES = {
+    "apache_combined": r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+|-) "([^"]*)" "([^"]*)"',
+    "apache_common": r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+|-)',
+    "nginx_access": r'^(\S+) - (\S+) \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+) "([^"]*)" "([^"]*)"',
+    "syslog_rfc3164": r"^<(\d+)>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}) (\S+) (\S+)(\[(\d+)\])?: (.*)",
+    "app_log": r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[.,]\d{3})\s+(\w+)\s+(\S+)\s+-\s+(.*)",
+    "spring_boot": r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[.,]\d{3})\s+(\w+)\s+(\d+)\s+---\s+\[([^\]]+)\]\s+(\S+)\s+:\s+(.*)",
+    "docker_log": r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z)\s+(stdout|stderr)\s+F\s+(.*)",
+    "generic_timestamped": r"^(\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)\s*(DEBUG|INFO|WARN|ERROR|FATAL|TRACE)?\s*(.+)",
+    "level_message": r"^(DEBUG|INFO|WARN|ERROR|FATAL|TRACE):\s*(.+)",
+    "key_value": r"^(.*?)(?:\s+((?:\w+=\S+\s*)+))$",
+    "fallback": r"^(.+)$",
+}
+
+# fixed values: captures and priorities of the line formats
 LINE_PATTERNS = (
     LinePattern(
         "apache_combined",
-        re2(r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+|-) "([^"]*)" "([^"]*)"'),
+        re2(LINE_SOURCES["apache_combined"]),
         ("ip", "timestamp", "method", "path", "protocol", "status", "size", "referer", "user_agent"),
         90,
     ),
     LinePattern(
         "apache_common",
-        re2(r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+|-)'),
+        re2(LINE_SOURCES["apache_common"]),
         ("ip", "timestamp", "method", "path", "protocol", "status", "size"),
         85,
     ),
     LinePattern(
         "nginx_access",
-        re2(r'^(\S+) - (\S+) \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+) "([^"]*)" "([^"]*)"'),
+        re2(LINE_SOURCES["nginx_access"]),
         ("ip", "user", "timestamp", "method", "path", "protocol", "status", "size", "referer", "user_agent"),
         88,
     ),
     LinePattern(
         "syslog_rfc3164",
-        re2(r"^<(\d+)>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}) (\S+) (\S+)(\[(\d+)\])?: (.*)"),
+        re2(LINE_SOURCES["syslog_rfc3164"]),
         ("priority", "timestamp", "hostname", "service", None, "pid", "message"),
         95,
     ),
     LinePattern(
         "app_log",
-        re2(r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[.,]\d{3})\s+(\w+)\s+(\S+)\s+-\s+(.*)"),
+        re2(LINE_SOURCES["app_log"]),
         ("timestamp", "level", "service", "message"),
         80,
     ),
     LinePattern(
         "spring_boot",
-        re2(
-            r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[.,]\d{3})\s+(\w+)\s+(\d+)\s+---\s+"
-            r"\[([^\]]+)\]\s+(\S+)\s+:\s+(.*)"
-        ),
+        re2(LINE_SOURCES["spring_boot"]),
         ("timestamp", "level", "pid", "thread", "logger", "message"),
         85,
     ),
     LinePattern(
         "docker_log",
-        re2(r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z)\s+(stdout|stderr)\s+F\s+(.*)"),
+        re2(LINE_SOURCES["docker_log"]),
         ("timestamp", "stream", "message"),
         75,
     ),
     LinePattern(
         "generic_timestamped",
-        re2(
-            r"^(\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)\s*"
-            r"(DEBUG|INFO|WARN|ERROR|FATAL|TRACE)?\s*(.+)"
-        ),
+        re2(LINE_SOURCES["generic_timestamped"]),
         ("timestamp", "level", "message"),
         60,
     ),
     LinePattern(
         "level_message",
-        re2(r"^(DEBUG|INFO|WARN|ERROR|FATAL|TRACE):\s*(.+)"),
+        re2(LINE_SOURCES["level_message"]),
         ("level", "message"),
         50,
     ),
-    # A shortest message followed by key=value tokens up to the end. The message ends
+    # Not converted from its source, but written anew with the same matches:
+    # a shortest message followed by key=value tokens up to the end. The message ends
     # with the last token that is no pair; without such a token it is the first token.
     # No nested repetition, so long lines neither blow up nor recurse.
     LinePattern(
@@ -112,7 +122,7 @@ LINE_PATTERNS = (
         40,
         forbidden=(3, NOT_KEY_VALUE),
     ),
-    LinePattern("fallback", re2(r"^(.+)$"), ("message",), 10),
+    LinePattern("fallback", re2(LINE_SOURCES["fallback"]), ("message",), 10),
 )
 
 SYSLOG_5424 = re2(r"^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\[.*?\]|-)\s*(.*)$")
