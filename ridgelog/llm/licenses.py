@@ -117,8 +117,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
         return frame.select("*", F.posexplode(signature).alias("band", "least"))
 
     wide_of = F.greatest(F.lit(8), F.pow(F.lit(2), F.ceil(F.log2(F.size("words")))).cast("int"))
-    known = rows.select("license", wide_of.alias("wide"), _texts("words").alias("shingles"), _hashes("words").alias("hashes"))
-    bands = by_class(known, "hashes").select("license", "wide", "shingles", "band", "least")
+    named = F.xxhash64("license", "words").alias("template")
+    known = rows.select("license", named, wide_of.alias("wide"), _texts("words").alias("shingles"), _hashes("words").alias("hashes"))
+    bands = by_class(known, "hashes").select("template", "wide", "band", "least")
     smallest = bands.select("wide", (F.col("least").bitwiseXOR(F.get(F.array(*[F.lit(s) for s in _seeds(max(s.bands for s in settings))]), F.col("band")))).alias("hash")).distinct()
 
     id_key, text_key = row_keys(doc_id, text)
@@ -130,8 +131,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     cut = met.select("doc_id", "id_key", "text_key", "wide", "k", F.slice("all_words", F.col("k") * F.col("wide") + 1, 2 * F.col("wide")).alias("words"))
     windows = cut.dropDuplicates(["id_key", "text_key", "wide", "k"]).select("*", _texts("words").alias("own"), _hashes("words").alias("hashes"))
     found = by_class(windows, "hashes").join(F.broadcast(bands), ["wide", "band", "least"])
-    found = found.select("doc_id", "id_key", "text_key", "license", "own", "shingles", (F.col("k") * F.col("wide")).cast("long").alias("first_word"))
-    found = found.dropDuplicates(["id_key", "text_key", "license", "shingles", "first_word"])
+    found = found.select("doc_id", "id_key", "text_key", "template", "own", (F.col("k") * F.col("wide")).cast("long").alias("first_word"))
+    found = found.dropDuplicates(["id_key", "text_key", "template", "first_word"]).join(F.broadcast(known.select("template", "license", "shingles")), "template")
     share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     best = found.withColumn("containment", share).where(F.col("containment") >= CONTAINED)
     best = best.groupBy("doc_id", "id_key", "text_key", "license").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("back"))).alias("b"))
