@@ -1,7 +1,11 @@
 """Helpers that several operators share: words, keys, size-checked broadcasts, global positions."""
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +50,24 @@ def fresh(taken, name: str) -> str:
 def bands_for(jaccard: float, miss: float) -> int:
     """Single-row MinHash bands of which at least one collides but for a chance of ``miss``."""
     return 1 if jaccard >= 1 else math.ceil(math.log(miss) / math.log(1 - jaccard))
+
+
+def runs(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive runs of about ``most`` bytes of text; a longer text is a run of its own.
+
+    An Arrow batch holds thousands of texts; taken run by run, only a small part of
+    them stands in memory as Python objects.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(sizes):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right"))
+        stop = max(stop, start + 1)
+        yield start, stop
+        start = stop
+
+
+def by_runs(texts: pa.Array, most: int = 1 << 20) -> Iterator[str | None]:
+    """The texts as Python strings, made run by run."""
+    for start, stop in runs(texts, most):
+        yield from texts.slice(start, stop - start).to_pylist()

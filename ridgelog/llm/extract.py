@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgelog.llm.common import by_runs
 from ridgelog.llm.tree import DecisionTree, train
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
@@ -221,7 +222,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
 
     def extract(batches):
         for batch in batches:
-            texts = [main_text(p, tree) for p in batch.column(2).to_pylist()]
+            texts = [main_text(p, tree) for p in by_runs(batch.column(2))]
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), counts], ["page_id", "url", "text", "n_chars"])
 

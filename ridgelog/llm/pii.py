@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgelog.llm.common import by_runs
+
 #: the kinds that are counted, in the order of equal starts
 BASE = ("email", "ip", "card", "phone")
 #: kinds that the identifier cues and schemes add
@@ -145,7 +147,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     @F.arrow_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string>")
     def scanned(text: pa.Array) -> pa.Array:
         rows = []
-        for t in text.to_pylist():
+        for t in by_runs(text):
             spans = find_spans(t)
             base = [s for s in spans if s[2] in BASE]
             counts = {f"n_{kind}": sum(s[2] == kind for s in base) for kind in BASE}
@@ -164,7 +166,7 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> D
 
     @F.arrow_udf("string")
     def mask(text: pa.Array) -> pa.Array:
-        return pa.array([redact_text(t) for t in text.to_pylist()], pa.string())
+        return pa.array([redact_text(t) for t in by_runs(text)], pa.string())
 
     rows = docs.withColumn(text, mask(F.col(text).cast("string")))
     if n_chars in docs.columns:

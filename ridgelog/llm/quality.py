@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgelog.llm.common import fresh
+from ridgelog.llm.common import by_runs, fresh
 from ridgelog.llm.iforest import IsolationForest, fit
 
 _SPACES = " \t\n\v\f\r"
@@ -101,10 +101,14 @@ def train_rules(counts: np.ndarray, good: np.ndarray, trees: int = 100, sample:
     return RuleModel(forest, calibrate(forest.scores(rows), good))
 
 
+def _all_counts(texts: pa.Array) -> np.ndarray:
+    return np.array([text_counts(t) for t in by_runs(texts)], np.int64).reshape(-1, len(COUNTS))
+
+
 def _counts_udf():
     @F.arrow_udf(f"struct<{','.join(f'{c}:long' for c in COUNTS)}>")
     def counts(text: pa.Array) -> pa.Array:
-        rows = np.array([text_counts(t) for t in text.to_pylist()], np.int64).reshape(-1, len(COUNTS))
+        rows = _all_counts(text)
         return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(COUNTS))], list(COUNTS))
 
     return counts
@@ -138,7 +142,7 @@ def judge_quality(docs: DataFrame, model: RuleModel, doc_id: str = "doc_id", tex
 
     @F.arrow_udf(f"struct<{kinds},base_failed:boolean,kept:boolean>")
     def judged(text: pa.Array) -> pa.Array:
-        rows = np.array([text_counts(t) for t in text.to_pylist()], np.int64).reshape(-1, len(COUNTS))
+        rows = _all_counts(text)
         columns = [pa.array(rows[:, k]) for k in range(5)] + [pa.array(base_failed(rows)), pa.array(model.accepts(rows))]
         return pa.StructArray.from_arrays(columns, [*COUNTS[:5], "base_failed", "kept"])
 
@@ -152,7 +156,6 @@ def accepted(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame
 
     @F.arrow_udf("boolean")
     def accept(text: pa.Array) -> pa.Array:
-        rows = np.array([text_counts(t) for t in text.to_pylist()], np.int64).reshape(-1, len(COUNTS))
-        return pa.array(model.accepts(rows))
+        return pa.array(model.accepts(_all_counts(text)))
 
     return docs.withColumn(mark, accept(F.col(text).cast("string"))).where(F.col(mark)).drop(mark)

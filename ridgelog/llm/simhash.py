@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgelog.llm.bktree import least_linked
-from ridgelog.llm.common import fresh, row_keys
+from ridgelog.llm.common import by_runs, fresh, row_keys
 from ridgelog.llm.components import components
 from ridgelog.session import checkpointed
 
@@ -47,8 +47,7 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        texts = batch.column(2).cast(pa.binary()).to_pylist()
-        prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+        prints = np.fromiter(map(fingerprint, by_runs(batch.column(2).cast(pa.binary()))), np.uint64, batch.num_rows).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "text_key", "bits"])
 
 
