@@ -78,10 +78,14 @@ def _texts(words: str) -> Column:
     return F.when(F.size(words) >= SHINGLE, F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def _signature(hashes: str, bands: int) -> Column:
-    """The smallest of the hashes under each of the seeds."""
+def _signature(hashes: str, bands: int, shingles: bool = False) -> Column:
+    """The smallest of the hashes, hashed anew with each of the seeds; with ``shingles`` as (least, hash of that shingle).
+
+    Only a hash that mixes all bits makes every shingle the smallest equally often; h XOR seed does not.
+    """
     seeds = F.array(*[F.lit(s) for s in _seeds(bands)])
-    return F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(s))))
+    mixed = lambda h, s: F.struct(F.xxhash64(h, s).alias("least"), h.alias("hash")) if shingles else F.xxhash64(h, s)
+    return F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: mixed(h, s))))
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,18 +113,19 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
         nothing = F.lit(None)
         return docs.where("false").select(F.col(doc_id).alias("doc_id"), nothing.cast("string").alias("license"), nothing.cast("double").alias("containment"), nothing.cast("long").alias("first_word"))
 
-    def by_class(frame: DataFrame, hashes: str) -> DataFrame:
+    def by_class(frame: DataFrame, hashes: str, shingles: bool = False) -> DataFrame:
         """Rows with (band, least) of the signature that their class of windows has."""
-        signature = F.array().cast("array<bigint>")
+        signature = F.array().cast("array<struct<least:bigint,hash:bigint>>" if shingles else "array<bigint>")
         for s in settings:
-            signature = F.when(F.col("wide") == s.words, _signature(hashes, s.bands)).otherwise(signature)
+            signature = F.when(F.col("wide") == s.words, _signature(hashes, s.bands, shingles)).otherwise(signature)
         return frame.select("*", F.posexplode(signature).alias("band", "least"))
 
     wide_of = F.greatest(F.lit(8), F.pow(F.lit(2), F.ceil(F.log2(F.size("words")))).cast("int"))
     named = F.xxhash64("license", "words").alias("template")
     known = rows.select("license", named, wide_of.alias("wide"), _texts("words").alias("shingles"), _hashes("words").alias("hashes"))
-    bands = by_class(known, "hashes").select("template", "wide", "band", "least")
-    smallest = bands.select("wide", (F.col("least").bitwiseXOR(F.get(F.array(*[F.lit(s) for s in _seeds(max(s.bands for s in settings))]), F.col("band")))).alias("hash")).distinct()
+    signed = by_class(known, "hashes", shingles=True)
+    bands = signed.select("template", "wide", "band", F.col("least.least").alias("least"))
+    smallest = signed.select("wide", F.col("least.hash").alias("hash")).distinct()
 
     id_key, text_key = row_keys(doc_id, text)
     texts = docs.select(F.col(doc_id).alias("doc_id"), id_key.alias("id_key"), text_key.alias("text_key"), alnum_words(F.col(text).cast("string")).alias("all_words"))
