@@ -17,7 +17,13 @@ _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Elements of the markup language and the usual names for parts of a page.
-_RAW = frozenset("script style template noscript svg math iframe object textarea select option head title".split())
+_RAW = frozenset("script style template noscript svg math iframe object textarea select option title".split())
+#: raw elements whose text a browser takes as it stands up to the end tag, also behind "/>"
+_VERBATIM = frozenset("script style textarea title".split())
+#: an attribute without quotes, to whose value a last slash belongs
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
+#: where an option ends, whose end tag may be left out
+_OPTION_END = re.compile(r"</option\b[^>]*(?:>|\Z)|(?=</?(?:optgroup|select|datalist)\b|<option\b)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -54,7 +60,7 @@ class Block:
 def _hint(tag: str, attributes: str) -> int:
     """1 if an element's tag or names mark article text, -1 if they mark something else, 0 if they say nothing."""
     names = set()
-    if attributes and tag not in ("html", "body"):
+    if attributes and tag not in ("html", "head", "body"):
         for groups in _ATTRIBUTE.findall(attributes):
             names.update(x.lower() for x in _TOKEN.findall("".join(groups)))
     if tag in _BOILER_TAGS or names & _BOILER_WORDS:
@@ -67,6 +73,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, int]] = []
     parts: list[tuple[str, bool]] = []
+    unclosed: set[str] = set()
     links = heading = boiler = content = 0
 
     def flush():
@@ -105,9 +112,20 @@ def blocks(page: str) -> list[Block]:
             continue
         closing = m[1] or m[4]
         if tag in _RAW:
-            if not closing:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
+            attributes = m[3] or m[6] or ""
+            if closing or tag not in _VERBATIM and attributes.endswith("/") and not _UNQUOTED.search(attributes):
+                continue
+            ending = _OPTION_END if tag == "option" else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I)
+            if close := None if tag in unclosed else ending.search(page, at):
+                at = close.end()
+                continue
+            # no end tag: a script takes the rest as a browser does, of a style or title only the text goes
+            unclosed.add(tag)
+            if tag == "script":
+                at = end
+            elif tag in ("style", "title"):
+                behind = page.find("<", at)
+                at = behind if behind >= 0 else end
             continue
         if tag not in _INLINE:
             flush()
@@ -215,7 +233,8 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
 
     Null and empty pages, and pages without article text, have an empty text and 0
     characters; the whole page is read, however long; broken and unclosed markup is
-    read as far as it goes. Repeated rows stay; null ids and urls stay null; other columns are
+    read as far as it goes: a head ends where text or an element of the body begins, a raw element
+    without an end tag hides nothing behind it, save a script. Repeated rows stay; null ids and urls stay null; other columns are
     not read. Rows are independent: no shuffle, one page at a time in memory beside its batch.
     """
     tree = block_tree()

@@ -85,6 +85,25 @@ def test_odd_pages(page, text):
     assert main_text(page, block_tree()) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><meta charset=u><title>T</title><body><article><p>one two</p></article>", "one two"),
+        ("<head><title>T</title><link rel=x><article><p>one two</p></article>", "one two"),
+        ("<article><p>one <svg class='i' viewBox='0 0 1 1'/> two</p><p>three <svg><text>no</text></svg></p></article>", "one two three"),
+        ("<article><p>one <svg xmlns=http://x/svg/><text>no</text></svg> two</p></article>", "one two"),
+        *[(f"<article><p>one</p><{t} id='x'/><p>two</p></article>", "one two") for t in ("math", "iframe", "object", "template")],
+        *[(f"<article><p>one</p><{t}><p>two</p></article>", "one two") for t in ("svg", "math", "iframe", "object", "noscript", "select")],
+        ("<article><p>one</p><style>p{margin:0}<p>two</p></article>", "one two"),
+        ("<article><datalist><option>a<option>b</datalist><p>one</p></article><form><select><option>c</option></select></form>", "one"),
+        ("<article><p>one</p><script>var t = '<p>two</p>';", "one"),
+        ("<article><p>one</p>" + "<svg>" * 50000 + "<p>two</p></article>", "one two"),
+    ],
+)
+def test_raw_elements_without_end(page, text):
+    assert main_text(page, block_tree()) == text
+
+
 def test_extraction_equals_the_article_element(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = extract_main_text(pages).collect()
