@@ -37,6 +37,11 @@ _BOILER_WORDS = frozenset(
     "feedback footer form gdpr header login masthead menu nav navbar navigation newsletter notice notices notification pagination popup promo "
     "promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: words after which, or before which, a name tells of a wrapper what it has or lacks, not what it is
+_QUALIFY_NEXT = frozenset("has have with without no not".split())
+_QUALIFY_BEFORE = frozenset("enabled disabled open closed".split())
+#: elements that never wrap the article
+_FIRM_TAGS = _BOILER_TAGS - {"form"}
 #: elements that end where a block of the same kind begins
 _SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
@@ -57,40 +62,62 @@ class Block:
     heading: bool
 
 
+def _words_of(name: str) -> list[str]:
+    """The words of a class, id or role, without those that only qualify a wrapper (has-sidebar, no-comments, share-enabled)."""
+    words = [x.lower() for x in _TOKEN.findall(name)]
+    if words and words[-1] in _QUALIFY_BEFORE:
+        return []
+    return words[: next((k for k, w in enumerate(words) if w in _QUALIFY_NEXT), len(words))]
+
+
 def _hint(tag: str, attributes: str) -> int:
-    """1 if an element's tag or names mark article text, -1 if they mark something else, 0 if they say nothing."""
+    """1 if an element's tag or names mark article text, -1 if they mark something else, -2 if its tag does so for good, 0 if they say nothing."""
     names = set()
     if attributes and tag not in ("html", "head", "body"):
         for groups in _ATTRIBUTE.findall(attributes):
-            names.update(x.lower() for x in _TOKEN.findall("".join(groups)))
+            for name in "".join(groups).split():
+                names.update(_words_of(name))
+    if tag in _FIRM_TAGS:
+        return -2
     if tag in _BOILER_TAGS or names & _BOILER_WORDS:
         return 0 if tag == "main" or tag == "article" and not names & {"comment", "comments", "ad", "advert", "teaser", "related", "promo", "sponsored"} else -1
     return 1 if tag in _CONTENT_TAGS or names & _CONTENT_WORDS else 0
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, white space made single and character references decoded."""
+    """The text blocks of a page in order, white space made single and character references decoded.
+
+    An element named like boilerplate may be a wrapper of everything. So if all marked article text lies in such elements,
+    the mark is lifted from the article elements in the fewest of them; what is marked inside of these keeps it.
+    """
     found: list[Block] = []
+    # of each block, how many marks stand around its article element; None if the block is not to be freed of them
+    wraps: list[int | None] = []
+    outer: list[int] = []
     stack: list[tuple[str, int]] = []
     parts: list[tuple[str, bool]] = []
     unclosed: set[str] = set()
-    links = heading = boiler = content = 0
+    links = heading = boiler = firm = content = 0
 
     def flush():
         text = html.unescape("".join(t for t, _ in parts)).split()
         if text:
             linked = sum(len(html.unescape(t).split()) for t, inside in parts if inside)
             found.append(Block(" ".join(text), len(text), min(linked, len(text)), boiler > 0, content > 0, heading > 0))
+            wraps.append(boiler if outer and outer[-1] == boiler and not firm else None)
         parts.clear()
 
     def leave(at):
-        nonlocal links, heading, boiler, content
+        nonlocal links, heading, boiler, firm, content
         while len(stack) > at:
             tag, hint = stack.pop()
             links -= tag == "a"
             heading -= tag in _HEADING
             boiler -= hint < 0
-            content -= hint > 0
+            firm -= hint < -1
+            if hint > 0:
+                content -= 1
+                outer.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -148,8 +175,15 @@ def blocks(page: str) -> list[Block]:
         links += tag == "a"
         heading += tag in _HEADING
         boiler += hint < 0
-        content += hint > 0
+        firm += hint < -1
+        if hint > 0:
+            content += 1
+            outer.append(boiler)
     flush()
+    fewest = min((n for n in wraps if n is not None), default=0)
+    for block, n in zip(found, wraps):
+        if n is not None and n <= fewest:
+            block.boilerplate = False
     return found
 
 
@@ -199,6 +233,12 @@ def _labelled_pages() -> list[tuple[str, bool]]:
             pages.append((f"<div><p>{text(n)}</p></div>", True))
             pages.append((f"<div>{linked(3)}</div>", False))
             pages.append(("", False))
+    for wrapper in ("<div class='content has-sidebar'>", "<div class='page with-header'>", "<div class='sidebar-layout'>", "<div id='share-enabled'>", "<form>"):
+        for n in sizes:  # names that speak of a part of the page, around everything
+            pages.append((f"<nav>{linked(4)}</nav>{wrapper}", False))
+            pages.append((f"<article><h1>{text(min(n, 8))}</h1><p>{text(n)}</p><p>{text(20)} {linked(1)}</p></article>", True))
+            pages.append((f"<div class='sidebar'>{text(n)}</div></{wrapper[1:].split()[0].rstrip('>')}><footer>{text(3)}</footer>", False))
+            pages.append(("", False))
     return pages
 
 

@@ -104,6 +104,22 @@ def test_raw_elements_without_end(page, text):
     assert main_text(page, block_tree()) == text
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='page with-header'", "div class='post no-comments'", "div class='share-enabled'", "div class=withSidebar",
+                                     "div class='sidebar-layout'", "section id=search", "form action='/'", "div class='layout-comments'"])
+@pytest.mark.parametrize("hold", ["article", "main", "div class='post-content'"])
+def test_a_wrapper_named_like_boilerplate_keeps_its_article(wrapper, hold):
+    inside = "<div class='ad'>Buy it now, it is cheap and good and everything else.</div></article>"
+    page = ARTICLE.replace("</article>", inside).replace("<article>", f"<{hold}>").replace("</article>", f"</{hold.split()[0]}>")
+    around = AROUND["nav"] + AROUND["notice"] + "<div class=related><article><p>Another page has many more words on it.</p></article></div>"
+    whole = f"<body><{wrapper}>{page}{around}{AROUND['comments']}</{wrapper.split()[0]}>{AROUND['footer']}</body>"
+    assert main_text(whole, block_tree()) == "Title & more First boldtext. After break x"
+
+
+def test_a_name_without_qualifier_still_marks():
+    page = ARTICLE + "<div class='sidebar'><div class='post'>Another page has many more words on it.</div></div><aside><article>So has this one, and more.</article></aside>"
+    assert main_text(page, block_tree()) == "Title & more First boldtext. After break x"
+
+
 def test_extraction_equals_the_article_element(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = extract_main_text(pages).collect()
