@@ -27,11 +27,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _USER_INFO = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9.-]+(?::[0-9]+)?")
 _SECRET = re.compile(r"[A-Za-z_]{0,16}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})")
-_IBAN = re.compile(r"[:\s#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_SSN = re.compile(r"[\s:#=-]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-_ACCOUNT = re.compile(r"(?:\s(?:number|no|nr)\b\.?)?[\s:#=]{0,3}([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9])", re.I)
-#: cue words by the parser that they call; found in lower case, upper case and with a capital
-CUES = {"secret": ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "api-key", "access_key"), "iban": ("iban",), "ssn": ("ssn", "social security"), "account": ("account", "acct")}
+#: what may stand between a cue and the sign before its number: "number", "no.", "is", the quote that ends a key
+_LEAD = r"(?i:[\s_-]{0,3}(?:numbers?|num|no|nr)\b\.?)?[\"']?(?i:\s{1,3}is\b)?"
+_IBAN = re.compile(_LEAD + r"[:\s#=\"']{0,5}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+_SSN = re.compile(r"[sS]?" + _LEAD + r"[\s:#=()\"'-]{0,5}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+_ACCOUNT = re.compile(_LEAD + r"[\s:#=\"']{0,5}([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9])")
+#: cue words by the parser that they call; found in any casing, and their words joined by a space, hyphen, underscore or nothing
+CUES = {"secret": ("token", "password", "passwd", "pwd", "secret", "api key", "access key", "secret key"), "iban": ("iban",), "ssn": ("ssn", "social security"), "account": ("account", "acct")}
+#: A-Z to a-z
+_ASCII_LOWER = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
 
 
 @lru_cache(maxsize=1)
@@ -43,12 +47,18 @@ def _anchors() -> ahocorasick.Automaton:
         machine.add_word(digit, ("digit", 1))
     for kind, words in CUES.items():
         for word in words:
-            for form in {word, word.upper(), word.capitalize()}:
+            for form in {word.replace(" ", sign) for sign in (" ", "-", "_", "")}:
                 machine.add_word(form, (kind, len(form)))
     machine.make_automaton()
     return machine
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, every character at its place: no character has a shorter lower case, so an equal length means that none has a longer one."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else text.translate(_ASCII_LOWER)
+
+
 def luhn(digits: str) -> bool:
     """Whether the checksum of a card number holds."""
     total = 0
@@ -77,7 +87,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         return []
     spans: list[tuple[int, int, str]] = []
     email_end = ip_end = card_end = phone_end = 0
-    for at, (kind, size) in _anchors().iter(text):
+    for at, (kind, size) in _anchors().iter(_lower(text)):
         if kind == "digit":
             if at >= ip_end and not (at and "0" <= text[at - 1] <= "9") and (m := _IP.match(text, at)):
                 ip_end = m.end()

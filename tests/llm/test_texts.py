@@ -116,6 +116,24 @@ def test_redaction(text, redacted_text):
     assert redact_text(text) == redacted_text
 
 
+@pytest.mark.parametrize("cue", ["ssn", "SSN", "Ssn", "SSNs", "social security", "Social Security", "SOCIAL SECURITY", "social-security", "Social_Security", "socialSecurity"])
+@pytest.mark.parametrize("between", [" ", ": ", "# ", " number: ", " Number ", " no. ", " No: ", " nr. ", " is ", " number is ", "_number=", "Number = ", '": "', "-Nr.: ", " number (SSN): "])
+def test_usual_spellings_of_social_security_numbers(cue, between):
+    assert redact_text(f"é her {cue}{between}123-45-6789, and") == f"é her {cue}{between}[SSN], and"
+    assert redact_text(f"{cue}{between}123-45-67890 {cue}{between}1123-45-6789") == f"{cue}{between}123-45-67890 {cue}{between}1123-45-6789"
+
+
+@pytest.mark.parametrize("cue", ["API Key", "Api-Key", "apiKey", "ApiKey", "api key", "API_KEY", "Access Key", "accessKey", "Access-Key", "secretKey", "Secret Key", "PassWord", "İ Access Token"])
+def test_usual_spellings_of_secrets(cue):
+    assert redact_text(f"{cue}: 186661156f3f99059 {cue}='569f672d50' x") == f"{cue}: [SECRET] {cue}='[SECRET]' x"
+
+
+def test_usual_spellings_of_accounts():
+    assert redact_text("Iban No. DE89 3704 0044 0532 0130 00 x") == "Iban No. [IBAN] x"
+    assert redact_text("accountNumber: 12345678, account_no=12345678, ACCOUNT is 12345678") == "accountNumber: [ACCOUNT], account_no=[ACCOUNT], ACCOUNT is [ACCOUNT]"
+    assert redact_text("an account of 12345678, ssn 12-34, class 123-45-6789") == "an account of 12345678, ssn 12-34, class 123-45-6789"
+
+
 def test_personal_data_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, None, None, "s"), (1, "a@b.cd", 6, "t"), (1, "a@b.cd", 6, "t")], "doc_id long, text string, n_chars long, spans string")
     assert sorted((r["doc_id"] or 0, r["n_email"], r["spans"]) for r in personal_data(docs).collect()) == [(0, 0, ""), (1, 1, "email:0:6"), (1, 1, "email:0:6")]
