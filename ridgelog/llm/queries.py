@@ -4,17 +4,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgelog.llm.centroids import clustered
 from ridgelog.llm.chat import as_mails, format_conversations
 from ridgelog.llm.decontam import contamination
 from ridgelog.llm.extract import extract_main_text
 from ridgelog.llm.licenses import scan_licenses, template_table
+from ridgelog.llm.periods import run_report
 from ridgelog.llm.pii import personal_data
 from ridgelog.llm.quality import fit_rules, judge_quality
 from ridgelog.llm.shards import shard_documents
 from ridgelog.llm.simhash import near_duplicates
 from ridgelog.llm.sptok import encode, read_model
 from ridgelog.llm.urlrules import Rule, judge_urls, rules_table
-from ridgelog.session import checkpointed
+from ridgelog.llm.warc import read_archive, write_archive
+from ridgelog.session import checkpointed, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +142,49 @@ SELECT conv_id, turn, role, own, CASE WHEN a > 0 THEN turn - 1 END AS reply_to,
 def op10_quotation_links(spark, sf_dir):
     mails = checkpointed(as_mails(table(spark, sf_dir, "conversations")), "mails")
     return format_conversations(mails)
+
+
+def _centroid_rounds(clusters: int, rounds: int, dim: int, scale: int, salt: str) -> str:
+    """The rounds of the eleventh operator one after the other, with all distances in every round."""
+    nearest = "SELECT id, vec_id, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.*, c.k, list_sum(list_transform(list_zip(v.x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{n} AS c) GROUP BY id, vec_id, x"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dim})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT sha256('{salt}' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {clusters}))",
+    ]
+    for n in range(rounds):
+        parts += [
+            f"a{n} AS MATERIALIZED ({nearest.format(n=n)})",
+            f"s{n} AS (SELECT k, i, count(*) AS n, sum(x[i]) AS s FROM a{n}, range(1, {dim + 1}) AS t(i) GROUP BY k, i)",
+            f"m{n} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY k)",
+            f"c{n + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM c{n} AS o LEFT JOIN m{n} AS m USING (k))",
+        ]
+    parts.append(f"e AS ({nearest.format(n=rounds)})")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM e JOIN c{rounds} USING (k)"""
+
+
+@query("op11_centroid_clusters", _centroid_rounds(8, 10, 64, 1024, "3:"))
+def op11_centroid_clusters(spark, sf_dir):
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_page_archive",
+    """WITH page AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sums AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM page),
+bits AS (SELECT *, list_reduce(list_transform(string_split(hex, ''), lambda c: right(bin(strpos('0123456789abcdef', c) + 15), 4)), lambda a, b: a || b) AS b FROM sums)
+SELECT page_id, payload_bytes,
+ list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(b, 1 + 5 * i + j, 1) AS INTEGER) * (16 >> j))) AS INTEGER), 1)), lambda a, c: a || c) AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits""",
+)
+def op12_page_archive(spark, sf_dir):
+    path = scratch_path(spark, "archive")
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    return run_report(table(spark, sf_dir, "documents"), plant=True)
