@@ -183,15 +183,19 @@ def drop_expired_weekly(spark, sf_dir):
     return kept.groupBy(_period("week_partition")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("publish_merge", W + f"SELECT {_DAY} AS day, count(*) AS row_count, count(DISTINCT id) AS ids, min(level) AS first_level FROM logs GROUP BY 1")
+_MOVED = "CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 83 = 0 THEN timestamp + INTERVAL 40 DAY ELSE timestamp END"
+
+
+@query("publish_merge", W + f"SELECT strftime({_MOVED}, '%Y-%m-%d') AS day, count(*) AS row_count, count(DISTINCT id) AS ids, min(level) AS first_level FROM logs GROUP BY 1")
 def publish_merge(spark, sf_dir):
-    """Half of the logs are stored, all of them land twice, and the landed days are published twice."""
+    """Half of the logs are stored, all of them land twice, some with no time or 40 days later, and all that landed is published twice."""
     landing, path = scratch_path(spark, "landed"), scratch_path(spark, "merged")
-    logs = event_logs(spark, sf_dir).drop("date_partition")
+    logs, number = event_logs(spark, sf_dir).drop("date_partition"), F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint")
     t.write_logs(logs.filter(F.hour("timestamp") < 12), path)
-    late = logs.filter((F.hour("timestamp") >= 12) | (F.dayofmonth("timestamp") % 2 == 0))
+    late = logs.filter((F.hour("timestamp") >= 12) | (F.dayofmonth("timestamp") % 2 == 0) | (number % 83 == 0) | (number % 89 == 0))
+    moved = F.when(number % 89 == 0, F.lit(None)).when(number % 83 == 0, F.col("timestamp") + F.expr("INTERVAL 40 DAYS")).otherwise(F.col("timestamp"))
     for _ in range(2):
-        t.write_logs(late, landing)
+        t.write_logs(late.withColumn("timestamp", moved), landing)
     days = [r[0] for r in t.read_logs(spark, landing).select("date_partition").distinct().collect()]
     for _ in range(2):
         t.publish_days(spark, landing, path, days)

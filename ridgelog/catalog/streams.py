@@ -50,15 +50,23 @@ def tail_pages(spark, sf_dir):
     return logs.filter("timestamp > timestamp_ntz'2024-01-01'").join(ids, "id").select("id", "timestamp", "level")
 
 
-@query("late_ingest", W + f"SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS row_count, count(DISTINCT id) AS ids FROM logs GROUP BY 1")
+_UNTIMED = "CASE WHEN event_id % 97 <> 0 THEN timestamp END"
+
+
+@query("late_ingest", W + f"SELECT strftime({_UNTIMED}, '%Y-%m-%d') AS day, count(*) AS row_count, count(DISTINCT id) AS ids FROM logs GROUP BY 1")
 def late_ingest(spark, sf_dir):
-    """Files arrive one per batch, the newest logs first, and some twice; late logs are kept and repeated ones removed."""
+    """Deliveries of whole stretches of days, the newest first, and some days twice; a few logs have no time.
+
+    Late logs are kept and repeated ones removed. A micro-batch takes up to eight files, the size of a delivery, so
+    no task sees a whole delivery.
+    """
     source, landing, path = scratch_path(spark, "arriving"), scratch_path(spark, "landing"), scratch_path(spark, "published")
     logs = event_logs(spark, sf_dir).drop("date_partition")
+    day, untimed = F.dayofmonth("timestamp"), F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint") % 97 == 0
     for first, last in ((21, 31), (1, 10), (8, 22)):
-        day = F.dayofmonth("timestamp")
-        logs.filter((day >= first) & (day <= last)).coalesce(1).write.mode("append").parquet(source)
-    stream = j.stream_files(spark, source, logs.schema, files_per_trigger=1)
+        delivery = logs.filter((day >= first) & (day <= last)).withColumn("timestamp", F.when(~untimed, F.col("timestamp")))
+        delivery.write.mode("append").parquet(source)
+    stream = j.stream_files(spark, source, logs.schema, files_per_trigger=8)
     j.append_sink(stream, landing, scratch_path(spark, "landing-checkpoint"), trigger={"availableNow": True}).awaitTermination()
     days = [r[0] for r in read_logs(spark, landing).select("date_partition").distinct().collect()]
     publish_days(spark, landing, path, days)
@@ -149,10 +157,11 @@ def stream_deduplication(spark, sf_dir):
     return j.run_available(j.deduplicate(logs.union(logs), "40 days"), "deduplicated")
 
 
-@query("stream_ingest", W + "SELECT strftime(timestamp, '%Y-%m-%d') AS day, service, count(*) AS row_count, min(id) AS first_id FROM logs GROUP BY 1, 2")
+@query("stream_ingest", W + f"SELECT strftime({_UNTIMED}, '%Y-%m-%d') AS day, service, count(*) AS row_count, min(id) AS first_id FROM logs GROUP BY 1, 2")
 def stream_ingest(spark, sf_dir):
-    """Events stream into a landing table, whose days are then published to a stored table."""
+    """Events stream into a landing table, whose days are then published to a stored table; a few have no time."""
     events = j.stream_files(spark, sf_dir, table(spark, sf_dir, "events").schema, glob="events.parquet")
+    events = events.withColumn("ts", F.when(F.col("event_id") % 97 != 0, F.col("ts")))
     landing, path = scratch_path(spark, "landing"), scratch_path(spark, "published")
     sink = j.append_sink(derive_logs(events), landing, scratch_path(spark, "landing-checkpoint"), trigger={"availableNow": True})
     sink.awaitTermination()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ridgelog.functions.scalars import epoch_millis, level_rank, ntz, partition_key, start_of_hour
 from ridgelog.operators.filters import time_filter
+from ridgelog.operators.rollups import latest_per_key
 from ridgelog.session import folder_system
 
 HOT_DAYS = 7
@@ -215,8 +216,9 @@ def compaction_candidates(
 
 
 def _partitions(rows: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """The rows of whole partitions."""
-    return rows.filter(F.col(column).cast("string").isin([str(v) for v in values]))
+    """The rows of whole partitions; the value None stands for the rows without a timestamp."""
+    named = F.col(column).cast("string").isin([str(v) for v in values if v is not None])
+    return rows.filter(named | F.col(column).isNull() if None in values else named)
 
 
 def _core(rows: DataFrame) -> DataFrame:
@@ -244,27 +246,60 @@ def _own_interval(spark: SparkSession, path: str, layout: dict) -> str:
     return stored
 
 
-def publish_days(spark: SparkSession, landing: str, path: str, days: Sequence[date], **layout) -> None:
+def publish_days(spark: SparkSession, landing: str, path: str, days: Sequence[date | None], *, moved: bool = True, **layout) -> None:
     """Merge the landed rows of the given days into the stored table.
 
-    Of landed rows with the same id one is taken, and an id that the table already holds
-    in the same partition replaces the stored row; every other stored row stays. So
-    running the job again, or later with rows that came late, loses and doubles
-    nothing. Whole partitions are rewritten, in the layout of the table, or, if there is
-    none yet, in ``interval``.
+    The day None stands for landed rows without a timestamp, which have a partition of
+    their own. Of landed rows with the same id the latest by time is taken (of equally late
+    ones that with the greatest hash of its fields, so that a repeated run publishes the same), and it replaces the stored row of
+    that id; every other stored row stays. So running the job again, or later with
+    rows that came late, loses and doubles nothing. Whole partitions are rewritten, in the layout of
+    the table, or, if there is none yet, in ``interval``.
+
+    An id may be stored in another partition than its landed row belongs to, because its
+    time was corrected. Those partitions are found by the table's id column, the only one that is read of
+    the whole table, and rewritten too. ``moved=False`` leaves that scan out where times never change.
     """
     if not days:
         return
     system, root = folder_system(spark, path)
     exists = system.exists(root) and bool(_folders(spark, path))
     interval = _own_interval(spark, path, layout) if exists else layout.pop("interval", "daily")
-    landed = _core(_partitions(read_logs(spark, landing), "date_partition", days)).dropDuplicates(["id"])
+    landed = _latest_landed(_core(_partitions(read_logs(spark, landing), "date_partition", days)))
+    emptied: list[str] = []
     if exists:
         column = PARTITIONS[interval][0]
-        values = {str(v) for v in days} if column == "date_partition" else {_period(d, interval) for d in days}
-        stored = _core(_partitions(read_logs(spark, path), column, sorted(values)))
-        landed = landed.unionByName(stored.join(landed.select("id"), "id", "left_anti"))
+        values = set(days) if column == "date_partition" else {d and _period(d, interval) for d in days}
+        values = {v if v is None else str(v) for v in values}
+        ids = landed.select("id")
+        if moved:
+            held = read_logs(spark, path).select("id", F.col(column).cast("string").alias("_held"))
+            values |= {r["_held"] for r in held.join(ids, "id", "left_semi").select("_held").distinct().collect()}
+        stored = _partitions(read_logs(spark, path), column, list(values)).withColumn("_held", F.col(column).cast("string"))
+        kept = stored.join(ids, "id", "left_anti")
+        if moved:
+            # partitions that lose all their rows are not overwritten by what is written
+            left = {r["_held"] for r in kept.select("_held").distinct().collect()}
+            got = {r["_to"] for r in landed.select(_partition_value("timestamp", interval).alias("_to")).distinct().collect()}
+            emptied = sorted(NULL_PARTITION if v is None else v for v in values - left - got)
+        landed = landed.unionByName(_core(kept.drop("_held")))
     write_logs(landed, path, mode="overwrite", cluster=True, interval=interval, **layout)
+    for value in emptied:
+        system, folder = folder_system(spark, f"{path}/{PARTITIONS[interval][0]}={value}")
+        system.delete(folder, True)
+
+
+def _latest_landed(rows: DataFrame) -> DataFrame:
+    """One row for every id: the latest, whatever order the rows are read in."""
+    plain = [F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))) if t.startswith("map") else F.col(c) for c, t in rows.dtypes]
+    marked = rows.withColumn("_hash", F.xxhash64(*plain))
+    return latest_per_key(marked, ["id"], ["timestamp", "_hash"]).drop("_hash")
+
+
+def _partition_value(ts: str, interval: str) -> Column:
+    """The text of the first partition column of a row."""
+    day = F.to_date(F.timestamp_millis(epoch_millis(ts)))
+    return (partition_key(ts, interval) if interval in ("weekly", "monthly") else day).cast("string")
 
 
 def _period(day: date, interval: str) -> str:

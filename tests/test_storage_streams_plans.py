@@ -191,6 +191,28 @@ def test_late_logs_reach_the_table_and_repeated_ones_are_removed(spark, make_log
     assert sorted(r.id for r in table.read_logs(spark, path).collect()) == ["12:0", "12:30", "9:0", "stored"]
 
 
+@pytest.mark.parametrize("interval", ["daily", "hourly", "weekly", "monthly"])
+def test_rows_without_a_time_and_moved_rows_are_published(spark, make_logs, interval):
+    """Ids that lose their time, get one, or move to another partition stand once, in the version that landed."""
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "published")
+    at = lambda month, day: datetime(2024, month, day, 3)
+    untimed = make_logs([{"id": "none"}, {"id": "found"}]).withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
+    stored = make_logs([{"id": "stays", "timestamp": at(1, 5)}, {"id": "moves", "timestamp": at(3, 9), "level": "old"}, {"id": "none", "timestamp": at(1, 5)}])
+    table.write_logs(stored.unionByName(untimed.filter("id = 'found'")), path, interval=interval)
+    landed = make_logs([{"id": "moves", "timestamp": at(1, 6), "level": "first"}, {"id": "found", "timestamp": at(1, 5)}])
+    later = make_logs([{"id": "moves", "timestamp": at(1, 20), "level": "last"}])
+    for rows in (landed, later, untimed.filter("id = 'none'")):
+        table.write_logs(rows, landing)
+    days = [r[0] for r in table.read_logs(spark, landing).select("date_partition").distinct().collect()]
+    assert None in days
+    for _ in range(2):
+        table.publish_days(spark, landing, path, days)
+        rows = {(r.id, r.timestamp, r.level) for r in table.read_logs(spark, path).collect()}
+        assert rows == {("stays", at(1, 5), ""), ("moves", at(1, 20), "last"), ("found", at(1, 5), ""), ("none", None, "")}
+        assert table.read_logs(spark, path).count() == 4
+    table.publish_days(spark, landing, scratch_path(spark, "new"), days, interval=interval)
+
+
 def test_rows_after_the_watermark_are_counted(spark, make_logs):
     source, out = scratch_path(spark, "arriving"), scratch_path(spark, "counts")
     for h in (12, 15, 9, 16, 17):
