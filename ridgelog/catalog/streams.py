@@ -4,7 +4,7 @@ Windows and sessions are emitted once the watermark has passed them, so the SQL
 counterparts leave out the ones that are still open.
 """
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from ridgelog.catalog.traces import _SESSIONS, _TRACED
 from ridgelog.operators.errors import with_hits
 from ridgelog.session import scratch_path
 from ridgelog.storage.table import publish_days, read_logs
+from ridgelog.streaming import errors as live
 from ridgelog.streaming import jobs as j
 
 W = "WITH " + LOGS + " "
@@ -171,3 +172,55 @@ def stream_ingest(spark, sf_dir):
     return rows.groupBy(F.col("date_partition").cast("string").alias("day"), "service").agg(
         F.count(F.lit(1)).alias("row_count"), F.min("id").alias("first_id")
     )
+
+
+#: how late logs may come in the next streams, and the last minute that is counted then
+_LATE = "7 days"
+_SETTLED = "(SELECT max(timestamp) FROM logs) - INTERVAL 7 DAY"
+
+
+def _shuffled_stream(spark, sf_dir):
+    """The logs in files of three days, one a batch, neighbours in the wrong order and the oldest after all that may come late.
+
+    So every file but the last brings logs older than some that came before, never by more than a week.
+    """
+    path = scratch_path(spark, "shuffled")
+    logs = event_logs(spark, sf_dir).drop("date_partition")
+    part = F.floor((F.dayofmonth("timestamp") - 1) / 3)
+    for k in (1, 0, 3, 2, 5, 4, 7, 6, 9, 8, 10):
+        logs.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return j.stream_files(spark, path, logs.schema, files_per_trigger=1)
+
+
+@query(
+    "stream_error_statistics",
+    f"""WITH {_HITS}, due AS (SELECT * FROM found WHERE date_trunc('minute', timestamp) + INTERVAL 1 MINUTE <= {_SETTLED}),
+ gaps AS (SELECT *, CASE WHEN timestamp <= lag(timestamp) OVER (PARTITION BY category, pattern ORDER BY timestamp) + INTERVAL 24 HOUR THEN 0 ELSE 1 END AS opens FROM due),
+ stretch AS (SELECT *, sum(opens) OVER (PARTITION BY category, pattern ORDER BY timestamp) AS no FROM gaps),
+ parts AS (SELECT category, pattern, no, service, count(*) AS n, min(timestamp) AS a, max(timestamp) AS b FROM stretch GROUP BY 1, 2, 3, 4),
+ totals AS (SELECT category, pattern, CAST(sum(n) AS BIGINT) AS count, min(a) AS first_seen, max(b) AS last_seen, string_agg(service || '=' || n, ',' ORDER BY service) AS services FROM parts GROUP BY category, pattern, no),
+ timed AS (SELECT *, last_seen + INTERVAL 24 HOUR >= {_SETTLED} AS live FROM totals),
+ rated AS (SELECT *, CASE WHEN last_seen > first_seen THEN count / ((epoch_us(last_seen) - epoch_us(first_seen)) / 60e6) ELSE 0.0 END AS rate,
+ CASE WHEN live THEN {_SETTLED} ELSE last_seen + INTERVAL 24 HOUR END AS until FROM timed)
+ SELECT category, pattern, count, services, first_seen, last_seen, round(rate, 6) AS rate, live, CASE WHEN last_seen < until - INTERVAL 5 MINUTE THEN 'stable'
+ WHEN rate > count / ((epoch_us(until) - epoch_us(first_seen)) / 60e6) * 1.2 THEN 'increasing' WHEN rate < count / ((epoch_us(until) - epoch_us(first_seen)) / 60e6) * 0.8 THEN 'decreasing' ELSE 'stable' END AS trend FROM rated""",
+)
+def stream_error_statistics(spark, sf_dir):
+    """Statistics that end after 24 quiet hours, as they stand when the stream has been drained."""
+    versions = j.run_available(live.error_statistics_stream(_shuffled_stream(spark, sf_dir), _LATE), "error-versions")
+    as_of = event_logs(spark, sf_dir).agg(F.max("timestamp")).first()[0] - timedelta(days=7)
+    services = F.transform(F.array_sort(F.map_entries("services")), lambda r: F.concat_ws("=", r["key"], r["value"].cast("string")))
+    stats = live.latest_statistics(versions, as_of).drop("current_rate")
+    return stats.withColumns({"services": F.array_join(services, ","), "rate": F.round("rate", 6)})
+
+
+@query(
+    "stream_anomalies",
+    f"""WITH {_HITS}, minutes AS (SELECT service, date_trunc('minute', timestamp) AS minute, count(DISTINCT id) AS errors FROM found GROUP BY 1, 2),
+ scored AS (SELECT *, count(*) OVER w AS points, avg(errors) OVER w AS mean, stddev_samp(errors) OVER w AS std_dev FROM minutes WHERE minute + INTERVAL 1 MINUTE <= {_SETTLED}
+ WINDOW w AS (PARTITION BY service ORDER BY minute ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+ SELECT service, minute, errors, round((errors - mean) / std_dev, 5) AS z_score FROM scored WHERE points >= 10 AND std_dev > 1e-9 AND abs((errors - mean) / std_dev) > 2""",
+)
+def stream_anomalies(spark, sf_dir):
+    scores = j.run_available(live.anomaly_stream(_shuffled_stream(spark, sf_dir), _LATE), "scores")
+    return live.scored(scores).filter("is_anomaly").select("service", "minute", "errors", F.round("z_score", 5).alias("z_score"))

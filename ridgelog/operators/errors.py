@@ -108,7 +108,11 @@ def error_statistics(counts: DataFrame, as_of: datetime) -> DataFrame:
         F.max("last_seen").alias("last_seen"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("service", "count")))).alias("services"),
     )
-    now = ntz(as_of)
+    return rated(stats, ntz(as_of))
+
+
+def rated(stats: DataFrame, now: Column) -> DataFrame:
+    """Rate, current rate and trend of statistics at the time ``now``."""
     active = seconds_between("first_seen", "last_seen") / 60
     alive = seconds_between(F.col("first_seen"), now) / 60
     stats = stats.withColumns(
@@ -117,7 +121,7 @@ def error_statistics(counts: DataFrame, as_of: datetime) -> DataFrame:
             "current_rate": F.when(alive > 0, F.col("count") / alive).otherwise(F.lit(0.0)),
         }
     )
-    quiet = F.col("last_seen") < ntz(as_of - TREND_WINDOW)
+    quiet = F.col("last_seen") < now - F.expr(f"INTERVAL '{int(TREND_WINDOW.total_seconds())}' SECOND")
     trend = (
         F.when(quiet, F.lit("stable"))
         .when(F.col("rate") > F.col("current_rate") * 1.2, F.lit("increasing"))

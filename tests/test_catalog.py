@@ -11,7 +11,7 @@ SAMPLE = (
     "filter_and_or log_search tail_filter spec_query merge_partials shard_counts trace_timeline trace_sessions error_tags_documents "
     "error_statistics histogram_statistics sliding_rate alert_cooldown parse_lines parse_documents decode_syslog transform_rows "
     "compaction export_csv_documents stream_traces stream_ingest late_ingest publish_merge weekly_compaction drop_expired_weekly "
-    "read_json_files ingest_rejects hostile_status_codes hostile_syslog default_alerts stream_alerts"
+    "read_json_files ingest_rejects hostile_status_codes hostile_syslog default_alerts stream_alerts stream_error_statistics"
 ).split()
 
 
