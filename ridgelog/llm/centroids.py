@@ -16,7 +16,7 @@ _LONG = (1 << 63) - 1
 _LOW = (1 << 32) - 1
 #: positions of the sums that are not those of components: rows, and the lower and upper halves of the distances
 _ROWS, _LOWER, _UPPER = -1, -2, -3
-_STATE = "vec_id long, x array<int>, norm long, dots array<long>, cluster int, distance long"
+_STATE = "vec_id long, x binary, norm long, dots array<long>, cluster int, distance long"
 
 
 def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str, dim: int, scale: int) -> DataFrame:
@@ -29,9 +29,19 @@ def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str, dim: int, s
 
 
 def _matrix(column: pa.Array, wide: int) -> np.ndarray:
+    """The rows of a column of lists, or of binaries of 32-bit integers (little endian), as a matrix."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), "<i4").astype(np.int64).reshape(-1, wide)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, wide)
 
 
+def _packed(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix of 32-bit integers as binaries of one length, which Spark copies as they are."""
+    data = matrix.astype("<i4").tobytes()
+    ends = pa.py_buffer(np.arange(0, len(data) + 1, 4 * matrix.shape[1], dtype=np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, ends, pa.py_buffer(data)])
+
+
 def _rows(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
     """The rows of a matrix as lists."""
     ends = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
@@ -63,7 +73,7 @@ def assigned(state: DataFrame, before: np.ndarray, after: np.ndarray) -> DataFra
             score = norms - 2 * dots
             near = score.argmin(axis=1)
             distance = norm + score[np.arange(len(x)), near]
-            columns = [batch.column("vec_id"), _rows(x, pa.int32()), pa.array(norm), _rows(dots, pa.int64()), pa.array(near.astype(np.int32)), pa.array(distance)]
+            columns = [batch.column("vec_id"), _packed(x), pa.array(norm), _rows(dots, pa.int64()), pa.array(near.astype(np.int32)), pa.array(distance)]
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "x", "norm", "dots", "cluster", "distance"])
 
     return state.mapInArrow(step, _STATE)
@@ -125,7 +135,7 @@ def cluster_vectors(vectors: DataFrame, clusters: int = 8, rounds: int = 10, dim
 
     The centroids start as the ``clusters`` kept vectors with the smallest SHA-256 of ``salt`` and vec_id; vectors with equal
     ids follow in the order of their components, those without an id come last. Every round writes the state of all vectors to
-    the shared folder (components, dot products with every centroid, nearest centroid), so a lost executor costs its own tasks
+    the shared folder (components as 32-bit integers in one binary, dot products with every centroid, nearest centroid), so a lost executor costs its own tasks
     only; two versions exist at a time. Centroids move to the exact floor of the mean. When no centroid moves, the rounds left
     would change nothing and are not run.
     """

@@ -72,7 +72,7 @@ def test_clusters_keep_two_versions(spark, tmp_path, monkeypatch):
     assert len(os.listdir(tmp_path)) == 1 and sum(found.rows) == found.state.count()
     # the stored products are those of the final centroids
     for r in found.state.limit(20).collect():
-        assert r["dots"] == [sum(a * b for a, b in zip(r["x"], c)) for c in found.centroids]
+        assert r["dots"] == [sum(int(a) * b for a, b in zip(np.frombuffer(r["x"], "<i4"), c)) for c in found.centroids]
 
 
 # page archives
