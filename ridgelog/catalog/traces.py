@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ridgelog.catalog.registry import query
 from ridgelog.catalog.tables import AS_OF, LOGS, document_logs, event_logs
 from ridgelog.operators import traces as t
+from ridgelog.operators.spantree import span_depths as depths_of
 from ridgelog.session import checkpointed
 
 _TRACE = r"""CASE WHEN trace_id <> '' THEN trace_id WHEN a_traceID <> '' THEN a_traceID ELSE coalesce(
@@ -103,6 +104,18 @@ def child_counts(spark, sf_dir):
     return t.child_counts(checkpointed(_spans(spark, sf_dir), "spans"))
 
 
+@query(
+    "span_depths",
+    f"""WITH RECURSIVE {_SPANS}, down AS (SELECT trace_id, span_id, 0 AS depth, span_id AS root FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_id)
+ UNION ALL SELECT s.trace_id, s.span_id, depth + 1, root FROM down JOIN spans s ON s.trace_id = down.trace_id AND s.parent_id = down.span_id),
+ above AS (SELECT trace_id, span_id, span_id AS top FROM spans UNION ALL SELECT a.trace_id, a.span_id, p.span_id FROM above a JOIN spans s ON s.trace_id = a.trace_id AND s.span_id = a.top
+ JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id), sizes AS (SELECT trace_id, top AS span_id, count(*) AS subtree_size FROM above GROUP BY 1, 2)
+ SELECT trace_id, span_id, CAST(depth AS BIGINT) AS depth, root AS root_span_id, subtree_size, false AS in_cycle FROM down JOIN sizes USING (trace_id, span_id)""",
+)
+def span_depths(spark, sf_dir):
+    return depths_of(checkpointed(_spans(spark, sf_dir), "spans"))
+
+
 @query(
     "trace_timeline",
     f"""WITH {_SPANS}, {_SUMMARY} SELECT s.trace_id, span_id, parent_id, service, operation, epoch_us(s.start_time) // 1000 AS start, epoch_us(s.end_time) // 1000 AS "end",
