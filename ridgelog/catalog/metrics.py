@@ -252,17 +252,17 @@ def alert_cooldown(spark, sf_dir):
 
 @query("stream_alerts", f"WITH {_WALK} SELECT * FROM found")
 def stream_alerts(spark, sf_dir):
-    """The same alerts from a stream of hourly samples that come in three files, the latest first.
+    """The same alerts from a stream of hourly samples that come in three deliveries, the latest hash first.
 
     A last file carries the watermark past all samples, as later samples would.
     """
     path, late = scratch_path(spark, "samples"), "40 days"
     metrics = _hourly_metrics(spark, sf_dir)
     for part in (2, 0, 1):
-        metrics.where(F.pmod(F.xxhash64("at"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
+        metrics.where(F.pmod(F.xxhash64("at"), F.lit(3)) == part).write.mode("append").parquet(path)
     mark = spark.createDataFrame([(4_000_000_000, RULES[0].metric, -1.0)], "at bigint, name string, value double")
     mark.coalesce(1).write.mode("append").parquet(path)
-    samples = stream_files(spark, path, StructType.fromDDL("at bigint, name string, value double"), files_per_trigger=1)
+    samples = stream_files(spark, path, StructType.fromDDL("at bigint, name string, value double"), files_per_trigger=8)
     versions = run_available(a.episode_stream(a.evaluate_rules(samples, RULES), late), "alerts")
     return a.latest_episodes(versions).withColumn("end_at", F.coalesce("end_at", F.lit(-1)))
 

@@ -6,9 +6,11 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ridgelog.operators.alertblocks import episodes_by_blocks
 from ridgelog.operators.rollups import latest_per_key
+from ridgelog.session import checkpointed
 
 _TESTS = {
     ">": lambda v, t: v > t,
@@ -143,34 +145,6 @@ def _walk(checks: pd.DataFrame) -> pd.DataFrame:
     return _frame(rows)
 
 
-_HELD = ["at", "triggered", "severity", "cooldown"]
-
-
-def _walk_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One micro-batch of one rule: the alerts closed by the checks that the watermark has passed, and the open one.
-
-    Checks wait in the state, in order of time, until no earlier one can come any more.
-    """
-    machine, held = _Machine(key[0]), pd.DataFrame(columns=_HELD)
-    if state.exists:
-        *numbers, at, triggered, severity, cooldown = state.get
-        machine = _Machine(key[0], *numbers)
-        held = pd.DataFrame({"at": at, "triggered": triggered, "severity": severity, "cooldown": cooldown})
-    if not state.hasTimedOut:
-        new = [batch[_HELD] for batch in batches]
-        held = pd.concat([*([held] if len(held) else []), *new]).sort_values("at", kind="stable")
-    passed = held["at"] * 1000 <= state.getCurrentWatermarkMs()
-    due, held = held[passed], held[~passed]
-    rows = machine.feed(due) if len(due) else []
-    if len(due) and machine.start_at >= 0:
-        rows.append(machine.row(due["severity"].iloc[-1], None))
-    numbers = (machine.start_at, machine.last_at, machine.count, machine.quiet_until)
-    state.update((*numbers, *[held[c].tolist() for c in _HELD]))
-    if len(held):
-        state.setTimeoutTimestamp(max(int(held["at"].iloc[0]) * 1000, state.getCurrentWatermarkMs() + 1))
-    yield _frame(rows)
-
-
 EPISODE_SCHEMA = "rule string, severity string, start_at bigint, last_at bigint, end_at bigint, count bigint"
 
 
@@ -193,34 +167,63 @@ def relevant_checks(checks: DataFrame) -> DataFrame:
     return marked.filter(keep).drop("_on", "_previous")
 
 
-def episodes_with_cooldown(checks: DataFrame) -> DataFrame:
+#: up to so many checks of each rule are walked rule by rule; beyond that by blocks of time
+WALK_MOST = 1 << 16
+
+
+def episodes_with_cooldown(checks: DataFrame, walk_most: int = WALK_MOST) -> DataFrame:
     """Alert episodes where a trigger suspends the rule for its cooldown.
 
     While cooling a rule is not evaluated, so it can neither count nor resolve.
-    That is a sequential state per rule; the input is one check per rule and
-    time step, so a group is bounded by the time span.
+    Checks of a rule at the same time count as one, triggered if any of them is. The walk is
+    sequential: while no rule has more than ``walk_most`` checks every rule is walked in one group,
+    of that proven size; else all are walked in blocks of time, with the same result.
     """
-    narrow = relevant_checks(checks).select("rule", "severity", "cooldown", "at", "triggered")
-    return narrow.groupBy("rule").applyInPandas(_walk, EPISODE_SCHEMA)
+    narrow = checkpointed(one_check_a_time(checks), "alert-checks")
+    most = narrow.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > walk_most:
+        return episodes_by_blocks(narrow)
+    return relevant_checks(narrow).groupBy("rule").applyInPandas(_walk, EPISODE_SCHEMA)
 
 
-STATE_SCHEMA = (
-    "start_at bigint, last_at bigint, count bigint, quiet_until bigint, "
-    "held_at array<bigint>, held_triggered array<boolean>, held_severity array<string>, held_cooldown array<bigint>"
-)
+def one_check_a_time(checks: DataFrame) -> DataFrame:
+    """Checks reduced to one per rule and time."""
+    return checks.groupBy("rule", "at").agg(F.min("severity").alias("severity"), F.max("cooldown").alias("cooldown"), F.max("triggered").alias("triggered"))
+
+
+class _Alerts(StatefulProcessor):
+    """The walk of one rule: four numbers."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.numbers = handle.getValueState("numbers", "start_at bigint, last_at bigint, count bigint, quiet_until bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        machine = _Machine(key[0], *(self.numbers.get() if self.numbers.exists() else ()))
+        due = pd.concat(list(rows))
+        out = machine.feed(due)
+        if machine.start_at >= 0:
+            out.append(machine.row(due["severity"].iloc[-1], None))
+        self.numbers.update((int(machine.start_at), int(machine.last_at), int(machine.count), int(machine.quiet_until)))
+        yield _frame(out)
+
+    def close(self) -> None:
+        pass
 
 
 def episode_stream(checks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Alert episodes of a stream of checks that arrive in any order within ``delay``.
 
-    A check is evaluated once the watermark has passed it, in the order of time, so the
-    alerts are those of the batch. Every micro-batch emits the alerts it closed
-    and the current version of the open one; ``latest_episodes`` reduces the
-    versions. The state of a rule is four numbers and the checks of the last ``delay``.
+    Checks wait for the watermark in a first aggregate, by rule and second, so those of one rule are
+    spread over tasks. Those that it has passed go to the walk of their rule in the order of time, so the
+    alerts are those of the batch; its state is four numbers. Every micro-batch emits the alerts it closed
+    and the current version of the open one; ``latest_episodes`` reduces the versions.
     """
     timed = checks.withColumn("_time", F.timestamp_seconds("at")).withWatermark("_time", delay)
-    narrow = timed.select("rule", "severity", "cooldown", "at", "triggered", "_time")
-    return narrow.groupBy("rule").applyInPandasWithState(_walk_on, EPISODE_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
+    settled = timed.groupBy(F.window("_time", "1 second").alias("_w"), "rule").agg(
+        F.min("at").alias("at"), F.min("severity").alias("severity"), F.max("cooldown").alias("cooldown"), F.max("triggered").alias("triggered")
+    )
+    narrow = settled.select(F.window_time("_w").alias("_time"), "rule", "at", "severity", "cooldown", "triggered")
+    return narrow.groupBy("rule").transformWithStateInPandas(_Alerts(), EPISODE_SCHEMA, "append", "EventTime")
 
 
 def latest_episodes(versions: DataFrame) -> DataFrame:

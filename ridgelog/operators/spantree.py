@@ -42,30 +42,35 @@ def _doubled(rows: DataFrame) -> DataFrame:
     return both.select(*_KEY, "up", "steps", "done", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
 
 
-def span_depths(spans: DataFrame) -> DataFrame:
-    """``(trace_id, span_id, depth, root_span_id, subtree_size, in_cycle)`` for every span.
+def climbed(rows: DataFrame, label: str) -> DataFrame:
+    """Rounds of doubling until every row of ``(trace_id, span_id, up, steps, done, size)`` points to its root.
 
-    ``spans`` has one row per (trace_id, span_id) with its ``parent_id``. A span whose parent is '' or null, or not among the
-    spans of its trace, is a root of depth 0. ``subtree_size`` counts the span itself. Spans may name each
-    other as parents: those on such a circle are marked ``in_cycle`` and have no size, and they and all below them have no depth
-    and no root. An empty table gives no rows.
-
-    Each round is written to the shared folder; the driver sees one row per round. Rounds end when every
-    span has met its root, or when the distance exceeds the number of spans of every trace that has open ones; these then lead into a circle.
+    Rows start with ``steps`` 1 and pointing to their parent, or as done roots with 0 and pointing to themselves. ``size`` becomes the sum of the sizes
+    in the subtree. Each round is written to the shared folder; the driver sees one row per round. Rounds also end when the
+    distance exceeds the number of rows of every trace that has open ones; these then lead into a circle.
     """
-    rows = checkpointed(_pointers(spans.select(*_KEY, F.coalesce("parent_id", F.lit("")).alias("parent_id"))), "span-pointers")
-    sizes = None
-    step = 1
+    rows, sizes, step = checkpointed(rows, label), None, 1
     while True:
         left = rows.filter(~F.col("done")).select("trace_id").distinct()
         if left.isEmpty():
-            break
+            return rows
         if sizes is None:
-            sizes = checkpointed(rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans")), "span-counts")
+            sizes = checkpointed(rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans")), f"{label}-counts")
         if step >= sizes.join(left, "trace_id", "left_semi").agg(F.max("spans")).first()[0]:
-            break
-        rows = checkpointed(_doubled(rows), "span-pointers")
+            return rows
+        rows = checkpointed(_doubled(rows), label)
         step *= 2
+
+
+def span_depths(spans: DataFrame) -> DataFrame:
+    """``(trace_id, span_id, depth, root_span_id, subtree_size, in_cycle)`` for every span.
+
+    ``spans`` has one row per (trace_id, span_id) with its ``parent_id``. A span whose parent is '' or null, or not among the
+    spans of its trace, is a root of depth 0. ``subtree_size`` counts the span itself. Spans may name each
+    other as parents: those on such a circle are marked ``in_cycle`` and have no size, and they and all below them have no depth
+    and no root. An empty table gives no rows.
+    """
+    rows = climbed(_pointers(spans.select(*_KEY, F.coalesce("parent_id", F.lit("")).alias("parent_id"))), "span-pointers")
     circle = rows.filter(~F.col("done")).select("trace_id", F.col("up").alias("span_id")).distinct().withColumn("_circle", F.lit(True))
     marked = rows.join(circle, _KEY, "left").withColumn("in_cycle", F.col("_circle").isNotNull())
     return marked.select(

@@ -213,6 +213,8 @@ def test_alert_cooldown_against_brute_force(spark, cooldown):
     frame = spark.createDataFrame([("r", "info", cooldown, t, on) for t, on in checks], "rule string, severity string, cooldown int, at bigint, triggered boolean")
     got = sorted((r.start_at, r.last_at, r.end_at, r["count"]) for r in al.episodes_with_cooldown(frame).collect())
     assert got == walk(checks, cooldown)
+    cut = sorted((r.start_at, r.last_at, r.end_at, r["count"]) for r in al.episodes_by_blocks(frame, 700).collect())
+    assert cut == got
     # the checks come in four files, the latest first; the last file carries the watermark past all of them
     path, rows = scratch_path(spark, "checks"), frame.collect()
     for part in ([r for r in rows[150:]], rows[0:100:2], rows[1:100:2], rows[100:150], [("mark", "info", cooldown, 10_000_000, False)]):
@@ -225,6 +227,25 @@ def test_alert_cooldown_against_brute_force(spark, cooldown):
         assert plain == [(s, e, c) for s, _, e, c in got]
 
 
+def test_alert_blocks_spread_a_rule(spark, monkeypatch):
+    """Three rules, one of which holds nearly all checks and is quiet for a year; no group or window is by rule alone."""
+    rng = random.Random(5)
+    rows = [("a", 300, t, rng.random() < 0.3) for t in range(0, 400_000, 100)] + [("a", 300, 40_000_000 + t, t < 5000) for t in range(0, 9000, 100)]
+    rows += [("b", 0, 7, True), ("c", 100_000, 5, True), ("c", 100_000, 200_000, True), ("c", 100_000, 200_001, False), ("c", 100_000, 900_000, False)]
+    frame = spark.createDataFrame([(r, "info", c, t, on) for r, c, t, on in rows], "rule string, severity string, cooldown int, at bigint, triggered boolean")
+    listed = lambda df: sorted(((r.rule, r.start_at, r.last_at, r.end_at, r["count"]) for r in df.collect()), key=repr)
+    whole = listed(al.episodes_with_cooldown(frame))
+    expected = [(rule, *e) for rule in "abc" for e in walk(sorted((t, on) for r, _, t, on in rows if r == rule), {"a": 300, "b": 0, "c": 100_000}[rule])]
+    assert whole == sorted(expected, key=repr)
+    plans = []
+    kept = al.episodes_by_blocks.__globals__["climbed"]
+    monkeypatch.setitem(al.episodes_by_blocks.__globals__, "climbed", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, label))
+    assert listed(al.episodes_with_cooldown(frame, walk_most=100)) == whole
+    plan = "\n".join(plans)
+    assert "FlatMapGroupsInPandas" in plan and "Window [" not in plan
+    assert all("block" in line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line and "[" in line)
+
+
 def test_default_alert_rules(spark):
     metrics = spark.createDataFrame(
         [("ingestion_rate_per_second", 0.0, 0), ("query_duration_ms_p99", 6000.0, 0), ("storage_free_percent", 50.0, 0), ("memory_alloc_mb", 2048.0, 0)],
