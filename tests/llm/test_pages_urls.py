@@ -3,10 +3,13 @@
 import html
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
-from ridgelog.llm.extract import block_tree, extract_main_text, main_text
+from ridgelog.llm.extract import FEATURES, NAMED, block_tree, blocks, extract_main_text, labelled_blocks, main_text
+from ridgelog.llm.tree import train
 from ridgelog.llm.urlrules import Rule, judge_urls, rules_table
 
 RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"), Rule("net", "/es/", "block"), Rule("b.net", "", "block")]
@@ -130,6 +133,106 @@ def test_extraction_equals_the_article_element(spark):
     assert len(rows) == pages.count()
 
 
+PARAGRAPH = "<p>The old bridge across the river was opened again on Monday after three years of work. Hundreds of people came to see it.</p>"
+STORY = "<h1>The bridge is open</h1>" + PARAGRAPH + "<p>He agreed.</p>" + PARAGRAPH
+TOLD = html.unescape(" ".join(re.sub("<[^>]*>", " ", STORY).split()))
+LINKS = "<li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>Sport</a></li>"
+
+
+@pytest.mark.parametrize("before", ["", "<p>Site name</p>", "<div>Skip to content</div>", "<h2>Site</h2><p>Since 1921</p>"])
+@pytest.mark.parametrize("behind", ["", "<div>Sign up today</div><p>Read next</p>", "<p>Terms apply</p>", "<p>x</p><p>One more notice of seven words here.</p>"])
+@pytest.mark.parametrize("hold", ["article", "main", "div class='post-content'"])
+def test_notices_outside_the_article_are_left_out(hold, before, behind):
+    page = f"<body><div class='content wrapper'>{before}<{hold}>{STORY}</{hold.split()[0]}>{behind}</div>{before}</body>"
+    if hold[:3] == "div":  # names alone don't tell the wrapper from the post
+        page = page.replace("content wrapper", "wrapper")
+    assert main_text(page, block_tree()) == TOLD
+
+
+@pytest.mark.parametrize(
+    "before, behind",
+    [
+        (f"<ul>{LINKS}</ul>", "<div>Copyright 2024 ACME all rights reserved</div>"),
+        ("<div>We use cookies to improve your visit here</div><div><a href=1>Home</a> <a href=2>News</a></div>", ""),
+        ("<div>Skip to content please now</div>", "<h3>Comments</h3><div><p>Great article, I liked every word of it!</p></div><div><p>Not true at all.</p></div>"),
+        (f"<div class='menue'>{LINKS}</div><div class='inhalt'>", "</div><div class='kommentare'><h3>Kommentare</h3><p>Toller Beitrag, vielen Dank!</p></div><div class='impressum'>Impressum und Datenschutz</div>"),
+        (f"<table><tr><td><ul>{LINKS}</ul></td><td>", "</td><td><p>Our author lives by the river.</p></td></tr></table>"),
+    ],
+)
+def test_pages_that_mark_nothing(before, behind):
+    assert main_text(f"<body>{before}{STORY}{behind}</body>", block_tree()) == TOLD
+
+
+def test_counts_and_densities_decide_held_out_blocks():
+    """The other half of the labelled texts: with all features, and without those that names and elements give."""
+    (rows, labels), (held, truth) = labelled_blocks(0), labelled_blocks(1)
+    assert len(held) > 800 and (block_tree().predict(held) == truth).mean() > 0.96
+    plain = [k for k in range(len(FEATURES)) if k not in NAMED]
+    assert (train(rows[:, plain], labels, depth=8, least=3).predict(held[:, plain]) == truth).mean() > 0.92
+    nameless = (held[:, list(NAMED)] == 0).all(axis=1)
+    assert nameless.mean() > 0.3 and (block_tree().predict(held[nameless]) == truth[nameless]).mean() > 0.94
+    # the six that are given by counting alone do much better than taking every block, or none
+    assert (train(rows[:, :6], labels, depth=8, least=3).predict(held[:, :6]) == truth).mean() > 0.75
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<i>" * (n // 7) + "</b>" * (n // 7), lambda n: "a<" + "b" * n, lambda n: "<i>" * (n // 6) + "<p>" * (n // 6), lambda n: "<div>" * (n // 10) + "x</p>" * (n // 10),
+        lambda n: "<a '" * (n // 4), lambda n: "<svg>" * (n // 5), lambda n: "<!--" * (n // 4), lambda n: "<li>x" * (n // 5), lambda n: "<p class=" + "'x " * (n // 3),
+    ],
+)
+def test_time_grows_with_the_page(page):
+    spent = []
+    for n in (1 << 16, 1 << 18):
+        begun = time.process_time()
+        main_text(page(n), block_tree())
+        spent.append(time.process_time() - begun)
+    assert spent[1] < max(10 * spent[0], 0.5)
+
+
+class Plain(HTMLParser):
+    """The blocks of well-formed markup by the standard parser: (text, words inside links)."""
+
+    SOLID = set("html body div p ul li h1 h2 h3 nav header footer aside article main table tr td section br".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.parts, self.links, self.raw = [], [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.raw += tag in ("script", "style", "title")
+        if tag in self.SOLID:
+            self.flush()
+        self.links += tag == "a"
+
+    def handle_endtag(self, tag):
+        self.raw -= tag in ("script", "style", "title")
+        if tag in self.SOLID:
+            self.flush()
+        self.links -= tag == "a"
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.parts.append((data, self.links > 0))
+
+    def flush(self):
+        words = "".join(d for d, _ in self.parts).split()
+        if words:
+            self.found.append((" ".join(words), sum(len(d.split()) for d, inside in self.parts if inside)))
+        self.parts = []
+
+
+def test_blocks_equal_those_of_another_parser(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    pages += [f"<body><div>{AROUND[a]}</div>{ARTICLE}<div>{AROUND[b]}</div></body>" for a in AROUND for b in AROUND if "form" not in (a, b)]
+    for page in pages:
+        other = Plain()
+        other.feed(page)
+        other.flush()
+        assert [(b.text, b.linked) for b in blocks(page)] == other.found
+
+
 def test_extraction_keeps_rows(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", ARTICLE, 2), (1, "u", ARTICLE, 2)], "page_id long, url string, html string, text int")
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in extract_main_text(pages).collect()) == [(0, 0), (1, 42), (1, 42)]
