@@ -5,6 +5,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgelog.llm.common import ascii_lower
+
 #: hex digits of the hash prefix that the join compares; the whole digest decides
 PREFIX_DIGITS = 8
 #: rules may have so many different shapes (labels of the host, characters of the path)
@@ -50,7 +52,7 @@ def _digest(host: Column, path: Column) -> Column:
 
 def _prepared(rules: DataFrame) -> DataFrame:
     """One row per (host, path) with its digest; of contradicting rules the smaller verdict (allow) holds."""
-    host, path = F.lower(F.col("host")), F.coalesce(F.col("path"), F.lit(""))
+    host, path = ascii_lower(F.col("host")), F.coalesce(F.col("path"), F.lit(""))
     rows = rules.where("host IS NOT NULL AND host != '' AND verdict IS NOT NULL").select(host.alias("host"), path.alias("path"), "verdict")
     one = rows.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     digest = _digest(F.col("host"), F.col("path"))

@@ -50,6 +50,14 @@ def test_url_rules_without_rules_or_pages(spark):
     assert judge_urls(pages, twice).first()["verdict"] == "allow"
 
 
+def test_rule_hosts_are_lower_cased_like_urls(spark):
+    """A-Z only, on both sides."""
+    pages = spark.createDataFrame([(1, "http://www.É.com/x"), (2, "http://é.com/x"), (3, "http://ABC.com/")], "page_id long, url string")
+    rules = [Rule("É.COM", "/", "block"), Rule("aBc.com", "/", "block")]
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(pages, rules_table(spark, rules)).collect()}
+    assert found == {1: ("É.com/", "block"), 2: (None, "allow"), 3: ("abc.com/", "block")}
+
+
 def test_url_rules_stay_native(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     plan = judge_urls(pages, rules_table(spark, RULES))._jdf.queryExecution().executedPlan().toString()
