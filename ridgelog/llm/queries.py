@@ -134,10 +134,11 @@ def op9_personal_data(spark, sf_dir):
 @query(
     "op10_quotation_links",
     r"""WITH before AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-own AS (SELECT conv_id, turn, len(list_filter(string_split(coalesce(one, ''), chr(10)), lambda x: trim(x) <> '')) AS a, len(list_filter(string_split(coalesce(two, ''), chr(10)), lambda x: trim(x) <> '')) AS b,
- role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS own FROM before)
+own AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(coalesce(one, ''), '\r\n|\r|\n'), lambda x: regexp_matches(x, '\S'))) AS a,
+ len(list_filter(regexp_split_to_array(coalesce(two, ''), '\r\n|\r|\n'), lambda x: regexp_matches(x, '\S'))) AS b,
+ role, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') AS own FROM before)
 SELECT conv_id, turn, role, own, CASE WHEN a > 0 THEN turn - 1 END AS reply_to, min(turn) OVER (PARTITION BY conv_id) AS root,
- turn - min(turn) OVER (PARTITION BY conv_id) AS depth, a + b AS n_quoted, a + b AS n_linked FROM own""",
+ turn - min(turn) OVER (PARTITION BY conv_id) AS depth, a + b AS n_quoted, a + b AS n_linked, turn - min(turn) OVER (PARTITION BY conv_id) AS position FROM own""",
 )
 def op10_quotation_links(spark, sf_dir):
     mails = checkpointed(as_mails(table(spark, sf_dir, "conversations")), "mails")

@@ -297,7 +297,7 @@ def test_quotes_are_linked(spark):
     ]
     rows += [rows[1]]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, own string")
-    found = {(r["conv_id"], r["turn"]): tuple(r)[3:] for r in format_conversations(frame).collect()}
+    found = {(r["conv_id"], r["turn"]): tuple(r)[3:9] for r in format_conversations(frame).collect()}
     assert format_conversations(frame).count() == len(rows)
     assert found[1, 0] == ("Hello there\n\nSecond  line", None, 0, 0, 0, 0)
     assert found[1, 1] == ("Yes", 0, 0, 1, 1, 2)  # the row is there twice
@@ -321,6 +321,29 @@ def test_long_conversation_takes_the_latest_original(spark):
         assert {r["turn"]: r["quoted_turn"] for r in link_quotes(line_hashes(parsed), block).collect()} == {3: 0, 7: 0, 9: 7, 39: 7, 41: 40, 90: 40}
 
 
+def test_mails_are_taken_apart_as_they_were_written(spark):
+    """Lone carriage returns, own lines that look like quotes or escapes, gaps, nulls and repeated rows."""
+    texts = ["one\rtwo", "> mine\n\\> and this\n  >> too", "x\r\n\r\ny\n", " \t", "", None, "\\\\> three\r> four", "tail\n\n", "last"]
+    rows = [(1, t, "user", x) for t, x in enumerate(texts)] + [(1, 20, "user", "after a gap"), (2, 0, "user", "a"), (2, 1, "user", "b"), (None, 3, "user", "> n"), (2, None, "user", "t")]
+    rows += [(3, t, "user", f"copy {t}") for t in range(3) for _ in range(3)]
+    mails = as_mails(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = format_conversations(mails).collect()
+    assert len(found) == len(rows) == mails.count()
+    expected = sorted((c, t, (x or "").strip(" \t\r\n")) for c, t, _, x in rows if c and t is not None)
+    assert sorted((r["conv_id"], r["turn"], r["own"]) for r in found if r["conv_id"] and r["turn"] is not None) == expected
+    at = {(r["conv_id"], r["turn"]): r for r in found}
+    assert [at[1, t]["reply_to"] for t in range(9)] == [None, 0, 1, 2, 2, None, None, 6, 7] and at[1, 20]["reply_to"] is None
+    assert [(at[3, t]["root"], at[3, t]["position"], at[3, t]["depth"]) for t in range(3)] == [(0, 0, 0), (0, 1, 1), (0, 2, 2)]
+    assert at[1, 2]["n_quoted"] == 3 + 2 and at[1, 2]["n_linked"] == 5
+
+
+def test_a_common_line_in_a_known_quote_links_nothing(spark):
+    rows = [(1, 0, "u", "yes\nI will come on Monday"), (1, 1, "u", "yes"), (1, 2, "u", "> yes\n> I will come on Monday\ngood"), (1, 3, "u", "> yes\n> unknown\nwell")]
+    found = {r["turn"]: r for r in format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (found[2]["reply_to"], found[2]["n_linked"], found[3]["reply_to"], found[3]["n_linked"]) == (0, 2, 1, 1)
+    assert {t: (r["root"], r["position"]) for t, r in found.items()} == {0: (0, 0), 2: (0, 1), 1: (1, 0), 3: (1, 1)}
+
+
 def test_mails_of_conversations(spark):
     from ridgelog.llm.queries import ORACLES, QUERIES
     from tools.check import compare, connect
