@@ -16,15 +16,16 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 from ridgelog.llm.common import runs
 
 SPACE = "▁"
-_BYTE_PIECE = re.compile(r"<0x[0-9A-F]{2}>\Z")
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # Fixed values of the model format: kinds of pieces, kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: bytes of text that are encoded at once
 RUN_BYTES = 1 << 20
-#: words whose ids a task remembers, and those the library gets at once
-REMEMBERED, LEARNT = 150_000, 2048
+#: words whose ids a task remembers, how long they are at most, and how many the library gets at once
+REMEMBERED, LONGEST_WORD, LEARNT = 150_000, 64, 2048
+#: numbers that the memory of ids keeps room for behind a run with very long words
+_IDS_KEPT = 1 << 22
 
 
 @dataclass
@@ -133,11 +134,14 @@ def build_tokenizer(model: SentencePieceModel) -> Tokenizer:
     user = [p for p, _, kind in model.pieces if kind == USER_DEFINED]
     if user:
         tokenizer.add_tokens([AddedToken(p, normalized=True) for p in user])
-    parts = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
-    tokenizer.decoder = decoders.Sequence([*parts, decoders.Strip(" ", 1, 0)] if model.dummy_prefix else parts)
+    tokenizer.decoder = decoders.Sequence([*_decoding(), decoders.Strip(" ", 1, 0)] if model.dummy_prefix else _decoding())
     return tokenizer
 
 
+def _decoding() -> list:
+    return [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
+
+
 @lru_cache(maxsize=4)
 def _loaded(serialised: str) -> Tokenizer:
     return Tokenizer.from_str(serialised)
@@ -159,11 +163,12 @@ def decode_ids(tokenizer: Tokenizer, ids: list[list[int]]) -> list[str]:
 
 
 class WordEncoder:
-    """Encodes whole texts by their words, each different word once.
+    """Encodes and decodes whole texts by their words, each different word once.
 
     That gives the ids of the whole text if the tokenizer's pre-tokenizer cuts at
-    the space markers, which it does if no piece reaches over one. Words are
-    remembered up to REMEMBERED; then the memory starts afresh.
+    the space markers, which it does if no piece reaches over one. Words of up to LONGEST_WORD characters are
+    remembered up to REMEMBERED, then the memory starts afresh; longer ones (texts without spaces are one
+    word) are known for one run of texts only. So the memory is bounded in bytes.
     """
 
     def __init__(self, serialised: str):
@@ -174,41 +179,32 @@ class WordEncoder:
         self.only_marks = plain and "Precompiled" not in serialised[:20_000]
         self.words = Tokenizer.from_str(serialised)
         self.words.normalizer, self.words.pre_tokenizer = normalizers.Sequence([]), None
-        core = json.loads(serialised)["model"]
-        unknown = core.get("unk_id") if core["type"] == "Unigram" else self.words.token_to_id(core["unk_token"])
-        # the bytes of text that a piece stands for; the unknown piece stands for none
-        self.bytes = np.zeros(self.words.get_vocab_size(), np.int64)
-        for piece, k in self.words.get_vocab().items():
-            self.bytes[k] = 1 if _BYTE_PIECE.match(piece) else len(piece.encode())
-        if unknown is not None:
-            self.bytes[unknown] = -(1 << 40)
+        # as in the whole tokenizer, but for the space at the start of a text, which is taken off the whole
+        self.words.decoder = decoders.Sequence(_decoding())
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.back: list[str] = []
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(REMEMBERED + 1, np.int64)
-        self.whole = np.zeros(REMEMBERED, bool)
 
     def _learn(self, words: list[str]) -> None:
         lists = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        first = len(self.number)
+        self.number.update(zip(words, range(first, first + len(words))))
+        self.back += self.words.decode_batch(lists, skip_special_tokens=False)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        # pieces cover a word from left to right, so they spell it if they have all of its bytes
-        spelt = np.add.reduceat(self.bytes[ids], np.cumsum(sizes) - sizes)
-        first = len(self.number) - len(words)
         begins = self.start[first]
-        need = len(self.number) + 1, int(begins) + len(ids)
-        for name, least in zip(("start", "whole", "ids"), (need[0], need[0], need[1])):
+        for name, least in (("start", len(self.number) + 1), ("ids", int(begins) + len(ids))):
             if len(getattr(self, name)) < least:
                 setattr(self, name, np.resize(getattr(self, name), 2 * least))
-        self.whole[first : first + len(words)] = spelt == np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
         self.start[first + 1 : first + 1 + len(words)] = begins + np.cumsum(sizes)
         self.ids[begins : begins + len(ids)] = ids
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in one array, where each text's begin and end in it, and whether each decodes to itself."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """All ids in one array, where each text's begin and end in it, and the texts that the ids decode to."""
         mark = SPACE if self.prefix else ""
         normal = [mark + t.replace(" ", SPACE) if t or not mark else t for t in texts] if self.only_marks else [self.normaliser.normalize_str(t) for t in texts]
         words = [_WORD.findall(t) for t in normal]
@@ -216,17 +212,27 @@ class WordEncoder:
             self._forget()
         known = self.number
         new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in known]
-        for k in range(0, len(new), LEARNT):
-            self._learn(new[k : k + LEARNT])
+        long = [w for w in new if len(w) > LONGEST_WORD]
+        new = [w for w in new if len(w) <= LONGEST_WORD] if long else new
+        for some in (new, long):
+            for k in range(0, len(some), LEARNT):
+                self._learn(some[k : k + LEARNT])
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         sizes = self.start[at + 1] - self.start[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        broken = np.concatenate([[0], np.cumsum(~self.whole[at])])
-        same = [n.replace(SPACE, " ")[len(mark):] == t for n, t in zip(normal, texts)]
-        return ids, ends[bounds], (broken[bounds[1:]] == broken[bounds[:-1]]) & np.array(same, bool)
+        places, back = at.tolist(), self.back
+        decoded = ["".join([back[k] for k in places[a:b]]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        if self.prefix:
+            decoded = [t[1:] if t[:1] == " " else t for t in decoded]
+        for w in long:
+            del known[w]
+        del back[len(known) :]
+        if len(self.ids) > _IDS_KEPT:
+            self.ids = self.ids[: max(1 << 16, int(self.start[len(known)]))].copy()
+        return ids, ends[bounds], decoded
 
 
 def differing_texts(model: bytes, texts: list[str]) -> list[str]:
@@ -248,7 +254,7 @@ def read_model(path: str) -> bytes:
 def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids, n_ids, exact)`` for every row: the whole text as ids of the model.
 
-    ``exact`` says whether decoding the ids gives the text back, character by
+    Every text's ids are decoded again, and ``exact`` says whether that gives the text back, character by
     character. A null text is encoded like an empty one, into no ids, and is exact. Repeated
     rows and null doc_ids stay; other columns are not read. The serialised tokenizer,
     whose size is the vocabulary's, goes to every task; texts are encoded
@@ -264,12 +270,12 @@ def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "t
                 part = batch.slice(start, stop - start)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 if by_word:
-                    ids, ends, exact = _word_encoder(serialised).encode(texts)
+                    ids, ends, back = _word_encoder(serialised).encode(texts)
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 else:
                     found = encode_texts(_loaded(serialised), texts)
-                    exact = np.array([a == b for a, b in zip(decode_ids(_loaded(serialised), found), texts)], bool)
-                    lists = pa.array(found, pa.list_(pa.int32()))
+                    back, lists = decode_ids(_loaded(serialised), found), pa.array(found, pa.list_(pa.int32()))
+                exact = np.array([a == b for a, b in zip(back, texts)], bool)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(exact)], ["doc_id", "ids", "exact"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -163,6 +163,20 @@ def test_sentencepiece_query_equals_the_library(spark):
     assert encode(docs.where("false"), model).count() == 0
 
 
+def test_texts_without_spaces_are_not_remembered():
+    """Every text is one word; the memory of a task stays small, and ids and decoded texts are those of whole texts."""
+    from ridgelog.llm.sptok import LONGEST_WORD, WordEncoder, decode_ids, encode_texts
+
+    tokenizer = build_tokenizer(parse_model(read_model(MODEL_PATH)))
+    encoder, rng = WordEncoder(tokenizer.to_str()), random.Random(2)
+    for _ in range(4):
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)) for _ in range(8)] + ["a few short words", "", "x" * 70 + " y", "short words a few"]
+        ids, ends, back = encoder.encode(texts)
+        whole = encode_texts(tokenizer, texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == whole and back == decode_ids(tokenizer, whole)
+        assert max(map(len, encoder.number)) <= LONGEST_WORD and len(encoder.back) == len(encoder.number) < 20 and len(encoder.ids) <= 1 << 22
+
+
 def test_unigram_models_are_rebuilt():
     """A hand-made unigram model with byte fallback, against the library that defines the format."""
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", -20.0, 6) for b in range(256)]
