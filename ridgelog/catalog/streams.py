@@ -16,6 +16,7 @@ from ridgelog.catalog.traces import _SESSIONS, _TRACED
 from ridgelog.operators.errors import with_hits
 from ridgelog.session import scratch_path
 from ridgelog.storage.table import publish_days, read_logs
+from ridgelog.streaming import clients as tails
 from ridgelog.streaming import errors as live
 from ridgelog.streaming import jobs as j
 
@@ -224,3 +225,33 @@ def stream_error_statistics(spark, sf_dir):
 def stream_anomalies(spark, sf_dir):
     scores = j.run_available(live.anomaly_stream(_shuffled_stream(spark, sf_dir), _LATE), "scores")
     return live.scored(scores).filter("is_anomaly").select("service", "minute", "errors", F.round("z_score", 5).alias("z_score"))
+
+
+_PHRASES = ("timeout", "GET /api/items/", "operation: checkout", "Null")
+
+
+def _tail_filters(i: int) -> list[dict[str, str]]:
+    """The filters of client ``i``; the SQL counterpart states them by the same rule."""
+    own = [("level", "!=", "debug"), ("user_id", "=", f"U{i}")]
+    own = own if i % 5 else [("level", "equals", "ERROR"), ("user_id", "starts_with", f"u{i % 90}")]
+    if i % 5 == 2:
+        own = [("message", "contains", _PHRASES[i % 4]), ("user_id", "ends_with", str(i % 100)), ("service", "not_equals", "cache-service")]
+    if i % 5 == 3:
+        own = [("message", "contains", f"items/{i % 100}"), ("message", "not_contains", "completed user_id=u1"), ("service", "starts_with", "order")]
+    return [{"field": f, "operator": o, "value": v} for f, o, v in own]
+
+
+@query(
+    "tail_clients",
+    W
+    + f"""SELECT 'c' || i AS client, logs.id AS log_id, level FROM logs, range(1000) AS r(i) WHERE CASE i % 5 WHEN 0 THEN lower(level) = 'error' AND starts_with(lower(a_user_id), 'u' || i % 90)
+ WHEN 2 THEN contains(lower(message), lower(list_extract({list(_PHRASES)}, CAST(i % 4 + 1 AS INT)))) AND ends_with(lower(a_user_id), CAST(i % 100 AS VARCHAR)) AND service <> 'cache-service'
+ WHEN 3 THEN contains(lower(message), 'items/' || i % 100) AND NOT contains(lower(message), 'completed user_id=u1') AND starts_with(service, 'order')
+ ELSE lower(level) <> 'debug' AND lower(a_user_id) = 'u' || i END""",
+)
+def tail_clients(spark, sf_dir):
+    """A thousand clients with filters of their own, all served by one pass over the stream."""
+    path = scratch_path(spark, "tails")
+    clients = {f"c{i}": _tail_filters(i) for i in range(1000)}
+    tails.clients_sink(log_stream(spark, sf_dir), clients, path, scratch_path(spark, "tails-checkpoint"), trigger={"availableNow": True}).awaitTermination()
+    return tails.delivered(spark, path).select("client", "log_id", "level")

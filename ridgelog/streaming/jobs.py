@@ -43,9 +43,10 @@ def _plain(name: str, alias: str | None = None) -> Column:
     return F.col(name).cast("timestamp_ntz").alias(alias or name.split(".")[-1])
 
 
-def tail_view(logs: DataFrame) -> DataFrame:
-    """The columns of a live tail; the time is its id."""
+def tail_view(logs: DataFrame, *more: str) -> DataFrame:
+    """The columns of a live tail, behind ``more``; the time is its id."""
     return logs.select(
+        *more,
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("id"),
         "timestamp",
         "level",
