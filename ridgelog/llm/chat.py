@@ -12,32 +12,50 @@ _MARK = r"^[ \t]*((?:>[ \t]?)+)"
 _ESCAPED = r"^([ \t]*)\\(\\*>)"
 #: where a line begins: at the start, behind a line feed, or behind a carriage return that no line feed follows
 _BEGIN = r"(?:\A|(?<=\n)|(?<=\r)(?!\n))"
-_TRIM = r"\A[ \t\r\n]+|[ \t\r\n]+\z"
+
+
+def _when(test: Column, changed: Column, text: Column) -> Column:
+    """``changed`` where the cheap test says that it may differ from ``text``; regular expressions over whole mails are the costly part of this operator."""
+    return F.when(test, changed).otherwise(text)
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
+    text = F.coalesce(text, F.lit(""))
+    return F.split(_when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n"), text), "\n")
+
+
+def _begins(line: Column, mark: str) -> Column:
+    """Whether a line begins so, blanks aside."""
+    return F.ltrim(line, F.lit(" \t")).startswith(mark)
 
 
 def _level(line: Column) -> Column:
     """The number of quote marks in front of a line."""
     marks = F.regexp_extract(line, _MARK, 1)
-    return F.length(F.regexp_replace(marks, "[^>]", ""))
+    return F.when(_begins(line, ">"), F.length(F.regexp_replace(marks, "[^>]", ""))).otherwise(0)
 
 
 def _body(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, _MARK, ""), _ESCAPED, "$1$2")
+    unescaped = lambda x: _when(_begins(x, "\\"), F.regexp_replace(x, _ESCAPED, "$1$2"), x)
+    return F.when(_begins(line, ">"), unescaped(F.regexp_replace(line, _MARK, ""))).otherwise(unescaped(line))
 
 
 def own_text(text: Column) -> Column:
     """The text without its quoted lines, all other characters as they stand, trimmed; a backslash before a line's first ``>`` is taken off."""
-    own = F.regexp_replace(F.coalesce(text, F.lit("")), _BEGIN + r"[ \t]*>[^\r\n]*(?:\r\n|\r|\n|\z)", "")
-    return F.regexp_replace(F.regexp_replace(own, _BEGIN + _ESCAPED[1:], "$1$2"), _TRIM, "")
+    text = F.coalesce(text, F.lit(""))
+    by_lines = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~_begins(x, ">")), "\n")
+    own = F.regexp_replace(text, _BEGIN + r"[ \t]*>[^\r\n]*(?:\r\n|\r|\n|\z)", "")
+    own = F.when(~text.contains(">"), text).when(text.contains("\r"), own).otherwise(by_lines)
+    return F.trim(_when(text.contains("\\"), F.regexp_replace(own, _BEGIN + _ESCAPED[1:], "$1$2"), own), F.lit(" \t\r\n"))
 
 
 def normalised(text: Column) -> Column:
     """Lower case, and white space of any length as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    lower = F.lower(text)
+    uneven = text.contains("  ")
+    for mark in "\t\n\r\f\v":
+        uneven = uneven | text.contains(mark)
+    return F.trim(_when(uneven, F.regexp_replace(lower, r"\s+", " "), lower))
 
 
 def quoted_lines(messages: DataFrame) -> DataFrame:
@@ -47,7 +65,7 @@ def quoted_lines(messages: DataFrame) -> DataFrame:
     """
     lines = _lines(F.col("text"))
     split = F.transform(lines, lambda x: F.struct(_level(x).alias("level"), _body(x).alias("line")))
-    return messages.select(*messages.columns, own_text(F.col("text")).alias("own"), F.filter(split, lambda x: normalised(x["line"]) != "").alias("levels"))
+    return messages.select(*messages.columns, own_text(F.col("text")).alias("own"), F.filter(split, lambda x: F.trim(x["line"], F.lit(" \t\f\v")) != "").alias("levels"))
 
 
 def _passage(lines: Column) -> Column:
@@ -203,8 +221,10 @@ def as_mails(messages: DataFrame) -> DataFrame:
     (conversation, turn) the one with the smallest text is quoted, and every row becomes one mail. Quote marks stand before every line as the
     parser takes them, and a line that begins like a quote or an escaped one gets a backslash. Null texts are not quoted.
     """
-    escaped = F.regexp_replace("text", _BEGIN + r"([ \t]*)(\\*>)", r"$1\\$2")
-    quote = lambda text, mark: F.regexp_replace(text, _BEGIN, mark)
+    text = F.col("text")
+    escaped = _when(text.contains(">"), F.regexp_replace(text, _BEGIN + r"([ \t]*)(\\*>)", r"$1\\$2"), text)
+    by_lines = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)))
+    quote = lambda text, mark: _when(text.contains("\r"), F.regexp_replace(text, _BEGIN, mark), by_lines(text, mark))
     rows = messages.select("conv_id", "turn", "role", escaped.alias("text"))
     texts = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     earlier = lambda by, name: texts.select("conv_id", (F.col("turn") + by).alias("turn"), F.col("text").alias(name))
