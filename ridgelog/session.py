@@ -26,6 +26,8 @@ def build_session(app_name: str = "ridgelog", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # every column operation would otherwise record its call site, which is a third of the time that building a large plan takes
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         # streaming state on local disk instead of the heap: deduplication keeps ten minutes of ids
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
