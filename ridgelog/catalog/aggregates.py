@@ -379,6 +379,27 @@ def errors_daily(spark, sf_dir):
     return m.errors_daily(_logs(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    "rollup_sketches",
+    W + """SELECT CAST(date_trunc('day', timestamp) AS DATE) AS day, service, count(*) AS count, count(DISTINCT trace_id) AS unique_traces, true AS traces_close, true AS p50_close, true AS p95_close
+ FROM logs GROUP BY 1, 2""",
+)
+def rollup_sketches(spark, sf_dir):
+    """Hourly sketches united to days, beside the exact numbers: traces within 5 % (three standard errors), quantiles within 5 % of the ranks."""
+    logs = _logs(spark, sf_dir)
+    day = F.to_date("hour").alias("day")
+    estimates = m.sketch_estimates(m.merge_sketches(m.sketch_rollup(logs), day, "service")).withColumnRenamed("unique_traces", "estimate")
+    keyed = logs.select(F.to_date("timestamp").alias("day"), "service", "trace_id", F.octet_length("message").alias("length"))
+    met = keyed.join(estimates.drop("count", "estimate"), ["day", "service"])
+    below = {f"{p}_{side}": F.avg((test(F.col("length"), F.col(p))).cast("double")) for p in ("p50", "p95") for side, test in (("under", lambda a, b: a < b), ("upto", lambda a, b: a <= b))}
+    ranks = met.groupBy("day", "service").agg(F.count(F.lit(1)).alias("count"), *[c.alias(n) for n, c in below.items()])
+    exact = keyed.groupBy("day", "service").agg(F.count_distinct("trace_id").alias("unique_traces"))
+    both = ranks.join(exact, ["day", "service"]).join(estimates.select("day", "service", "estimate"), ["day", "service"])
+    close = lambda p, q: ((F.col(f"{p}_under") <= q + 0.05) & (F.col(f"{p}_upto") >= q - 0.05)).alias(f"{p}_close")
+    traces = (F.abs(F.col("estimate") - F.col("unique_traces")) <= 0.05 * F.col("unique_traces")).alias("traces_close")
+    return both.select("day", "service", "count", "unique_traces", traces, close("p50", 0.5), close("p95", 0.95))
+
+
 @query(
     "trace_rollup",
     W

@@ -215,6 +215,18 @@ def stream_error_statistics(spark, sf_dir):
     return stats.withColumns({"services": F.array_join(services, ","), "rate": F.round("rate", 6)})
 
 
+@query(
+    "stream_service_hourly",
+    W + "SELECT date_trunc('hour', timestamp) AS hour, service, level, count(*) AS count, count(DISTINCT trace_id) AS unique_traces FROM logs GROUP BY 1, 2, 3",
+)
+def stream_service_hourly(spark, sf_dir):
+    """The exact hourly rollup of logs that come in files out of order."""
+    landing, path = scratch_path(spark, "hourly-landing"), scratch_path(spark, "hourly-rollup")
+    sink = j.service_hourly_sink(_shuffled_stream(spark, sf_dir), landing, path, scratch_path(spark, "hourly-checkpoint"), trigger={"availableNow": True})
+    sink.awaitTermination()
+    return j.landed_service_hourly(spark, path)
+
+
 @query(
     "stream_anomalies",
     f"""WITH {_HITS}, minutes AS (SELECT service, date_trunc('minute', timestamp) AS minute, count(DISTINCT id) AS errors FROM found GROUP BY 1, 2),

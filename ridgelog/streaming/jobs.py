@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ridgelog.functions.scalars import ntz
+from ridgelog.functions.scalars import ntz, start_of_hour
 from ridgelog.operators.errors import with_detected_errors, with_hits
 from ridgelog.operators.filters import tail_condition, time_filter
-from ridgelog.operators.rollups import merge_rollups
+from ridgelog.operators.rollups import latest_per_key, merge_rollups, service_hourly
 from ridgelog.operators.traces import _failed, _traced, with_trace_ids
 from ridgelog.session import folder_system, scratch_path
 
@@ -258,6 +258,44 @@ def latest_totals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={versions[-1]}")
 
 
+_LANDED = "id string, timestamp timestamp_ntz, service string, level string, trace_id string, day date, batch bigint"
+
+
+def service_hourly_sink(logs: DataFrame, landing: str, path: str, checkpoint: str, *, trigger: Mapping[str, object] | None = None) -> StreamingQuery:
+    """Keep the exact hourly rollup (``service_hourly``, distinct traces included) of a stream, however late logs come.
+
+    Distinct traces cannot be added up, so every micro-batch lands the columns that the rollup needs, by day and batch, and
+    computes the hours it touched anew from all rows landed for them; other hours are neither read nor written.
+    Only the days of the batch are listed and scanned. Both writes replace
+    whole partitions with what follows from the landed rows alone, so a repeated or half-done batch changes nothing. A
+    log that is delivered again counts once within its hour, in its last version. Logs without a timestamp are an hour of their own.
+    """
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark, named = batch.sparkSession, _LANDED.replace(",", "").split()[::2]
+        day = F.to_date("timestamp").alias("day")
+        rows = batch.select(*named[:5], day, F.lit(batch_id).cast("bigint").alias("batch"))
+        rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(landing)
+        days = [r["day"] for r in rows.select("day").distinct().collect()]
+        if not days:
+            return
+        folders = [f"{landing}/day={'__HIVE_DEFAULT_PARTITION__' if d is None else d}" for d in days]
+        landed = spark.read.schema(_LANDED).option("basePath", landing).parquet(*folders).withColumn("hour", start_of_hour("timestamp"))
+        touched = landed.filter(F.col("batch") == batch_id).select(F.col("hour").alias("touched")).distinct()
+        again = landed.join(touched, F.col("hour").eqNullSafe(F.col("touched")), "left_semi")
+        again = latest_per_key(again, ["hour", "id"], ["batch", "timestamp", "service", "level", "trace_id"])
+        hourly = service_hourly(again).withColumns({"day": F.to_date("hour"), "at": F.hour("hour")})
+        hourly.hint("rebalance", "day", "at").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "at").parquet(path)
+
+    return logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold).trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
+def landed_service_hourly(spark: SparkSession, path: str) -> DataFrame:
+    """The rollup that ``service_hourly_sink`` keeps."""
+    schema = "hour timestamp_ntz, service string, level string, count bigint, unique_traces bigint, day date, at int"
+    return spark.read.schema(schema).parquet(path).drop("day", "at")
+
+
 def dropped_rows(query: StreamingQuery) -> int:
     """Rows that came after the watermark and are missing in a query's windows or sessions, so far as it remembers.
 
