@@ -188,23 +188,30 @@ class WordEncoder:
         self.back: list[str] = []
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(REMEMBERED + 1, np.int64)
+        # whether a word is decoded to itself, its marks being spaces
+        self.same = np.zeros(REMEMBERED + 1, bool)
 
     def _learn(self, words: list[str]) -> None:
         lists = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
         first = len(self.number)
         self.number.update(zip(words, range(first, first + len(words))))
-        self.back += self.words.decode_batch(lists, skip_special_tokens=False)
+        back = self.words.decode_batch(lists, skip_special_tokens=False)
+        self.back += back
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
         begins = self.start[first]
-        for name, least in (("start", len(self.number) + 1), ("ids", int(begins) + len(ids))):
+        for name, least in (("start", len(self.number) + 1), ("same", len(self.number) + 1), ("ids", int(begins) + len(ids))):
             if len(getattr(self, name)) < least:
                 setattr(self, name, np.resize(getattr(self, name), 2 * least))
         self.start[first + 1 : first + 1 + len(words)] = begins + np.cumsum(sizes)
         self.ids[begins : begins + len(ids)] = ids
+        self.same[first : first + len(words)] = [b == w.replace(SPACE, " ") for b, w in zip(back, words)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """All ids in one array, where each text's begin and end in it, and the texts that the ids decode to."""
+        """All ids in one array, where each text's begin and end in it, and the texts that the ids decode to.
+
+        A text whose words all decode to themselves decodes to itself; the others are put together from their words' texts.
+        """
         mark = SPACE if self.prefix else ""
         normal = [mark + t.replace(" ", SPACE) if t or not mark else t for t in texts] if self.only_marks else [self.normaliser.normalize_str(t) for t in texts]
         words = [_WORD.findall(t) for t in normal]
@@ -223,10 +230,12 @@ class WordEncoder:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        places, back = at.tolist(), self.back
-        decoded = ["".join([back[k] for k in places[a:b]]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        if self.prefix:
-            decoded = [t[1:] if t[:1] == " " else t for t in decoded]
+        differ = np.concatenate([[0], np.cumsum(~self.same[at])])[bounds]
+        back, decoded = self.back, list(texts)
+        for k, (changed, t) in enumerate(zip(np.diff(differ).tolist(), texts)):
+            if changed or not self.only_marks or SPACE in t:
+                whole = "".join([back[j] for j in at[bounds[k] : bounds[k + 1]].tolist()])
+                decoded[k] = whole[1:] if self.prefix and whole[:1] == " " else whole
         for w in long:
             del known[w]
         del back[len(known) :]
