@@ -5,7 +5,6 @@ counterparts leave out the ones that are still open.
 """
 
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -44,11 +43,11 @@ def tail_poll(spark, sf_dir):
 
 @query("tail_pages", W + "SELECT id, timestamp, level FROM logs WHERE timestamp > TIMESTAMP '2024-01-01'")
 def tail_pages(spark, sf_dir):
-    """All polls together are the logs, in pages of a fortieth of them, and many share a second."""
+    """A replay of the tail in pages of fixed size, in which many logs share a time; all pages together are the logs."""
     logs = event_logs(spark, sf_dir)
-    size = max(1, logs.count() // 40)
-    pages = list(j.tail_pages(logs.withColumn("timestamp", F.date_trunc("day", "timestamp").cast("timestamp_ntz")), datetime(2023, 12, 31), size))
-    ids = reduce(lambda a, b: a.unionAll(b), [p.select("id") for p in pages])
+    days = logs.withColumn("timestamp", F.date_trunc("day", "timestamp").cast("timestamp_ntz"))
+    pages = j.tail_replay(days, datetime(2023, 12, 31))
+    ids = pages.groupBy("page").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= j.TAIL_BATCH).join(pages, "page").select("id")
     return logs.filter("timestamp > timestamp_ntz'2024-01-01'").join(ids, "id").select("id", "timestamp", "level")
 
 
@@ -181,16 +180,17 @@ _SETTLED = "(SELECT max(timestamp) FROM logs) - INTERVAL 7 DAY"
 
 
 def _shuffled_stream(spark, sf_dir):
-    """The logs in files of three days, one a batch, neighbours in the wrong order and the oldest after all that may come late.
+    """The logs in deliveries of three days, one a batch, neighbours in the wrong order and the oldest after all that may come late.
 
-    So every file but the last brings logs older than some that came before, never by more than a week.
+    So every delivery but the last brings logs older than some that came before, never by more than a week. A delivery has as
+    many files as the cluster has cores, so no task writes or reads a whole one.
     """
-    path = scratch_path(spark, "shuffled")
+    path, files = scratch_path(spark, "shuffled"), max(2, spark.sparkContext.defaultParallelism)
     logs = event_logs(spark, sf_dir).drop("date_partition")
     part = F.floor((F.dayofmonth("timestamp") - 1) / 3)
     for k in (1, 0, 3, 2, 5, 4, 7, 6, 9, 8, 10):
-        logs.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-    return j.stream_files(spark, path, logs.schema, files_per_trigger=1)
+        logs.filter(part == k).repartition(files).write.mode("append").parquet(path)
+    return j.stream_files(spark, path, logs.schema, files_per_trigger=files)
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ridgelog.functions.positions import numbered
 from ridgelog.functions.scalars import ntz, start_of_hour
 from ridgelog.operators.errors import with_detected_errors, with_hits
 from ridgelog.operators.filters import tail_condition, time_filter
@@ -86,6 +87,16 @@ def tail_pages(logs: DataFrame, since, limit: int = TAIL_BATCH) -> Iterator[Data
         since, after_id = last["timestamp"], last["id"]
 
 
+def tail_replay(logs: DataFrame, since, limit: int = TAIL_BATCH) -> DataFrame:
+    """All polls of ``tail_pages`` at once: the logs after ``since`` with the number of their ``page``, from 0.
+
+    A poll scans the table again; here the rows are ranged by the cursor (time, id) once, so a replay of a long stretch is one
+    distributed job and no task or driver sees more than its range.
+    """
+    rows = numbered(time_filter(logs, since, None).filter(F.col("timestamp") > ntz(since)), ["timestamp", "id"], "page")
+    return rows.withColumn("page", F.floor(F.col("page") / limit))
+
+
 def tail_stream(logs: DataFrame, filters: Iterable[Mapping[str, str]] = ()) -> DataFrame:
     """Live tail of one client: its filters on the stream, then the tail columns."""
     return tail_view(logs.filter(tail_condition(filters)))

@@ -58,3 +58,12 @@ def test_sketches_count_empty_and_null_traces_like_the_exact_rollup(spark, make_
     logs = make_logs([{"trace_id": t, "message": "m", "service": "s"} for t in ("", "", "a", None)])
     assert m.sketch_estimates(m.sketch_rollup(logs)).first()["unique_traces"] == 2 == m.service_hourly(logs).first()["unique_traces"]
     assert m.sketch_estimates(m.sketch_rollup(logs.limit(0))).count() == 0
+
+
+def test_replay_has_the_pages_of_the_polls(spark, make_logs):
+    logs = make_logs([{"id": f"l{i:03d}", "timestamp": datetime(2024, 1, 5) + timedelta(seconds=i // 25)} for i in range(90)])
+    since = datetime(2024, 1, 5)
+    polls = [sorted(r["id"] for r in p.collect()) for p in j.tail_pages(logs, since, 20)]
+    replay = j.tail_replay(logs, since, 20).groupBy("page").agg(F.sort_array(F.collect_list("id")).alias("ids")).orderBy("page").collect()
+    assert [r["ids"] for r in replay] == polls and len(polls) == 4
+    assert j.tail_replay(logs, datetime(2025, 1, 1)).count() == 0
