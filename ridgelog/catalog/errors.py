@@ -4,25 +4,10 @@ from pyspark.sql import functions as F
 
 from ridgelog.catalog.registry import query
 from ridgelog.catalog.tables import AS_OF, DOCUMENT_LOGS, LOGS, document_logs, event_logs
+from ridgelog.functions.patterns import ERROR_LEVELS, ERROR_PATTERNS
 from ridgelog.operators import errors as e
 
-# fixed values: the message patterns in RE2 syntax, for the checking engine
-PATTERNS = (
-    ("application", "Exception", r"(?i)(exception|error):\s*(.+)"),
-    ("application", "StackTrace", r"(?i)^\s*at\s+[\w.$]+\(.*\)|\s+at\s+.+:\d+"),
-    ("application", "NullPointer", r"(?i)(null\s*pointer|null\s*reference|nil\s*pointer)"),
-    ("resource", "OutOfMemory", r"(?i)(out\s*of\s*memory|oom|memory\s*exhausted)"),
-    ("http", "HTTP4xx", r"\b4\d{2}\b|(?i)(bad\s*request|unauthorized|forbidden|not\s*found)"),
-    ("http", "HTTP5xx", r"\b5\d{2}\b|(?i)(internal\s*server|gateway|service\s*unavailable)"),
-    ("database", "DatabaseConnection", r"(?i)(connection\s*(refused|failed|timeout)|can't\s*connect|lost\s*connection)"),
-    ("database", "QueryError", r"(?i)(sql\s*error|query\s*failed|syntax\s*error|deadlock)"),
-    ("system", "DiskSpace", r"(?i)(disk\s*(full|space)|no\s*space\s*left)"),
-    ("security", "Permission", r"(?i)(permission\s*denied|access\s*denied|unauthorized\s*access)"),
-    ("network", "Timeout", r"(?i)(timeout|timed?\s*out|deadline\s*exceeded)"),
-    ("generic", "Failed", r"(?i)\bfailed?\b|\bfailure\b"),
-    ("generic", "Critical", r"(?i)\bcritical\b|\bfatal\b|\bpanic\b"),
-)
-_LEVELS = "('error', 'err', 'fatal', 'panic', 'critical', 'crit', 'alert', 'emerg')"
+_LEVELS = "(" + ", ".join(f"'{level}'" for level in ERROR_LEVELS) + ")"
 
 
 def hits_sql(logs: str, error: str = "a_error", status: str = "a_status_code") -> str:
@@ -31,7 +16,7 @@ def hits_sql(logs: str, error: str = "a_error", status: str = "a_status_code") -
         f"""SELECT id, 0 AS position, 'level:' || level AS tag, level AS category, 'LogLevel' AS pattern FROM logs
  WHERE lower(level) IN {_LEVELS}"""
     ]
-    for i, (category, name, pattern) in enumerate(PATTERNS, start=1):
+    for i, (name, category, pattern, _) in enumerate(ERROR_PATTERNS, start=1):
         text = pattern.replace("'", "''")
         arms.append(f"SELECT id, {i}, '{category}:{name}', '{category}', '{name}' FROM logs WHERE regexp_matches(message, '{text}')")
     if error:

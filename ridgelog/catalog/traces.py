@@ -4,21 +4,17 @@ from pyspark.sql import functions as F
 
 from ridgelog.catalog.registry import query
 from ridgelog.catalog.tables import AS_OF, LOGS, document_logs, event_logs
+from ridgelog.functions.patterns import OPERATION_PATTERNS, TRACE_CONVENTIONS
 from ridgelog.operators import traces as t
 from ridgelog.operators.spantree import span_depths as depths_of
 from ridgelog.session import checkpointed
 
-_TRACE = r"""CASE WHEN trace_id <> '' THEN trace_id WHEN a_traceID <> '' THEN a_traceID ELSE coalesce(
- nullif(regexp_extract(message, 'trace[_-]?id["\s:=]+([a-fA-F0-9]{32})', 1), ''),
- nullif(regexp_extract(message, '"?traceID"?\s*:\s*"?([a-fA-F0-9]{32})"?', 1), ''),
- nullif(regexp_extract(message, '"?traceId"?\s*:\s*"?([a-fA-F0-9]{16,32})"?', 1), ''),
- nullif(regexp_extract(message, 'Root=([0-9a-fA-F-]+);', 1), ''), '') END"""
-_OPERATION = r"""CASE WHEN a_operation <> '' THEN a_operation WHEN a_span_name <> '' THEN a_span_name
- WHEN regexp_matches(message, '(?i)(GET|POST|PUT|DELETE|PATCH)\s+([^\s]+)') THEN regexp_extract(message, '(?i)(GET|POST|PUT|DELETE|PATCH)\s+([^\s]+)', 0)
- WHEN regexp_matches(message, '(?i)operation[:\s]+([^\s,]+)') THEN regexp_extract(message, '(?i)operation[:\s]+([^\s,]+)', 1)
- WHEN regexp_matches(message, '(?i)method[:\s]+([^\s,]+)') THEN regexp_extract(message, '(?i)method[:\s]+([^\s,]+)', 1)
- WHEN regexp_matches(message, '(?i)calling\s+([^\s]+)') THEN regexp_extract(message, '(?i)calling\s+([^\s]+)', 1)
- WHEN regexp_matches(message, '(?i)executing\s+([^\s]+)') THEN regexp_extract(message, '(?i)executing\s+([^\s]+)', 1)
+_IN_TEXT = ", ".join(f"nullif(regexp_extract(message, '{pattern}', 1), '')" for *_, pattern in TRACE_CONVENTIONS)
+_TRACE = f"CASE WHEN trace_id <> '' THEN trace_id WHEN a_traceID <> '' THEN a_traceID ELSE coalesce({_IN_TEXT}, '') END"
+_NAMED = " ".join(
+    f"WHEN regexp_matches(message, '(?i){pattern}') THEN regexp_extract(message, '(?i){pattern}', {group})" for pattern, group in OPERATION_PATTERNS
+)
+_OPERATION = rf"""CASE WHEN a_operation <> '' THEN a_operation WHEN a_span_name <> '' THEN a_span_name {_NAMED}
  WHEN trim(message) = '' THEN 'unknown' ELSE array_to_string(string_split_regex(trim(message), '\s+')[1:3], ' ') END"""
 _STATUS = "CASE WHEN lower(level) IN ('error', 'fatal', 'panic') THEN 'error' WHEN lower(level) IN ('warn', 'warning') THEN 'warning' ELSE 'ok' END"
 

@@ -6,6 +6,7 @@ Word boundaries are ASCII in RE2 and are written as look-arounds. Groups are
 plain and addressed by index.
 """
 
+import re
 from dataclasses import dataclass
 
 _SPACE = r"\t\n\f\r "
@@ -15,6 +16,8 @@ def re2(pattern: str, ignore_case: bool = False) -> str:
     """Java form of an RE2 pattern with plain groups."""
     text = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"[T\s", "[T" + _SPACE)
     text = text.replace(r'["\s', '["' + _SPACE).replace(r"[:\s", "[:" + _SPACE)
+    # a word boundary before a word character, any other one
+    text = re.sub(r"\\b(?=\w)", r"(?<!\\w)", text).replace(r"\b", r"(?!\w)")
     text = text.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
     if text.endswith("$"):
         text = text[:-1] + r"\z"
@@ -146,79 +149,44 @@ SEVERITY_LEVEL = {
 }
 
 # fixed values: trace conventions as (trace attribute, span attribute, parent attribute, message
-# pattern); every pattern needs one of the needles
+# pattern in RE2 syntax); every pattern needs one of the needles
 TRACE_NEEDLES = ("trace", "Root=")
 TRACE_CONVENTIONS = (
-    ("trace_id", "span_id", "parent_span_id", re2(r'trace[_-]?id["\s:=]+([a-fA-F0-9]{32})')),
-    ("traceID", "spanID", "parentSpanID", re2(r'"?traceID"?\s*:\s*"?([a-fA-F0-9]{32})"?')),
-    ("traceId", "id", "parentId", re2(r'"?traceId"?\s*:\s*"?([a-fA-F0-9]{16,32})"?')),
-    ("trace_id", "id", "parent_id", re2(r"Root=([0-9a-fA-F-]+);")),
+    ("trace_id", "span_id", "parent_span_id", r'trace[_-]?id["\s:=]+([a-fA-F0-9]{32})'),
+    ("traceID", "spanID", "parentSpanID", r'"?traceID"?\s*:\s*"?([a-fA-F0-9]{32})"?'),
+    ("traceId", "id", "parentId", r'"?traceId"?\s*:\s*"?([a-fA-F0-9]{16,32})"?'),
+    ("trace_id", "id", "parent_id", r"Root=([0-9a-fA-F-]+);"),
 )
 
-# fixed values: operation names in messages as (pattern, group)
+# fixed values: operation names in messages as (pattern in RE2 syntax, group), ignoring case
 OPERATION_PATTERNS = (
-    (re2(r"(GET|POST|PUT|DELETE|PATCH)\s+([^\s]+)", True), 0),
-    (re2(r"operation[:\s]+([^\s,]+)", True), 1),
-    (re2(r"method[:\s]+([^\s,]+)", True), 1),
-    (re2(r"calling\s+([^\s]+)", True), 1),
-    (re2(r"executing\s+([^\s]+)", True), 1),
+    (r"(GET|POST|PUT|DELETE|PATCH)\s+([^\s]+)", 0),
+    (r"operation[:\s]+([^\s,]+)", 1),
+    (r"method[:\s]+([^\s,]+)", 1),
+    (r"calling\s+([^\s]+)", 1),
+    (r"executing\s+([^\s]+)", 1),
 )
 
 # fixed values: levels that count as a detected error
 ERROR_LEVELS = ("error", "err", "fatal", "panic", "critical", "crit", "alert", "emerg")
 
-# fixed values: message patterns of the error detector as (name, category, pattern, needles).
+# fixed values: message patterns of the error detector in RE2 syntax as (name, category, pattern, needles).
 # A match contains at least one of the needles, ignoring case, so a substring search decides
 # most messages and the regular expression runs on the rest only.
 ERROR_PATTERNS = (
-    ("Exception", "application", re2(r"(?i)(exception|error):\s*(.+)"), ("exception:", "error:")),
-    ("StackTrace", "application", re2(r"(?i)^\s*at\s+[\w.$]+\(.*\)|\s+at\s+.+:\d+"), ("(", ":")),
-    (
-        "NullPointer",
-        "application",
-        re2(r"(?i)(null\s*pointer|null\s*reference|nil\s*pointer)"),
-        ("null", "nil"),
-    ),
-    ("OutOfMemory", "resource", re2(r"(?i)(out\s*of\s*memory|oom|memory\s*exhausted)"), ("oom", "memory")),
-    (
-        "HTTP4xx",
-        "http",
-        re2(r"(?<!\w)4\d{2}(?!\w)|(?i)(bad\s*request|unauthorized|forbidden|not\s*found)"),
-        ("4", "request", "unauthorized", "forbidden", "found"),
-    ),
-    (
-        "HTTP5xx",
-        "http",
-        re2(r"(?<!\w)5\d{2}(?!\w)|(?i)(internal\s*server|gateway|service\s*unavailable)"),
-        ("5", "server", "gateway", "unavailable"),
-    ),
-    (
-        "DatabaseConnection",
-        "database",
-        re2(r"(?i)(connection\s*(refused|failed|timeout)|can't\s*connect|lost\s*connection)"),
-        ("connect",),
-    ),
-    (
-        "QueryError",
-        "database",
-        re2(r"(?i)(sql\s*error|query\s*failed|syntax\s*error|deadlock)"),
-        ("error", "query", "deadlock"),
-    ),
-    ("DiskSpace", "system", re2(r"(?i)(disk\s*(full|space)|no\s*space\s*left)"), ("disk", "space")),
-    (
-        "Permission",
-        "security",
-        re2(r"(?i)(permission\s*denied|access\s*denied|unauthorized\s*access)"),
-        ("denied", "unauthorized"),
-    ),
-    ("Timeout", "network", re2(r"(?i)(timeout|timed?\s*out|deadline\s*exceeded)"), ("time", "deadline")),
-    ("Failed", "generic", re2(r"(?i)(?<!\w)failed?(?!\w)|(?<!\w)failure(?!\w)"), ("fail",)),
-    (
-        "Critical",
-        "generic",
-        re2(r"(?i)(?<!\w)critical(?!\w)|(?<!\w)fatal(?!\w)|(?<!\w)panic(?!\w)"),
-        ("critical", "fatal", "panic"),
-    ),
+    ("Exception", "application", r"(?i)(exception|error):\s*(.+)", ("exception:", "error:")),
+    ("StackTrace", "application", r"(?i)^\s*at\s+[\w.$]+\(.*\)|\s+at\s+.+:\d+", ("(", ":")),
+    ("NullPointer", "application", r"(?i)(null\s*pointer|null\s*reference|nil\s*pointer)", ("null", "nil")),
+    ("OutOfMemory", "resource", r"(?i)(out\s*of\s*memory|oom|memory\s*exhausted)", ("oom", "memory")),
+    ("HTTP4xx", "http", r"\b4\d{2}\b|(?i)(bad\s*request|unauthorized|forbidden|not\s*found)", ("4", "request", "unauthorized", "forbidden", "found")),
+    ("HTTP5xx", "http", r"\b5\d{2}\b|(?i)(internal\s*server|gateway|service\s*unavailable)", ("5", "server", "gateway", "unavailable")),
+    ("DatabaseConnection", "database", r"(?i)(connection\s*(refused|failed|timeout)|can't\s*connect|lost\s*connection)", ("connect",)),
+    ("QueryError", "database", r"(?i)(sql\s*error|query\s*failed|syntax\s*error|deadlock)", ("error", "query", "deadlock")),
+    ("DiskSpace", "system", r"(?i)(disk\s*(full|space)|no\s*space\s*left)", ("disk", "space")),
+    ("Permission", "security", r"(?i)(permission\s*denied|access\s*denied|unauthorized\s*access)", ("denied", "unauthorized")),
+    ("Timeout", "network", r"(?i)(timeout|timed?\s*out|deadline\s*exceeded)", ("time", "deadline")),
+    ("Failed", "generic", r"(?i)\bfailed?\b|\bfailure\b", ("fail",)),
+    ("Critical", "generic", r"(?i)\bcritical\b|\bfatal\b|\bpanic\b", ("critical", "fatal", "panic")),
 )
 
 #: ``field =`` and friends in query text

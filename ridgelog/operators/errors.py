@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgelog.functions.patterns import ERROR_LEVELS, ERROR_PATTERNS
+from ridgelog.functions.patterns import ERROR_LEVELS, ERROR_PATTERNS, re2
 from ridgelog.functions.scalars import attr, attr_double, compact_texts, ntz, seconds_between
 
 HIGH_RATE = 10.0
@@ -49,7 +49,7 @@ def _indications() -> list[_Indication]:
     found = [_Indication(is_error_level, F.concat(F.lit("level:"), level), level, F.lit("LogLevel"))]
     for name, category, pattern, needles in ERROR_PATTERNS:
         possible = reduce(operator.or_, [F.col("_folded").contains(n) for n in needles])
-        matched = possible & F.col("message").rlike(pattern)
+        matched = possible & F.col("message").rlike(re2(pattern))
         found.append(_Indication(matched, F.lit(f"{category}:{name}"), F.lit(category), F.lit(name)))
     found.append(
         _Indication(attr("error") != "", F.lit("attribute:error"), F.lit("attribute"), F.lit("AttributeError"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgelog.functions.patterns import OPERATION_PATTERNS, TRACE_CONVENTIONS, TRACE_NEEDLES
+from ridgelog.functions.patterns import OPERATION_PATTERNS, TRACE_CONVENTIONS, TRACE_NEEDLES, re2
 from ridgelog.functions.scalars import _col, attr, epoch_micros, epoch_millis, first_words, has_attr, ntz, with_computed
 from ridgelog.session import checkpointed
 
@@ -25,7 +25,7 @@ def trace_id(log_trace="trace_id", attributes="attributes", message="message") -
     for name in dict.fromkeys(c[0] for c in TRACE_CONVENTIONS):
         found.append(F.nullif(attr(name, attributes), F.lit("")))
     text = _col(message)
-    in_text = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for *_, p in TRACE_CONVENTIONS]
+    in_text = [F.nullif(F.regexp_extract(text, re2(p), 1), F.lit("")) for *_, p in TRACE_CONVENTIONS]
     possible = reduce(operator.or_, [text.contains(n) for n in TRACE_NEEDLES])
     return F.coalesce(*found, F.when(possible, F.coalesce(*in_text)), F.lit(""))
 
@@ -63,7 +63,8 @@ def operation_name(message="message", attributes="attributes") -> Column:
     text = _col(message)
     name = F.when(has_attr("operation", attributes), _col(attributes)["operation"])
     name = name.when(has_attr("span.name", attributes), _col(attributes)["span.name"])
-    for pattern, group in OPERATION_PATTERNS:
+    for source, group in OPERATION_PATTERNS:
+        pattern = re2(source, True)
         name = name.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
     return name.otherwise(F.coalesce(F.nullif(first_words(text, 3), F.lit("")), F.lit("unknown")))
 
