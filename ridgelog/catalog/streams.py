@@ -4,6 +4,7 @@ Windows and sessions are emitted once the watermark has passed them, so the SQL
 counterparts leave out the ones that are still open.
 """
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from ridgelog.catalog.registry import query
 from ridgelog.catalog.tables import LOGS, derive_logs, event_logs, log_stream, table
 from ridgelog.catalog.traces import _SESSIONS, _TRACED
 from ridgelog.operators.errors import with_hits
-from ridgelog.session import scratch_path
+from ridgelog.session import folder_system, scratch_path
 from ridgelog.storage.table import publish_days, read_logs
 from ridgelog.streaming import clients as tails
+from ridgelog.streaming import delivery
 from ridgelog.streaming import errors as live
 from ridgelog.streaming import jobs as j
 
@@ -76,6 +78,33 @@ def late_ingest(spark, sf_dir):
     )
 
 
+@query("stream_retry", W + f"SELECT id, {_UNTIMED} AS timestamp, level, service, message FROM logs")
+def stream_retry(spark, sf_dir):
+    """Delivery to a sink that breaks: a third of the batches succeeds at the third attempt, each broken one having
+    left half of its rows, a third is set aside and delivered later, and all logs stand in the table once.
+    """
+    source, path = scratch_path(spark, "arriving"), scratch_path(spark, "delivery")
+    untimed = F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint") % 97 == 0
+    logs = event_logs(spark, sf_dir).drop("date_partition").withColumn("timestamp", F.when(~untimed, F.col("timestamp")))
+    logs.write.parquet(source)
+    system, folder = folder_system(spark, source)
+    sixth = system.getContentSummary(folder).getLength() // 6 + 1
+    write, seen = delivery.landing_writer(path), Counter()
+
+    def breaking(rows, batch):
+        seen[batch] += 1
+        if seen[batch] <= (2, 3, 0)[batch % 3]:
+            write(rows.filter(F.crc32("id") % 2 == 0), batch)
+            raise OSError("the sink broke off")
+        write(rows, batch)
+
+    stream = delivery.files_by_size(spark, source, logs.schema, sixth)
+    options = {"write": breaking, "backoff": 0.01}
+    delivery.delivering_sink(stream, path, scratch_path(spark, "delivery-checkpoint"), trigger={"availableNow": True}, **options).awaitTermination()
+    delivery.redeliver(spark, path, **options)
+    return delivery.delivered_rows(spark, path).select("id", "timestamp", "level", "service", "message")
+
+
 @query(
     "stream_enrichment",
     f"WITH {hits_sql(_TRACED, 'a_error')}, tags AS (SELECT id, string_agg(tag, ',' ORDER BY position) AS tags FROM hits GROUP BY id)"
