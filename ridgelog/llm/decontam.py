@@ -79,17 +79,17 @@ def rarest_words(index: DataFrame, benchmark: Benchmark) -> DataFrame:
     )
 
 
-def phrase_matches(index: DataFrame, benchmark: Benchmark) -> DataFrame:
+def phrase_matches(index: DataFrame, benchmark: Benchmark, rare: DataFrame | None = None) -> DataFrame:
     """``(id_key, text_key, window, start, size)``: every occurrence of a window in a document.
 
     The postings of a window's rarest word, moved back by its place in the window, say
     where the window could start. Those starts are kept that the postings of the second rarest
     word, moved likewise, share; and of these, those that have a posting for every word.
     Every step is an equi-join on (document, place, word), so no list is ever
-    gathered, however common a word.
+    gathered, however common a word. ``rare`` is the stored result of ``rarest_words``, if it is known.
     """
     postings = index.where("word IS NOT NULL").select("word", "place", *_PLACE)
-    rare = checkpointed(rarest_words(index, benchmark), "benchmark-rarest")
+    rare = checkpointed(rarest_words(index, benchmark), "benchmark-rarest") if rare is None else rare
     starts = postings.join(broadcast_if_small(rare, benchmark.n_windows, BROADCAST_MOST), F.col("word") == F.col("first"))
     starts = starts.where("place >= first_at").select(*_PLACE, "window", "size", (F.col("place") - F.col("first_at")).alias("start"), "second", "second_at").distinct()
     seconds = rare.where("second IS NOT NULL").select(F.col("second").alias("word")).distinct()
@@ -106,41 +106,61 @@ def phrase_matches(index: DataFrame, benchmark: Benchmark) -> DataFrame:
     return whole.where("n = size").drop("n")
 
 
-def proximity_matches(index: DataFrame, benchmark: Benchmark, slop: int) -> DataFrame:
-    """``(id_key, text_key, window, start)`` where a window's two rarest words stand in a document at a distance that
-    differs from theirs in the window by at most ``slop`` words; ``start`` is the rarest word's idea of the window's start.
+def proximity_matches(index: DataFrame, benchmark: Benchmark, slop: int, rare: DataFrame | None = None) -> DataFrame:
+    """``(id_key, text_key, window, low)``: where all words of a window stand in a document nearly as in the window.
+
+    Each posting of a word, moved back by the word's place in the window, says where the window would start; there is a match
+    at ``low`` if every word of the window has such a start from ``low`` to ``low + slop``. So up to
+    ``slop`` words may stand between, be left out of the document's order or change places, and with a slop
+    of 0 these are the exact occurrences. ``low`` is negative where the document begins inside the window.
 
-    The moved postings meet in buckets of ``slop + 1`` starts and the two buckets beside.
+    As for phrases, the rarest word's postings give the starts, the second rarest word's
+    must share one within ``slop``, and only then all words are looked up, each at ``slop + 1`` places.
+    Every step is an equi-join on (document, place, word).
     """
     postings = index.where("word IS NOT NULL").select("word", "place", *_PLACE)
-    rare = broadcast_if_small(checkpointed(rarest_words(index, benchmark).where("second IS NOT NULL"), "benchmark-rarest"), benchmark.n_windows, BROADCAST_MOST)
-
-    def moved(word, at):
-        return postings.join(rare, F.col("word") == F.col(word)).select(*_PLACE, "window", (F.col("place") - F.col(at)).alias("start")).distinct()
-
-    bucket = F.floor(F.col("start") / (slop + 1))
-    one = moved("first", "first_at").withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    two = moved("second", "second_at").withColumn("bucket", bucket).withColumnRenamed("start", "other")
-    found = one.join(two, [*_PLACE, "window", "bucket"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
-    return found.select(*_PLACE, "window", "start").distinct()
-
-
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    rare = checkpointed(rarest_words(index, benchmark), "benchmark-rarest") if rare is None else rare
+    starts = postings.join(broadcast_if_small(rare, benchmark.n_windows, BROADCAST_MOST), F.col("word") == F.col("first"))
+    starts = starts.select(*_PLACE, "window", "size", (F.col("place") - F.col("first_at")).alias("start"), "second", "second_at").distinct()
+    seconds = rare.where("second IS NOT NULL").select(F.col("second").alias("word")).distinct()
+    listed = postings.join(broadcast_if_small(seconds, benchmark.n_words, BROADCAST_MOST), "word", "left_semi")
+    around = F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("apart")
+    wanted = starts.where("second IS NOT NULL").select("*", around).withColumn("word", F.col("second"))
+    wanted = wanted.withColumn("place", F.col("start") + F.col("second_at") + F.col("apart"))
+    shared = wanted.join(listed, [*_PLACE, "place", "word"], "left_semi")
+    first, last = F.greatest("start", F.col("start") + F.col("apart")) - slop, F.least("start", F.col("start") + F.col("apart"))
+    lows = shared.select(*_PLACE, "window", "size", F.explode(F.sequence(first, last)).alias("low"))
+    lows = checkpointed(lows.unionByName(starts.where("second IS NULL").select(*_PLACE, "window", "size", F.col("start").alias("low"))).distinct(), "lows")
+
+    docs = checkpointed(lows.select(*_PLACE).distinct(), "near-candidates")
+    held = postings.join(broadcast_if_small(docs, docs.count(), BROADCAST_MOST), _PLACE, "left_semi")
+    words = lows.join(broadcast_if_small(benchmark.placed, benchmark.n_windows * WINDOW, BROADCAST_MOST * WINDOW), "window")
+    words = words.withColumn("place", F.explode(F.sequence(F.col("low") + F.col("at"), F.col("low") + F.col("at") + slop)))
+    found = words.join(held, [*_PLACE, "place", "word"], "left_semi").select(*_PLACE, "window", "size", "low", "at").distinct()
+    whole = found.groupBy(*_PLACE, "window", "low").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    return whole.where("n = size").select(*_PLACE, "window", "low")
+
+
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", slop: int | None = None) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for every row of ``docs``.
 
+    With a ``slop`` there is ``n_near`` besides: the items with a window whose words all stand in the text within
+    ``slop`` of their places (``proximity_matches``). Exact occurrences count in it; it decides nothing.
+
     ``n_hit`` counts the words that lie in an occurrence of a window, ``n_items`` the items
     with an occurring window, and the digest is of their ids, sorted as strings and comma-joined.
     Null and empty texts have no words and no hits. Repeated rows and rows without a doc_id
     each get their row; other columns are not read. Without items, or with items
     without words, nothing is hit.
     """
-    return _by_row(docs, items, doc_id, text, item_id, item_text).drop(*_PLACE)
+    return _by_row(docs, items, doc_id, text, item_id, item_text, slop).drop(*_PLACE)
 
 
-def _by_row(docs, items, doc_id, text, item_id, item_text):
+def _by_row(docs, items, doc_id, text, item_id, item_text, slop=None):
     benchmark = read_benchmark(items, WINDOW, item_id, item_text)
     index = build_index(docs, benchmark, doc_id, text)
-    matches = checkpointed(phrase_matches(index, benchmark), "matches")
+    rare = checkpointed(rarest_words(index, benchmark), "benchmark-rarest")
+    matches = checkpointed(phrase_matches(index, benchmark, rare), "matches")
     in_order = Window.partitionBy(*_PLACE).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     spans = matches.groupBy(*_PLACE, "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
     spans = spans.withColumn("done", F.coalesce(F.max("end").over(in_order), F.lit(0)))
@@ -150,10 +170,15 @@ def _by_row(docs, items, doc_id, text, item_id, item_text):
     none = F.array().cast("array<string>")
     found = hits.join(listed, _PLACE, "left")
     rows = index.where("word IS NULL").select("doc_id", *_PLACE, F.col("place").cast("long").alias("n_words")).join(found, _PLACE, "left")
+    more = []
+    if slop is not None:
+        near = proximity_matches(index, benchmark, slop, rare).select(*_PLACE, "window").distinct().join(benchmark.windows, "window")
+        near = near.select(*_PLACE, F.explode("item_ids").alias("item")).groupBy(*_PLACE).agg(F.count_distinct("item").alias("n_near"))
+        rows, more = rows.join(near, _PLACE, "left"), [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]
     n_hit, held = F.coalesce(F.col("n_hit").cast("long"), F.lit(0).cast("long")), F.coalesce("items", none)
     return rows.select(
         "doc_id", *_PLACE, "n_words", n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", held), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", held), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *more,
     )
 
 

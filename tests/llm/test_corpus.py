@@ -162,14 +162,51 @@ def test_contamination_without_rows(spark, documents):
     assert clean_documents(documents, bench.where("false")).count() == documents.count()
 
 
-def test_proximity_matches(spark):
-    bench = read_benchmark(spark.createDataFrame([(1, "red green blue")], "item_id long, text string"))
-    texts = ["red green blue", "red x green", "red x x x green", "green red", "green blue blue", "red"]
+def brute_near(docs, items, slop):
+    """Per document the items with a window of which every word stands within ``slop`` of its place, for one start of all."""
+    windows = [(i, w[k : k + WINDOW]) for i, t in items for w in [words_of(t)] if w for k in range(max(1, len(w) - WINDOW + 1))]
+    for _, text in docs:
+        words, near = words_of(text), set()
+        for item, window in windows:
+            for low in range(-slop, len(words)):
+                if all(w in words[max(0, low + at) : max(0, low + at + slop + 1)] for at, w in enumerate(window)):
+                    near.add(item)
+        yield len(near - {None})
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "the", "B", "é", "c1", "zz", "of"])
+    items = [(k, " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 10, 12])))) for k in range(14)] + [(None, "zz of a"), (60, "only here"), (61, "")]
+    docs = [(k, " ".join(word() for _ in range(rng.randrange(0, 40)))) for k in range(40)] + [(None, None), (None, "a of zz"), (2, ""), (90, "here the only")]
+    for k in range(24):
+        moved = items[k % 14][1].split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(moved))
+            moved[at : at + 2] = rng.choice([moved[at : at + 2][::-1], [moved[at], "between", *moved[at + 1 : at + 2]], moved[at + 1 : at + 2] or ["x"]])
+        docs.append((100 + k, "before " * rng.randrange(3) + " ".join(moved)))
+    docs += docs[:4]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 1, 2):
+        found = contamination(frame, bench, slop=slop)
+        expected = [(*d[:1], n) for d, n in zip(docs, brute_near(docs, items, slop))]
+        assert _sorted(found.select("doc_id", "n_near").collect()) == _sorted(expected)
+        exact = found.where("n_near <> n_items").count()
+        assert exact == 0 if slop == 0 else exact > 0
+    assert found.drop("n_near").columns == contamination(frame, bench).columns
+
+
+def test_proximity_by_examples(spark):
+    """Other words between, words in another order, and a missing word, for a window of three."""
+    bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
+    texts = ["red green blue", "red x green blue", "red x x green blue", "red x x x green blue", "green red blue", "green blue", "blue red green", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    index = build_index(docs, bench)
-    near = {slop: {r["id_key"] for r in proximity_matches(index, bench, slop).collect()} for slop in (0, 1, 2)}
-    # green and blue are the rarest words
-    assert near[0] == {0, 4} and near[1] == {0, 4} and near[2] == {0, 4}
+    near = {slop: {r["doc_id"] for r in contamination(docs, bench, slop=slop).where("n_near = 1").collect()} for slop in (0, 1, 2, 3)}
+    assert near == {0: {0}, 1: {0, 1}, 2: {0, 1, 2, 4}, 3: {0, 1, 2, 3, 4, 6}}
+    assert contamination(docs, bench.where("false"), slop=2).where("n_near = 0").count() == len(texts)
+    read = read_benchmark(bench)
+    lows = proximity_matches(build_index(docs, read), read, 2)
+    assert lows.columns == ["id_key", "text_key", "window", "low"] and {(r["id_key"], r["low"]) for r in lows.collect()} == {(0, -2), (0, -1), (0, 0), (1, -1), (1, 0), (2, 0), (4, -1)}
 
 
 def test_decontamination_stays_native(spark, documents):
