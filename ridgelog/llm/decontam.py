@@ -3,7 +3,7 @@
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,8 @@ WINDOW = 10
 #: rows of a table of words, windows or documents that is broadcast whole; beyond it words are looked up in
 #: several passes, and the other joins shuffle
 BROADCAST_MOST = 200_000
+#: places of a block in which starts and postings meet
+BLOCK = 64
 _PLACE = ["id_key", "text_key"]
 
 
@@ -66,38 +68,68 @@ def build_index(docs: DataFrame, benchmark: Benchmark, doc_id: str = "doc_id", t
 
 
 def rarest_words(index: DataFrame, benchmark: Benchmark) -> DataFrame:
-    """``(window, size, first, first_at, second, second_at)``: the two rarest words of each window by their postings.
+    """``(window, size, first, first_at, second, second_at, third, third_at)``: the rarest words of each window by their postings.
 
-    A window with a word that no document has cannot occur and is left out. A window of one word has no second.
+    A window with a word that no document has cannot occur and is left out. A window of one word has no second, one of two no third.
     """
     counts = index.where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     known = benchmark.placed.join(broadcast_if_small(counts, benchmark.n_words, BROADCAST_MOST), "word", "left")
     ranked = known.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "word", "at"))).alias("r"), F.count(F.lit(1)).alias("size"))
-    first, second = F.col("r")[0], F.try_element_at("r", F.lit(2))
+    some = [(name, F.try_element_at("r", F.lit(k + 1))) for k, name in enumerate(("first", "second", "third"))]
     return ranked.where(F.size(F.filter("r", lambda x: x["n"].isNull())) == 0).select(
-        "window", "size", first["word"].alias("first"), first["at"].alias("first_at"), second["word"].alias("second"), second["at"].alias("second_at")
+        "window", "size", *[c for name, x in some for c in (x["word"].alias(name), x["at"].alias(f"{name}_at"))]
     )
 
 
-def phrase_matches(index: DataFrame, benchmark: Benchmark, rare: DataFrame | None = None) -> DataFrame:
-    """``(id_key, text_key, window, start, size)``: every occurrence of a window in a document.
+def _listed(index: DataFrame, benchmark: Benchmark, rare: DataFrame, name: str) -> DataFrame:
+    """The postings of the words that are ``name`` (second, third) in some window."""
+    words = rare.where(F.col(name).isNotNull()).select(F.col(name).alias("word")).distinct()
+    postings = index.where("word IS NOT NULL").select("word", "place", *_PLACE)
+    return postings.join(broadcast_if_small(words, benchmark.n_words, BROADCAST_MOST), "word", "left_semi")
 
-    The postings of a window's rarest word, moved back by its place in the window, say
-    where the window could start. Those starts are kept that the postings of the second rarest
-    word, moved likewise, share; and of these, those that have a posting for every word.
-    Every step is an equi-join on (document, place, word), so no list is ever
-    gathered, however common a word. ``rare`` is the stored result of ``rarest_words``, if it is known.
+
+def _within(rows: DataFrame, postings: DataFrame, low: Column, slop: int) -> DataFrame:
+    """``rows`` (with ``word`` and the document) with each ``place`` of the word from ``low`` to ``low + slop``.
+
+    Both sides meet in blocks of BLOCK places; a row whose places reach into the next block is there twice.
+    """
+    block = F.explode(F.sequence(F.floor(low / BLOCK), F.floor((low + slop) / BLOCK)))
+    listed = postings.select("*", F.floor(F.col("place") / BLOCK).alias("block")).distinct()
+    wanted = rows.select("*", low.alias("least"), block.alias("block"))
+    return wanted.join(listed, [*_PLACE, "word", "block"]).where(F.col("place").between(F.col("least"), F.col("least") + slop)).drop("block", "least", "word")
+
+
+def candidate_starts(index: DataFrame, benchmark: Benchmark, rare: DataFrame, slop: int = 0) -> DataFrame:
+    """``(id_key, text_key, window, size, start, other)``, stored: where the two rarest words of a window agree.
+
+    The postings of the rarest word, moved back by its place in the window, say where the window
+    could start; ``other`` is such a start of the second rarest word, at most ``slop`` away. A window of one word has ``other = start``.
     """
     postings = index.where("word IS NOT NULL").select("word", "place", *_PLACE)
-    rare = checkpointed(rarest_words(index, benchmark), "benchmark-rarest") if rare is None else rare
     starts = postings.join(broadcast_if_small(rare, benchmark.n_windows, BROADCAST_MOST), F.col("word") == F.col("first"))
-    starts = starts.where("place >= first_at").select(*_PLACE, "window", "size", (F.col("place") - F.col("first_at")).alias("start"), "second", "second_at").distinct()
-    seconds = rare.where("second IS NOT NULL").select(F.col("second").alias("word")).distinct()
-    listed = postings.join(broadcast_if_small(seconds, benchmark.n_words, BROADCAST_MOST), "word", "left_semi")
-    shared = starts.where("second IS NOT NULL").withColumn("word", F.col("second")).withColumn("place", F.col("start") + F.col("second_at"))
-    shared = shared.join(listed, [*_PLACE, "place", "word"], "left_semi")
-    both = checkpointed(shared.unionByName(starts.where("second IS NULL"), allowMissingColumns=True).select(*_PLACE, "window", "size", "start"), "starts")
+    starts = starts.select(*_PLACE, "window", "size", (F.col("place") - F.col("first_at")).alias("start"), "second", "second_at").distinct()
+    starts = starts if slop else starts.where("start >= 0")
+    wanted, listed = starts.where("second IS NOT NULL").withColumnRenamed("second", "word"), _listed(index, benchmark, rare, "second")
+    if slop:
+        both = _within(wanted, listed, F.col("start") + F.col("second_at") - slop, 2 * slop).withColumn("other", F.col("place") - F.col("second_at"))
+    else:
+        both = wanted.withColumn("place", F.col("start") + F.col("second_at")).join(listed, [*_PLACE, "place", "word"], "left_semi").withColumn("other", F.col("start"))
+    names = [*_PLACE, "window", "size", "start", "other"]
+    return checkpointed(both.select(names).unionByName(starts.where("second IS NULL").withColumn("other", F.col("start")).select(names)), "starts")
+
 
+def phrase_matches(index: DataFrame, benchmark: Benchmark, starts: DataFrame | None = None) -> DataFrame:
+    """``(id_key, text_key, window, start, size)``: every occurrence of a window in a document.
+
+    Of the starts that the postings of a window's two rarest words share (``starts``, if
+    ``candidate_starts`` has been stored), those are kept that have a posting for every word.
+    Every step is an equi-join on (document, place, word), so no list is ever
+    gathered, however common a word.
+    """
+    postings = index.where("word IS NOT NULL").select("word", "place", *_PLACE)
+    if starts is None:
+        starts = candidate_starts(index, benchmark, checkpointed(rarest_words(index, benchmark), "benchmark-rarest"))
+    both = starts.where("start = other AND start >= 0")
     docs = checkpointed(both.select(*_PLACE).distinct(), "candidates")
     near = postings.join(broadcast_if_small(docs, docs.count(), BROADCAST_MOST), _PLACE, "left_semi")
     wanted = both.join(broadcast_if_small(benchmark.placed, benchmark.n_windows * WINDOW, BROADCAST_MOST * WINDOW), "window")
@@ -106,37 +138,35 @@ def phrase_matches(index: DataFrame, benchmark: Benchmark, rare: DataFrame | Non
     return whole.where("n = size").drop("n")
 
 
-def proximity_matches(index: DataFrame, benchmark: Benchmark, slop: int, rare: DataFrame | None = None) -> DataFrame:
+def proximity_matches(index: DataFrame, benchmark: Benchmark, slop: int, rare: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
     """``(id_key, text_key, window, low)``: where all words of a window stand in a document nearly as in the window.
 
     Each posting of a word, moved back by the word's place in the window, says where the window would start; there is a match
     at ``low`` if every word of the window has such a start from ``low`` to ``low + slop``. So up to
-    ``slop`` words may stand between, be left out of the document's order or change places, and with a slop
+    ``slop`` words may stand between, or words may change places within it, and with a slop
     of 0 these are the exact occurrences. ``low`` is negative where the document begins inside the window.
 
-    As for phrases, the rarest word's postings give the starts, the second rarest word's
-    must share one within ``slop``, and only then all words are looked up, each at ``slop + 1`` places.
-    Every step is an equi-join on (document, place, word).
+    The two rarest words give the starts (``rare`` and ``starts``, if they have been stored), the third rarest
+    turns most of the others away, and only then all words are looked up.
+    Every step is an equi-join on (document, word, block of places).
     """
-    postings = index.where("word IS NOT NULL").select("word", "place", *_PLACE)
-    rare = checkpointed(rarest_words(index, benchmark), "benchmark-rarest") if rare is None else rare
-    starts = postings.join(broadcast_if_small(rare, benchmark.n_windows, BROADCAST_MOST), F.col("word") == F.col("first"))
-    starts = starts.select(*_PLACE, "window", "size", (F.col("place") - F.col("first_at")).alias("start"), "second", "second_at").distinct()
-    seconds = rare.where("second IS NOT NULL").select(F.col("second").alias("word")).distinct()
-    listed = postings.join(broadcast_if_small(seconds, benchmark.n_words, BROADCAST_MOST), "word", "left_semi")
-    around = F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("apart")
-    wanted = starts.where("second IS NOT NULL").select("*", around).withColumn("word", F.col("second"))
-    wanted = wanted.withColumn("place", F.col("start") + F.col("second_at") + F.col("apart"))
-    shared = wanted.join(listed, [*_PLACE, "place", "word"], "left_semi")
-    first, last = F.greatest("start", F.col("start") + F.col("apart")) - slop, F.least("start", F.col("start") + F.col("apart"))
-    lows = shared.select(*_PLACE, "window", "size", F.explode(F.sequence(first, last)).alias("low"))
-    lows = checkpointed(lows.unionByName(starts.where("second IS NULL").select(*_PLACE, "window", "size", F.col("start").alias("low"))).distinct(), "lows")
+    if rare is None:
+        rare = checkpointed(rarest_words(index, benchmark), "benchmark-rarest")
+    if starts is None:
+        starts = candidate_starts(index, benchmark, rare, slop)
+    first, last = F.greatest("start", "other") - slop, F.least("start", "other")
+    lows = starts.select(*_PLACE, "window", "size", F.explode(F.sequence(first, last)).alias("low")).distinct()
+    thirds = broadcast_if_small(rare.select("window", F.col("third").alias("word"), "third_at"), benchmark.n_windows, BROADCAST_MOST)
+    lows = lows.join(thirds, "window")
+    names = [*_PLACE, "window", "size", "low"]
+    held = _within(lows.where("word IS NOT NULL"), _listed(index, benchmark, rare, "third"), F.col("low") + F.col("third_at"), slop)
+    lows = checkpointed(held.select(names).distinct().unionByName(lows.where("word IS NULL").select(names)), "lows")
 
     docs = checkpointed(lows.select(*_PLACE).distinct(), "near-candidates")
-    held = postings.join(broadcast_if_small(docs, docs.count(), BROADCAST_MOST), _PLACE, "left_semi")
+    postings = index.where("word IS NOT NULL").select("word", "place", *_PLACE)
+    near = postings.join(broadcast_if_small(docs, docs.count(), BROADCAST_MOST), _PLACE, "left_semi")
     words = lows.join(broadcast_if_small(benchmark.placed, benchmark.n_windows * WINDOW, BROADCAST_MOST * WINDOW), "window")
-    words = words.withColumn("place", F.explode(F.sequence(F.col("low") + F.col("at"), F.col("low") + F.col("at") + slop)))
-    found = words.join(held, [*_PLACE, "place", "word"], "left_semi").select(*_PLACE, "window", "size", "low", "at").distinct()
+    found = _within(words, near, F.col("low") + F.col("at"), slop).select(*names, "at").distinct()
     whole = found.groupBy(*_PLACE, "window", "low").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     return whole.where("n = size").select(*_PLACE, "window", "low")
 
@@ -160,7 +190,8 @@ def _by_row(docs, items, doc_id, text, item_id, item_text, slop=None):
     benchmark = read_benchmark(items, WINDOW, item_id, item_text)
     index = build_index(docs, benchmark, doc_id, text)
     rare = checkpointed(rarest_words(index, benchmark), "benchmark-rarest")
-    matches = checkpointed(phrase_matches(index, benchmark, rare), "matches")
+    starts = candidate_starts(index, benchmark, rare, slop or 0)
+    matches = checkpointed(phrase_matches(index, benchmark, starts), "matches")
     in_order = Window.partitionBy(*_PLACE).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     spans = matches.groupBy(*_PLACE, "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
     spans = spans.withColumn("done", F.coalesce(F.max("end").over(in_order), F.lit(0)))
@@ -172,7 +203,7 @@ def _by_row(docs, items, doc_id, text, item_id, item_text, slop=None):
     rows = index.where("word IS NULL").select("doc_id", *_PLACE, F.col("place").cast("long").alias("n_words")).join(found, _PLACE, "left")
     more = []
     if slop is not None:
-        near = proximity_matches(index, benchmark, slop, rare).select(*_PLACE, "window").distinct().join(benchmark.windows, "window")
+        near = proximity_matches(index, benchmark, slop, rare, starts).select(*_PLACE, "window").distinct().join(benchmark.windows, "window")
         near = near.select(*_PLACE, F.explode("item_ids").alias("item")).groupBy(*_PLACE).agg(F.count_distinct("item").alias("n_near"))
         rows, more = rows.join(near, _PLACE, "left"), [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]
     n_hit, held = F.coalesce(F.col("n_hit").cast("long"), F.lit(0).cast("long")), F.coalesce("items", none)
