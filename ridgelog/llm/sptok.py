@@ -1,6 +1,7 @@
 """SentencePiece models rebuilt for the Tokenizers library: batch encoding and decoding of whole texts."""
 
 import json
+import os
 import re
 import struct
 from dataclasses import dataclass, field
@@ -24,6 +25,9 @@ UNIGRAM, BPE = 1, 2
 RUN_BYTES = 1 << 20
 #: words whose ids a task remembers, how long they are at most, and how many the library gets at once
 REMEMBERED, LONGEST_WORD, LEARNT = 150_000, 64, 2048
+#: threads of the library in each Python worker; as many as the machine has cores, its own default, spend
+#: a quarter more CPU time on waiting for each other where every core runs a worker
+THREADS = 2
 #: numbers that the memory of ids keeps room for behind a run with very long words
 _IDS_KEPT = 1 << 22
 
@@ -260,7 +264,12 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _use_threads(threads: int) -> None:
+    """The library reads the number once, at its first batch in a process; a setting of the cluster's own stays."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+
+
+def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", threads: int = THREADS) -> DataFrame:
     """``(doc_id, ids, n_ids, exact)`` for every row: the whole text as ids of the model.
 
     Every text's ids are decoded again, and ``exact`` says whether that gives the text back, character by
@@ -268,12 +277,13 @@ def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "t
     rows and null doc_ids stay; other columns are not read. The serialised tokenizer,
     whose size is the vocabulary's, goes to every task; texts are encoded
     in runs of about RUN_BYTES bytes. Where pieces reach over spaces the library gets whole texts, else
-    the different words of a run.
+    the different words of a run, on ``threads`` threads.
     """
     parsed = parse_model(model)
     serialised, by_word = build_tokenizer(parsed).to_str(), _apart(parsed) and not any(kind == USER_DEFINED for _, _, kind in parsed.pieces)
 
     def encoded(batches):
+        _use_threads(threads)
         for batch in batches:
             for start, stop in runs(batch.column(1), RUN_BYTES):
                 part = batch.slice(start, stop - start)
@@ -298,6 +308,7 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", text: str = "text")
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
+        _use_threads(THREADS)
         lists = ids.to_pylist()
         texts = decode_ids(_loaded(serialised), [x or [] for x in lists])
         return pa.array([None if x is None else t for x, t in zip(lists, texts)], pa.string())
