@@ -263,7 +263,7 @@ def stream_alerts(spark, sf_dir):
     mark = spark.createDataFrame([(4_000_000_000, RULES[0].metric, -1.0)], "at bigint, name string, value double")
     mark.coalesce(1).write.mode("append").parquet(path)
     samples = stream_files(spark, path, StructType.fromDDL("at bigint, name string, value double"), files_per_trigger=8)
-    versions = run_available(a.episode_stream(a.evaluate_rules(samples, RULES), late), "alerts")
+    versions = run_available(a.episode_stream(a.evaluate_rules(samples, RULES), late), "alerts", state_machine=True)
     return a.latest_episodes(versions).withColumn("end_at", F.coalesce("end_at", F.lit(-1)))
 
 

@@ -5,6 +5,7 @@ is always keyed and bounded by a watermark.
 """
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ridgelog.operators.errors import with_detected_errors, with_hits
 from ridgelog.operators.filters import tail_condition, time_filter
 from ridgelog.operators.rollups import latest_per_key, merge_rollups, service_hourly
 from ridgelog.operators.traces import _failed, _traced, with_trace_ids
-from ridgelog.session import folder_system, scratch_path
+from ridgelog.session import folder_system, scratch_path, state_on_disk
 
 TAIL_BATCH = 100
 
@@ -315,17 +316,21 @@ def dropped_rows(query: StreamingQuery) -> int:
     return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Drain a stream into a table in the shared folder and read the table back."""
+def run_available(stream: DataFrame, label: str, *, state_machine: bool = False) -> DataFrame:
+    """Drain a stream into a table in the shared folder and read the table back.
+
+    A stream with a ``state_machine`` (``transformWithState``) is started with the one state store that can hold it.
+    """
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    query = (
+    writer = (
         stream.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    with state_on_disk(spark) if state_machine else nullcontext():
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
