@@ -264,7 +264,7 @@ def stream_service_hourly(spark, sf_dir):
  SELECT service, minute, errors, round((errors - mean) / std_dev, 5) AS z_score FROM scored WHERE points >= 10 AND std_dev > 1e-9 AND abs((errors - mean) / std_dev) > 2""",
 )
 def stream_anomalies(spark, sf_dir):
-    scores = j.run_available(live.anomaly_stream(_shuffled_stream(spark, sf_dir), _LATE), "scores")
+    scores = j.run_available(live.anomaly_stream(_shuffled_stream(spark, sf_dir), _LATE), "scores", state_machine=True)
     return live.scored(scores).filter("is_anomaly").select("service", "minute", "errors", F.round("z_score", 5).alias("z_score"))
 
 
