@@ -237,7 +237,7 @@ def _shuffled_stream(spark, sf_dir):
 )
 def stream_error_statistics(spark, sf_dir):
     """Statistics that end after 24 quiet hours, as they stand when the stream has been drained."""
-    versions = j.run_available(live.error_statistics_stream(_shuffled_stream(spark, sf_dir), _LATE), "error-versions")
+    versions = j.run_available(live.error_statistics_stream(_shuffled_stream(spark, sf_dir), _LATE), "error-versions", state_machine=True)
     as_of = event_logs(spark, sf_dir).agg(F.max("timestamp")).first()[0] - timedelta(days=7)
     services = F.transform(F.array_sort(F.map_entries("services")), lambda r: F.concat_ws("=", r["key"], r["value"].cast("string")))
     stats = live.latest_statistics(versions, as_of).drop("current_rate")

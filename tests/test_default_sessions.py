@@ -18,7 +18,7 @@ def default_store(spark):
     spark.conf.set(STATE_STORE, before)
 
 
-@pytest.mark.parametrize("name", ["stream_alerts", "stream_anomalies"])
+@pytest.mark.parametrize("name", ["stream_alerts", "stream_anomalies", "stream_error_statistics"])
 def test_state_machines_run_on_any_session(spark, default_store, name):
     assert compare(all_queries()[name](spark, SF_DIR), connect(SF_DIR), all_oracles()[name]) == ""
     assert spark.conf.get(STATE_STORE) == default_store
