@@ -57,12 +57,12 @@ def client_index(clients: Mapping[str, Iterable[Mapping[str, str]]]) -> ClientIn
 def _met(rows: DataFrame, index: ClientIndex) -> DataFrame:
     """``(_row, test)``: the tests that each row meets."""
     spark = rows.sparkSession
-    fields = sorted({t[1] for t in index.tests})
     value = lambda name: F.lower(F.col(name) if name in _COLUMNS else attr(name))
-    texts = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("text")) for f in fields])).alias("v")).select("_row", "v.*")
     found = []
     for kind in sorted({t[2] for t in index.tests}):
         tests = [(n, f, v) for n, f, k, v in index.tests if k == kind]
+        fields = sorted({f for _, f, _ in tests})
+        texts = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("text")) for f in fields])).alias("v")).select("_row", "v.*")
         size = F.length("text")
         lengths = lambda cut: F.array(*[F.lit(n) for n in sorted({cut(v) for *_, v in tests})])
         if kind == "is":
@@ -75,7 +75,7 @@ def _met(rows: DataFrame, index: ClientIndex) -> DataFrame:
             grams = F.flatten(F.transform(F.filter(lengths(lambda v: min(len(v), GRAM)), lambda n: n <= size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("text", i, n))))
             keyed, key = texts.withColumn("key", F.explode(F.array_distinct(grams))), lambda v: v[:GRAM]
         table = spark.createDataFrame([(n, f, v, key(v)) for n, f, v in tests], "test int, field string, value string, key string")
-        met = keyed.join(table, ["field", "key"])
+        met = keyed.join(F.broadcast(table), ["field", "key"])
         found.append((met.filter(F.col("text").contains(F.col("value"))) if kind == "has" else met).select("_row", "test"))
     out = found[0]
     for more in found[1:]:
@@ -83,11 +83,21 @@ def _met(rows: DataFrame, index: ClientIndex) -> DataFrame:
     return out
 
 
+def _by_client(index: ClientIndex, wanted: bool) -> dict[str, set[int]]:
+    """The tests that each client wants to be met, or not to be met; a client without any is missing."""
+    tests: dict[str, set[int]] = {}
+    for client, test, want in index.needs:
+        if want == wanted:
+            tests.setdefault(client, set()).add(test)
+    return tests
+
+
 def deliveries(logs: DataFrame, index: ClientIndex) -> DataFrame:
     """``(client, ...)``: the tail columns of every log for every client whose conditions it meets, ignoring case.
 
-    Pairs of a log and a client come only from the client's rarest wanted condition; its others are then counted. Clients that
-    want nothing in particular get every log but those that meet a condition they exclude.
+    Pairs of a log and a client come only from the client's rarest wanted condition; its others are then looked up among those the
+    log meets. The tables of conditions and clients are made on the driver, so they are broadcast; logs are shuffled by their number only.
+    Clients that want nothing in particular get every log but those that meet a condition they exclude.
     """
     spark = logs.sparkSession
     # stored, so that the number of a row is the same in every join
@@ -95,18 +105,20 @@ def deliveries(logs: DataFrame, index: ClientIndex) -> DataFrame:
     pairs = None
     if index.tests:
         met = checkpointed(_met(rows, index), "tail-met")
-        needs = spark.createDataFrame(index.needs or [("", -1, True)], "client string, test int, wanted boolean")
-        often = met.groupBy("test").agg(F.count(F.lit(1)).alias("n"))
-        wanted = needs.filter("wanted").join(often, "test", "left")
-        access = wanted.groupBy("client").agg(F.min_by("test", F.struct(F.coalesce("n", F.lit(0)), "test")).alias("test"), F.count(F.lit(1)).alias("wants"))
-        near = met.join(access, "test").select("_row", "client", "wants")
-        tested = near.join(needs, "client").join(met.withColumn("_hit", F.lit(1)), ["_row", "test"])
-        kept = tested.groupBy("_row", "client", "wants").agg(F.count_if("wanted").alias("got"), F.count_if(~F.col("wanted")).alias("bad"))
-        pairs = kept.filter("got = wants AND bad = 0").select("_row", "client")
+        often = {r["test"]: r["n"] for r in met.groupBy("test").agg(F.count(F.lit(1)).alias("n")).collect()}
+        wants, bans = _by_client(index, True), _by_client(index, False)
+        access = [(min(tests, key=lambda t: (often.get(t, 0), t)), client, sorted(tests), sorted(bans.get(client, ()))) for client, tests in wants.items()]
+        table = spark.createDataFrame(access, "test int, client string, wants array<int>, bans array<int>")
+        # all tests that a row meets stand beside it, so a client's conditions are decided in place
+        own = met.groupBy("_row").agg(F.collect_set("test").alias("tests")).select("_row", "tests", F.explode("tests").alias("test"))
+        near = own.join(F.broadcast(table), "test")
+        kept = near.filter((F.size(F.array_except("wants", "tests")) == 0) & ~F.arrays_overlap("bans", "tests"))
+        pairs = kept.select("_row", "client")
     if index.open:
         free = rows.select("_row", F.explode(F.array(*[F.lit(c) for c in index.open])).alias("client"))
         if index.tests:
-            excluded = met.join(needs.filter("NOT wanted").filter(F.col("client").isin(index.open)), "test").select("_row", "client").distinct()
+            unwanted = [(t, c) for c in index.open for t in sorted(bans.get(c, ()))]
+            excluded = met.join(F.broadcast(spark.createDataFrame(unwanted, "test int, client string")), "test").select("_row", "client").distinct()
             free = free.join(excluded, ["_row", "client"], "left_anti")
         pairs = free if pairs is None else pairs.unionByName(free)
     if pairs is None:
@@ -117,12 +129,13 @@ def deliveries(logs: DataFrame, index: ClientIndex) -> DataFrame:
 def clients_sink(logs: DataFrame, clients: Mapping[str, Iterable[Mapping[str, str]]], path: str, checkpoint: str, *, trigger: Mapping[str, object] | None = None) -> StreamingQuery:
     """Serve all clients from one stream: every micro-batch is read once, and its deliveries are written to a folder of its own.
 
-    A repeated micro-batch overwrites its folder, so nothing is delivered twice. Folders are partitioned by client.
+    A repeated micro-batch overwrites its folder, so nothing is delivered twice. Folders are partitioned by client,
+    and the deliveries of a client are gathered first, so they are few files however many tasks found them.
     """
     index = client_index(clients)
 
     def serve(batch: DataFrame, batch_id: int) -> None:
-        deliveries(batch, index).write.mode("overwrite").partitionBy("client").parquet(f"{path}/batch={batch_id}")
+        deliveries(batch, index).hint("rebalance", "client").write.mode("overwrite").partitionBy("client").parquet(f"{path}/batch={batch_id}")
 
     return logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(serve).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
